@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import q_models, q_text
+from . import q_media, q_models, q_pairs, q_pii, q_scan, q_text
 
 QUERIES = {
     "op1_bpe": q_text.op1_bpe,
     "op2_language_id": q_models.op2_language_id,
+    "op3_secrets": q_scan.op3_secrets,
+    "op4_topk": q_scan.op4_topk,
     "op5_toxicity": q_models.op5_toxicity,
+    "op6_minhash": q_pairs.op6_minhash,
     "op7_packing": q_text.op7_packing,
+    "op8_pii": q_pii.op8_pii,
+    "op9_media": q_media.op9_media,
+    "op10_quality": q_scan.op10_quality,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_topk": q_scan.SQL_OP4}

@@ -111,15 +111,16 @@ def _terms(t: Column) -> Column:
 def disclosures(based: DataFrame, text_col: str = "text", base_col: str = "base", window: int = 80, min_contexts: int = 3, generalise_at: float = 0.5, remove_at: float = 0.8, min_bits: float = 4.0) -> DataFrame:
     """(term, kind, hit, p, bits, action) of the terms that reveal an entity beyond the thresholds, one row for each term."""
     t = F.col(text_col)
-    mention = based.where(F.size(base_col) > 0).select(t.alias("text"), F.explode(base_col).alias("s"))
+    # exploded without a filter before, which Spark would push below and so compute every span twice
+    mention = based.select(t.alias("text"), F.explode(base_col).alias("s"))
     before = F.substring(F.col("text"), F.greatest(F.col("s.start") - window, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(window)))
     before = F.when(F.col("s.start") > window, F.regexp_replace(before, r"^\p{L}*+", "")).otherwise(before)
     after = F.regexp_replace(F.substring(F.col("text"), F.col("s.end") + 1, F.lit(window + 1)), r"\p{L}++$", "")
-    near = mention.select(F.col("s.kind").alias("kind"), F.lower("s.hit").alias("hit"), F.concat(before, F.lit(" | "), after).alias("context"))
+    near = materialise(mention.select(F.col("s.kind").alias("kind"), F.lower("s.hit").alias("hit"), F.concat(before, F.lit(" | "), after).alias("context")), "pii-mentions")
+    entities = near.groupBy("kind", "hit").agg(F.count("*").alias("n_e"))
     near = near.select("kind", "hit", F.xxhash64("context").alias("context"), F.explode(_terms(F.col("context"))).alias("term"))
     each = near.groupBy("term", "kind", "hit", "context").agg(F.count("*").alias("n")).groupBy("term", "kind", "hit").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_te"))
     candidates = materialise(each.where(F.col("contexts") >= min_contexts), "pii-candidates")
-    entities = based.where(F.size(base_col) > 0).select(F.explode(base_col).alias("s")).groupBy(F.col("s.kind").alias("kind"), F.lower("s.hit").alias("hit")).agg(F.count("*").alias("n_e"))
     # Spark broadcasts the written candidates only below its own size threshold; else it shuffles both sides
     words = based.select(F.explode(_terms(F.coalesce(t, F.lit("")))).alias("term"))
     frequency = words.join(candidates.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
@@ -137,13 +138,16 @@ def find(df: DataFrame, text_col: str = "text", **thresholds) -> DataFrame:
     based = base_spans(df, text_col)
     known = disclosures(based, text_col, **thresholds)
     t = F.coalesce(F.col(text_col), F.lit(""))
-    revealing = df.select(F.col(text_col).alias("text")).where(F.col(text_col).isNotNull()).select("text", F.explode(_terms(F.col("text"))).alias("term")).join(known.select("term", "action"), "term")
+    keys = {"__a": F.xxhash64(t), "__b": F.xxhash64(F.lit(7), t)}
+    # words travel with their text's key alone; the texts that hold a revealing term are joined back
+    words = df.select(F.explode(_terms(t)).alias("term"), *[v.alias(k) for k, v in keys.items()])
+    matched = materialise(words.join(known.select("term", "action"), "term").distinct(), "pii-matches")
+    revealing = df.select(t.alias("text")).withColumns({"__a": F.xxhash64("text"), "__b": F.xxhash64(F.lit(7), F.col("text"))}).join(matched, ["__a", "__b"])
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})"), F.col("term"), F.lit(r"(?!\p{L})"))
     hits = F.regexp_extract_all(F.col("text"), F.col("_pattern"), F.lit(0))
     kind = F.when(F.col("action") == "remove", 5).otherwise(4)
     spans = F.transform(_placed(4, F.split(F.col("text"), F.col("_pattern"), -1), F.col("_hits")), lambda s: s.withField("kind", F.col("_kind")))
-    keys = {"__a": F.xxhash64(t), "__b": F.xxhash64(F.lit(7), t)}
-    marked = revealing.withColumn("_pattern", pattern).withColumn("_hits", hits).withColumn("_kind", kind).where(F.size("_hits") > 0).select(F.xxhash64("text").alias("__a"), F.xxhash64(F.lit(7), F.col("text")).alias("__b"), "term", spans.alias("spans"))
+    marked = revealing.withColumn("_pattern", pattern).withColumn("_hits", hits).withColumn("_kind", kind).select("__a", "__b", "term", spans.alias("spans"))
     # a text's copies share a row here, so one hot text is one group
     marked = marked.dropDuplicates(["__a", "__b", "term"]).groupBy("__a", "__b").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("extra"))
     out = based.withColumns(keys).join(marked, ["__a", "__b"], "left").drop("__a", "__b")
