@@ -3,7 +3,7 @@
 Base spans (e-mail, IP, card, phone) come from Java patterns that match as the plain ones do but never backtrack into a
 run, so long unsplit texts neither recurse nor take quadratic time. Each distinct value is a protected entity. Words
 within ``window`` characters of a mention co-occur with it. For a term t and an entity e, n(t, e) counts documents with t
-near e, n(t) all documents with t: P(e | t) = n(t, e) / n(t) says how strongly the term reveals the entity, and
+near e, n(t) all documents with t or mentions near t, whichever are more: P(e | t) = n(t, e) / n(t) says how strongly the term reveals the entity, and
 log2(P(e | t) / P(e)) how many bits it discloses. A term seen in at least ``min_contexts`` different contexts of e (so
 copies of one text prove nothing) that discloses ``min_bits`` and reveals e with ``generalise_at`` is generalised to
 [TERM]; from ``remove_at`` on it is removed. Document frequencies cover the whole corpus.
@@ -120,12 +120,15 @@ def disclosures(based: DataFrame, text_col: str = "text", base_col: str = "base"
     entities = near.groupBy("kind", "hit").agg(F.count("*").alias("n_e"))
     near = near.select("kind", "hit", F.xxhash64("context").alias("context"), F.explode(_terms(F.col("context"))).alias("term"))
     each = near.groupBy("term", "kind", "hit", "context").agg(F.count("*").alias("n")).groupBy("term", "kind", "hit").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_te"))
-    candidates = materialise(each.where(F.col("contexts") >= min_contexts), "pii-candidates")
+    # a term that stands near many entities reveals none of them: that is known from the mentions alone, before any text is read
+    around = each.groupBy("term").agg(F.sum("n_te").alias("n_near"))
+    candidates = each.where(F.col("contexts") >= min_contexts).join(around, "term").where(F.col("n_te") >= generalise_at * F.col("n_near"))
+    candidates = materialise(candidates, "pii-candidates")
     # Spark broadcasts the written candidates only below its own size threshold; else it shuffles both sides
     words = based.select(F.explode(_terms(F.coalesce(t, F.lit("")))).alias("term"))
     frequency = words.join(candidates.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     total = based.count()
-    p = F.col("n_te") / F.greatest("n_t", "n_te")
+    p = F.col("n_te") / F.greatest("n_t", "n_near")
     scored = candidates.join(frequency, "term").join(entities, ["kind", "hit"]).select("term", "kind", "hit", p.alias("p"), F.log2(p * F.lit(float(max(total, 1))) / F.col("n_e")).alias("bits"))
     scored = scored.where((F.col("p") >= generalise_at) & (F.col("bits") >= min_bits))
     best = scored.groupBy("term").agg(F.max(F.struct("p", "bits", "kind", "hit")).alias("b")).select("term", "b.*")
