@@ -1,4 +1,220 @@
-"""Queries by name, and their SQL."""
+"""Queries by name, and the SQL that checks them."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.columns import iou, l2_normalise, quality_ok, round_half_away
+from ..operators import analytics as A
+from ..operators import identity as I
+from ..operators import zones as Z
+from ..sources.events import DUCK_ADAPTER, camera_events
+
+DAY = 86_400.0
+
+
+def _on_events(f, *args, **kwargs):
+    return lambda spark, sf_dir: f(camera_events(spark, sf_dir), *args, **kwargs)
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def _on_split(f, *args, **kwargs):
+    """Even vectors are the queries, odd ones the gallery."""
+
+    def run(spark, sf_dir):
+        v = _vectors(spark, sf_dir)
+        return f(v.where("vec_id % 2 = 0"), v.where("vec_id % 2 = 1"), *args, **kwargs)
+
+    return run
+
+
+def _on_vectors(f, *args, **kwargs):
+    return lambda spark, sf_dir: f(_vectors(spark, sf_dir), *args, **kwargs)
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return camera_events(spark, sf_dir).select("store_id", "camera_id", "global_id", "event_id", "ts", (F.col("k") < 50).alias("inside"))
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box for each order line, in a frame for each supplier and day of order key."""
+    x1, y1 = (F.col("l_partkey") % 600).cast("double"), (F.col("l_orderkey") % 400).cast("double")
+    w, h = (10 + F.col("l_quantity")).cast("double"), (20 + 2 * F.col("l_quantity")).cast("double")
+    box = F.struct(x1.alias("x1"), y1.alias("y1"), (x1 + w).alias("x2"), (y1 + h).alias("y2"))
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.floor(F.col("l_orderkey") / 8).alias("frame"), box.alias("box"))
+
+
+BOXES = "(SELECT l_orderkey * 8 + l_linenumber AS id, CAST(floor(l_orderkey / 8) AS BIGINT) AS frame, CAST(l_partkey % 600 AS DOUBLE) AS x1, CAST(l_orderkey % 400 AS DOUBLE) AS y1, CAST(l_partkey % 600 AS DOUBLE) + 10 + l_quantity AS x2, CAST(l_orderkey % 400 AS DOUBLE) + 20 + 2 * l_quantity AS y2 FROM lineitem)"
+INTER = "(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)))"
+AREA = "(({0}.x2 - {0}.x1) * ({0}.y2 - {0}.y1))"
+IOU = f"({INTER} / ({AREA.format('a')} + {AREA.format('b')} - {INTER}))"
+
+
+def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = boxes(spark, sf_dir)
+    pairs = b.select("frame", F.col("id").alias("a"), F.col("box").alias("ab")).join(b.select("frame", F.col("id").alias("b"), F.col("box").alias("bb")), "frame").where("a < b")
+    return pairs.select("frame", "a", "b", round_half_away(iou(F.col("ab"), F.col("bb")), 6).alias("iou")).where("iou > 0")
+
+
+def occlusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest share of a box that boxes nearer to the camera hide; boxes hidden beyond 0.7 go."""
+    from ..functions.columns import area, intersection
+
+    b = boxes(spark, sf_dir)
+    other = b.select("frame", F.col("id").alias("o"), F.col("box").alias("ob"))
+    pairs = b.join(other, (b["frame"] == other["frame"]) & (F.col("id") != F.col("o")) & (F.col("ob.y2") > F.col("box.y2")), "left")
+    hidden = F.coalesce(F.max(intersection(F.col("box"), F.col("ob")) / area(F.col("box"))), F.lit(0.0))
+    return pairs.groupBy("id").agg(round_half_away(hidden, 6).alias("hidden")).where("hidden <= 0.7")
+
+
+def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boxes(spark, sf_dir).select("id", quality_ok(F.col("box"), 640.0, 480.0).alias("ok"))
+
+
+def point_in_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zones = spark.createDataFrame(
+        [("cam-0", "entrance", [(0.0, 0.0), (120.0, 0.0), (120.0, 480.0), (0.0, 480.0)]), ("cam-0", "shelf", [(200.0, 40.0), (320.0, 40.0), (260.0, 140.0)]), ("cam-1", "seat", [(100.0, 100.0), (300.0, 100.0), (300.0, 300.0), (200.0, 200.0), (100.0, 300.0)])],
+        "camera_id string, zone string, polygon array<struct<x:double,y:double>>",
+    )
+    b = boxes(spark, sf_dir)
+    points = b.select("id", F.concat(F.lit("cam-"), F.col("id") % 2).alias("camera_id"), ((F.col("box.x1") + F.col("box.x2")) / 2).alias("x"), F.col("box.y1").alias("y"))
+    return Z.in_zones(points, zones).where("inside").select("id", "camera_id", "zone")
+
+
+IN_ZONE = """
+WITH z(camera_id, zone, i, ax, ay, bx, byy) AS (VALUES
+ ('cam-0','entrance',1,0.0,0.0,120.0,0.0),('cam-0','entrance',2,120.0,0.0,120.0,480.0),('cam-0','entrance',3,120.0,480.0,0.0,480.0),('cam-0','entrance',4,0.0,480.0,0.0,0.0),
+ ('cam-0','shelf',1,200.0,40.0,320.0,40.0),('cam-0','shelf',2,320.0,40.0,260.0,140.0),('cam-0','shelf',3,260.0,140.0,200.0,40.0),
+ ('cam-1','seat',1,100.0,100.0,300.0,100.0),('cam-1','seat',2,300.0,100.0,300.0,300.0),('cam-1','seat',3,300.0,300.0,200.0,200.0),('cam-1','seat',4,200.0,200.0,100.0,300.0),('cam-1','seat',5,100.0,300.0,100.0,100.0)),
+e AS (SELECT camera_id, zone, ax::DOUBLE ax, ay::DOUBLE ay, bx::DOUBLE bx, byy::DOUBLE byy FROM z),
+p AS (SELECT id, concat('cam-', id % 2) AS camera_id, (x1 + x2) / 2 AS x, y1 AS y FROM """ + BOXES + """),
+t AS (SELECT p.id, p.camera_id, e.zone,
+  bool_or((bx-ax)*(y-ay) - (byy-ay)*(x-ax) = 0 AND x BETWEEN least(ax,bx) AND greatest(ax,bx) AND y BETWEEN least(ay,byy) AND greatest(ay,byy)) AS edge,
+  sum(CASE WHEN (ay > y) <> (byy > y) AND x < (bx-ax)*(y-ay)/(byy-ay)+ax THEN 1 ELSE 0 END) AS n
+ FROM p JOIN e USING (camera_id) GROUP BY ALL)
+SELECT id, camera_id, zone FROM t WHERE edge OR n % 2 = 1
+"""
+
+
+def identity_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = camera_events(spark, sf_dir).select(F.col("global_id").alias("name"), F.when(F.col("event_id") % 20 == 0, F.concat("zone", F.lit("-x"))).otherwise(F.col("global_id")).alias("gid"))
+    return I.identity_report(pairs.where("gid IS NOT NULL"))
+
+
+def truth_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = boxes(spark, sf_dir)
+    return I.best_overlaps(b.where("id % 2 = 0").select("frame", F.col("id").alias("pred"), "box"), b.where("id % 2 = 1").select("frame", F.col("id").alias("gt"), F.col("box").alias("gt_box")), 0.05)
+
+
+VISIT_KEYS = ["store_id", "global_id"]
+DEDUP_KEYS = ["global_id", "event_type", "zone"]
+
+QUERIES = {
+    "summary": _on_events(A.summary),
+    "summary_store": _on_events(A.summary, "store-1"),
+    "summary_by_store": _on_events(A.summary_by_store),
+    "store_visits": _on_events(A.store_visits),
+    "zone_dwell": _on_events(A.zone_dwell),
+    "shelf_engagement": _on_events(A.shelf_engagement),
+    "employee_presence": _on_events(A.employee_presence),
+    "journeys": _on_events(A.journeys, 500),
+    "review_queue": _on_events(A.review_queue, 50),
+    "events_by_type": _on_events(A.events_by_type),
+    "recent_feed": _on_events(A.recent_feed),
+    "heartbeat_latest": _on_events(A.heartbeat_latest),
+    "active_identities": _on_events(A.active_identities, 2 * DAY),
+    "dashboard_kpis": _on_events(A.dashboard, DAY),
+    "camera_snapshot": _on_events(A.camera_snapshot),
+    "first_seen": _on_events(A.first_seen),
+    "majority_vote": _on_events(A.majority_vote),
+    "unmatched_anti": _on_events(A.unmatched),
+    "flatten_payload": _on_events(lambda e: e.select("event_id", "event_type", "store_id", "camera_id", "global_id", "role", "zone", "zone_kind", "employee_id", "confidence", "needs_review", F.get_json_object("payload", "$.k").cast("int").alias("payload_k"))),
+    "zone_visits": lambda s, d: Z.visits(observations(s, d), VISIT_KEYS, ["ts", "event_id"]),
+    "session_flush": lambda s, d: Z.sessions(observations(s, d), ["global_id"], ["store_id", "camera_id"], gap=DAY).select("event_id", F.col("session").cast("int").alias("session")),
+    "dedup_window": _on_events(lambda e: Z.deduplicate(e, DEDUP_KEYS, 2 * DAY).select("event_id", "global_id", "event_type", "zone")),
+    "point_in_zone": point_in_zone,
+    "iou_pairs": iou_pairs,
+    "occlusion": occlusion,
+    "quality_gate": gate,
+    "truth_match": truth_match,
+    "gallery_topk": _on_split(I.gallery_top, 3),
+    "gallery_role_postfilter": _on_split(I.role_after_top, "g_label % 2 = 0"),
+    "similarity_bands": _on_split(I.bands, 0.4, 0.3),
+    "reid_rank_map": _on_split(I.rank_metrics),
+    "loo_reid": _on_vectors(I.leave_one_out),
+    "thresholds": _on_vectors(I.thresholds),
+    "drift": _on_vectors(I.drift),
+    "identity_eval": identity_eval,
+    "l2_normalize": _on_vectors(lambda v: v.select("vec_id", F.transform(l2_normalise(F.col("embedding")), lambda x: F.round(x, 5)).alias("e")).select("vec_id", F.round(F.aggregate("e", F.lit(0.0), lambda s, x: s + x), 3).alias("total"))),
+}
+
+
+def _ev(sql: str) -> str:
+    return f"WITH ev AS ({DUCK_ADAPTER}) {sql}"
+
+
+def R(x: str, n: int) -> str:
+    return f"round(({x}) * {10**n}.0::DOUBLE, 0) / {10**n}.0::DOUBLE"
+
+
+_SUM = "count(*) AS events, count(DISTINCT global_id) AS unique_people, count(DISTINCT global_id) FILTER (WHERE role = 'customer') AS unique_customers, count(DISTINCT employee_id) AS employees_seen, count(*) FILTER (WHERE event_type = 'product_interaction') AS product_interactions, count(*) FILTER (WHERE needs_review) AS needs_review, min(ts) AS first_ts, max(ts) AS last_ts"
+_SHELF = f"SELECT store_id, zone, visitors, coalesce(n, 0) AS interacting, {R('coalesce(n, 0) * 100.0::DOUBLE / visitors', 1)} AS interaction_rate_pct FROM (SELECT store_id, zone, count(DISTINCT global_id) AS visitors FROM ev WHERE event_type = 'zone_entered' AND zone_kind = 'shelf' AND role = 'customer' GROUP BY ALL) LEFT JOIN (SELECT store_id, zone, count(DISTINCT global_id) AS n FROM ev WHERE event_type = 'product_interaction' AND role = 'customer' GROUP BY ALL) USING (store_id, zone)"
+_SIM = "s AS (SELECT q.vec_id AS q, q.label AS q_label, g.vec_id AS g, g.label AS g_label, round(list_inner_product(q.embedding::DOUBLE[], g.embedding::DOUBLE[]), 6) AS sim FROM embeddings q JOIN embeddings g ON q.vec_id <> g.vec_id {where})"
+_SPLIT = "WITH " + _SIM.format(where="WHERE q.vec_id % 2 = 0 AND g.vec_id % 2 = 1")
+_ALL = "WITH " + _SIM.format(where="")
+_TOP = ", t AS (SELECT q, g_label, max(sim) AS sim FROM s GROUP BY ALL), top AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, g_label)::INTEGER AS rank FROM t)"
+_OBS = "obs AS (SELECT store_id, camera_id, global_id, event_id, ts, k < 50 AS inside FROM ev)"
+
+SQL = {
+    "summary": _ev(f"SELECT {_SUM} FROM ev"),
+    "summary_store": _ev(f"SELECT {_SUM} FROM ev WHERE store_id = 'store-1'"),
+    "summary_by_store": _ev(f"SELECT store_id, {_SUM} FROM ev GROUP BY store_id"),
+    "store_visits": _ev("SELECT store_id, count(DISTINCT global_id) AS visitors FROM ev WHERE event_type = 'zone_entered' AND zone_kind = 'entrance' AND role = 'customer' GROUP BY store_id"),
+    "zone_dwell": _ev(f"SELECT store_id, zone, zone_kind, role, count(*) AS visits, {R('avg(dwell_seconds)', 2)} AS avg_dwell_s, {R('max(dwell_seconds)', 2)} AS max_dwell_s FROM ev WHERE event_type IN ('zone_exited', 'seat_released') GROUP BY ALL"),
+    "shelf_engagement": _ev(_SHELF),
+    "employee_presence": _ev(f"SELECT store_id, employee_id, {R('max(ts) - min(ts)', 1)} AS presence_s, count(DISTINCT camera_id) AS cameras, count(DISTINCT zone) AS zones, {R('sum(CASE WHEN zone_kind = $$seat$$ THEN dwell_seconds END)', 1)} AS seated_s, {R('avg(confidence)', 3)} AS avg_confidence FROM ev WHERE employee_id IS NOT NULL GROUP BY ALL").replace("$$", "'"),
+    "journeys": _ev(f"SELECT * FROM (SELECT store_id, global_id, role, count(DISTINCT camera_id) AS cameras, string_agg(DISTINCT camera_id, ',' ORDER BY camera_id) AS camera_list, {R('max(ts) - min(ts)', 1)} AS journey_s FROM ev GROUP BY store_id, global_id, role) WHERE cameras > 1 ORDER BY journey_s DESC, store_id, global_id, role LIMIT 500"),
+    "review_queue": _ev("SELECT ts, store_id, camera_id, global_id, role, employee_id, confidence, payload FROM ev WHERE needs_review AND event_type = 'person_seen' ORDER BY confidence, ts, event_id LIMIT 50"),
+    "events_by_type": _ev("SELECT event_type, count(*) AS n FROM ev GROUP BY event_type"),
+    "recent_feed": _ev("SELECT store_id, camera_id, pos, event_type, coalesce(employee_id, global_id) AS label, ts FROM (SELECT *, row_number() OVER (PARTITION BY store_id, camera_id ORDER BY ts DESC, event_id DESC)::INTEGER AS pos FROM ev) WHERE pos <= 4"),
+    "heartbeat_latest": _ev("SELECT store_id, camera_id, ts, event_type, confidence, events FROM (SELECT *, row_number() OVER (PARTITION BY store_id, camera_id ORDER BY ts DESC, event_id DESC) AS pos, count(*) OVER (PARTITION BY store_id, camera_id) AS events FROM ev) WHERE pos = 1"),
+    "active_identities": _ev(f"SELECT p.store_id, global_id, role, employee_id, last_seen, cameras FROM (SELECT store_id, global_id, arg_max(role, ts) AS role, max(employee_id) AS employee_id, max(ts) AS last_seen, string_agg(DISTINCT camera_id, ',' ORDER BY camera_id) AS cameras FROM ev GROUP BY ALL) p JOIN (SELECT store_id, max(ts) AS t FROM ev GROUP BY ALL) n ON p.store_id = n.store_id WHERE t - last_seen <= {2 * DAY}"),
+    "dashboard_kpis": _ev(f"SELECT (SELECT arg_min(v, store_id) FROM (SELECT store_id, count(DISTINCT global_id) AS v FROM ev WHERE event_type = 'zone_entered' AND zone_kind = 'entrance' AND role = 'customer' GROUP BY store_id)) AS visitors, (SELECT count(*) FROM (SELECT store_id, global_id, max(ts) AS t FROM ev GROUP BY ALL) JOIN (SELECT store_id, max(ts) AS n FROM ev GROUP BY ALL) USING (store_id) WHERE n - t <= {DAY}) AS on_floor, (SELECT round(avg(interaction_rate_pct), 3) FROM ({_SHELF})) AS interaction_rate, count(*) AS events, count(DISTINCT employee_id) AS employees, {R('avg(CASE WHEN needs_review THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)', 4)} AS review_ratio FROM ev"),
+    "camera_snapshot": _ev(f"SELECT store_id, camera_id, count(*) AS events, {R('count(*) FILTER (WHERE needs_review) / greatest(count(*), 1)', 6)} AS review_ratio, {R('quantile_cont(confidence, 0.5) FILTER (WHERE r <= 300)', 6)} AS p50, {R('quantile_cont(confidence, 0.95) FILTER (WHERE r <= 300)', 6)} AS p95, {R('avg(confidence) FILTER (WHERE r <= 300)', 6)} AS mean_confidence FROM (SELECT *, row_number() OVER (PARTITION BY store_id, camera_id ORDER BY ts DESC, event_id DESC) AS r FROM ev) GROUP BY store_id, camera_id"),
+    "first_seen": _ev("SELECT camera_id, global_id, ts, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY camera_id, global_id ORDER BY ts, event_id) AS r FROM ev) WHERE r = 1"),
+    "majority_vote": _ev(", o AS (SELECT global_id, event_id, zone_kind, row_number() OVER (PARTITION BY global_id ORDER BY ts, event_id) AS n FROM ev WHERE zone_kind IS NOT NULL), c AS (SELECT a.global_id, a.event_id, b.zone_kind, count(*) AS votes, min(b.n) AS early FROM o a JOIN o b ON a.global_id = b.global_id AND b.n BETWEEN a.n - 4 AND a.n GROUP BY ALL) SELECT global_id, event_id, zone_kind AS vote FROM (SELECT *, row_number() OVER (PARTITION BY global_id, event_id ORDER BY votes DESC, early) AS r FROM c) WHERE r = 1"),
+    "unmatched_anti": _ev("SELECT DISTINCT store_id, global_id, zone FROM ev e WHERE event_type = 'zone_entered' AND NOT EXISTS (SELECT 1 FROM ev x WHERE x.event_type IN ('zone_exited', 'seat_released') AND x.store_id = e.store_id AND x.global_id = e.global_id AND x.zone = e.zone)"),
+    "flatten_payload": _ev("SELECT event_id, event_type, store_id, camera_id, global_id, role, zone, zone_kind, employee_id, confidence, needs_review, CAST(json_extract_string(payload, '$.k') AS INTEGER) AS payload_k FROM ev"),
+    # an independent step machine, one observation after another, as a recursive query
+    "zone_visits": "WITH RECURSIVE " + _ev("")[5:] + f", {_OBS}" + """, o AS (SELECT store_id, global_id, ts, inside, row_number() OVER (PARTITION BY store_id, global_id ORDER BY ts, event_id) AS n FROM obs),
+m AS (SELECT store_id, global_id, 0::BIGINT AS n, false AS is_in, 0 AS i, 0 AS u, 0 AS visit, NULL::DOUBLE AS enter_ts, false AS fired, NULL::VARCHAR AS e, NULL::DOUBLE AS moment, 0 AS run FROM (SELECT DISTINCT store_id, global_id FROM o)
+UNION ALL SELECT m.store_id, m.global_id, o.n,
+  CASE WHEN o.inside THEN m.is_in OR m.i + 1 >= 2 ELSE m.is_in AND m.u + 1 < 4 END,
+  CASE WHEN o.inside THEN m.i + 1 ELSE 0 END, CASE WHEN o.inside THEN 0 ELSE m.u + 1 END,
+  m.visit + CASE WHEN o.inside AND NOT m.is_in AND m.i + 1 >= 2 THEN 1 ELSE 0 END,
+  CASE WHEN o.inside AND NOT m.is_in AND m.i + 1 >= 2 THEN o.ts ELSE m.enter_ts END,
+  CASE WHEN o.inside AND NOT m.is_in AND m.i + 1 >= 2 THEN false WHEN o.inside AND m.is_in AND m.i + 1 >= 6 THEN true ELSE m.fired END,
+  CASE WHEN NOT o.inside AND m.is_in AND m.u + 1 >= 4 THEN 'exit' WHEN o.inside AND m.is_in AND NOT m.fired AND m.i + 1 >= 6 THEN 'act' END, o.ts, m.i + 1
+  FROM m JOIN o ON o.store_id = m.store_id AND o.global_id = m.global_id AND o.n = m.n + 1)
+SELECT store_id, global_id, visit, max(enter_ts) AS enter_ts, max(CASE WHEN e = 'exit' THEN moment END) AS exit_ts, """ + R("max(CASE WHEN e = 'exit' THEN moment END) - max(enter_ts)", 3) + """ AS dwell_s, min(CASE WHEN e = 'act' THEN moment END) AS interaction_ts, min(CASE WHEN e = 'act' THEN run END) AS run_frames FROM m WHERE visit > 0 GROUP BY store_id, global_id, visit""",
+    "session_flush": _ev(f", {_OBS}, f AS (SELECT *, lag(ts) OVER (PARTITION BY store_id, camera_id ORDER BY ts) AS before FROM (SELECT DISTINCT store_id, camera_id, ts FROM obs)), p AS (SELECT o.*, f.before, lag(o.ts) OVER (PARTITION BY store_id, camera_id, global_id ORDER BY o.ts, event_id) AS seen FROM obs o JOIN f USING (store_id, camera_id, ts)) SELECT event_id, (1 + sum(CASE WHEN before - seen > {DAY} THEN 1 ELSE 0 END) OVER (PARTITION BY store_id, camera_id, global_id ORDER BY ts, event_id))::INTEGER AS session FROM p"),
+    "dedup_window": "WITH RECURSIVE " + _ev("")[5:] + f", o AS (SELECT *, row_number() OVER (PARTITION BY global_id, event_type, zone ORDER BY ts, event_id) AS n FROM ev), m AS (SELECT global_id, event_type, zone, event_id, ts AS last, n, true AS kept FROM o WHERE n = 1 UNION ALL SELECT o.global_id, o.event_type, o.zone, o.event_id, CASE WHEN o.ts - m.last >= {2 * DAY} THEN o.ts ELSE m.last END, o.n, o.ts - m.last >= {2 * DAY} FROM m JOIN o ON o.global_id = m.global_id AND o.event_type = m.event_type AND o.zone IS NOT DISTINCT FROM m.zone AND o.n = m.n + 1) SELECT event_id, global_id, event_type, zone FROM m WHERE kept",
+    "point_in_zone": IN_ZONE,
+    "iou_pairs": f"SELECT * FROM (SELECT a.frame, a.id AS a, b.id AS b, {R(IOU, 6)} AS iou FROM {BOXES} a JOIN {BOXES} b ON a.frame = b.frame AND a.id < b.id) WHERE iou > 0",
+    "occlusion": f"SELECT * FROM (SELECT a.id, {R('coalesce(max(' + INTER + ' / ' + AREA.format('a') + '), 0)', 6)} AS hidden FROM {BOXES} a LEFT JOIN {BOXES} b ON a.frame = b.frame AND a.id <> b.id AND b.y2 > a.y2 GROUP BY a.id) WHERE hidden <= 0.7",
+    "quality_gate": f"SELECT id, (y2 - y1 >= 32 AND x1 > 2 AND y1 > 2 AND x2 < 638 AND y2 < 478 AND (x2 - x1) / greatest(y2 - y1, 1e-6) <= 1.2) AS ok FROM {BOXES}",
+    "truth_match": f"SELECT frame, pred, gt, {R('iou', 6)} AS iou FROM (SELECT a.frame, a.id AS pred, b.id AS gt, round({IOU}, 9) AS iou, row_number() OVER (PARTITION BY a.frame, a.id ORDER BY round({IOU}, 9) DESC, b.id) AS r FROM {BOXES} a JOIN {BOXES} b ON a.frame = b.frame AND a.id % 2 = 0 AND b.id % 2 = 1 WHERE round({IOU}, 9) > 0.05) WHERE r = 1",
+    "gallery_topk": _SPLIT + _TOP + " SELECT * FROM top WHERE rank <= 3",
+    "gallery_role_postfilter": _SPLIT + _TOP + ", f AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rank) AS r FROM top WHERE rank <= 5 AND g_label % 2 = 0) SELECT q, g_label, sim, rank FROM f WHERE r = 1",
+    "similarity_bands": _SPLIT + _TOP + ", b AS (SELECT q, max(CASE WHEN rank = 1 THEN sim END) AS best, coalesce(max(CASE WHEN rank = 2 THEN sim END), -1) AS second FROM top GROUP BY q) SELECT q, best, round(best - second, 6) AS margin, CASE WHEN best >= 0.4 AND best - second > 0.02 THEN 'match' WHEN best >= 0.3 THEN 'review' ELSE 'unknown' END AS band FROM b",
+    "reid_rank_map": _SPLIT + f", r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, g) AS rank, (q_label = g_label)::INTEGER AS hit FROM s), p AS (SELECT *, sum(hit) OVER (PARTITION BY q ORDER BY rank) / rank AS precision FROM r), e AS (SELECT q, max(CASE WHEN rank <= 1 THEN hit ELSE 0 END) AS r1, max(CASE WHEN rank <= 5 THEN hit ELSE 0 END) AS r5, coalesce(avg(CASE WHEN hit = 1 THEN precision END), 0) AS ap FROM p GROUP BY q) SELECT {R('avg(r1)', 4)} AS rank1, {R('avg(r5)', 4)} AS rank5, {R('avg(ap)', 4)} AS map FROM e",
+    "loo_reid": _ALL + f", r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, g) AS rank FROM s), e AS (SELECT q, q_label, max(CASE WHEN rank = 1 THEN (q_label = g_label)::INTEGER END) AS r1, max((q_label = g_label)::INTEGER) AS r5 FROM r WHERE rank <= 5 GROUP BY ALL) SELECT {R('avg(r1)', 4)} AS rank1, {R('avg(r5)', 4)} AS rank5, count(*) AS samples, count(DISTINCT q_label) AS identities FROM e",
+    "thresholds": _ALL + f", p AS (SELECT *, q_label = g_label AS same FROM s WHERE q < g), c AS (SELECT quantile_cont(sim, 0.99) AS m, quantile_cont(sim, 0.95) AS r, count(*) AS n, avg(sim) AS a FROM p WHERE NOT same) SELECT {R('m', 4)} AS match_threshold, {R('r', 4)} AS review_threshold, n AS impostor_pairs, {R('a', 4)} AS impostor_mean, count(*) AS genuine_pairs, {R('avg(sim)', 4)} AS genuine_mean, {R('avg(CASE WHEN sim >= m THEN 1.0::DOUBLE ELSE 0 END)', 4)} AS genuine_accept FROM p, c WHERE same GROUP BY m, r, n, a",
+    "drift": f"WITH v AS (SELECT *, vec_id % 2 AS cam, row_number() OVER (PARTITION BY vec_id % 2 ORDER BY vec_id) AS n, row_number() OVER (PARTITION BY vec_id % 2 ORDER BY vec_id DESC) AS back FROM embeddings), u AS (SELECT cam, CASE WHEN n <= 200 THEN 'a' WHEN back <= 200 THEN 'b' END AS part, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM v), w AS (SELECT cam, pos, avg(x) FILTER (WHERE part = 'a') AS a, avg(x) FILTER (WHERE part = 'b') AS b FROM u GROUP BY ALL) SELECT cam, {R('1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b)))', 4)} AS drift FROM w GROUP BY cam",
+    "identity_eval": _ev(f", p AS (SELECT global_id AS name, CASE WHEN event_id % 20 = 0 THEN CASE WHEN zone IS NULL THEN NULL ELSE concat(zone, '-x') END ELSE global_id END AS gid FROM ev), c AS (SELECT name, gid, count(*) AS n FROM p WHERE gid IS NOT NULL GROUP BY ALL), g AS (SELECT max(n) AS top, sum(n) AS al FROM c GROUP BY gid), t AS (SELECT name, sum(n) AS t FROM c GROUP BY name), f AS (SELECT name, count(*) AS ids FROM c JOIN t USING (name) WHERE n >= 0.02 * t GROUP BY name) SELECT {R('(SELECT sum(top) / sum(al) FROM g)', 4)} AS purity, {R('avg(ids)', 4)} AS fragmentation, count(*) AS people FROM f"),
+    "l2_normalize": "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: round(x::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 1e-9), 5))), 3) AS total FROM embeddings",
+}
