@@ -82,7 +82,7 @@ def point_in_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     b = boxes(spark, sf_dir)
     points = b.select("id", F.concat(F.lit("cam-"), F.col("id") % 2).alias("camera_id"), ((F.col("box.x1") + F.col("box.x2")) / 2).alias("x"), F.col("box.y1").alias("y"))
-    return Z.in_zones(points, zones).where("inside").select("id", "camera_id", "zone")
+    return Z.in_zones(points, zones).where("inside").select("id", "camera_id", "zone").distinct()
 
 
 IN_ZONE = """
@@ -91,12 +91,12 @@ WITH z(camera_id, zone, i, ax, ay, bx, byy) AS (VALUES
  ('cam-0','shelf',1,200.0,40.0,320.0,40.0),('cam-0','shelf',2,320.0,40.0,260.0,140.0),('cam-0','shelf',3,260.0,140.0,200.0,40.0),
  ('cam-1','seat',1,100.0,100.0,300.0,100.0),('cam-1','seat',2,300.0,100.0,300.0,300.0),('cam-1','seat',3,300.0,300.0,200.0,200.0),('cam-1','seat',4,200.0,200.0,100.0,300.0),('cam-1','seat',5,100.0,300.0,100.0,100.0)),
 e AS (SELECT camera_id, zone, ax::DOUBLE ax, ay::DOUBLE ay, bx::DOUBLE bx, byy::DOUBLE byy FROM z),
-p AS (SELECT id, concat('cam-', id % 2) AS camera_id, (x1 + x2) / 2 AS x, y1 AS y FROM """ + BOXES + """),
+p AS (SELECT DISTINCT id, concat('cam-', id % 2) AS camera_id, (x1 + x2) / 2 AS x, y1 AS y FROM """ + BOXES + """),
 t AS (SELECT p.id, p.camera_id, e.zone,
   bool_or((bx-ax)*(y-ay) - (byy-ay)*(x-ax) = 0 AND x BETWEEN least(ax,bx) AND greatest(ax,bx) AND y BETWEEN least(ay,byy) AND greatest(ay,byy)) AS edge,
   sum(CASE WHEN (ay > y) <> (byy > y) AND x < (bx-ax)*(y-ay)/(byy-ay)+ax THEN 1 ELSE 0 END) AS n
- FROM p JOIN e USING (camera_id) GROUP BY ALL)
-SELECT id, camera_id, zone FROM t WHERE edge OR n % 2 = 1
+ FROM p JOIN e USING (camera_id) GROUP BY p.id, p.camera_id, e.zone, x, y)
+SELECT DISTINCT id, camera_id, zone FROM t WHERE edge OR n % 2 = 1
 """
 
 
