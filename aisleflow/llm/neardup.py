@@ -35,6 +35,7 @@ WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = {k: k + 32 for k in range(65, 91)}
 ROWS, BANDS = 5, 40
 BLOCK_DOCS, BLOCK_BYTES = 512, 16 << 20
+MARK_BITS = 1 << 23
 _rng = np.random.default_rng(20)
 _A = (_rng.integers(0, 2**31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2)) | np.uint32(1)
 _B = _rng.integers(0, 2**32, ROWS * BANDS, dtype=np.uint32)
@@ -144,6 +145,18 @@ def _compare(threshold: float):
     return each
 
 
+def _marked(slim: DataFrame, families: DataFrame) -> DataFrame:
+    """The rows of slim whose doc_id may be a node of families: a bitmap of MARK_BITS hash slots (1 MB, whatever the
+    input's size) is sent out, so that the texts of the many lone documents aren't shuffled only to find no family. Full
+    slots let rows through, never stop one; the join that follows is exact."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(MARK_BITS)) + 1
+    marks = families.select(slot("node").alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    at = slim.withColumn("bucket", F.bitmap_bucket_number(slot("doc_id"))).withColumn("pos", F.bitmap_bit_position(slot("doc_id")))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(pos div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.expr("pos % 8").cast("int")
+    return at.join(F.broadcast(marks), "bucket").where(F.floor(byte / F.pow(F.lit(2), hit)).cast("int") % 2 == 1).select("doc_id", "text")
+
+
 def _solve(df: DataFrame, id_col: str, text_col: str, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """The sketches (doc_id, n, key) of all rows with an id, and the component of each key."""
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
@@ -158,7 +171,7 @@ def _solve(df: DataFrame, id_col: str, text_col: str, size: int, threshold: floa
     families = materialise(connected(stars, "neardup-family").select("node", F.col("component").alias("family")), "neardup-families")
 
     # the full sets of family members alone are read again from their texts
-    texts = slim.join(families, slim["doc_id"] == families["node"]).select("node", "family", "text")
+    texts = _marked(slim, families).join(families, F.col("doc_id") == F.col("node")).select("node", "family", "text")
     sets = texts.mapInArrow(_sets("text", size), "node long, family long, hashes binary").where(F.length("hashes") > 0).dropDuplicates(["node", "hashes"])
     sets = materialise(sets, "neardup-sets")
     weight = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(F.length("hashes")) / BLOCK_BYTES)).cast("int")
