@@ -44,25 +44,23 @@ def terms(text: str | None) -> Counter:
     return out
 
 
-class Space:
-    """The chosen terms and how to find them fast: words are cut to their possible terms once and remembered."""
+class Space(dict):
+    """The chosen terms and how to find them fast: a word's terms are looked up once and remembered, up to a bound."""
 
     def __init__(self, chosen: list[str]):
+        super().__init__()
         self.index = {t: k for k, t in enumerate(chosen)}
-        self.seen: dict[str, tuple[int, ...]] = {}
-
-    def of(self, word: str) -> tuple[int, ...]:
-        got = self.seen.get(word)
-        if got is None:
-            if len(self.seen) > 300_000:
-                self.seen.clear()
-            names = [word, *(f"{word[:k]}*" for k in (4, 5) if len(word) > k)]
-            got = self.seen[word] = tuple(self.index[x] for x in names if x in self.index)
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 300_000:
+            self.clear()
+        names = [word, *(f"{word[:k]}*" for k in (4, 5) if len(word) > k)]
+        got = self[word] = tuple(self.index[x] for x in names if x in self.index)
         return got
 
     def counts(self, text: str | None) -> tuple[tuple[int, int], ...]:
         c: Counter = Counter()
-        for hit in filter(None, map(self.of, WORDS.findall((text or "").lower()))):
+        for hit in filter(None, map(self.__getitem__, WORDS.findall((text or "").lower()))):
             c.update(hit)
         return tuple(sorted(c.items()))
 
