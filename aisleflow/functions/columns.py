@@ -71,3 +71,24 @@ def dot(a: Column, b: Column) -> Column:
 def l2_normalise(a: Column) -> Column:
     norm = F.greatest(F.sqrt(dot(a, a)), F.lit(1e-9))
     return F.transform(a, lambda x: x.cast("double") / norm)
+
+
+def to_measure(b: Column) -> Column:
+    """Centre, area and aspect of a box, as motion filters take it."""
+    w, h = F.greatest(b["x2"] - b["x1"], F.lit(1e-6)), F.greatest(b["y2"] - b["y1"], F.lit(1e-6))
+    return F.struct((b["x1"] + w / 2).alias("cx"), (b["y1"] + h / 2).alias("cy"), (w * h).alias("s"), (w / h).alias("r"))
+
+
+def clip_box(b: Column, frame_w: float, frame_h: float) -> Column:
+    """The part of a box inside the frame, in whole pixels; null where none is left."""
+    at = lambda c, hi: F.greatest(F.lit(0.0), F.least(c, F.lit(hi))).cast("int")
+    x1, y1, x2, y2 = at(b["x1"], frame_w), at(b["y1"], frame_h), at(b["x2"], frame_w), at(b["y2"], frame_h)
+    return F.when((x2 > x1) & (y2 > y1), F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")))
+
+
+def role_by_colour(colour: Column, uniform: list[int], reach: int = 40) -> Column:
+    """Role and confidence by the distance of a median colour (three channels) from the uniform's; null: unknown."""
+    d = sum(F.abs(colour[n].cast("double") - float(u)) for n, u in enumerate(uniform))
+    staff = F.struct(F.lit("employee").alias("role"), (1 - d / 765.0).alias("confidence"))
+    other = F.struct(F.lit("customer").alias("role"), F.least(F.lit(1.0), d / 765.0 + 0.5).alias("confidence"))
+    return F.when(d.isNull(), F.struct(F.lit("unknown").alias("role"), F.lit(0.0).alias("confidence"))).when(d <= reach, staff).otherwise(other)

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import iou, l2_normalise, quality_ok, round_half_away
+from ..functions.columns import clip_box, iou, l2_normalise, quality_ok, role_by_colour, round_half_away, to_measure
 from ..operators import analytics as A
 from ..operators import identity as I
+from ..operators import resolver as R_
+from ..operators import tracking as T
 from ..operators import zones as Z
-from ..sources.events import DUCK_ADAPTER, camera_events
+from ..sources.events import DUCK_ADAPTER, adapt, camera_events, shared_dir
+from ..sources.stores import newest_vectors
+from ..streaming import jobs as J
 
 DAY = 86_400.0
 
@@ -113,6 +119,50 @@ def truth_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 VISIT_KEYS = ["store_id", "global_id"]
 DEDUP_KEYS = ["global_id", "event_type", "zone"]
 
+def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as detections of a few cameras for each store: 8 orders make a frame, lines are its boxes."""
+    b = boxes(spark, sf_dir)
+    return b.select(F.concat(F.lit("store-"), F.col("frame") % 3).alias("store_id"), F.concat(F.lit("cam-"), F.col("frame") % 4).alias("camera_id"), F.floor(F.col("frame") / 12).alias("frame"), "id", "box")
+
+
+def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _detections(spark, sf_dir).withColumn("confidence", (F.col("id") * 37 % 101) / F.lit(100.0))
+    return T.suppress(d, ["store_id", "camera_id", "frame"], 0.4, 0.2).select("store_id", "camera_id", "frame", "id", "confidence")
+
+
+def track_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.track(_detections(spark, sf_dir).select("store_id", "camera_id", "frame", "id", "box.*"), overlap=0.1)
+
+
+def resolve_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as observations of three stores; the first vector of each even label is enrolled."""
+    v = _vectors(spark, sf_dir)
+    staff = v.where("label % 2 = 0").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e")).limit(1000).collect()  # labels are the staff: a bounded list
+    seen = v.select(F.concat(F.lit("store-"), F.col("vec_id") % 3).alias("store_id"), F.concat(F.lit("cam-"), F.col("vec_id") % 4).alias("camera_id"), (F.col("vec_id") % 60).alias("track_id"), F.col("vec_id").alias("id"), F.when(F.col("label") % 2 == 0, "employee").otherwise("customer").alias("role"), l2_normalise(F.col("embedding")).alias("embedding"), (F.col("vec_id") / 10).alias("ts"))
+    return R_.resolve(seen, {f"emp-{r['label']}": [r["e"]] for r in staff}, 0.5, 0.3)
+
+
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """De-duplication as a stream over the events file."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    kept = J.deduplicate(adapt(raw), DEDUP_KEYS, 2 * DAY)
+    return _streamed(kept, "dedup").select("event_id", "global_id", "event_type", "zone")
+
+
+def stream_zone_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zone entries, interactions and exits as a stream over the events file."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    obs = adapt(raw).select("store_id", "global_id", "event_id", "ts", (F.col("k") < 50).alias("inside"))
+    return _streamed(J.zone_steps(obs, ["store_id", "global_id"]), "zones")
+
+
+def _streamed(stream: DataFrame, name: str) -> DataFrame:
+    root = f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    return J.run_available(stream, f"{root}/out", f"{root}/state")
+
+
 QUERIES = {
     "summary": _on_events(A.summary),
     "summary_store": _on_events(A.summary, "store-1"),
@@ -141,6 +191,14 @@ QUERIES = {
     "occlusion": occlusion,
     "quality_gate": gate,
     "truth_match": truth_match,
+    "nms": nms,
+    "track_boxes": track_boxes,
+    "resolve_identities": resolve_identities,
+    "stream_dedup": stream_dedup,
+    "stream_zone_steps": stream_zone_steps,
+    "box_measure": lambda s, d: boxes(s, d).select("id", to_measure(F.col("box")).alias("m"), clip_box(F.col("box"), 640.0, 480.0).alias("c")).select("id", "m.cx", "m.cy", "m.s", "m.r", F.col("c.x2").alias("clip_x2"), F.col("c.y2").alias("clip_y2")),
+    "role_by_colour": lambda s, d: boxes(s, d).select("id", role_by_colour(F.array(F.col("id") % 256, F.col("id") % 90, F.col("frame") % 80), [40, 40, 40], 60).alias("r")).select("id", "r.role", round_half_away(F.col("r.confidence"), 6).alias("confidence")),
+    "gallery_cap": _on_vectors(lambda v: newest_vectors(v, "label", "vec_id", 20).select("label", "vec_id")),
     "gallery_topk": _on_split(I.gallery_top, 3),
     "gallery_role_postfilter": _on_split(I.role_after_top, "g_label % 2 = 0"),
     "similarity_bands": _on_split(I.bands, 0.4, 0.3),
@@ -218,3 +276,10 @@ SELECT store_id, global_id, visit, max(enter_ts) AS enter_ts, max(CASE WHEN e =
     "identity_eval": _ev(f", p AS (SELECT global_id AS name, CASE WHEN event_id % 20 = 0 THEN CASE WHEN zone IS NULL THEN NULL ELSE concat(zone, '-x') END ELSE global_id END AS gid FROM ev), c AS (SELECT name, gid, count(*) AS n FROM p WHERE gid IS NOT NULL GROUP BY ALL), g AS (SELECT max(n) AS top, sum(n) AS al FROM c GROUP BY gid), t AS (SELECT name, sum(n) AS t FROM c GROUP BY name), f AS (SELECT name, count(*) AS ids FROM c JOIN t USING (name) WHERE n >= 0.02 * t GROUP BY name) SELECT {R('(SELECT sum(top) / sum(al) FROM g)', 4)} AS purity, {R('avg(ids)', 4)} AS fragmentation, count(*) AS people FROM f"),
     "l2_normalize": "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: round(x::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 1e-9), 5))), 3) AS total FROM embeddings",
 }
+
+SQL |= {
+    "stream_dedup": SQL["dedup_window"],
+    "box_measure": f"SELECT id, x1 + (x2 - x1) / 2 AS cx, y1 + (y2 - y1) / 2 AS cy, (x2 - x1) * (y2 - y1) AS s, (x2 - x1) / (y2 - y1) AS r, CASE WHEN least(x2, 640) > x1 AND least(y2, 480) > y1 THEN trunc(least(x2, 640))::INTEGER END AS clip_x2, CASE WHEN least(x2, 640) > x1 AND least(y2, 480) > y1 THEN trunc(least(y2, 480))::INTEGER END AS clip_y2 FROM {BOXES}",
+    "role_by_colour": f"SELECT id, CASE WHEN d <= 60 THEN 'employee' ELSE 'customer' END AS role, {R('CASE WHEN d <= 60 THEN 1 - d / 765.0::DOUBLE ELSE least(1.0::DOUBLE, d / 765.0::DOUBLE + 0.5::DOUBLE) END', 6)} AS confidence FROM (SELECT id, (abs(id % 256 - 40) + abs(id % 90 - 40) + abs(frame % 80 - 40))::DOUBLE AS d FROM {BOXES})",
+    "gallery_cap": "SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS n FROM embeddings) WHERE n <= 20",
+}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +31,22 @@ DUCK_ADAPTER = ADAPTER.format(epoch="CAST(epoch_us(e.ts) AS DOUBLE) / 1e6", k="j
 
 
 def camera_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(SPARK_ADAPTER, raw=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return adapt(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def adapt(raw: DataFrame) -> DataFrame:
+    return raw.sparkSession.sql(SPARK_ADAPTER, raw=raw)
+
+
+_own_dir: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's, or one of our own where it names none (local mode)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not _own_dir:
+        _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-state-"))
+    return named.rstrip("/") if named else _own_dir[0]
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
