@@ -93,7 +93,7 @@ def zone_steps(obs: DataFrame, keys: list[str], enter: int = 2, leave: int = 4,
         if timeout_s:
             state.setTimeoutDuration(timeout_s * 1000)
         if out:
-            yield pd.DataFrame(out, columns=[*keys, "step", "ts", "dwell_s"])
+            yield pd.DataFrame(out, columns=[*keys, "step", "ts", "dwell_s"]).astype({"ts": float, "dwell_s": float})
 
     return obs.select(*keys, "inside", "ts", tie).groupBy(*keys).applyInPandasWithState(each, schema, "run long, inside boolean, since double, acted boolean", "append", _timeout(timeout_s))
 
