@@ -208,6 +208,27 @@ def test_image_copies(spark):
     assert media.copies(media.page_images(pages.limit(0)), "media_id").count() == 0
 
 
+def as_images(spark, images):
+    rows = [(k, bytearray(np.clip(np.rint(a), 0, 255).astype(np.uint8).tobytes()), a.shape[1], a.shape[0]) for k, a in images.items()]
+    return spark.createDataFrame(rows, "media_id long, image binary, width int, height int")
+
+
+def test_image_copies_whose_keys_a_smaller_image_holds(spark, monkeypatch):
+    """Image 0 holds all corners of 1 and 2, but its cells, of four corners each, stand in another order."""
+    monkeypatch.setattr(media, "BLOCK", 2)
+    rng = np.random.default_rng(7)
+    cells = []
+    for k in range(6):
+        cell = np.full((40, 40), 96.0)
+        y, x = rng.integers(11, 14, 2)
+        cell[y : y + 13 + k % 3, x : x + 12 + k % 4] = 150 + 10 * k
+        cell[y - 3 : y + 5, x + 4 : x + 9] = 20 + 6 * rng.integers(6)
+        cells.append(cell)
+    a, mixed = np.hstack(cells), np.hstack([cells[k] for k in (5, 3, 0, 2, 4, 1)])
+    got = {r.media_id: r.group_id for r in media.copies(as_images(spark, {0: mixed, 1: a, 2: a[1:, 2:] + 20, 3: a[::-1, ::-1][:, 7:150] * 0 + 96}), "media_id", min_agree=12).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 3}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
