@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,6 +230,28 @@ def test_image_copies_whose_keys_a_smaller_image_holds(spark, monkeypatch):
     assert got == {0: 0, 1: 1, 2: 1, 3: 3}
 
 
+def test_geometry_of_edited_copies():
+    """Even and odd crops, a quarter turn, a resize and a turn by 20 degrees, whatever the order of the matches."""
+    rows = []
+    for k in range(10):
+        rng = np.random.default_rng(k)
+        image = np.full((96, 96), 96.0)
+        for _ in range(40):
+            y, x, h, v = rng.integers(0, 88, 2).tolist() + rng.integers(6, 22, 2).tolist()
+            image[y : y + h, x : x + v] = 40 + rng.integers(128)
+        for n, a in enumerate((image, media.edited(image, k % 5))):
+            f = media.corners(np.clip(np.rint(a), 0, 255).astype(np.uint8))
+            rows.append((2 * k + n, 0, len(f), np.array([c[:4] for c in f], "<f4").tobytes(), np.frombuffer(b"".join(c[4] for c in f), "<i4")))
+    links = media._compare(5, 2.0)(pd.DataFrame(rows, columns=["node", "block", "n", "place", "keys"]))
+    assert sorted(zip(links["u"], links["v"], strict=True)) == [(2 * k, 2 * k + 1) for k in range(10)]
+    # 30 matches that agree with nothing stand before the right ones
+    rng = np.random.default_rng(1)
+    wrong = np.hstack([rng.uniform(0, 90, (30, 2)), np.ones((30, 1)), rng.integers(0, 30, (30, 1)), rng.uniform(0, 90, (30, 2)), np.ones((30, 1)), rng.integers(0, 30, (30, 1))])
+    spots = np.array([(5, 5), (80, 9), (40, 44), (12, 70), (77, 81)], float)
+    right = np.hstack([spots, np.ones((5, 1)), np.full((5, 1), 3), spots - 3, np.ones((5, 1)), np.full((5, 1), 3)])
+    assert media.agree(np.vstack([wrong, right]), 2.0, 5) and not media.agree(wrong, 2.0, 5)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
