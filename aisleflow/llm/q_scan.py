@@ -13,7 +13,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = materialise(secrets.candidates(docs, secrets.dictionary(docs)), "secret-candidates")
-    labelled = found.where(~held_out(F.col("doc_id"))).withColumn("label", F.col("finding").rlike(secrets.FORMATS).cast("int"))
+    labelled = secrets.labelled(found.where(~held_out(F.col("doc_id"))))
     scored = secrets.score(found, secrets.fit(labelled))
     return scored.select("doc_id", "start", "end", "finding", held_out(F.col("doc_id")).alias("held_out"), F.round("score", 6).alias("score"), (F.col("score") >= 0.5).alias("is_secret"))
 

@@ -1,11 +1,12 @@
 """Secret scans: pattern candidates, and a random forest that removes false positives.
 
-A candidate is a run of at least 16 key characters. Its features are length, shares of character classes and transitions
+A candidate is a run of at least 16 key characters, or a value of 6 to 15 that is assigned to a key word. Its features are length, shares of character classes and transitions
 between them, entropy, how much of it words of the corpus' dictionary cover, whether it looks like a path, and what
-stands before it. The forest (Spark's own) learns from labelled findings; those of the query are labelled by the
-issuers' fixed formats on learning rows, and the forest never sees the format, only the features.
+stands before it. The forest (Spark's own) learns from labelled findings; the query labels on
+learning rows what is sure on either side (``labelled``), and the forest never sees the rule, only the features.
 
-Defined results: null and empty texts give no finding; overlapping candidates can't arise (runs are maximal); without
+Defined results: null and empty texts give no finding; overlapping candidates can't arise (runs are maximal, and a short
+value lies outside them); rows with a null id are scanned too; without
 findings of both labels every candidate keeps the rate of label 1; repeated rows are scanned each; only the id and the
 text are read, so other columns don't matter; an empty table gives an empty result.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -27,8 +29,10 @@ from .common import unit_hash
 
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_.=-]{16,}")
 KEY_WORDS = ("password", "passwd", "secret", "token", "api", "key", "auth", "credential")
-#: Formats of the findings that count as true when labels are made from a corpus: fixed values.
-FORMATS = r"^(?:AKIA[0-9A-Z]{16}|[0-9a-f]{40}|password=[0-9a-f]{18}|gh[pousr]_[A-Za-z0-9]{36})$"
+#: A short value behind a key word.
+ASSIGNED = re.compile(r"(?i)(?:" + "|".join(KEY_WORDS) + r")[A-Za-z0-9_.-]{0,16}[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?([A-Za-z0-9+/_.=-]{6,15})(?![A-Za-z0-9+/_.=-])")
+#: Issuers' fixed formats, in upper or lower case.
+FORMATS = r"(?i)^(?:AKIA[0-9A-Z]{16}|[0-9a-f]{40}|password=[0-9a-f]{18}|gh[pousr]_[A-Za-z0-9]{36}|[sr]k_(?:live|test)_[0-9A-Za-z]{10,}|xox[abeoprs]-[0-9A-Za-z-]{10,}|eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_=-]+)$"
 SCHEMA = "doc_id long, start int, end int, finding string, before string, features array<double>"
 
 
@@ -48,7 +52,7 @@ def features(run: str, before: str, common: frozenset[str]) -> list[float]:
         covered += size
         at += size or 1
     near = before.lower()
-    return [float(n), *shares, moves, entropy, covered / n, float("/" in run or "." in run), float("=" in run or near.rstrip('" ').endswith(("=", ":"))), float(any(w in near or w in low for w in KEY_WORDS)), float(sum(c in "0123456789abcdef" for c in low) / n)]
+    return [float(n), *shares, moves, entropy, covered / n, float("/" in run or "." in run), float("=" in run or near.rstrip("\"' ").endswith(("=", ":"))), float(any(w in near or w in low for w in KEY_WORDS)), float(sum(c in "0123456789abcdef" for c in low) / n)]
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", size: int = 2000) -> frozenset[str]:
@@ -78,18 +82,38 @@ def candidates(docs: DataFrame, common: frozenset[str], id_col: str = "doc_id",
         for pdf in batches:
             out = []
             for i, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                for m in RUN.finditer(t or ""):
-                    run = m.group().rstrip(".-=") if not m.group().endswith("==") else m.group()
+                runs = [(m.start(), m.end(), m.group()) for m in RUN.finditer(t or "")]
+                ends = [e for _, e, _ in runs]
+                for m in ASSIGNED.finditer(t or ""):
+                    k = bisect_right(ends, m.start(1))
+                    if k == len(runs) or runs[k][0] >= m.end(1):
+                        short = m.group(1).rstrip(".-=") if not m.group(1).endswith("==") else m.group(1)
+                        if len(short) >= 6:
+                            out.append((i, m.start(1), m.start(1) + len(short), short, t[max(0, m.start(1) - 24) : m.start(1)], features(short, t[max(0, m.start(1) - 24) : m.start(1)], shared.value)))
+                for start, _, run in runs:
+                    run = run.rstrip(".-=") if not run.endswith("==") else run
                     if len(run) >= 16:
-                        before = t[max(0, m.start() - 24) : m.start()]
-                        out.append((i, m.start(), m.start() + len(run), run, before, features(run, before, shared.value)))
-            yield pd.DataFrame(out, columns=["doc_id", "start", "end", "finding", "before", "features"])
+                        before = t[max(0, start - 24) : start]
+                        out.append((i, start, start + len(run), run, before, features(run, before, shared.value)))
+            found = pd.DataFrame(out, columns=["doc_id", "start", "end", "finding", "before", "features"], dtype=object)
+            yield found.assign(doc_id=pd.array([None if i is None else int(i) for i in found["doc_id"]], dtype="Int64"))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL").mapInPandas(scan, SCHEMA)
+    # ids go as strings, since Pandas would make a batch with a null id inexact
+    return docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(scan, SCHEMA)
+
+
+def labelled(found: DataFrame) -> DataFrame:
+    """found with label: 1 for issuers' formats and assigned values of high entropy, 0 for runs of dictionary words and paths, null for what is unclear."""
+    at = lambda k: F.col("features")[k]
+    assigned = (at(9) == 1) & (at(10) == 1) & (at(3) >= 0.15) & (at(7) < 0.5) & (at(6) >= 0.8 * F.log2(F.least(at(0), F.lit(16.0))))
+    plain = ((at(3) == 0) & (at(7) >= 0.6)) | ((at(8) == 1) & (at(3) < 0.1) & (at(7) >= 0.4))
+    return found.withColumn("label", F.when(F.col("finding").rlike(FORMATS) | assigned, 1).when(plain, 0))
 
 
 def fit(labelled: DataFrame, max_findings: int = 20_000, trees: int = 20, depth: int = 6, seed: int = 1):
-    """labelled: features and label (0/1). At most about max_findings are used, in equal shares. None with one label."""
+    """labelled: features and label (0/1). At most about max_findings are used, in equal shares; those without a label
+    are left out. None with one label."""
+    labelled = labelled.where("label IS NOT NULL")
     counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):
         return counts.get(1, 0) / max(1, sum(counts.values()))
