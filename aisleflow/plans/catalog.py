@@ -116,6 +116,7 @@ def truth_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.best_overlaps(b.where("id % 2 = 0").select("frame", F.col("id").alias("pred"), "box"), b.where("id % 2 = 1").select("frame", F.col("id").alias("gt"), F.col("box").alias("gt_box")), 0.05)
 
 
+MAX_STAFF = 1000
 VISIT_KEYS = ["store_id", "global_id"]
 DEDUP_KEYS = ["global_id", "event_type", "zone"]
 
@@ -137,7 +138,9 @@ def track_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolve_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as observations of three stores; the first vector of each even label is enrolled."""
     v = _vectors(spark, sf_dir)
-    staff = v.where("label % 2 = 0").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e")).limit(1000).collect()  # labels are the staff: a bounded list
+    staff = v.where("label % 2 = 0").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e")).limit(MAX_STAFF + 1).collect()  # labels are the staff: a bounded list
+    if len(staff) > MAX_STAFF:
+        raise ValueError(f"more than {MAX_STAFF} enrolled staff")
     seen = v.select(F.concat(F.lit("store-"), F.col("vec_id") % 3).alias("store_id"), F.concat(F.lit("cam-"), F.col("vec_id") % 4).alias("camera_id"), (F.col("vec_id") % 60).alias("track_id"), F.col("vec_id").alias("id"), F.when(F.col("label") % 2 == 0, "employee").otherwise("customer").alias("role"), l2_normalise(F.col("embedding")).alias("embedding"), (F.col("vec_id") / 10).alias("ts"))
     return R_.resolve(seen, {f"emp-{r['label']}": [r["e"]] for r in staff}, 0.5, 0.3)
 

@@ -78,6 +78,12 @@ def test_resolver_decisions(spark):
     assert out == {1: ("emp-1", False), 2: ("emp-1", True), 3: ("employee-unknown-0001", True), 4: ("person-0001", False), 5: ("person-0001", False), 6: ("emp-1", False), 7: ("person-0002", False), 9: ("person-0001", False)}
 
 
+def test_too_many_staff_fail(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "MAX_STAFF", 2)
+    with pytest.raises(ValueError):
+        catalog.resolve_identities(spark, SF)
+
+
 def test_zone_stream_equals_windows(spark):
     got = {(r.store_id, r.global_id, r.step, r.ts) for r in catalog.stream_zone_steps(spark, SF).collect()}
     obs = catalog.observations(spark, SF)
