@@ -45,7 +45,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the tokens of what is left."""
     small_batches(spark)
     ids = bpe.encode(docs.select("doc_id", "text"), tokenizer()).select("doc_id", "ids")
-    return packing.pack(ids, with_ids=False)
+    return packing.pack(ids)
 
 
 STAGES = [
@@ -56,7 +56,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL expresses neither the models nor the tokenizer; tests hold each stage against brute force.
+#: SQL expresses neither the models nor the tokenizer; tests hold the operators, and the last stage's ids, against brute force.
 ORACLE_SQL = None
 
 

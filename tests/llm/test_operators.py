@@ -274,3 +274,16 @@ def test_pipeline(spark):
         assert out.columns == docs.columns
         out.count()
     assert p.run(spark, SF).where("offset <> 0 OR length > 4096").count() == 0
+
+
+def test_pipeline_ends_with_all_token_ids(spark):
+    import corpus_pipeline as p
+
+    _, df = docs_of(spark)
+    df = df.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    want = {r.doc_id: [*(r.ids or []), 2] for r in bpe.encode(df.select("doc_id", "text"), tokenizer()).select("doc_id", "ids").collect()}
+    got = {}
+    for r in sorted(p.STAGES[-1][1](spark, df, SF).collect(), key=lambda r: r.start):
+        assert len(r.ids) == r.length
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    assert got == want
