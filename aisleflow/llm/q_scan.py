@@ -27,9 +27,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades: 0 low quality, 1 good but toxic, 2 good."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
-    grades = table(spark, sf_dir, "labels").where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("quality") * F.when(F.max("toxic") == 1, 1).otherwise(2)).cast("int").alias("grade"))
-    grades = grades.where(~held_out(F.col("doc_id")))
-    model = quality.fit(docs.where(~F.col("held_out")).join(grades, "doc_id"))
+    rated = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
+    rated = rated.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).alias("grade"))
+    model = quality.fit(docs.where(~F.col("held_out")), rated)
     scored = quality.score(docs, model, tail_at=1)
     return scored.select("doc_id", "held_out", F.round("expected_grade", 6).alias("expected_grade"), F.round("tail", 6).alias("tail"), (F.col("tail") >= 0.5).alias("selected"))
 

@@ -2,11 +2,13 @@
 
 P(grade <= j) = sigmoid(threshold_j - w.x): one weight vector over hashed words and a few shape marks is shared by all
 grades, and the ordered thresholds (their gaps are kept positive) cut its scale. The model is fitted on at most about
-``max_docs`` rated rows, dealt evenly to the grades by a hash of the row; counts of grades cover all rows.
+``max_docs`` rated keys, dealt evenly to the grades by a hash of the key; counts of grades cover all keys. The keys are
+drawn from the ratings alone, so texts are read once and only those of drawn keys are shuffled.
 
-Defined results: a null text counts as empty; empty texts are scored by their shape marks; without rated rows every
-expected grade is 0 and every tail 0; with one grade it is that grade; repeated rows are scored each; other columns pass
-through, but for those named like an output, which are replaced.
+Defined results: a null text counts as empty; empty texts are scored by their shape marks; without rated texts every
+expected grade is 0 and every tail 0; with one grade it is that grade; a key rated several times has its lowest grade, and
+of texts that share a key the smallest is learnt from; null keys and null grades teach nothing; repeated rows are scored
+each; other columns pass through, but for those named like an output, which are replaced; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import unit_hash
+from .common import materialise, unit_hash
 
 DIMS = 1 << 12
 WORD = re.compile(r"\S+")
@@ -78,27 +80,32 @@ class Model:
         return expected, 0.0 if at is None else 1.0 if at == 0 else float(tails[at - 1])
 
 
-def fit(rated: DataFrame, text_col: str = "text", grade_col: str = "grade", key_col: str = "doc_id", max_docs: int = 4000, rounds: int = 300) -> Model:
-    rated = rated.where(F.col(grade_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(grade_col).cast("int").alias("y"), F.col(key_col).alias("key"))
-    counts = {r["y"]: r["n"] for r in rated.groupBy("y").agg(F.count("*").alias("n")).collect()}
+def fit(docs: DataFrame, ratings: DataFrame, text_col: str = "text", grade_col: str = "grade", key_col: str = "doc_id", max_docs: int = 4000, rounds: int = 300) -> Model:
+    """docs: where rated texts may be learnt from; ratings: key and grade. Both have ``key_col``."""
+    known = ratings.where(F.col(grade_col).isNotNull() & F.col(key_col).isNotNull()).groupBy(F.col(key_col).alias("key")).agg(F.min(grade_col).cast("int").alias("y"))
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     grades = sorted(counts)
-    if len(grades) < 2:
-        return Model(grades, np.zeros(DIMS + 6), np.zeros(0))
+    if not grades:
+        return Model([], np.zeros(DIMS + 6), np.zeros(0))
     share = max(1, max_docs // len(grades))
     part = F.create_map(*[F.lit(v) for g in grades for v in (g, share / counts[g])])[F.col("y")]
+    drawn = materialise(known.where(unit_hash(F.col("key"), F.lit(13)) < part), "quality-keys")
+    own = docs.select(F.col(key_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
+    own = own.join(F.broadcast(drawn) if drawn.count() <= 2 * max_docs else drawn, "key")
+    own = own.groupBy("key", "y").agg(F.min("text").alias("text"))
 
     def vectors(batches):
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([features(t).tobytes() for t in batch["text"].to_pylist()], pa.binary()), batch["y"]], ["x", "y"])
 
-    rows = rated.where(unit_hash(F.col("key"), F.lit(13)) < part).mapInArrow(vectors, "x binary, y int").limit(2 * max_docs).collect()
-    if len({r["y"] for r in rows}) < 2:
-        return Model(grades[:1], np.zeros(DIMS + 6), np.zeros(0))
+    rows = own.mapInArrow(vectors, "x binary, y int").collect()
+    if len(seen := sorted({r["y"] for r in rows})) < 2:
+        return Model(seen, np.zeros(DIMS + 6), np.zeros(0))
+    grades = seen
     X = np.stack([np.frombuffer(r["x"], np.float32) for r in rows])
     y = np.array([grades.index(r["y"]) for r in rows])
-    # each sampled row stands for as many as its grade was thinned by
-    seen = np.bincount(y, minlength=len(grades))
-    weight = np.array([counts[g] for g in grades])[y] / seen[y]
+    # each drawn row stands for as many as its grade was thinned by
+    weight = np.array([counts[g] for g in grades])[y] / np.bincount(y, minlength=len(grades))[y]
     weight = weight / weight.sum()
     k = len(grades) - 1
     below = (y[:, None] <= np.arange(k)[None, :]).astype(np.float64)

@@ -206,12 +206,28 @@ def test_secret_labels(spark):
 
 def test_quality(spark):
     rows = [(k, ("good words here " * 5, "some odd $$$ text " * 5, "$$$ %%% ### " * 5)[k % 3] + f" n{k}", 2 - k % 3) for k in range(90)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, grade int")
-    model = quality.fit(df)
+    df = spark.createDataFrame(rows + rows[:30], "doc_id long, text string, grade int")
+    model = quality.fit(df.drop("grade"), df)
     assert (np.diff(model.thresholds) > 0).all()
     got = {r.grade: r.g for r in quality.score(df, model).groupBy("grade").agg(F.avg("expected_grade").alias("g")).collect()}
     assert got[0] < 0.7 < got[1] < 1.4 < got[2]
-    assert quality.score(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), quality.fit(df.limit(0))).where("expected_grade = 0 AND tail = 0").count() == 2
+    odd = spark.createDataFrame([(1, None, 9), (2, "", 9), (None, "x", 9), (2, "", 9), (3, "word " * 50_000, 9)], "doc_id long, text string, tail int")
+    for ratings, want in ((df.limit(0), 0), (df.where("grade = 1"), 1)):
+        out = quality.score(odd, quality.fit(df, ratings)).collect()
+        assert len(out) == 5 and {r.expected_grade for r in out} == {want} and {r.tail for r in out} == {float(want)}
+    assert quality.score(odd, model).count() == 5 and quality.score(odd.limit(0), model).count() == 0
+    # by hand: the tails of the cumulative-link model, and the expected grade that they add up to
+    r = quality.score(df.where("doc_id = 7").limit(1), model).first()
+    tails = 1 - 1 / (1 + np.exp(-(model.thresholds - quality.features(r.text) @ model.weights)))
+    assert abs(r.tail - tails[0]) < 1e-6 and abs(r.expected_grade - tails.sum()) < 1e-6
+
+
+def test_quality_held_out(spark):
+    """Rank agreement on rows that the model didn't learn from: P(expected grade of a better text is higher)."""
+    sf = "/root/testdata/sf0.01"
+    got = catalog.QUERIES["op10_quality"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out AND quality IS NOT NULL").collect()
+    good, bad = ([r.expected_grade for r in got if r.quality == q] for q in (1, 0))
+    assert np.mean([a > b for a in good for b in bad]) > 0.8
 
 
 def test_image_copies(spark):
