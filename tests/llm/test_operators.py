@@ -5,7 +5,6 @@ import random
 import re
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,53 +230,72 @@ def test_quality_held_out(spark):
 
 
 def test_image_copies(spark):
-    pages = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(60))) for k in range(12)] + [(50, None), (51, " ".join(f"w3x{j}" for j in range(60)))], "page_id long, html string")
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    pages = spark.createDataFrame([(k, text(k)) for k in range(12)] + [(50, None), (51, text(3))], "page_id long, html string")
     got = {r.media_id: r.group_id for r in media.copies(media.page_images(pages), "media_id").collect()}
     assert all(got[2 * k + 1] == got[2 * k] == 2 * k for k in range(12)) and got[102] == got[103] == 6 and got[100] == 100 and got[101] == 101
     assert media.copies(media.page_images(pages.limit(0)), "media_id").count() == 0
 
 
 def as_images(spark, images):
-    rows = [(k, bytearray(np.clip(np.rint(a), 0, 255).astype(np.uint8).tobytes()), a.shape[1], a.shape[0]) for k, a in images.items()]
-    return spark.createDataFrame(rows, "media_id long, image binary, width int, height int")
-
-
-def test_image_copies_whose_keys_a_smaller_image_holds(spark, monkeypatch):
-    """Image 0 holds all corners of 1 and 2, but its cells, of four corners each, stand in another order."""
-    monkeypatch.setattr(media, "BLOCK", 2)
-    rng = np.random.default_rng(7)
-    cells = []
-    for k in range(6):
-        cell = np.full((40, 40), 96.0)
-        y, x = rng.integers(11, 14, 2)
-        cell[y : y + 13 + k % 3, x : x + 12 + k % 4] = 150 + 10 * k
-        cell[y - 3 : y + 5, x + 4 : x + 9] = 20 + 6 * rng.integers(6)
-        cells.append(cell)
-    a, mixed = np.hstack(cells), np.hstack([cells[k] for k in (5, 3, 0, 2, 4, 1)])
-    got = {r.media_id: r.group_id for r in media.copies(as_images(spark, {0: mixed, 1: a, 2: a[1:, 2:] + 20, 3: a[::-1, ::-1][:, 7:150] * 0 + 96}), "media_id", min_agree=12).collect()}
-    assert got == {0: 0, 1: 1, 2: 1, 3: 3}
-
-
-def test_geometry_of_edited_copies():
-    """Even and odd crops, a quarter turn, a resize and a turn by 20 degrees, whatever the order of the matches."""
-    rows = []
-    for k in range(10):
-        rng = np.random.default_rng(k)
-        image = np.full((96, 96), 96.0)
-        for _ in range(40):
-            y, x, h, v = rng.integers(0, 88, 2).tolist() + rng.integers(6, 22, 2).tolist()
-            image[y : y + h, x : x + v] = 40 + rng.integers(128)
-        for n, a in enumerate((image, media.edited(image, k % 5))):
-            f = media.corners(np.clip(np.rint(a), 0, 255).astype(np.uint8))
-            rows.append((2 * k + n, 0, len(f), np.array([c[:4] for c in f], "<f4").tobytes(), np.frombuffer(b"".join(c[4] for c in f), "<i4")))
-    links = media._compare(5, 2.0)(pd.DataFrame(rows, columns=["node", "block", "n", "place", "keys"]))
-    assert sorted(zip(links["u"], links["v"], strict=True)) == [(2 * k, 2 * k + 1) for k in range(10)]
-    # 30 matches that agree with nothing stand before the right ones
+    rows = [(k, bytearray(np.clip(np.rint(a), 0, 255).astype(np.uint8).tobytes()), a.shape[1], a.shape[0], "g") for k, a in images]
+    return spark.createDataFrame(rows, "media_id long, image binary, width int, height int, group_id string")
+
+
+def test_odd_images(spark):
+    one, two = media.drawn(" ".join(f"a{k}" for k in range(300))), media.drawn(" ".join(f"b{k}" for k in range(300)))
+    df = as_images(spark, [(9, one), (4, one), (4, one), (5, media.edited(one, 1)), (None, one), (7, two), (8, one), (8, two), (1, np.full((96, 96), 50.0)), (2, np.full((2, 3), 9.0))])
+    df = df.unionByName(spark.createDataFrame([(20, None, 3, 3, "g"), (21, bytearray(b"xyz"), 2, 2, "g"), (22, bytearray(), 0, 0, "g")], df.schema))
+    got = sorted(((r.media_id, r.group_id) for r in media.copies(df, "media_id").collect()), key=str)
+    # 8 is a copy of both pictures and so links them
+    assert got == sorted([(9, 4), (4, 4), (5, 4), (7, 4), (8, 4), (None, None), (1, 1), (2, 2), (20, 20), (21, 21), (22, 22)], key=str)
+
+
+def test_image_recall_against_all_pairs():
+    """Of drawn copies, candidates by keys against the comparison of all corners, for each kind of edit; and no wrong link."""
+    rng = np.random.default_rng(3)
+    pictures = [media.drawn(" ".join(f"p{k}w{x}" for x in rng.integers(0, 999, 250))) for k in range(48)]
+    found = [media.corners(np.clip(np.rint(a), 0, 255).astype(np.uint8)[None])[0] for k, p in enumerate(pictures) for a in (p, media.edited(p, k % 6))]
+    everything = {(i, j) for j in range(len(found)) for i in range(j) if media.agree(media.match(found[i], found[j]), 2.0, 5)}
+    true = {(2 * k, 2 * k + 1) for k in range(len(pictures))}
+    assert everything <= true and len(everything) >= 0.95 * len(true)
+    sign, node = np.concatenate([f["bits"] for f in found]), np.repeat(np.arange(len(found)), [len(f) for f in found])
+    near = set()
+    for mask in media._masks(18):
+        none = np.empty(0, np.uint64), np.empty(0, np.int64)
+        u, v, held = media._pairs(none, (sign[:900], node[:900]), mask, media.HUBS)
+        near |= set(zip(u.tolist(), v.tolist(), strict=True))
+        u, v, _ = media._pairs(held, (sign[900:], node[900:]), mask, media.HUBS)
+        near |= set(zip(u.tolist(), v.tolist(), strict=True))
+    for kind in range(len(media.EDITS)):
+        own = {(2 * k, 2 * k + 1) for k in range(kind, len(pictures), 6)} & everything
+        assert len(own & near) >= 0.9 * len(own), media.EDITS[kind]
+
+
+def test_hot_key_pairs_grow_with_its_images():
+    sign = np.full(5000, 7, np.uint64)
+    u, v, held = media._pairs((sign[:0], np.empty(0, np.int64)), (sign, np.arange(5000)), np.uint64(255), 8)
+    assert len(u) <= 8 * 5000 and len(held[0]) == 8 and set(u.tolist()) | set(v.tolist()) == set(range(5000))
+    u, v, _ = media._pairs(held, (sign[:3], np.array([6000, 6001, 6002])), np.uint64(255), 8)
+    assert len(u) == 24 and set(v.tolist()) == {6000, 6001, 6002}
+
+
+def test_geometry_of_matches():
+    """30 matches that agree with nothing stand before the right ones; flat blocks, crops and turns are found as well."""
     rng = np.random.default_rng(1)
     wrong = np.hstack([rng.uniform(0, 90, (30, 2)), np.ones((30, 1)), rng.integers(0, 30, (30, 1)), rng.uniform(0, 90, (30, 2)), np.ones((30, 1)), rng.integers(0, 30, (30, 1))])
     spots = np.array([(5, 5), (80, 9), (40, 44), (12, 70), (77, 81)], float)
     right = np.hstack([spots, np.ones((5, 1)), np.full((5, 1), 3), spots - 3, np.ones((5, 1)), np.full((5, 1), 3)])
     assert media.agree(np.vstack([wrong, right]), 2.0, 5) and not media.agree(wrong, 2.0, 5)
+    linked = 0
+    for k in range(10):
+        image = np.full((96, 96), 96.0)
+        for _ in range(40):
+            y, x, h, v = rng.integers(0, 88, 2).tolist() + rng.integers(6, 22, 2).tolist()
+            image[y : y + h, x : x + v] = 40 + rng.integers(128)
+        one, two = (media.corners(np.clip(np.rint(a), 0, 255).astype(np.uint8)[None])[0] for a in (image, media.edited(image, k % 3)))
+        linked += media.agree(media.match(one, two), 2.0, 5)
+    assert linked >= 9
 
 
 def test_pipeline(spark):
