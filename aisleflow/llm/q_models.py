@@ -19,6 +19,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
-    model = toxicity.fit(docs.where(~F.col("held_out")), docs, table(spark, sf_dir, "labels"))
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs.where(~F.col("held_out")), docs, labels.where(~held_out(F.col("doc_id"))))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")

@@ -1,17 +1,23 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are lower-case words and their first four and five letters. Those whose document counts differ between the two
-labels (chi-square of at least ``min_chi2``, and ``min_phi2`` of the examples' number) and whose rate is ``min_lift``
-times as high under label 1 span the vector space; their document frequencies are counted over the whole corpus. Examples are a bounded sample of labelled rows (``max_examples`` for each label, documented bound); they
-lie in inverted lists cut into blocks of example numbers, each with the largest weight that it holds for a term. A query
-bounds every block by the sum over its terms, visits blocks in falling order of the bound and stops when a bound falls
-below its kth cosine, so the neighbours are exact. Votes are weighted by cosine and by how many labelled rows an example
-stands for, and are drawn to the base rate, which calibrates them; the neighbours are returned as evidence.
-
-Defined results: a text without a chosen term (an empty or null one too) gets the labelled rate of such texts; without
-labelled rows of both kinds every text gets the rate of label 1 (0 without labels); ties in cosine go to the smaller
-example number; a doc_id labelled twice counts with its highest label; repeated rows are scored each; other columns
-pass through, but for those named like an output, which are replaced.
+A text's terms are all its lower-case words, and the first STEM letters of longer ones, which stand for a word's other forms.
+A term weighs (1 + log n) times its idf over the whole corpus times what it tells of the label among the examples: FLOOR
+for one that tells nothing, so no term is left out, and more with the square of its log odds in standard errors, so that
+the label and not the topic says which texts are near. A term that no example holds weighs as one that no text holds and
+tells nothing; it only lengthens its text's vector.
+
+Examples are a bounded sample of labelled keys (``max_examples`` for each label, a documented bound). They lie in inverted
+lists cut into blocks of BLOCK examples, alike ones together; a term's entry for a block holds its largest weight there. A
+query bounds every block by the sum over its terms, reads the blocks of the greatest bounds and then all whose bound is no
+less than its kth cosine, so the neighbours are exact. Votes are weighted by the distance (cosine to a power) and by how
+many labelled rows an example stands for, drawn to the base rate, and calibrated by the examples' own scores without
+themselves (a logistic curve through their log odds); the neighbours are returned as evidence.
+
+Defined results: a text without a word (empty and null ones too), or without a term in common with any example, gets the
+labelled rate; without labelled texts of both kinds every text gets the rate of label 1 (0 without labels); ties in cosine go to the smaller
+example number; a key labelled twice counts with its highest label, and of texts that share a key the smallest is learnt
+from; null keys and labels teach nothing; repeated rows are scored each; other columns pass through, but for those named
+like an output, which are replaced; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,174 +37,239 @@ from .bpe import slices
 from .common import materialise, unit_hash
 
 WORDS = re.compile(r"[^\W\d_]+")
-BLOCK = 64
+BLOCK, FLOOR, STEM = 256, 0.05, 5
 
 
 def terms(text: str | None) -> Counter:
     out: Counter = Counter()
     for w, n in Counter(WORDS.findall((text or "").lower())).items():
         out[w] += n
-        for k in (4, 5):
-            if len(w) > k:
-                out[f"{w[:k]}*"] += n
+        if len(w) > STEM:
+            out[f"{w[:STEM]}*"] += n
     return out
 
 
 class Space(dict):
-    """The chosen terms and how to find them fast: a word's terms are looked up once and remembered, up to a bound."""
+    """Terms by number, and a word's terms at once: those are remembered, up to a bound; a term that no example holds stays text."""
 
-    def __init__(self, chosen: list[str]):
+    def __init__(self, names: list[str]):
         super().__init__()
-        self.index = {t: k for k, t in enumerate(chosen)}
+        self.index = {t: k for k, t in enumerate(names)}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 300_000:
+    def __missing__(self, word: str) -> tuple[int | str, ...]:
+        if len(self) > 200_000:
             self.clear()
-        names = [word, *(f"{word[:k]}*" for k in (4, 5) if len(word) > k)]
-        got = self[word] = tuple(self.index[x] for x in names if x in self.index)
+        names = [word, f"{word[:STEM]}*"] if len(word) > STEM else [word]
+        got = self[word] = tuple(self.index.get(x, x) for x in names)
         return got
 
-    def counts(self, text: str | None) -> tuple[tuple[int, int], ...]:
-        c: Counter = Counter()
-        for hit in filter(None, map(self.__getitem__, WORDS.findall((text or "").lower()))):
-            c.update(hit)
-        return tuple(sorted(c.items()))
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the known terms, how often they occur, and how often the unknown ones do."""
+        found: dict[int | str, int] = {}
+        for w, n in Counter(WORDS.findall((text or "").lower())).items():
+            for t in self[w]:
+                found[t] = found.get(t, 0) + n
+        known = {t: n for t, n in found.items() if type(t) is int}
+        other = [n for t, n in found.items() if type(t) is str]
+        at = np.fromiter(known, np.int64, len(known))
+        order = np.argsort(at)
+        return at[order], np.fromiter(known.values(), np.float64, len(known))[order], np.array(other, np.float64)
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 @dataclass
 class Model:
     terms: list[str]
-    idf: np.ndarray
+    weight: np.ndarray  # of each term
+    other: float  # weight of a term that no example holds
     labels: np.ndarray
-    weights: np.ndarray
+    stands_for: np.ndarray
     ids: list
     base: float
-    base_without: float
     k: int = 15
     pull: float = 0.5
-    lists: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-    block_max: dict[int, np.ndarray] = field(default_factory=dict)
-
-    def vector(self, counts: tuple[tuple[int, int], ...]) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()} if norm else {}
-
-    def index(self, vectors: list[dict[int, float]]) -> None:
-        lists: dict[int, list] = {}
-        for n, v in enumerate(vectors):
-            for t, x in v.items():
-                lists.setdefault(t, []).append((n, x))
-        blocks = max(1, math.ceil(len(vectors) / BLOCK))
-        for t, entries in lists.items():
-            at, w = np.array([n for n, _ in entries]), np.array([x for _, x in entries])
-            self.lists[t] = at, w
-            self.block_max[t] = np.zeros(blocks)
-            np.maximum.at(self.block_max[t], at // BLOCK, w)
-
-    def nearest(self, query: dict[int, float]) -> tuple[list[tuple[float, int]], int]:
-        """(cosine, example) of the k nearest with a cosine over 0, and the number of blocks read."""
-        own = [(t, x) for t, x in sorted(query.items()) if t in self.lists]
-        if not own:
-            return [], 0
-        bound = sum(x * self.block_max[t] for t, x in own)
-        best: list[tuple[float, int]] = []
-        read = 0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == self.k and bound[b] < best[-1][0] - 1e-12:
-                break
-            read += 1
-            got = np.zeros(BLOCK)
-            for t, x in own:
-                at, w = self.lists[t]
-                lo, hi = np.searchsorted(at, (b * BLOCK, (b + 1) * BLOCK))
-                got[at[lo:hi] - b * BLOCK] += x * w[lo:hi]
-            best = sorted([*best, *((float(got[i]), int(b * BLOCK + i)) for i in np.flatnonzero(got))], key=lambda p: (-round(p[0], 12), p[1]))[: self.k]
-        return best, read
-
-    def score(self, counts: tuple[tuple[int, int], ...]) -> tuple[float, list[tuple[float, int]]]:
-        near, _ = self.nearest(self.vector(counts)) if counts else ([], 0)
-        if not near:
-            return self.base_without, []
-        mean = sum(self.weights[i] for _, i in near) / len(near)
-        total = sum(c * self.weights[i] for c, i in near) / mean
-        toxic = sum(c * self.weights[i] * self.labels[i] for c, i in near) / mean
-        return (toxic + self.pull * self.base) / (total + self.pull), near
-
-
-def fit(docs: DataFrame, corpus: DataFrame, labels: DataFrame, text_col: str = "text", key_col: str = "doc_id", label_col: str = "toxic", max_examples: int = 4000, min_chi2: float = 20.0, min_phi2: float = 0.008, min_lift: float = 5.0, min_docs: int = 3, max_terms: int = 20_000, k: int = 15) -> Model:
-    """docs: where labelled texts may be learnt from; corpus: all texts, for document frequencies; labels: key and 0/1."""
+    power: float = 2.0
+    curve: tuple[float, float] = (1.0, 0.0)
+
+    def index(self, example: np.ndarray, term: np.ndarray, value: np.ndarray) -> None:
+        """Inverted lists of the examples' unit vectors, given as (example, term, value) in any order."""
+        order = np.lexsort((example, term))
+        self.posting, term, self.value = example[order].astype(np.int32), term[order], value[order].astype(np.float32)
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(term) != 0) | (np.diff(self.posting // BLOCK) != 0)])) if len(term) else np.empty(0, np.int64)
+        self.start = np.concatenate([new, [len(term)]])
+        self.block = self.posting[new] // BLOCK
+        self.most = np.maximum.reduceat(self.value, new) if len(new) else np.empty(0, np.float32)
+        self.entry = np.searchsorted(term[new], np.arange(len(self.terms) + 1))
+        self.blocks = -(-len(self.labels) // BLOCK)
+
+    def vector(self, at: np.ndarray, n: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Values of a text's known terms, scaled by the length of all its terms."""
+        x = (1 + np.log(n)) * self.weight[at]
+        return x / max(1e-12, math.sqrt(float((x * x).sum() + (((1 + np.log(other)) * self.other) ** 2).sum())))
+
+    def nearest(self, at: np.ndarray, x: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
+        """(cosines, examples) of the k nearest with a cosine over 0, other than ``but``, and the number of blocks read."""
+        lo, sizes = self.entry[at], self.entry[at + 1] - self.entry[at]
+        e, x = _spread(lo, sizes), np.repeat(x, sizes)
+        block = self.block[e]
+        bound = np.bincount(block, x * self.most[e], self.blocks) * (1 + 1e-6)
+        todo = np.argsort(-bound, kind="stable")
+        todo = todo[bound[todo] > 0]
+        cosine, kth, step, read = np.zeros(len(self.labels)), 0.0, 4, 0
+        while len(todo):
+            now, todo = todo[:step], todo[step:]
+            chosen = np.zeros(self.blocks, bool)
+            chosen[now] = True
+            own = np.flatnonzero(chosen[block])
+            many = self.start[e[own] + 1] - self.start[e[own]]
+            p = _spread(self.start[e[own]], many)
+            got = np.bincount(self.posting[p], np.repeat(x[own], many) * self.value[p], len(self.labels))
+            cosine += got
+            read += len(now)
+            if but >= 0:
+                cosine[but] = 0
+            if len(cosine) > self.k:
+                kth = max(0.0, float(np.partition(cosine, -self.k)[-self.k]))
+            todo, step = todo[bound[todo] >= kth - 1e-9], 4 * step
+        found = np.flatnonzero((cosine > 0) & (cosine >= kth - 1e-9))
+        found = found[np.lexsort((found, -np.round(cosine[found], 9)))][: self.k]
+        return cosine[found], found, read
+
+    def vote(self, cosine: np.ndarray, found: np.ndarray) -> float:
+        """The share of label 1 among the neighbours."""
+        if not len(found):
+            return self.base
+        w = cosine**self.power * self.stands_for[found]
+        w = w / (self.stands_for[found].mean() * max(1e-12, float((cosine**self.power).max())))
+        return float(((w * self.labels[found]).sum() + self.pull * self.base) / (w.sum() + self.pull))
+
+    def score(self, at: np.ndarray, n: np.ndarray, other: np.ndarray) -> tuple[float, list[tuple[float, int]]]:
+        if not len(at):
+            return self.base, []
+        cosine, found, _ = self.nearest(at, self.vector(at, n, other))
+        if not len(found):
+            return self.base, []
+        a, b = self.curve
+        return float(1 / (1 + np.exp(-(a * _odds(self.vote(cosine, found)) + b)))), list(zip(cosine.tolist(), found.tolist(), strict=True))
+
+
+def _odds(p):
+    p = np.clip(p, 1e-4, 1 - 1e-4)
+    return np.log(p / (1 - p))
+
+
+def _curve(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+    """(slope, shift) of the logistic curve from log odds of p to y, by Newton steps, drawn a little to (1, 0)."""
+    z, (a, b) = _odds(p), (1.0, 0.0)
+    w = w / w.sum() * len(w)
+    for _ in range(30):
+        q = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        g, h = w * (q - y), np.maximum(w * q * (1 - q), 1e-9)
+        grad = np.array([(g * z).sum() + (a - 1), g.sum() + b])
+        hess = np.array([[(h * z * z).sum() + 1, (h * z).sum()], [(h * z).sum(), h.sum() + 1]])
+        da, db = np.linalg.solve(hess, grad)
+        a, b = a - float(da), b - float(db)
+        if abs(da) + abs(db) < 1e-9:
+            break
+    return (a, b) if 0.05 < a < 20 else (1.0, 0.0)
+
+
+def fit(docs: DataFrame, corpus: DataFrame, labels: DataFrame, text_col: str = "text", key_col: str = "doc_id", label_col: str = "toxic", max_examples: int = 4000, k: int = 15) -> Model:
+    """docs: where labelled texts may be learnt from; corpus: all texts, for document frequencies; labels: key and 0/1, of
+    keys that may be learnt from."""
     spark = docs.sparkSession
-    # a label's rows are found again among docs by their key; labels are small beside texts, and only a bounded sample of keys is sent out
-    known = labels.where(F.col(label_col).isNotNull() & F.col(key_col).isNotNull()).groupBy(F.col(key_col).alias("key")).agg(F.max(label_col).alias("y"))
-    eligible = docs.where(F.col(key_col).isNotNull()).select(F.col(key_col).alias("key"))
-    known = known.join(eligible, "key", "left_semi")
-    counts = {r["y"]: r["n"] for r in known.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    known = labels.where(F.col(label_col).isNotNull() & F.col(key_col).isNotNull()).groupBy(F.col(key_col).alias("key")).agg((F.max(label_col) > 0).cast("int").alias("y"))
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
     base = n1 / (n1 + n0) if n1 + n0 else 0.0
-    none = Model([], np.zeros(0), np.zeros(0), np.zeros(0), [], base, base, k)
+    none = Model([], np.zeros(0), 1.0, np.zeros(0, np.int64), np.zeros(0), [], base, k)
     if not n1 or not n0:
         return none
-    part = F.when(F.col("y") > 0, F.lit(max_examples / n1)).otherwise(F.lit(max_examples / n0))
-    sample = known.where(unit_hash(F.col("key"), F.lit(5)) < part).limit(3 * max_examples)
-    texts = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(sample), "key")
-    texts = materialise(texts.dropDuplicates(["text", "y"]), "toxicity-examples")  # a copied text is one example; bounded by the sample
+    part = F.when(F.col("y") == 1, F.lit(max_examples / n1)).otherwise(F.lit(max_examples / n0))
+    drawn = materialise(known.where(unit_hash(F.col("key"), F.lit(5)) < part), "toxicity-keys")
+    texts = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    texts = texts.join(F.broadcast(drawn) if drawn.count() <= 3 * max_examples else drawn, "key").groupBy("key", "y").agg(F.min("text").alias("text"))
+    # a copied text is one example
+    texts = materialise(texts.groupBy("text", "y").agg(F.min("key").alias("key")), "toxicity-examples")
 
     def split(batches):
         for batch in slices(batches):
             got = [terms(t) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["key"], batch["y"].cast(pa.int32()), pa.array([list(g) for g in got], pa.list_(pa.string())), pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))], ["key", "y", "terms", "n"])
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["y"], pa.array([list(g) for g in got], pa.list_(pa.string())), pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))], ["key", "y", "terms", "n"])
 
     examples = texts.mapInArrow(split, T.StructType([texts.schema["key"], T.StructField("y", T.IntegerType()), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("n", T.ArrayType(T.IntegerType()))]))
-    sizes = {r["y"]: r["n"] for r in texts.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
-    m1, m0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not m1 or not m0:
-        return none
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    c, d = m1 - a, m0 - b
-    chi2 = (m1 + m0) * F.pow(a * d - b * c, F.lit(2)) / ((a + b) * (c + d) * m1 * m0 + 1e-9)
-    chosen = [
-        r["term"]
-        for r in examples.select((F.col("y") > 0).cast("int").alias("y"), F.explode("terms").alias("term"))
-        .groupBy("term")
-        .agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-        .where((a + b >= min_docs) & (c + d > 0) & (chi2 >= max(min_chi2, min_phi2 * (m1 + m0))) & ((a + 0.5) * (m0 + 1) >= min_lift * (b + 0.5) * (m1 + 1)))
-        .orderBy(chi2.desc(), "term")
-        .limit(max_terms)
-        .collect()
-    ]
-    if not chosen:
-        return none
-    chosen.sort()
-    shared = spark.sparkContext.broadcast(chosen)
+    held = examples.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).toArrow().sort_by("term")
+    names = held["term"].to_pylist()
+    shared = spark.sparkContext.broadcast(names)
 
     def frequency(batches):
         space, total, n = Space(shared.value), np.zeros(len(shared.value), np.int64), 0
         for batch in slices(batches):
-            for t in batch[text_col].to_pylist():
+            for t in batch.column(0).to_pylist():
                 n += 1
-                for k, _ in space.counts(t):
-                    total[k] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *np.flatnonzero(total)], pa.int32()), pa.array([n, *total[total > 0]], pa.int64())], ["term", "n"])
+                total[space.counts(t)[0]] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], n), pa.int64())], ["term", "n"])
 
-    df = {r["term"]: r["n"] for r in corpus.select(text_col).mapInArrow(frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    n_docs = df.get(-1, 0)
-    idf = np.array([math.log((1 + n_docs) / (1 + df.get(k, 0))) + 1 for k in range(len(chosen))])
+    df = corpus.select(text_col).mapInArrow(frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(len(names) + 1, np.int64)
+    seen[df["term"].to_numpy()] = df["n"].to_numpy()
+    n_docs = int(seen[-1])
 
     def vectors(batches):
         space = Space(shared.value)
         for batch in slices(batches):
             got = [space.counts(t) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["key"], batch["y"].cast(pa.int32()), pa.array([[t for t, _ in g] for g in got], pa.list_(pa.int32())), pa.array([[n for _, n in g] for g in got], pa.list_(pa.int32()))], ["key", "y", "t", "n"])
-
-    kept = texts.mapInArrow(vectors, T.StructType([texts.schema["key"], T.StructField("y", T.IntegerType()), T.StructField("t", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.IntegerType()))])).collect()
-    weight = {1: n1 / m1, 0: n0 / m0}
-    rows = sorted(((r["key"], int(r["y"] > 0), tuple(zip(r["t"], r["n"], strict=True))) for r in kept), key=lambda r: (str(r[0]), r[2]))
-    without = [(y, weight[y]) for _, y, v in rows if not v]
-    rate = (sum(w for y, w in without if y) + 0.5 * base) / (sum(w for _, w in without) + 0.5) if without else base
-    rows = [r for r in rows if r[2]]
-    model = Model(chosen, idf, np.array([y for _, y, _ in rows]), np.array([weight[y] for _, y, _ in rows]), [key for key, _, _ in rows], base, rate, k)
-    model.index([model.vector(v) for _, _, v in rows])
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["y"], pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float32()))], ["key", "y", "t", "n"])
+
+    kept = texts.mapInArrow(vectors, T.StructType([texts.schema["key"], T.StructField("y", T.IntegerType()), T.StructField("t", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.FloatType()))])).toArrow()
+    shared.unpersist()
+    y, keys = kept["y"].to_numpy(), kept["key"].to_pylist()
+    m1, m0 = int(y.sum()), int((1 - y).sum())
+    if not m1 or not m0 or not names:
+        return none
+    a, b = held["a"].to_numpy().astype(float) + 0.5, held["b"].to_numpy().astype(float) + 0.5
+    spread = 1 / a + 1 / b + 1 / np.maximum(m1 + 1 - a, 0.5) + 1 / np.maximum(m0 + 1 - b, 0.5)
+    tells = np.log(a / np.maximum(m1 + 1 - a, 0.5) * np.maximum(m0 + 1 - b, 0.5) / b) ** 2 / spread
+    weight = (np.log((1 + n_docs) / (1 + seen[:-1])) + 1) * (FLOOR + np.maximum(0, tells - 4))
+    lists, many = kept["t"].combine_chunks(), kept["n"].combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    t, n, row = lists.flatten().to_numpy(), many.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.repeat(np.arange(len(y)), sizes)
+    x = (1 + np.log(n)) * weight[t]
+    x /= np.maximum(1e-12, np.sqrt(np.bincount(row, x * x, len(y))))[row]
+    # examples that are alike lie in one block: by the commonest term that they hold (a language's), by label, by their heaviest term
+    heaviest, commonest = np.full(len(y), -1), np.full(len(y), -1)
+    held_by = np.bincount(t, minlength=len(names))
+    for at, by in ((heaviest, x), (commonest, held_by[t])):
+        rank = np.argsort(by, kind="stable")
+        at[row[rank]] = t[rank]
+    order = np.lexsort((np.array([str(key) for key in keys]), heaviest, y, commonest))
+    number = np.empty(len(y), np.int64)
+    number[order] = np.arange(len(y))
+    model = Model(names, weight, (math.log(1 + n_docs) + 1) * FLOOR, y[order], np.where(y[order] > 0, n1 / m1, n0 / m0), [keys[i] for i in order], base, k)
+    model.index(number[row], t, x)
+    whole = spark.sparkContext.broadcast(model)
+
+    def votes(batches):
+        m = whole.value
+        space, own = Space(m.terms), {key: i for i, key in enumerate(m.ids)}
+        for batch in slices(batches):
+            out = []
+            for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                at, n, other = space.counts(text)
+                out.append(m.vote(*m.nearest(at, m.vector(at, n, other), own[key])[:2]) if len(at) else None)
+            yield pa.RecordBatch.from_arrays([batch["y"], pa.array(out, pa.float64())], ["y", "p"])
+
+    own = texts.mapInArrow(votes, "y int, p double").where("p IS NOT NULL").toArrow()
+    whole.unpersist()
+    q = own["y"].to_numpy()
+    if 0 < q.sum() < len(q):
+        model.curve = _curve(own["p"].to_numpy(), q, np.where(q > 0, n1 / m1, n0 / m0))
     return model
 
 
@@ -215,13 +286,13 @@ def score(df: DataFrame, model: Model, text_col: str = "text", out: tuple[str, s
         for batch in slices(batches):
             scores, found = [], []
             for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
-                c = space.counts(t) if m.terms else ()
-                if c not in known:
-                    if len(known) > 50_000:
+                # a text's copies are scored once by a task, as far as it remembers
+                if t not in known:
+                    if len(known) > 2_000:
                         known.clear()
-                    s, near = m.score(c)
-                    known[c] = s, [{"example": str(m.ids[i]), "cosine": x, "label": int(m.labels[i])} for x, i in near]
-                s, near = known[c]
+                    s, near = m.score(*space.counts(t)) if m.terms else (m.base, [])
+                    known[t] = s, [{"example": str(m.ids[i]), "cosine": x, "label": int(m.labels[i])} for x, i in near]
+                s, near = known[t]
                 scores.append(s), found.append(near)
             kind = pa.list_(pa.struct([("example", pa.string()), ("cosine", pa.float64()), ("label", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(found, kind)], [*batch.schema.names, *out])
