@@ -26,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts that are likelier toxic than not."""
     small_batches(spark)
-    model = toxicity.fit(docs.where(~held_out(F.col("doc_id"))), docs, table(spark, sf_dir, "labels"))
+    model = toxicity.fit(docs.where(~held_out(F.col("doc_id"))), docs, table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
     return toxicity.score(docs, model, out=("_score", "_evidence")).where(F.col("_score") < 0.5).select(*docs.columns)
 
 
