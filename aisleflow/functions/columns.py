@@ -48,10 +48,14 @@ def quality_ok(b: Column, frame_w: float, frame_h: float, min_height: float = 32
     return tall & inside & (width(b) / F.greatest(height(b), F.lit(1e-6)) <= max_aspect)
 
 
-def polygon_contains(points: Column, x: Column, y: Column) -> Column:
-    """Whether (x, y) lies in or on the polygon, an array of (x, y) structs."""
+def polygon_edges(points: Column) -> Column:
+    """The edges (ax, ay, bx, by) of a polygon, an array of (x, y) structs."""
     nxt = F.concat(F.slice(points, 2, F.size(points) - 1), F.slice(points, 1, 1))
-    edges = F.zip_with(points, nxt, lambda p, q: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by")))
+    return F.zip_with(points, nxt, lambda p, q: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by")))
+
+
+def edges_contain(edges: Column, x: Column, y: Column) -> Column:
+    """Whether (x, y) lies in or on the polygon of these edges."""
 
     def on_edge(e):
         cross = (e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"])
@@ -92,3 +96,29 @@ def role_by_colour(colour: Column, uniform: list[int], reach: int = 40) -> Colum
     staff = F.struct(F.lit("employee").alias("role"), (1 - d / 765.0).alias("confidence"))
     other = F.struct(F.lit("customer").alias("role"), F.least(F.lit(1.0), d / 765.0 + 0.5).alias("confidence"))
     return F.when(d.isNull(), F.struct(F.lit("unknown").alias("role"), F.lit(0.0).alias("confidence"))).when(d <= reach, staff).otherwise(other)
+
+
+def from_measure(m: Column) -> Column:
+    """The box of a measure (cx, cy, s, r): the inverse of ``to_measure``."""
+    w = F.sqrt(F.greatest(m["s"] * m["r"], F.lit(1e-6)))
+    h = m["s"] / F.greatest(w, F.lit(1e-6))
+    return F.struct((m["cx"] - w / 2).alias("x1"), (m["cy"] - h / 2).alias("y1"), (m["cx"] + w / 2).alias("x2"), (m["cy"] + h / 2).alias("y2"))
+
+
+def letterbox(b: Column, frame_w: float, frame_h: float, size: float) -> Column:
+    """A frame's box as (cx, cy, w, h) in a square of ``size`` whose upper left corner the frame, fitted, starts from."""
+    k = F.lit(size / max(frame_w, frame_h))
+    return F.struct(((b["x1"] + b["x2"]) / 2 * k).alias("cx"), ((b["y1"] + b["y2"]) / 2 * k).alias("cy"), ((b["x2"] - b["x1"]) * k).alias("w"), ((b["y2"] - b["y1"]) * k).alias("h"))
+
+
+def unletterbox(c: Column, frame_w: float, frame_h: float, size: float) -> Column:
+    """The frame's box of (cx, cy, w, h) in the square, clipped to the frame."""
+    k = F.lit(size / max(frame_w, frame_h))
+    at = lambda v, hi: F.greatest(F.lit(0.0), F.least(v / k, F.lit(float(hi))))
+    x, y, w, h = c["cx"], c["cy"], c["w"] / 2, c["h"] / 2
+    return F.struct(at(x - w, frame_w).alias("x1"), at(y - h, frame_h).alias("y1"), at(x + w, frame_w).alias("x2"), at(y + h, frame_h).alias("y2"))
+
+
+def stride(native_fps: float | None, target_fps: float) -> int:
+    """Each how many frames of a source are taken; a source that names no rate counts as 25 frames a second."""
+    return max(1, round((native_fps or 25.0) / target_fps))

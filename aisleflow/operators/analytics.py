@@ -70,16 +70,28 @@ def employee_presence(events: DataFrame) -> DataFrame:
     return out.orderBy(F.asc_nulls_last("store_id"), "employee_id")
 
 
+def checked_limit(n: int, most: int) -> int:
+    """A report's row limit: from 0 to what the report allows."""
+    if not 0 <= n <= most:
+        raise ValueError(f"a limit from 0 to {most} is asked for, not {n}")
+    return n
+
+
 def journeys(events: DataFrame, limit: int = 20) -> DataFrame:
     cams = F.collect_set("camera_id")
     out = events.groupBy("store_id", "global_id", "role").agg(F.count_distinct("camera_id").alias("cameras"), F.array_join(F.array_sort(cams), ",").alias("camera_list"), rnd(F.max("ts") - F.min("ts"), 1).alias("journey_s"))
-    return out.where("cameras > 1").orderBy(F.desc("journey_s"), "store_id", "global_id", "role").limit(limit)
+    return out.where("cameras > 1").orderBy(F.desc("journey_s"), "store_id", "global_id", "role").limit(checked_limit(limit, 500))
 
 
 def review_queue(events: DataFrame, limit: int = 50) -> DataFrame:
     own = events.where("needs_review AND event_type = 'person_seen'")
     cols = ["ts", "store_id", "camera_id", "global_id", "role", "employee_id", "confidence", "payload"]
-    return own.orderBy(F.asc_nulls_last("confidence"), "ts", "event_id").limit(limit).select(*cols)
+    return own.orderBy(F.asc_nulls_last("confidence"), "ts", "event_id").limit(checked_limit(limit, 1000)).select(*cols)
+
+
+def review_queue_size(events: DataFrame) -> DataFrame:
+    """How many rows the longest queue has: no more than its limit of 1,000."""
+    return review_queue(events, 1000).agg(F.count("*").alias("n"))
 
 
 def events_by_type(events: DataFrame) -> DataFrame:
@@ -101,16 +113,21 @@ def heartbeat_latest(events: DataFrame) -> DataFrame:
     return events.groupBy("store_id", "camera_id").agg(last.alias("l"), F.count("*").alias("events")).select("store_id", "camera_id", "l.ts", "l.event_type", "l.confidence", "events")
 
 
-def active_identities(events: DataFrame, ttl: float) -> DataFrame:
-    """Everyone seen within ttl seconds of their store's last event."""
+def last_seen(events: DataFrame) -> DataFrame:
+    """Everyone's last sighting in each store, with ``ago``, the seconds from then to the store's last event."""
     now = events.groupBy("store_id").agg(F.max("ts").alias("now"))
     people = events.groupBy("store_id", "global_id").agg(F.max(F.struct("ts", "event_id", "role")).alias("l"), F.max("employee_id").alias("employee_id"), F.array_join(F.array_sort(F.collect_set("camera_id")), ",").alias("cameras"))
-    return people.join(now, "store_id").where(F.col("now") - F.col("l.ts") <= ttl).select("store_id", "global_id", "l.role", "employee_id", F.col("l.ts").alias("last_seen"), "cameras")
+    return people.join(now, "store_id").select("store_id", "global_id", "l.role", "employee_id", F.col("l.ts").alias("last_seen"), "cameras", (F.col("now") - F.col("l.ts")).alias("ago"))
+
+
+def active_identities(events: DataFrame, ttl: float) -> DataFrame:
+    """Everyone seen within ttl seconds of their store's last event."""
+    return last_seen(events).where(F.col("ago") <= ttl).drop("ago")
 
 
 def dashboard(events: DataFrame, on_floor_s: float) -> DataFrame:
     shelves = shelf_engagement(events).agg(F.round(F.avg("interaction_rate_pct"), 3).alias("interaction_rate"))
-    floor = active_identities(events, on_floor_s).agg(F.count("*").alias("on_floor"))
+    floor = last_seen(events).where(F.col("ago") < on_floor_s).agg(F.count("*").alias("on_floor"))
     visits = store_visits(events).agg(F.min_by("visitors", "store_id").alias("visitors"))
     totals = events.agg(F.count("*").alias("events"), F.count_distinct("employee_id").alias("employees"), rnd(F.avg(F.col("needs_review").cast("double")), 4).alias("review_ratio"))
     one = lambda df: df.withColumn("one", F.lit(1))  # noqa: E731  each side is a single row

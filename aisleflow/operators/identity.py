@@ -46,28 +46,36 @@ def rank_metrics(queries: DataFrame, gallery: DataFrame) -> DataFrame:
 
 
 def leave_one_out(vectors: DataFrame) -> DataFrame:
+    """Each vector against all others. Among five vectors or fewer its own, ranked last, is within the first five."""
     hits = similarities(vectors, vectors).withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "g"))).where("rank <= 5")
     each = hits.groupBy("q", "q_label").agg(F.max(F.when(F.col("rank") == 1, (F.col("q_label") == F.col("g_label")).cast("int"))).alias("r1"), F.max((F.col("q_label") == F.col("g_label")).cast("int")).alias("r5"))
-    return each.agg(rnd(F.avg("r1"), 4).alias("rank1"), rnd(F.avg("r5"), 4).alias("rank5"), F.count("*").alias("samples"), F.count_distinct("q_label").alias("identities"))
+    few = F.when(F.count("*") <= 5, 1.0).otherwise(F.avg("r5"))
+    return each.agg(rnd(F.avg("r1"), 4).alias("rank1"), rnd(few, 4).alias("rank5"), F.count("*").alias("samples"), F.count_distinct("q_label").alias("identities"))
 
 
 def thresholds(vectors: DataFrame, target_far: float = 0.01, review_far: float = 0.05) -> DataFrame:
     pairs = similarities(vectors, vectors).where("q < g")
     same = F.col("q_label") == F.col("g_label")
-    cut = pairs.where(~same).agg(F.expr(f"percentile(sim, {1 - target_far}D)").alias("m"), F.expr(f"percentile(sim, {1 - review_far}D)").alias("r"), F.count("*").alias("impostor_pairs"), rnd(F.avg("sim"), 4).alias("impostor_mean"))
-    genuine = pairs.where(same).join(F.broadcast(cut))  # cut is one row
-    return genuine.groupBy("m", "r", "impostor_pairs", "impostor_mean").agg(F.count("*").alias("genuine_pairs"), rnd(F.avg("sim"), 4).alias("genuine_mean"), rnd(F.avg((F.col("sim") >= F.col("m")).cast("double")), 4).alias("genuine_accept")).select(rnd(F.col("m"), 4).alias("match_threshold"), rnd(F.col("r"), 4).alias("review_threshold"), "impostor_pairs", "impostor_mean", "genuine_pairs", "genuine_mean", "genuine_accept")
-
-
-def drift(vectors: DataFrame, size: int = 200) -> DataFrame:
-    """1 - cosine of the mean of the first ``size`` vectors and that of the last of the others, for each label's camera."""
-    w = W.partitionBy("cam").orderBy("vec_id")
-    v = vectors.withColumn("cam", F.col("vec_id") % 2).withColumn("n", F.row_number().over(w)).withColumn("back", F.row_number().over(W.partitionBy("cam").orderBy(F.desc("vec_id"))))
-    part = F.when(F.col("n") <= size, "first").when(F.col("back") <= size, "last")
+    other = F.when(~same, F.col("sim"))
+    cut = pairs.agg(F.percentile(other, 1 - target_far).alias("m"), F.percentile(other, 1 - review_far).alias("r"), F.count(other).alias("impostor_pairs"), rnd(F.avg(other), 4).alias("impostor_mean"), F.count_if(same).alias("n_same"))
+    both = F.assert_true((F.col("impostor_pairs") > 0) & (F.col("n_same") > 0), F.lit("thresholds need pairs of one identity and of two"))
+    genuine = pairs.where(same).select("sim").join(F.broadcast(cut.where(both.isNull())))  # cut is one row
+    out = genuine.groupBy("m", "r", "impostor_pairs", "impostor_mean").agg(F.count("*").alias("genuine_pairs"), rnd(F.avg("sim"), 4).alias("genuine_mean"), rnd(F.avg((F.col("sim") >= F.col("m")).cast("double")), 4).alias("genuine_accept"))
+    return out.select(rnd(F.col("m"), 4).alias("match_threshold"), rnd(F.col("r"), 4).alias("review_threshold"), "impostor_pairs", "impostor_mean", "genuine_pairs", "genuine_mean", "genuine_accept")
+
+
+def drift(vectors: DataFrame, size: int = 200, least: int = 10) -> DataFrame:
+    """1 - cosine of the mean of a camera's first ``size`` vectors and that of the last ``size`` of the others; null unless
+    the first are ``size`` and the others ``least`` or more, and where a mean has no length. vectors: cam, n (order), embedding."""
+    w = W.partitionBy("cam").orderBy("n")
+    v = vectors.withColumn("at", F.row_number().over(w)).withColumn("back", F.row_number().over(W.partitionBy("cam").orderBy(F.desc("n"))))
+    part = F.when(F.col("at") <= size, "first").when(F.col("back") <= size, "last")
     parts = v.withColumn("part", part).where("part IS NOT NULL").select("cam", "part", F.posexplode("embedding").alias("pos", "x"))
-    means = parts.groupBy("cam", "pos").agg(F.avg(F.when(F.col("part") == "first", F.col("x").cast("double"))).alias("a"), F.avg(F.when(F.col("part") == "last", F.col("x").cast("double"))).alias("b"))
-    cos = F.sum(F.col("a") * F.col("b")) / (F.sqrt(F.sum(F.col("a") * F.col("a"))) * F.sqrt(F.sum(F.col("b") * F.col("b"))))
-    return means.groupBy("cam").agg(rnd(1 - cos, 4).alias("drift"))
+    of = lambda which, f, x: f(F.when(F.col("part") == which, x))
+    x = F.col("x").cast("double")
+    means = parts.groupBy("cam", "pos").agg(of("first", F.avg, x).alias("a"), of("last", F.avg, x).alias("b"), of("first", F.count, x).alias("n_a"), of("last", F.count, x).alias("n_b"))
+    cos = F.try_divide(F.sum(F.col("a") * F.col("b")), F.sqrt(F.sum(F.col("a") * F.col("a"))) * F.sqrt(F.sum(F.col("b") * F.col("b"))))
+    return means.groupBy("cam").agg(F.when((F.max("n_a") >= size) & (F.max("n_b") >= least), rnd(1 - cos, 4)).alias("drift"))
 
 
 def best_overlaps(predictions: DataFrame, truth: DataFrame, least: float = 0.3) -> DataFrame:
@@ -84,3 +92,32 @@ def identity_report(pairs: DataFrame) -> DataFrame:
     total = counts.groupBy("name").agg(F.sum("n").alias("t"))
     frag = counts.join(total, "name").where(F.col("n") >= 0.02 * F.col("t")).groupBy("name").agg(F.count("*").alias("ids")).agg(F.avg("ids").alias("fragmentation"), F.count("*").alias("people"))
     return pure.join(F.broadcast(frag)).select(rnd(F.col("purity"), 4).alias("purity"), rnd(F.col("fragmentation"), 4).alias("fragmentation"), "people")
+
+
+def identity_accuracy(pairs: DataFrame) -> DataFrame:
+    """pairs, one for each frame of a person: name, gid, is_employee, said_employee, employee_id. One row: matched frames,
+    purity, mean fragmentation (ids that hold 2% of a person's frames or more), how often the role is right, and for
+    employees how often the id is right and how often there is none."""
+    counts = pairs.groupBy("name", "gid").agg(F.count("*").alias("n"))
+    pure = counts.groupBy("gid").agg(F.max("n").alias("top")).agg(F.coalesce(F.sum("top"), F.lit(0)).alias("top"))
+    whole = W.partitionBy("name")
+    ids = counts.withColumn("t", F.sum("n").over(whole)).groupBy("name").agg(F.count_if(F.col("n") >= 0.02 * F.col("t")).alias("ids"))
+    split = ids.agg(F.coalesce(F.sum("ids"), F.lit(0)).alias("ids"), F.count("*").alias("people"))
+    right = pairs.agg(
+        F.count("*").alias("matched_frames"),
+        F.count_if(F.col("is_employee") == F.col("said_employee")).alias("role_ok"),
+        F.count_if("is_employee").alias("staff"),
+        F.count_if(F.col("is_employee") & F.col("employee_id").isNull()).alias("unknown"),
+        F.count_if(F.col("is_employee") & (F.col("employee_id") == F.col("name"))).alias("id_ok"),
+    )
+    one = lambda df: df.withColumn("one", F.lit(1))  # noqa: E731  each side is a single row
+    row = one(right).join(one(pure), "one").join(one(split), "one")
+    share = lambda part, all_: rnd(F.col(part) / F.greatest(F.col(all_), F.lit(1)), 3)
+    return row.select("matched_frames", share("top", "matched_frames").alias("purity"), share("ids", "people").alias("mean_fragmentation"), share("role_ok", "matched_frames").alias("role_accuracy"), share("id_ok", "staff").alias("employee_id_accuracy"), share("unknown", "staff").alias("employee_unknown_ratio"))
+
+
+def ids_per_person(pairs: DataFrame) -> DataFrame:
+    """Each person's ids, the one with the most frames first (ties by id)."""
+    counts = pairs.groupBy("name", "gid").agg(F.count("*").alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "gid")))
+    return counts.groupBy("name").agg(F.array_join(F.transform(ordered, lambda x: x["gid"]), ",").alias("ids"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip_box, iou, l2_normalise, quality_ok, role_by_colour, round_half_away, to_measure
+from ..functions.columns import clip_box, foot_point, iou, l2_normalise, quality_ok, role_by_colour, round_half_away, to_measure
 from ..operators import analytics as A
 from ..operators import identity as I
 from ..operators import resolver as R_
@@ -16,6 +16,7 @@ from ..operators import zones as Z
 from ..sources.events import DUCK_ADAPTER, adapt, camera_events, shared_dir
 from ..sources.stores import newest_vectors
 from ..streaming import jobs as J
+from . import engine
 
 DAY = 86_400.0
 
@@ -83,12 +84,12 @@ def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def point_in_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     zones = spark.createDataFrame(
-        [("cam-0", "entrance", [(0.0, 0.0), (120.0, 0.0), (120.0, 480.0), (0.0, 480.0)]), ("cam-0", "shelf", [(200.0, 40.0), (320.0, 40.0), (260.0, 140.0)]), ("cam-1", "seat", [(100.0, 100.0), (300.0, 100.0), (300.0, 300.0), (200.0, 200.0), (100.0, 300.0)])],
-        "camera_id string, zone string, polygon array<struct<x:double,y:double>>",
+        [("store-0", "cam-0", "entrance", [(0.0, 0.0), (120.0, 0.0), (120.0, 480.0), (0.0, 480.0)]), ("store-0", "cam-0", "shelf", [(200.0, 40.0), (320.0, 40.0), (260.0, 140.0)]), ("store-0", "cam-1", "seat", [(100.0, 100.0), (300.0, 100.0), (300.0, 300.0), (200.0, 200.0), (100.0, 300.0)])],
+        "store_id string, camera_id string, zone string, polygon array<struct<x:double,y:double>>",
     )
     b = boxes(spark, sf_dir)
-    points = b.select("id", F.concat(F.lit("cam-"), F.col("id") % 2).alias("camera_id"), ((F.col("box.x1") + F.col("box.x2")) / 2).alias("x"), F.col("box.y1").alias("y"))
-    return Z.in_zones(points, zones).where("inside").select("id", "camera_id", "zone").distinct()
+    points = b.select("id", F.lit("store-0").alias("store_id"), F.concat(F.lit("cam-"), F.col("id") % 2).alias("camera_id"), foot_point(F.col("box")).alias("p")).select("id", "store_id", "camera_id", "p.x", "p.y")
+    return Z.in_zones(points, zones).where("inside").select("id", "camera_id", "zone")
 
 
 IN_ZONE = """
@@ -97,12 +98,12 @@ WITH z(camera_id, zone, i, ax, ay, bx, byy) AS (VALUES
  ('cam-0','shelf',1,200.0,40.0,320.0,40.0),('cam-0','shelf',2,320.0,40.0,260.0,140.0),('cam-0','shelf',3,260.0,140.0,200.0,40.0),
  ('cam-1','seat',1,100.0,100.0,300.0,100.0),('cam-1','seat',2,300.0,100.0,300.0,300.0),('cam-1','seat',3,300.0,300.0,200.0,200.0),('cam-1','seat',4,200.0,200.0,100.0,300.0),('cam-1','seat',5,100.0,300.0,100.0,100.0)),
 e AS (SELECT camera_id, zone, ax::DOUBLE ax, ay::DOUBLE ay, bx::DOUBLE bx, byy::DOUBLE byy FROM z),
-p AS (SELECT DISTINCT id, concat('cam-', id % 2) AS camera_id, (x1 + x2) / 2 AS x, y1 AS y FROM """ + BOXES + """),
-t AS (SELECT p.id, p.camera_id, e.zone,
+p AS (SELECT id, row_number() OVER () AS r, concat('cam-', id % 2) AS camera_id, (x1 + x2) / 2 AS x, y2 AS y FROM """ + BOXES + """),
+t AS (SELECT p.id, p.r, p.camera_id, e.zone,
   bool_or((bx-ax)*(y-ay) - (byy-ay)*(x-ax) = 0 AND x BETWEEN least(ax,bx) AND greatest(ax,bx) AND y BETWEEN least(ay,byy) AND greatest(ay,byy)) AS edge,
   sum(CASE WHEN (ay > y) <> (byy > y) AND x < (bx-ax)*(y-ay)/(byy-ay)+ax THEN 1 ELSE 0 END) AS n
- FROM p JOIN e USING (camera_id) GROUP BY p.id, p.camera_id, e.zone, x, y)
-SELECT DISTINCT id, camera_id, zone FROM t WHERE edge OR n % 2 = 1
+ FROM p JOIN e USING (camera_id) GROUP BY p.id, p.r, p.camera_id, e.zone, x, y)
+SELECT id, camera_id, zone FROM t WHERE edge OR n % 2 = 1
 """
 
 
@@ -208,7 +209,7 @@ QUERIES = {
     "reid_rank_map": _on_split(I.rank_metrics),
     "loo_reid": _on_vectors(I.leave_one_out),
     "thresholds": _on_vectors(I.thresholds),
-    "drift": _on_vectors(I.drift),
+    "drift": _on_vectors(lambda v: I.drift(v.select((F.col("vec_id") % 2).alias("cam"), F.col("vec_id").alias("n"), "embedding"))),
     "identity_eval": identity_eval,
     "l2_normalize": _on_vectors(lambda v: v.select("vec_id", F.transform(l2_normalise(F.col("embedding")), lambda x: F.round(x, 5)).alias("e")).select("vec_id", F.round(F.aggregate("e", F.lit(0.0), lambda s, x: s + x), 3).alias("total"))),
 }
@@ -244,7 +245,7 @@ SQL = {
     "recent_feed": _ev("SELECT store_id, camera_id, pos, event_type, coalesce(employee_id, global_id) AS label, ts FROM (SELECT *, row_number() OVER (PARTITION BY store_id, camera_id ORDER BY ts DESC, event_id DESC)::INTEGER AS pos FROM ev) WHERE pos <= 4"),
     "heartbeat_latest": _ev("SELECT store_id, camera_id, ts, event_type, confidence, events FROM (SELECT *, row_number() OVER (PARTITION BY store_id, camera_id ORDER BY ts DESC, event_id DESC) AS pos, count(*) OVER (PARTITION BY store_id, camera_id) AS events FROM ev) WHERE pos = 1"),
     "active_identities": _ev(f"SELECT p.store_id, global_id, role, employee_id, last_seen, cameras FROM (SELECT store_id, global_id, arg_max(role, ts) AS role, max(employee_id) AS employee_id, max(ts) AS last_seen, string_agg(DISTINCT camera_id, ',' ORDER BY camera_id) AS cameras FROM ev GROUP BY ALL) p JOIN (SELECT store_id, max(ts) AS t FROM ev GROUP BY ALL) n ON p.store_id = n.store_id WHERE t - last_seen <= {2 * DAY}"),
-    "dashboard_kpis": _ev(f"SELECT (SELECT arg_min(v, store_id) FROM (SELECT store_id, count(DISTINCT global_id) AS v FROM ev WHERE event_type = 'zone_entered' AND zone_kind = 'entrance' AND role = 'customer' GROUP BY store_id)) AS visitors, (SELECT count(*) FROM (SELECT store_id, global_id, max(ts) AS t FROM ev GROUP BY ALL) JOIN (SELECT store_id, max(ts) AS n FROM ev GROUP BY ALL) USING (store_id) WHERE n - t <= {DAY}) AS on_floor, (SELECT round(avg(interaction_rate_pct), 3) FROM ({_SHELF})) AS interaction_rate, count(*) AS events, count(DISTINCT employee_id) AS employees, {R('avg(CASE WHEN needs_review THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)', 4)} AS review_ratio FROM ev"),
+    "dashboard_kpis": _ev(f"SELECT (SELECT arg_min(v, store_id) FROM (SELECT store_id, count(DISTINCT global_id) AS v FROM ev WHERE event_type = 'zone_entered' AND zone_kind = 'entrance' AND role = 'customer' GROUP BY store_id)) AS visitors, (SELECT count(*) FROM (SELECT store_id, global_id, max(ts) AS t FROM ev GROUP BY ALL) JOIN (SELECT store_id, max(ts) AS n FROM ev GROUP BY ALL) USING (store_id) WHERE n - t < {DAY}) AS on_floor, (SELECT round(avg(interaction_rate_pct), 3) FROM ({_SHELF})) AS interaction_rate, count(*) AS events, count(DISTINCT employee_id) AS employees, {R('avg(CASE WHEN needs_review THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)', 4)} AS review_ratio FROM ev"),
     "camera_snapshot": _ev(f"SELECT store_id, camera_id, count(*) AS events, {R('count(*) FILTER (WHERE needs_review) / greatest(count(*), 1)', 6)} AS review_ratio, {R('quantile_cont(confidence, 0.5) FILTER (WHERE r <= 300)', 6)} AS p50, {R('quantile_cont(confidence, 0.95) FILTER (WHERE r <= 300)', 6)} AS p95, {R('avg(confidence) FILTER (WHERE r <= 300)', 6)} AS mean_confidence FROM (SELECT *, row_number() OVER (PARTITION BY store_id, camera_id ORDER BY ts DESC, event_id DESC) AS r FROM ev) GROUP BY store_id, camera_id"),
     "first_seen": _ev("SELECT camera_id, global_id, ts, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY camera_id, global_id ORDER BY ts, event_id) AS r FROM ev) WHERE r = 1"),
     "majority_vote": _ev(", o AS (SELECT global_id, event_id, zone_kind, row_number() OVER (PARTITION BY global_id ORDER BY ts, event_id) AS n FROM ev WHERE zone_kind IS NOT NULL), c AS (SELECT a.global_id, a.event_id, b.zone_kind, count(*) AS votes, min(b.n) AS early FROM o a JOIN o b ON a.global_id = b.global_id AND b.n BETWEEN a.n - 4 AND a.n GROUP BY ALL) SELECT global_id, event_id, zone_kind AS vote FROM (SELECT *, row_number() OVER (PARTITION BY global_id, event_id ORDER BY votes DESC, early) AS r FROM c) WHERE r = 1"),
@@ -286,3 +287,6 @@ SQL |= {
     "role_by_colour": f"SELECT id, CASE WHEN d <= 60 THEN 'employee' ELSE 'customer' END AS role, {R('CASE WHEN d <= 60 THEN 1 - d / 765.0::DOUBLE ELSE least(1.0::DOUBLE, d / 765.0::DOUBLE + 0.5::DOUBLE) END', 6)} AS confidence FROM (SELECT id, (abs(id % 256 - 40) + abs(id % 90 - 40) + abs(frame % 80 - 40))::DOUBLE AS d FROM {BOXES})",
     "gallery_cap": "SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS n FROM embeddings) WHERE n <= 20",
 }
+
+QUERIES |= engine.QUERIES
+SQL |= engine.SQL

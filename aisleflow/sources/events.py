@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LINES = "event_type string, store_id string, camera_id string, timestamp double, global_id string, role string, zone string, employee_id string, confidence double, payload string"
@@ -44,6 +44,8 @@ _own_dir: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's, or one of our own where it names none (local mode)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not named and not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-state-"))
     return named.rstrip("/") if named else _own_dir[0]
@@ -62,10 +64,24 @@ def flatten(raw: DataFrame) -> DataFrame:
     return raw.select(
         "event_type", "store_id", "camera_id", F.col("timestamp").alias("ts"), "global_id", "role", "zone",
         at("zone_kind").alias("zone_kind"), "employee_id", "confidence",
-        F.coalesce(F.when(at("needs_review").isin("true", "false"), at("needs_review") == "true").otherwise(at("needs_review").isNotNull()), F.lit(False)).alias("needs_review"),
+        truth(F.col("payload"), "needs_review").alias("needs_review"),
         at("dwell_seconds").cast("double").alias("dwell_seconds"), "payload",
     )
 
 
+def truth(payload: Column, key: str) -> Column:
+    """Whether a JSON value counts as true: not where it is missing, null, false, zero, or an empty text, list or object."""
+    value = F.variant_get(F.try_parse_json(payload), f"$.{key}", "variant")
+    kind, text = F.schema_of_variant(value), F.get_json_object(payload, f"$.{key}")
+    empty = F.when(kind == "STRING", text == "").when(kind == "BOOLEAN", text == "false").when(kind.rlike("^(ARRAY|OBJECT)"), text.isin("[]", "{}")).otherwise(text.try_cast("double") == 0)
+    return F.when(value.isNull() | (kind == "VOID") | text.isNull(), False).otherwise(~F.coalesce(empty, F.lit(False)))
+
+
+def append_table(events: DataFrame, path: str) -> int:
+    """Appends flat events to a stored table, a folder for each store; gives the number of rows that it holds then."""
+    events.write.mode("append").partitionBy("store_id").parquet(path)
+    return events.sparkSession.read.parquet(path).count()
+
+
 def write_lines(events: DataFrame, path: str, append: bool = False) -> None:
     events.write.mode("append" if append else "errorifexists").option("ignoreNullFields", "false").json(path)

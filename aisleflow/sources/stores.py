@@ -36,6 +36,30 @@ def store_tables(spark: SparkSession, config: dict) -> tuple[DataFrame, DataFram
     return spark.createDataFrame(cameras, CAMERAS), spark.createDataFrame(zones, ZONES)
 
 
+def camera(cameras: DataFrame, camera_id: str) -> DataFrame:
+    """The row of one camera; a name that no camera has raises KeyError."""
+    row = cameras.where(F.col("camera_id") == camera_id)
+    if row.isEmpty():
+        raise KeyError(camera_id)
+    return row
+
+
+def with_camera(events: DataFrame, cameras: DataFrame) -> DataFrame:
+    """Events with their camera's size and rate; an event of an unknown camera raises when it is read."""
+    found = events.join(F.broadcast(cameras), ["store_id", "camera_id"], "left")  # cameras come from a configuration file
+    return found.where(F.assert_true(F.col("fps").isNotNull(), F.concat(F.lit("unknown camera "), F.col("store_id"), F.lit("/"), F.col("camera_id"))).isNull())
+
+
+def save_gallery(gallery: DataFrame, path: str, identity: str = "identity_id", order: str = "seq", most: int = 20) -> None:
+    """Writes a gallery, each identity's last ``most`` vectors."""
+    newest_vectors(gallery, identity, order, most).write.mode("overwrite").parquet(path)
+
+
+def load_gallery(spark: SparkSession, path: str, identity: str = "identity_id", order: str = "seq", most: int = 20) -> DataFrame:
+    """A written gallery, under the limit that holds now."""
+    return newest_vectors(spark.read.parquet(path), identity, order, most)
+
+
 def newest_vectors(gallery: DataFrame, identity: str = "identity_id", order: str = "seq", most: int = 20) -> DataFrame:
     """A gallery keeps the last ``most`` vectors of an identity."""
     w = W.partitionBy(identity).orderBy(F.desc(order))
