@@ -26,6 +26,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from .bpe import slices
 from .common import materialise, unit_hash
 
 WORDS = re.compile(r"[^\W\d_]+")
-BLOCK, FLOOR, STEM = 256, 0.05, 5
+BLOCK, FLOOR, STEM = 128, 0.05, 5
 
 
 def terms(text: str | None) -> Counter:
@@ -50,30 +51,30 @@ def terms(text: str | None) -> Counter:
 
 
 class Space(dict):
-    """Terms by number, and a word's terms at once: those are remembered, up to a bound; a term that no example holds stays text."""
+    """A word's terms by number, remembered up to a bound; a term that no example holds has a negative number."""
 
     def __init__(self, names: list[str]):
         super().__init__()
         self.index = {t: k for k, t in enumerate(names)}
+        self.other: dict[str, int] = {}
 
-    def __missing__(self, word: str) -> tuple[int | str, ...]:
-        if len(self) > 200_000:
-            self.clear()
+    def __missing__(self, word: str) -> tuple[int, ...]:
         names = [word, f"{word[:STEM]}*"] if len(word) > STEM else [word]
-        got = self[word] = tuple(self.index.get(x, x) for x in names)
+        got = self[word] = tuple([k if (k := self.index.get(x)) is not None else self.other.setdefault(x, -1 - len(self.other)) for x in names])
         return got
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of the known terms, how often they occur, and how often the unknown ones do."""
-        found: dict[int | str, int] = {}
-        for w, n in Counter(WORDS.findall((text or "").lower())).items():
-            for t in self[w]:
-                found[t] = found.get(t, 0) + n
-        known = {t: n for t, n in found.items() if type(t) is int}
-        other = [n for t, n in found.items() if type(t) is str]
-        at = np.fromiter(known, np.int64, len(known))
-        order = np.argsort(at)
-        return at[order], np.fromiter(known.values(), np.float64, len(known))[order], np.array(other, np.float64)
+        if len(self) > 200_000:
+            self.clear(), self.other.clear()
+        words = Counter(WORDS.findall((text or "").lower()))
+        numbers = list(map(self.__getitem__, words))
+        flat = np.array(list(chain.from_iterable(numbers)), np.int64)
+        n = np.repeat(np.fromiter(words.values(), np.float64, len(words)), np.fromiter(map(len, numbers), np.int64, len(words)))
+        at, place = np.unique(flat, return_inverse=True)
+        n = np.bincount(place, n, len(at))
+        known = np.searchsorted(at, 0)
+        return at[known:], n[known:], n[:known]
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -148,14 +149,16 @@ class Model:
         w = w / (self.stands_for[found].mean() * max(1e-12, float((cosine**self.power).max())))
         return float(((w * self.labels[found]).sum() + self.pull * self.base) / (w.sum() + self.pull))
 
-    def score(self, at: np.ndarray, n: np.ndarray, other: np.ndarray) -> tuple[float, list[tuple[float, int]]]:
+    def score(self, at: np.ndarray, n: np.ndarray, other: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The score, and cosines and numbers of the neighbours that gave it."""
+        none = np.empty(0), np.empty(0, np.int64)
         if not len(at):
-            return self.base, []
+            return self.base, *none
         cosine, found, _ = self.nearest(at, self.vector(at, n, other))
         if not len(found):
-            return self.base, []
+            return self.base, *none
         a, b = self.curve
-        return float(1 / (1 + np.exp(-(a * _odds(self.vote(cosine, found)) + b)))), list(zip(cosine.tolist(), found.tolist(), strict=True))
+        return float(1 / (1 + np.exp(-(a * _odds(self.vote(cosine, found)) + b)))), cosine, found
 
 
 def _odds(p):
@@ -179,7 +182,7 @@ def _curve(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     return (a, b) if 0.05 < a < 20 else (1.0, 0.0)
 
 
-def fit(docs: DataFrame, corpus: DataFrame, labels: DataFrame, text_col: str = "text", key_col: str = "doc_id", label_col: str = "toxic", max_examples: int = 4000, k: int = 15) -> Model:
+def fit(docs: DataFrame, corpus: DataFrame, labels: DataFrame, text_col: str = "text", key_col: str = "doc_id", label_col: str = "toxic", max_examples: int = 1000, k: int = 15) -> Model:
     """docs: where labelled texts may be learnt from; corpus: all texts, for document frequencies; labels: key and 0/1, of
     keys that may be learnt from."""
     spark = docs.sparkSession
@@ -283,18 +286,19 @@ def score(df: DataFrame, model: Model, text_col: str = "text", out: tuple[str, s
     def each(batches):
         m = shared.value
         space, known = Space(m.terms), {}
+        ids, labels = np.array([str(i) for i in m.ids], dtype=object), np.asarray(m.labels, np.int32)
         for batch in slices(batches):
-            scores, found = [], []
+            got = []
             for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
                 # a text's copies are scored once by a task, as far as it remembers
                 if t not in known:
                     if len(known) > 2_000:
                         known.clear()
-                    s, near = m.score(*space.counts(t)) if m.terms else (m.base, [])
-                    known[t] = s, [{"example": str(m.ids[i]), "cosine": x, "label": int(m.labels[i])} for x, i in near]
-                s, near = known[t]
-                scores.append(s), found.append(near)
-            kind = pa.list_(pa.struct([("example", pa.string()), ("cosine", pa.float64()), ("label", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(found, kind)], [*batch.schema.names, *out])
+                    known[t] = m.score(*space.counts(t)) if m.terms else (m.base, np.empty(0), np.empty(0, np.int64))
+                got.append(known[t])
+            near = np.concatenate([g[2] for g in got]).astype(np.int64)
+            fields = [pa.array(ids[near], pa.string()), pa.array(np.concatenate([g[1] for g in got]), pa.float64()), pa.array(labels[near], pa.int32())]
+            found = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(g[1]) for g in got)]), pa.int32()), pa.StructArray.from_arrays(fields, ["example", "cosine", "label"]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.float64()), found], [*batch.schema.names, *out])
 
     return df.mapInArrow(each, schema)
