@@ -1,12 +1,15 @@
 """Personal data: fixed patterns, and terms that give away the people behind them, by DataFrame functions alone.
 
 Base spans (e-mail, IP, card, phone) come from Java patterns that match as the plain ones do but never backtrack into a
-run, so long unsplit texts neither recurse nor take quadratic time. Each distinct value is a protected entity. Words
-within ``window`` characters of a mention co-occur with it. For a term t and an entity e, n(t, e) counts documents with t
-near e, n(t) all documents with t or mentions near t, whichever are more: P(e | t) = n(t, e) / n(t) says how strongly the term reveals the entity, and
-log2(P(e | t) / P(e)) how many bits it discloses. A term seen in at least ``min_contexts`` different contexts of e (so
-copies of one text prove nothing) that discloses ``min_bits`` and reveals e with ``generalise_at`` is generalised to
-[TERM]; from ``remove_at`` on it is removed. Document frequencies cover the whole corpus.
+run, so long unsplit texts neither recurse nor take quadratic time. What they find is protected at three levels: the value
+itself, its group (an address' domain, a network, a card's issuer, a number's area) and its kind. Words of two letters or
+more and phrases of two words within ``window`` characters of a mention co-occur with its entities. For a term t and an
+entity e, n(t, e) counts mentions of e with t near, n(t) all documents with t or mentions near t, whichever are more;
+P(e | t) is n(t, e) / n(t), held down to c / (c + 1) of it when t was seen in c different contexts of e, so that copies of
+one text prove nothing and two independent ones suffice only where t is hardly seen elsewhere. It says how strongly the
+term reveals the entity, and log2(P(e | t) / P(e)) how many bits it discloses, P(e) being the share of documents with e. A
+term that discloses ``min_bits`` and reveals e with ``generalise_at`` is generalised to the kind of thing it belongs to
+([EMAIL TERM] and so on); from ``remove_at`` on it is removed. Counts cover the whole corpus.
 
 Defined results: a null text counts as empty and has no span; matches that fail their check are dropped, not retried;
 overlapping spans are masked as one, under the kind of the first; repeated rows get the same spans each; other columns
@@ -27,7 +30,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TERM = r"\p{L}{4,}"
+GROUPS = {"email": r"@(.*)$", "ip": r"^([0-9]+\.[0-9]+)\.", "card": r"^((?:[ -]?[0-9]){6})", "phone": r"^(\+[^0-9]*[0-9](?:[^0-9]*[0-9]){3})"}
+REMOVED = 8
 SPAN = "array<struct<kind:int,start:int,end:int,hit:string>>"
 
 
@@ -104,70 +108,98 @@ def base_spans(df: DataFrame, text_col: str = "text", out_col: str = "base") ->
     return df.withColumn(out_col, F.concat(*spans)).drop(*[f"__hits_{k}" for k in KINDS])
 
 
-def _terms(t: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(TERM), F.lit(0)))
+def _terms(*parts: Column) -> Column:
+    """The distinct words of two letters or more, and the phrases of two words that follow each other in a part."""
+    out = []
+    for part in parts:
+        w = F.regexp_extract_all(F.lower(part), F.lit(r"\p{L}+"), F.lit(0))
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        out += [F.filter(w, lambda x: F.length(x) > 1), F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda x, y: F.concat(x, F.lit(" "), y))]
+    return F.array_distinct(F.concat(*out))
 
 
-def disclosures(based: DataFrame, text_col: str = "text", base_col: str = "base", window: int = 80, min_contexts: int = 3, generalise_at: float = 0.5, remove_at: float = 0.8, min_bits: float = 4.0) -> DataFrame:
-    """(term, kind, hit, p, bits, action) of the terms that reveal an entity beyond the thresholds, one row for each term."""
+def _entities(kind: Column, hit: Column) -> Column:
+    """What a mention is of: (level, kind, entity) for its value, its group and its kind."""
+    group = F.lit("")
+    for n, k in enumerate(KINDS):
+        group = F.when(kind == n, F.regexp_extract(hit, GROUPS[k], 1)).otherwise(group)
+    rows = [F.struct(F.lit(level).alias("level"), kind.alias("kind"), e.alias("entity")) for level, e in ((0, hit), (1, group), (2, F.lit("")))]
+    return F.array(*rows)
+
+
+def disclosures(based: DataFrame, text_col: str = "text", base_col: str = "base", window: int = 80, generalise_at: float = 0.5, remove_at: float = 0.8, min_bits: float = 4.0) -> DataFrame:
+    """(term, level, kind, entity, contexts, p, bits, action) of the terms that reveal an entity beyond the thresholds, one
+    row for each term: that of the most bits."""
     t = F.col(text_col)
     # exploded without a filter before, which Spark would push below and so compute every span twice
-    mention = based.select(t.alias("text"), F.explode(base_col).alias("s"))
+    mention = based.select(t.alias("text"), F.xxhash64(t, F.lit(3)).alias("doc"), F.explode(base_col).alias("s"))
     before = F.substring(F.col("text"), F.greatest(F.col("s.start") - window, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(window)))
     before = F.when(F.col("s.start") > window, F.regexp_replace(before, r"^\p{L}*+", "")).otherwise(before)
     after = F.regexp_replace(F.substring(F.col("text"), F.col("s.end") + 1, F.lit(window + 1)), r"\p{L}++$", "")
-    near = materialise(mention.select(F.col("s.kind").alias("kind"), F.lower("s.hit").alias("hit"), F.concat(before, F.lit(" | "), after).alias("context")), "pii-mentions")
-    entities = near.groupBy("kind", "hit").agg(F.count("*").alias("n_e"))
-    near = near.select("kind", "hit", F.xxhash64("context").alias("context"), F.explode(_terms(F.col("context"))).alias("term"))
-    each = near.groupBy("term", "kind", "hit", "context").agg(F.count("*").alias("n")).groupBy("term", "kind", "hit").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_te"))
+    near = materialise(mention.select(F.col("s.kind").alias("kind"), F.lower("s.hit").alias("hit"), before.alias("before"), after.alias("after"), "doc"), "pii-mentions")
+    context = F.xxhash64("before", "after")
+    # one row for each term of each context: how often that context stands there, copies and all
+    each = near.groupBy("kind", "hit", "before", "after").agg(F.count("*").alias("n")).select("kind", "hit", "n", context.alias("context"), F.explode(_terms(F.col("before"), F.col("after"))).alias("term"))
     # a term that stands near many entities reveals none of them: that is known from the mentions alone, before any text is read
-    around = each.groupBy("term").agg(F.sum("n_te").alias("n_near"))
-    candidates = each.where(F.col("contexts") >= min_contexts).join(around, "term").where(F.col("n_te") >= generalise_at * F.col("n_near"))
-    candidates = materialise(candidates, "pii-candidates")
-    # Spark broadcasts the written candidates only below its own size threshold; else it shuffles both sides
+    around = each.groupBy("term").agg(F.sum("n").alias("n_near"), F.count_distinct("context").alias("c_near")).where("c_near > 1").drop("c_near")
+    levelled = each.join(around, "term").select("term", "n_near", "n", "context", F.explode(_entities(F.col("kind"), F.col("hit"))).alias("e")).select("term", "n_near", "n", "context", "e.*")
+    # by context first, so that a term's or a kind's many mentions are summed before they meet
+    levelled = levelled.groupBy("term", "n_near", "level", "kind", "entity", "context").agg(F.sum("n").alias("n"))
+    candidates = levelled.groupBy("term", "n_near", "level", "kind", "entity").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_te"))
+    sure = F.col("contexts") / (F.col("contexts") + 1)
+    candidates = materialise(candidates.where((F.col("contexts") > 1) & (F.col("n_te") / F.col("n_near") * sure >= generalise_at)), "pii-candidates")
+    sizes = near.select("doc", F.explode(_entities(F.col("kind"), F.col("hit"))).alias("e")).groupBy("e", "doc").agg(F.count("*").alias("n")).groupBy("e").agg(F.count("*").alias("texts"), F.sum("n").alias("n_e")).select("e.*", "n_e")
+    wanted = candidates.select("term").distinct()
     words = based.select(F.explode(_terms(F.coalesce(t, F.lit("")))).alias("term"))
-    frequency = words.join(candidates.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    frequency = words.join(_small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     total = based.count()
-    p = F.col("n_te") / F.greatest("n_t", "n_near")
-    scored = candidates.join(frequency, "term").join(entities, ["kind", "hit"]).select("term", "kind", "hit", p.alias("p"), F.log2(p * F.lit(float(max(total, 1))) / F.col("n_e")).alias("bits"))
+    p = F.col("n_te") / F.greatest("n_t", "n_near") * sure
+    scored = candidates.join(frequency, "term").join(sizes, ["level", "kind", "entity"]).select("term", "level", "kind", "entity", "contexts", p.alias("p"), F.log2(p * F.lit(float(max(total, 1))) / F.least(F.col("n_e"), F.lit(max(total, 1)))).alias("bits"))
     scored = scored.where((F.col("p") >= generalise_at) & (F.col("bits") >= min_bits))
-    best = scored.groupBy("term").agg(F.max(F.struct("p", "bits", "kind", "hit")).alias("b")).select("term", "b.*")
+    best = scored.groupBy("term").agg(F.max(F.struct("bits", "p", "contexts", "level", "kind", "entity")).alias("b")).select("term", "b.*")
     return materialise(best.withColumn("action", F.when(F.col("p") >= remove_at, "remove").otherwise("generalise")), "pii-disclosures")
 
 
+def _small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df, to be sent to all executors where it has few rows; else Spark joins as it sees fit."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def find(df: DataFrame, text_col: str = "text", **thresholds) -> DataFrame:
-    """df with base (spans of the patterns) and extra (spans of revealing terms: kind 4 generalised, 5 removed)."""
+    """df with base (spans of the patterns) and extra (spans of revealing terms: kind 4 to 7 generalised to the kind of what
+    they reveal, REMOVED removed)."""
     df = df.drop(*[c for c in ("base", "extra") if c in df.columns])
     based = base_spans(df, text_col)
     known = disclosures(based, text_col, **thresholds)
+    none = F.array().cast(SPAN)
+    if known.isEmpty():
+        return based.withColumn("extra", none)
     t = F.coalesce(F.col(text_col), F.lit(""))
     keys = {"__a": F.xxhash64(t), "__b": F.xxhash64(F.lit(7), t)}
-    # words travel with their text's key alone; the texts that hold a revealing term are joined back
-    words = df.select(F.explode(_terms(t)).alias("term"), *[v.alias(k) for k, v in keys.items()])
-    matched = materialise(words.join(known.select("term", "action"), "term").distinct(), "pii-matches")
-    revealing = df.select(t.alias("text")).withColumns({"__a": F.xxhash64("text"), "__b": F.xxhash64(F.lit(7), F.col("text"))}).join(matched, ["__a", "__b"])
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})"), F.col("term"), F.lit(r"(?!\p{L})"))
-    hits = F.regexp_extract_all(F.col("text"), F.col("_pattern"), F.lit(0))
-    kind = F.when(F.col("action") == "remove", 5).otherwise(4)
+    # a text that holds a revealing term is looked at once, whatever its copies; the rest don't leave their place
+    words = df.select(t.alias("text"), F.explode(_terms(t)).alias("term")).join(_small(known.select("term", "kind", "action")), "term")
+    kind = F.when(F.col("action") == "remove", REMOVED).otherwise(F.col("kind") + len(KINDS))
+    matched = words.select("text", "term", kind.alias("_kind")).distinct()
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})"), F.regexp_replace("term", " ", r"[^\\p{L}]+"), F.lit(r"(?!\p{L})"))
+    marked = matched.withColumn("_pattern", pattern).withColumn("_hits", F.regexp_extract_all(F.col("text"), F.col("_pattern"), F.lit(0)))
     spans = F.transform(_placed(4, F.split(F.col("text"), F.col("_pattern"), -1), F.col("_hits")), lambda s: s.withField("kind", F.col("_kind")))
-    marked = revealing.withColumn("_pattern", pattern).withColumn("_hits", hits).withColumn("_kind", kind).select("__a", "__b", "term", spans.alias("spans"))
-    # a text's copies share a row here, so one hot text is one group
-    marked = marked.dropDuplicates(["__a", "__b", "term"]).groupBy("__a", "__b").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("extra"))
-    out = based.withColumns(keys).join(marked, ["__a", "__b"], "left").drop("__a", "__b")
-    return out.withColumn("extra", F.coalesce(F.col("extra"), F.array().cast(SPAN)))
-
+    marked = marked.select(F.xxhash64("text").alias("__a"), F.xxhash64(F.lit(7), F.col("text")).alias("__b"), spans.alias("spans"))
+    marked = materialise(marked.groupBy("__a", "__b").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("extra")), "pii-matches")
+    few = marked.agg(F.coalesce(F.sum(F.size("extra")), F.lit(0))).first()[0] <= 200_000
+    out = based.withColumns(keys).join(F.broadcast(marked) if few else marked, ["__a", "__b"], "left").drop("__a", "__b")
+    return out.withColumn("extra", F.coalesce(F.col("extra"), none))
 
 
 def as_text(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined, by kind and then start."""
-    names = F.array(*[F.lit(k) for k in (*KINDS, "term", "term")])
+    names = F.array(*[F.lit(k) for k in (*KINDS, "term")])
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(F.least(s["kind"], F.lit(4)).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with [EMAIL], [IP], [CARD], [PHONE] or [TERM] for its spans; removed terms leave nothing."""
-    labels = F.array(*[F.lit(k) for k in ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")])
+    """The text with [EMAIL], [IP], [CARD], [PHONE], or [EMAIL TERM] and so on, for its spans; removed terms leave nothing."""
+    labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS], *[F.lit(f"[{k.upper()} TERM]") for k in KINDS], F.lit(""))
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def step(acc, s):

@@ -215,12 +215,75 @@ def test_personal_data(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def terms_of(*parts):
+    out = set()
+    for part in parts:
+        w = re.findall(r"[^\W\d_]+", part.lower())
+        out |= {x for x in w if len(x) > 1} | {f"{x} {y}" for x, y in zip(w, w[1:], strict=False)}
+    return out
+
+
+def brute_disclosures(rows, window=80, generalise_at=0.5, remove_at=0.8, min_bits=4.0):
+    """term -> (action, p, bits), from the definitions."""
+    near, size, contexts, count = Counter(), Counter(), {}, Counter()
+    groups = {"email": r"@(.*)$", "ip": r"^(\d+\.\d+)\.", "card": r"^((?:[ -]?\d){6})", "phone": r"^(\+\D*\d(?:\D*\d){3})"}
+    for _, t in rows:
+        for span in filter(None, brute_pii(t).split(",")):
+            kind, x, y = span.split(":")
+            x, y = int(x), int(y)
+            hit = t[x:y].lower()
+            before, after = t[max(0, x - window) : x], t[y : y + window + 1]
+            before = re.sub(r"^[^\W\d_]+", "", before) if x > window else before
+            after = re.sub(r"[^\W\d_]+$", "", after)
+            entities = [(0, kind, hit), (1, kind, re.search(groups[kind], hit).group(1)), (2, kind, "")]
+            for e in entities:
+                size[e] += 1
+            for term in terms_of(before, after):
+                near[term] += 1
+                for e in entities:
+                    count[term, e] += 1
+                    contexts.setdefault((term, e), set()).add((before, after))
+    df = Counter(x for _, t in rows for x in terms_of(t or ""))
+    out = {}
+    for (term, e), n in count.items():
+        c = len(contexts[term, e])
+        p = n / max(df[term], near[term]) * c / (c + 1)
+        bits = np.log2(p * len(rows) / min(size[e], len(rows)))
+        if c > 1 and p >= generalise_at and bits >= min_bits:
+            out[term] = max(out.get(term, (-1, -1)), (float(bits), float(p)))
+    return {t: ("remove" if p >= remove_at else "generalise", round(p, 9), round(b, 6)) for t, (b, p) in out.items()}
+
+
 def test_revealing_terms(spark):
-    rows = [(k, f"{'abcdefgh'[k]}filler{'xyzuvwst'[k]}word agent Nightjar uses spy@hide.org today {'qwertyui'[k]}more") for k in range(8)]
-    rows += [(100 + k, f"agent number {'abcdefghij'[k % 10]} uses nothing today") for k in range(300)] + [(900, "Nightjar was seen")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    """Disclosures and spans against the definitions: terms that two or many contexts of a value, a domain or a kind reveal."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 7)))
+    rows = [(k, f"{word()} {word()} agent Nightjar uses spy@hide.org today {word()} {word()}") for k in range(8)]
+    rows += [(20 + k, f"{word()} ask mo {word()} at {word()}{k}@corp.example.com for {word()}") for k in range(6)]
+    rows += [(40 + k, f"{word()} hotline {word()} +1 (38{k}) 555-3733 {word()}") for k in range(5)] + [(60, rows[0][1]), (61, rows[0][1])]
+    rows += [(100 + k, f"agent number {word()} uses nothing today {word()}") for k in range(300)] + [(900, "NIGHTJAR was seen, ask mo"), (901, None), (None, "Nightjar"), (902, ""), (903, "a b c d@e.fg " * 400)]
+    df = spark.createDataFrame([(*r, 5, "x") for r in rows], "doc_id long, text string, extra int, base string")
+    want = brute_disclosures(rows)
+    assert {"nightjar", "agent nightjar", "mo", "hotline"} <= set(want) and {w for w, _, _ in want.values()} == {"remove", "generalise"} and "agent" not in want
+    got = {r.term: (r.action, round(r.p, 9), round(r.bits, 6)) for r in pii.disclosures(pii.base_spans(df)).collect()}
+    assert got == want
+    found = pii.find(df).select("doc_id", "text", pii.as_text(F.concat("base", "extra")).alias("spans")).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        own = [x for x in brute_pii(r.text).split(",") if x]
+        own += [f"term:{m.start()}:{m.end()}" for t in want for m in re.finditer(r"(?i)(?<![^\W\d_])" + re.sub(" ", r"[\\W\\d_]+", t) + r"(?![^\W\d_])", r.text or "")]
+        order = [*PLAIN, "term"]
+        assert r.spans == ",".join(sorted(own, key=lambda x: (order.index(x.split(":")[0]), *map(int, x.split(":")[1:]))))
     out = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
-    assert "Nightjar" not in out[900] and "[EMAIL]" in out[0] and "agent" in out[0] and out[100] == rows[8][1]
+    assert "nightjar" not in out[900].lower() and "[EMAIL]" in out[0] and "agent" in out[100] and "hotline" not in out[40] and "[EMAIL TERM]" in out[900]
+
+
+def test_terms_are_found_in_the_given_tables(spark):
+    got = catalog.QUERIES["op8_pii"](spark, "/root/testdata/sf0.01").cache()
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    assert got.count() == len(rows) and got.where("spans LIKE '%term:%'").count() > 0
+    text = dict(rows)
+    assert all(r.base_sha256 == hashlib.sha256(brute_pii(text[r.doc_id]).encode()).hexdigest() for r in got.collect())
 
 
 def test_top_k(spark):
