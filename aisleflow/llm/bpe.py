@@ -1,10 +1,10 @@
 """BPE encoding and decoding with a tokenizers JSON file.
 
-Short texts are encoded where they lie, without a shuffle. A text above ``piece_chars`` is cut: at white space where
-there is some (no token spans it under the tokenizers for which ``cuts_at_space`` holds, so such a cut is exact), else
-inside the unsplit text. The pieces are encoded in parallel tasks. Neighbours across an inner cut are joined as a tree:
-a window around the join is re-encoded and doubled until its tokens agree with those of both sides, character by
-character and id by id; a valid BPE sequence is one whose neighbouring tokens are valid, so the joined one is exact.
+Short texts are encoded where they lie, without a shuffle. A text above ``piece_chars`` is cut in halves, and these in
+halves until they fit, wherever the middle falls, inside words too. The pieces are encoded in parallel tasks. Neighbours
+are joined as a tree: a window around the join is re-encoded and doubled until its tokens agree with those of both sides,
+character by character and id by id, or until it holds the whole unsplit text around the join (white space, which no
+token spans under the tokenizers for which ``cuts_at_space`` holds, bounds it); a valid BPE sequence is one whose neighbouring tokens are valid, so the joined one is exact.
 
 Defined results: a null text counts as empty and gives an empty list; a null list decodes as an empty one; columns of
 the input stay as they are (an input column with the name of the output is replaced); repeated rows are encoded each.
@@ -107,10 +107,8 @@ class Codec:
         def halves(a: int, b: int) -> list[tuple[int, bool]]:
             if b - a <= size:
                 return []
-            mid, inner = (a + b) // 2, True
-            if self.cuts_at_space and (m := SPACE.search(text, mid, min(b, mid + size // 4))):
-                mid, inner = m.start(), False
-            return [*halves(a, mid), (mid, inner), *halves(mid, b)]
+            mid = (a + b) // 2
+            return [*halves(a, mid), (mid, True), *halves(mid, b)]
 
         return [(0, False), *halves(0, len(text))]
 
