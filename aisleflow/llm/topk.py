@@ -7,7 +7,9 @@ kth score; the block then carries these to all other shards, where nodes are vis
 skipped when it lies below the query's kth score, which rises as leaves are read. Nodes and queries are bounded in
 memory, and each pair of block and shard is a row of its own, so a lost task repeats little.
 
-Defined results: vectors that are null, or hold null or non-finite components, take no part; a vector of another length
+Defined results: vectors that are null, empty, or hold null or non-finite components (or ones beyond 1e150, whose products
+doubles don't hold) take no part, nor do rows with a null id; products and sums are exact however large, and a score beyond
+64 bits is given as the end of their range; a vector of another length
 than the query's isn't its candidate; rows with the query's own id aren't either; a repeated query id counts once (with
 the smallest vector of that id); repeated candidate rows all count; ties go to the smaller id; fewer candidates than k
 give fewer rows; an empty table gives none; other columns are ignored.
@@ -30,7 +32,7 @@ LEAF, BLOCK, SHARD = 64, 256, 4096
 def _matrix(rows) -> np.ndarray:
     """Rows as doubles, which hold these integers and their products exactly; Python integers where they would not."""
     m = np.array([np.asarray(r, dtype=np.float64) for r in rows])
-    if m.size and float(np.abs(m).max()) ** 2 * m.shape[1] >= 2.0**52:
+    if m.size and float(np.abs(m).max()) >= (2.0**52 / m.shape[1]) ** 0.5:
         return np.array([[int(x) for x in r] for r in rows], dtype=object)
     return m
 
@@ -101,12 +103,22 @@ def search(queries: np.ndarray, own_ids: list[int], best: list[list[tuple[int, i
 
 
 def scaled(vector: Column, scale: float = 256.0) -> Column:
-    return F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
+    """floor(scale * x) of each component, as a double; from 2^53 on doubles are integers already."""
+
+    def whole(x: Column) -> Column:
+        y = F.lit(scale) * x.cast("double")
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
+
+    return F.transform(vector, whole)
+
+
+def _in_range(score: int) -> int:
+    return max(-(2**63), min(2**63 - 1, score))
 
 
 def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: float = 256.0) -> DataFrame:
     """query_id, rank (from 1), the id of the candidate, score."""
-    finite = F.forall(F.col(vector_col), lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
+    finite = F.forall(F.col(vector_col), lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double")) <= 1e150), F.lit(False)))
     rows = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).where(finite)
     rows = rows.select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vector_col), scale).alias("v"), F.size(vector_col).alias("dim"), F.coalesce(is_query, F.lit(False)).alias("q"))
     totals = {r["dim"]: (r["n"], r["m"]) for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("q").alias("m")).collect()}
@@ -141,14 +153,14 @@ def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: s
                     ids, vectors, nodes = pickle.loads(tree)
                     given = [set(b) for b in best]
                     if final and shard_ == block % shards_of[dim]:  # met before: hand on what it gave
-                        out = [(own[n], -s, c) for n, b in enumerate(best) for s, c in b]
+                        out = [(own[n], _in_range(-s), c) for n, b in enumerate(best) for s, c in b]
                         yield pd.DataFrame(out, columns=["query_id", "score", "vec_id"]).astype("int64")
                         continue
                     search(q, own, best, ids, vectors if vectors.dtype == object else vectors.astype(np.float64), nodes, k)
                     if not final:
                         yield pd.DataFrame({"dim": [dim], "block": [block], "queries": [pickle.dumps((own, q, best))]})
                     else:
-                        out = [(own[n], -s, c) for n, b in enumerate(best) for s, c in b if (s, c) not in given[n]]
+                        out = [(own[n], _in_range(-s), c) for n, b in enumerate(best) for s, c in b if (s, c) not in given[n]]
                         yield pd.DataFrame(out, columns=["query_id", "score", "vec_id"]).astype("int64")
 
         return each
@@ -158,7 +170,7 @@ def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: s
     first = materialise(first, "topk-first")
     dealt = first.withColumn("shard", F.explode(F.sequence(F.lit(0), n_shards - 1).cast("array<int>")))
     found = dealt.join(trees, ["dim", "shard"]).mapInPandas(meet(True), "query_id long, score long, vec_id long")
-    one = F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("c"))
+    one = F.struct((-1 - F.col("score")).alias("s"), F.col("vec_id").alias("c"))  # -score would not hold the least one
     # each pair of block and shard gives at most k rows for a query
     best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(one)), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("pos", "b")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.c").alias(id_col), (-F.col("b.s")).alias("score"))
+    return best.select("query_id", F.posexplode("best").alias("pos", "b")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.c").alias(id_col), (-1 - F.col("b.s")).alias("score"))
