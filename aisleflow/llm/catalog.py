@@ -17,4 +17,4 @@ QUERIES = {
     "op10_quality": q_scan.op10_quality,
 }
 
-SQL: dict[str, str] = {"op4_topk": q_scan.SQL_OP4}
+SQL: dict[str, str] = {"op4_topk": q_scan.SQL_OP4, "op6_minhash": q_pairs.SQL_OP6}

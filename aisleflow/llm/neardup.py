@@ -13,8 +13,9 @@ Two texts of similarity 0.75 share no bucket with a chance of (1 - 0.75^5)^40 =
 
 Defined results: a text that is null or has no word has n_shingles 0 and is its own component; fewer words than a
 shingle count as one shingle; rows with one doc_id are one node (linked with whatever any of them is linked with);
-a null doc_id takes no part, has a null component and is kept; columns of the input pass through, but for those named
-like an output, which are replaced; an empty table gives an empty result.
+a row with a null doc_id has its n_shingles, takes no part in links, has a null component and is kept; columns of the
+input that aren't outputs are left to a join by id; an empty table gives an empty result. Sets are of 64-bit hashes of shingles, whole sets
+when links are confirmed: two different shingles of two texts have one hash with a chance of 2^-64 each.
 """
 
 from __future__ import annotations
@@ -158,10 +159,10 @@ def _marked(slim: DataFrame, families: DataFrame) -> DataFrame:
 
 
 def _solve(df: DataFrame, id_col: str, text_col: str, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The sketches (doc_id, n, key) of all rows with an id, and the component of each key."""
-    slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+    """The sketches (doc_id, n, key) of all rows, and the component of each key."""
+    slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = materialise(slim.mapInArrow(_sketch("text", size), "doc_id long, n long, key binary, bands array<long>"), "neardup-sketch")
-    with_words = sketch.where("n > 0")
+    with_words = sketch.where("n > 0 AND doc_id IS NOT NULL")
 
     copies = materialise(with_words.groupBy("key").agg(F.min("doc_id").alias("node")), "neardup-copies")
     firsts = with_words.select(F.col("doc_id").alias("node"), "key", "bands").join(copies, ["node", "key"], "left_semi")
@@ -188,18 +189,22 @@ def _solve(df: DataFrame, id_col: str, text_col: str, size: int, threshold: floa
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.75) -> DataFrame:
-    """One row for each row of df with an id: id, n_shingles, component_id, kept."""
+    """One row for each row of df: id, n_shingles, component_id, kept."""
     sketch, named = _solve(df, id_col, text_col, size, threshold)
-    return sketch.join(named, "key", "left").select(
-        F.col("doc_id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        (F.col("doc_id") == F.coalesce("component_id", "doc_id")).alias("kept"),
-    )
+    # a null key joins with nothing; rows without an id must not take the component of their text
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return sketch.join(named, "key", "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.75) -> DataFrame:
     """The rows of df that stand for their group, with the columns of df; repeated rows of a kept id stay once, rows without id stay."""
-    kept = groups(df, id_col, text_col, size, threshold).where("kept").select(F.col(id_col).alias("_kept")).distinct()
+    kept = groups(df, id_col, text_col, size, threshold).where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_kept")).distinct()
     unnamed = df.where(F.col(id_col).isNull())
-    return df.join(kept, F.col(id_col).cast("long") == F.col("_kept"), "left_semi").dropDuplicates([id_col]).unionByName(unnamed)
+    own = df.join(kept, F.col(id_col).cast("long") == F.col("_kept"), "left_semi")
+    # ids are few times repeated; where they are, the row of the smallest text stays, whatever the order of the rows
+    again = materialise(own.groupBy(id_col).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(id_col).alias("_again")), "neardup-repeated")
+    if again.isEmpty():
+        return own.unionByName(unnamed)
+    whole = F.struct(F.col(text_col), *[F.col(c) for c in df.columns if c != text_col])
+    repeated = own.join(again, F.col(id_col) == F.col("_again"), "left_semi").groupBy(id_col).agg(F.min(whole).alias("_r")).select("_r.*").select(*df.columns)
+    return own.join(again, F.col(id_col) == F.col("_again"), "left_anti").unionByName(repeated).unionByName(unnamed)
