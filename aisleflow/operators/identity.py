@@ -6,21 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.columns import dot, iou, round_half_away as rnd
-
-
-def similarities(queries: DataFrame, gallery: DataFrame) -> DataFrame:
-    """Every query against every gallery vector but itself: q, q_label, g, g_label, sim (rounded to 6 digits, which
-    makes ties between engines equal). The gallery is what an enrolment holds; it is the reference set that all queries
-    are scored against, dealt by blocks of it."""
-    g = gallery.select(F.col("vec_id").alias("g"), F.col("label").alias("g_label"), F.col("embedding").alias("ge"))
-    q = queries.select(F.col("vec_id").alias("q"), F.col("label").alias("q_label"), F.col("embedding").alias("qe"))
-    return q.join(g, F.col("q") != F.col("g")).select("q", "q_label", "g", "g_label", F.round(dot(F.col("qe"), F.col("ge")), 6).alias("sim"))
+from ..functions.columns import iou, round_half_away as rnd
+from .blocks import ahead_of_hits, block_scores, label_hits, score_counts, top_labels, top_rows
 
 
 def gallery_top(queries: DataFrame, gallery: DataFrame, k: int = 3) -> DataFrame:
-    """The k identities of the highest similarity for each query, an identity's being that of its best vector."""
-    best = similarities(queries, gallery).groupBy("q", "g_label").agg(F.max("sim").alias("sim"))
+    """The k identities of the highest similarity for each query, an identity's being that of its best vector. An identity
+    that is among the k of all blocks is among the k of the block that holds its best vector."""
+    best = block_scores(queries, gallery, top_labels(k), "q long, g_label long, sim double").groupBy("q", "g_label").agg(F.max("sim").alias("sim"))
     return best.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "g_label"))).where(F.col("rank") <= k)
 
 
@@ -38,30 +31,48 @@ def bands(queries: DataFrame, gallery: DataFrame, match: float, review: float, m
 
 
 def rank_metrics(queries: DataFrame, gallery: DataFrame) -> DataFrame:
-    w = W.partitionBy("q").orderBy(F.desc("sim"), "g")
-    hits = similarities(queries, gallery).withColumn("rank", F.row_number().over(w)).withColumn("hit", (F.col("q_label") == F.col("g_label")).cast("int"))
-    precise = hits.withColumn("precision", F.sum("hit").over(w.rowsBetween(W.unboundedPreceding, 0)) / F.col("rank"))
-    each = precise.groupBy("q").agg(F.max(F.when(F.col("rank") <= 1, F.col("hit")).otherwise(0)).alias("r1"), F.max(F.when(F.col("rank") <= 5, F.col("hit")).otherwise(0)).alias("r5"), F.coalesce(F.avg(F.when(F.col("hit") == 1, F.col("precision"))), F.lit(0.0)).alias("ap"))
+    """Rank 1, rank 5 and mean average precision. A query's hits travel with it, and each block counts what ranks before them."""
+    hits = block_scores(queries, gallery, label_hits, "q long, hits array<struct<sim:double,g:long>>")
+    hits = hits.groupBy("q").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    asked = queries.join(hits, F.col("vec_id") == F.col("q")).select("vec_id", "label", "embedding", "hits")
+    ahead = block_scores(asked, gallery, ahead_of_hits, "q long, ahead array<long>")
+    ranks = ahead.select("q", F.posexplode_outer("ahead").alias("at", "n")).groupBy("q", "at").agg((F.sum("n") + 1).alias("rank"))
+    each = ranks.groupBy("q").agg(F.coalesce(F.min("rank") <= 1, F.lit(False)).cast("int").alias("r1"), F.coalesce(F.min("rank") <= 5, F.lit(False)).cast("int").alias("r5"), F.coalesce(F.avg((F.col("at") + 1) / F.col("rank")), F.lit(0.0)).alias("ap"))
     return each.agg(rnd(F.avg("r1"), 4).alias("rank1"), rnd(F.avg("r5"), 4).alias("rank5"), rnd(F.avg("ap"), 4).alias("map"))
 
 
 def leave_one_out(vectors: DataFrame) -> DataFrame:
     """Each vector against all others. Among five vectors or fewer its own, ranked last, is within the first five."""
-    hits = similarities(vectors, vectors).withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "g"))).where("rank <= 5")
+    hits = block_scores(vectors, vectors, top_rows(5), "q long, q_label long, g long, g_label long, sim double")
+    hits = hits.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "g"))).where("rank <= 5")
     each = hits.groupBy("q", "q_label").agg(F.max(F.when(F.col("rank") == 1, (F.col("q_label") == F.col("g_label")).cast("int"))).alias("r1"), F.max((F.col("q_label") == F.col("g_label")).cast("int")).alias("r5"))
     few = F.when(F.count("*") <= 5, 1.0).otherwise(F.avg("r5"))
     return each.agg(rnd(F.avg("r1"), 4).alias("rank1"), rnd(few, 4).alias("rank5"), F.count("*").alias("samples"), F.count_distinct("q_label").alias("identities"))
 
 
 def thresholds(vectors: DataFrame, target_far: float = 0.01, review_far: float = 0.05) -> DataFrame:
-    pairs = similarities(vectors, vectors).where("q < g")
-    same = F.col("q_label") == F.col("g_label")
-    other = F.when(~same, F.col("sim"))
-    cut = pairs.agg(F.percentile(other, 1 - target_far).alias("m"), F.percentile(other, 1 - review_far).alias("r"), F.count(other).alias("impostor_pairs"), rnd(F.avg(other), 4).alias("impostor_mean"), F.count_if(same).alias("n_same"))
-    both = F.assert_true((F.col("impostor_pairs") > 0) & (F.col("n_same") > 0), F.lit("thresholds need pairs of one identity and of two"))
-    genuine = pairs.where(same).select("sim").join(F.broadcast(cut.where(both.isNull())))  # cut is one row
-    out = genuine.groupBy("m", "r", "impostor_pairs", "impostor_mean").agg(F.count("*").alias("genuine_pairs"), rnd(F.avg("sim"), 4).alias("genuine_mean"), rnd(F.avg((F.col("sim") >= F.col("m")).cast("double")), 4).alias("genuine_accept"))
-    return out.select(rnd(F.col("m"), 4).alias("match_threshold"), rnd(F.col("r"), 4).alias("review_threshold"), "impostor_pairs", "impostor_mean", "genuine_pairs", "genuine_mean", "genuine_accept")
+    """Similarities above which a stranger passes with the rates asked for: exact quantiles, interpolated, of the scores of
+    pairs of two identities, from how many pairs have each score (no more than 2,000,001 scores, whatever the pairs)."""
+    counts = block_scores(vectors, vectors, score_counts, "same boolean, millionths long, n long", halves=True)
+    # a row without pairs, so that the check below is made even where no pair is of one identity
+    counts = counts.unionByName(vectors.sparkSession.createDataFrame([(True, 2_000_000, 0)], counts.schema)).groupBy("same", "millionths").agg(F.sum("n").alias("n"))
+    w = W.partitionBy("same").orderBy("millionths")
+    run = counts.withColumn("upto", F.sum("n").over(w)).withColumn("sim", F.col("millionths") / 1e6)
+    run = run.withColumn("all", F.sum("n").over(W.partitionBy("same")))
+    other, pairs = ~F.col("same"), F.col("sim") * F.col("n")
+
+    def quantile(share: float):
+        at = (F.col("all") - 1) * share
+        lo = F.min(F.when(other & (F.col("upto") > F.floor(at)), F.col("sim")))
+        hi = F.min(F.when(other & (F.col("upto") > F.ceil(at)), F.col("sim")))
+        part = F.max(F.when(other, at - F.floor(at)))
+        return lo + (hi - lo) * part
+
+    cut = run.agg(quantile(1 - target_far).alias("m"), quantile(1 - review_far).alias("r"), F.coalesce(F.sum(F.when(other, F.col("n"))), F.lit(0)).alias("impostor_pairs"), F.sum(F.when(other, pairs)).alias("i_sum"), F.coalesce(F.sum(F.when(~other, F.col("n"))), F.lit(0)).alias("genuine_pairs"), F.sum(F.when(~other, pairs)).alias("g_sum"))
+    both = F.assert_true((F.col("impostor_pairs") > 0) & (F.col("genuine_pairs") > 0), F.lit("thresholds need pairs of one identity and of two"))
+    taken = run.where("same").join(F.broadcast(cut.where(both.isNull())))  # cut is one row
+    out = taken.groupBy("m", "r", "impostor_pairs", "i_sum", "genuine_pairs", "g_sum").agg(F.sum(F.when(F.col("sim") >= F.col("m"), F.col("n")).otherwise(0)).alias("accepted"))
+    return out.select(rnd(F.col("m"), 4).alias("match_threshold"), rnd(F.col("r"), 4).alias("review_threshold"), "impostor_pairs", rnd(F.col("i_sum") / F.col("impostor_pairs"), 4).alias("impostor_mean"), "genuine_pairs", rnd(F.col("g_sum") / F.col("genuine_pairs"), 4).alias("genuine_mean"), rnd(F.col("accepted") / F.col("genuine_pairs"), 4).alias("genuine_accept"))
 
 
 def drift(vectors: DataFrame, size: int = 200, least: int = 10) -> DataFrame:

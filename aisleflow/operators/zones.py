@@ -46,18 +46,6 @@ def visits(obs: DataFrame, keys: list[str], order: list[str], enter: int = 2, le
     return out.select(*keys, F.col("visit").cast("int").alias("visit"), "enter_ts", "exit_ts", round_half_away(F.col("exit_ts") - F.col("enter_ts"), 3).alias("dwell_s"), F.col("act.ts").alias("interaction_ts"), F.col("act.rl").alias("run_frames"))
 
 
-def sessions(obs: DataFrame, person: list[str], camera: list[str], ts: str = "ts", gap: float = 1.6) -> DataFrame:
-    """Numbers a person's sessions: a new one starts where the camera's frame before an observation lies more than ``gap``
-    after the person's last observation, as a flush then closed the old one. Camera frames without people must be rows
-    of the frame clock; here every observation's time is a frame."""
-    clock = obs.select(*camera, ts).distinct()
-    clock = clock.withColumn("before", F.lag(ts).over(W.partitionBy(*camera).orderBy(ts)))
-    w = W.partitionBy(*camera, *person).orderBy(ts, "event_id")
-    out = obs.join(clock, [*camera, ts]).withColumn("last_seen", F.lag(ts).over(w))
-    broken = F.coalesce(F.col("before") - F.col("last_seen") > gap, F.lit(False))
-    return out.withColumn("session", F.sum(broken.cast("int")).over(w) + 1).drop("before", "last_seen")
-
-
 def deduplicate(events: DataFrame, keys: list[str], window: float, ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """Keeps an event unless it comes within ``window`` after the last KEPT one of its key. Null keys are values.
 

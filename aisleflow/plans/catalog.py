@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clip_box, foot_point, iou, l2_normalise, quality_ok, role_by_colour, round_half_away, to_measure
 from ..operators import analytics as A
+from ..operators import events as E
 from ..operators import identity as I
 from ..operators import resolver as R_
 from ..operators import tracking as T
@@ -188,7 +189,7 @@ QUERIES = {
     "unmatched_anti": _on_events(A.unmatched),
     "flatten_payload": _on_events(lambda e: e.select("event_id", "event_type", "store_id", "camera_id", "global_id", "role", "zone", "zone_kind", "employee_id", "confidence", "needs_review", F.get_json_object("payload", "$.k").cast("int").alias("payload_k"))),
     "zone_visits": lambda s, d: Z.visits(observations(s, d), VISIT_KEYS, ["ts", "event_id"]),
-    "session_flush": lambda s, d: Z.sessions(observations(s, d), ["global_id"], ["store_id", "camera_id"], gap=DAY).select("event_id", F.col("session").cast("int").alias("session")),
+    "session_flush": lambda s, d: E.flushed(observations(s, d), DAY).select("event_id", (F.col("session") + 1).cast("int").alias("session")),
     "dedup_window": _on_events(lambda e: Z.deduplicate(e, DEDUP_KEYS, 2 * DAY).select("event_id", "global_id", "event_type", "zone")),
     "point_in_zone": point_in_zone,
     "iou_pairs": iou_pairs,
@@ -290,3 +291,14 @@ SQL |= {
 
 QUERIES |= engine.QUERIES
 SQL |= engine.SQL
+
+_OVER = "greatest(0, least(k.x2, o.x2) - greatest(k.x1, o.x1)) * greatest(0, least(k.y2, o.y2) - greatest(k.y1, o.y1))"
+SQL |= {
+    "stream_zone_steps": SQL["zone_visits"].replace("SELECT store_id, global_id, visit, max(enter_ts)", "SELECT * FROM (SELECT store_id, global_id, unnest(['enter', 'interaction', 'exit']) AS step, unnest([enter_ts, interaction_ts, exit_ts]) AS ts, unnest([NULL, NULL, dwell_s]) AS dwell_s FROM (SELECT store_id, global_id, visit, max(enter_ts)") + ")) WHERE ts IS NOT NULL",
+    # one detection after another, in the order of confidence, against those that were kept
+    "nms": f"""WITH RECURSIVE d AS (SELECT concat('store-', frame % 3) AS store_id, concat('cam-', frame % 4) AS camera_id, CAST(floor(frame / 12) AS BIGINT) AS frame, id, (id * 37 % 101) / 100.0::DOUBLE AS confidence, x1, y1, x2, y2 FROM {BOXES}),
+o AS (SELECT *, row_number() OVER (PARTITION BY store_id, camera_id, frame ORDER BY confidence DESC, id, x1, y1, x2, y2) AS n FROM d WHERE confidence >= 0.4),
+m AS (SELECT store_id, camera_id, frame, 1::BIGINT AS n, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS kept, true AS stays, id, confidence FROM o WHERE n = 1
+UNION ALL SELECT o.store_id, o.camera_id, o.frame, o.n, CASE WHEN hidden THEN kept ELSE list_append(kept, {{'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2}}) END, NOT hidden, o.id, o.confidence FROM (SELECT m.kept, o.*, len(list_filter(m.kept, lambda k: {_OVER} / ((k.x2 - k.x1) * (k.y2 - k.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) - {_OVER}) > 0.2)) > 0 AS hidden FROM m JOIN o ON o.store_id = m.store_id AND o.camera_id = m.camera_id AND o.frame = m.frame AND o.n = m.n + 1) o)
+SELECT store_id, camera_id, frame, id, confidence FROM m WHERE stays""",
+}
