@@ -2,7 +2,8 @@
 
 Each stage takes what its predecessor kept and was written as Parquet. All but the last return the columns of documents.
 Defined results: null and empty texts have no language and go in the first stage; null ids are kept but never linked as
-near-duplicates; an empty table stays empty; repeated rows stay until the third stage keeps one of them.
+near-duplicates; an empty table stays empty; repeated rows stay until the third stage keeps one of them; columns beside
+those of documents pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
