@@ -213,6 +213,7 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def sanitise(df: DataFrame, text_col: str = "text", **thresholds) -> DataFrame:
-    """df with the text's spans masked."""
-    names = df.columns
-    return find(df, text_col, **thresholds).withColumn(text_col, masked(F.col(text_col), F.concat("base", "extra"))).select(*[F.col(c) for c in names])
+    """df with the text's spans masked; all other columns stay as they are, whatever their names."""
+    packed = df.select(F.struct(*df.columns).alias("__row"), F.col(text_col).alias("__text"))
+    found = find(packed, "__text", **thresholds).withColumn("__text", masked(F.col("__text"), F.concat("base", "extra")))
+    return found.select(*[(F.col("__text") if c == text_col else F.col("__row")[c]).alias(c) for c in df.columns])
