@@ -1,9 +1,12 @@
 """Secret scans: pattern candidates, and a random forest that removes false positives.
 
-A candidate is a run of at least 16 key characters, or a value of 6 to 15 that is assigned to a key word. Its features are length, shares of character classes and transitions
-between them, entropy, how much of it words of the corpus' dictionary cover, whether it looks like a path, and what
-stands before it. The forest (Spark's own) learns from labelled findings; the query labels on
-learning rows what is sure on either side (``labelled``), and the forest never sees the rule, only the features.
+A candidate is a run of at least 16 key characters, or a value of 6 to 15 that is assigned to a key word. Its features are
+length, shares of character classes and transitions between them, entropy, how much of it words of the corpus' dictionary
+cover, whether it looks like a path, what stands right before it, and the neighbouring words of its line (three before,
+two after), hashed to SLOTS. The forest (Spark's own) learns from labelled findings and never sees a rule, only the
+features. The tables hold no labelled findings, so the query labels on learning rows what is sure on either side
+(``labelled``): issuers' formats and assigned values of high entropy on one, and on the other words and paths, and runs of
+the very same formats that their neighbours call a commit, a digest or an example. What is unclear is left out.
 
 Defined results: null and empty texts give no finding; overlapping candidates can't arise (runs are maximal, and a short
 value lies outside them); rows with a null id are scanned too; without
@@ -18,8 +21,8 @@ import re
 from bisect import bisect_right
 from collections import Counter
 
-import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -33,6 +36,9 @@ KEY_WORDS = ("password", "passwd", "secret", "token", "api", "key", "auth", "cre
 ASSIGNED = re.compile(r"(?i)(?:" + "|".join(KEY_WORDS) + r")[A-Za-z0-9_.-]{0,16}[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?([A-Za-z0-9+/_.=-]{6,15})(?![A-Za-z0-9+/_.=-])")
 #: Issuers' fixed formats, in upper or lower case.
 FORMATS = r"(?i)^(?:AKIA[0-9A-Z]{16}|[0-9a-f]{40}|password=[0-9a-f]{18}|gh[pousr]_[A-Za-z0-9]{36}|[sr]k_(?:live|test)_[0-9A-Za-z]{10,}|xox[abeoprs]-[0-9A-Za-z-]{10,}|eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_=-]+)$"
+#: Neighbours that say that what follows is no secret, whatever it looks like.
+HARMLESS = r"(?i)\b(?:commit|rev|revision|sha|sha1|sha256|md5|digest|checksum|etag|blob|tree|hash|example|dummy|sample|placeholder)\b[^A-Za-z0-9\n]{0,4}$"
+SLOTS, NEAR = 16, re.compile("[a-z]+")
 SCHEMA = "doc_id long, start int, end int, finding string, before string, features array<double>"
 
 
@@ -40,7 +46,15 @@ def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def features(run: str, before: str, common: frozenset[str]) -> list[float]:
+def neighbours(before: str, after: str) -> list[float]:
+    """The words around a run, on its line, hashed to SLOTS."""
+    out = [0.0] * SLOTS
+    for w in [*NEAR.findall(before.lower())[-3:], *NEAR.findall(after.lower())[:2]]:
+        out[xxhash.xxh32_intdigest(w) % SLOTS] += 1.0
+    return out
+
+
+def features(run: str, before: str, common: frozenset[str], after: str = "") -> list[float]:
     kinds = [_kind(c) for c in run]
     n = len(run)
     shares = [kinds.count(k) / n for k in range(4)]
@@ -52,7 +66,7 @@ def features(run: str, before: str, common: frozenset[str]) -> list[float]:
         covered += size
         at += size or 1
     near = before.lower()
-    return [float(n), *shares, moves, entropy, covered / n, float("/" in run or "." in run), float("=" in run or near.rstrip("\"' ").endswith(("=", ":"))), float(any(w in near or w in low for w in KEY_WORDS)), float(sum(c in "0123456789abcdef" for c in low) / n)]
+    return [float(n), *shares, moves, entropy, covered / n, float("/" in run or "." in run), float("=" in run or near.rstrip("\"' ").endswith(("=", ":"))), float(any(w in near or w in low for w in KEY_WORDS)), float(sum(c in "0123456789abcdef" for c in low) / n), *neighbours(before, after)]
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", size: int = 2000) -> frozenset[str]:
@@ -82,19 +96,21 @@ def candidates(docs: DataFrame, common: frozenset[str], id_col: str = "doc_id",
         for pdf in batches:
             out = []
             for i, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                runs = [(m.start(), m.end(), m.group()) for m in RUN.finditer(t or "")]
+                t = t or ""
+                runs = [(m.start(), m.end(), m.group()) for m in RUN.finditer(t)]
                 ends = [e for _, e, _ in runs]
-                for m in ASSIGNED.finditer(t or ""):
+                places = []
+                for m in ASSIGNED.finditer(t):
                     k = bisect_right(ends, m.start(1))
                     if k == len(runs) or runs[k][0] >= m.end(1):
-                        short = m.group(1).rstrip(".-=") if not m.group(1).endswith("==") else m.group(1)
-                        if len(short) >= 6:
-                            out.append((i, m.start(1), m.start(1) + len(short), short, t[max(0, m.start(1) - 24) : m.start(1)], features(short, t[max(0, m.start(1) - 24) : m.start(1)], shared.value)))
-                for start, _, run in runs:
-                    run = run.rstrip(".-=") if not run.endswith("==") else run
-                    if len(run) >= 16:
-                        before = t[max(0, start - 24) : start]
-                        out.append((i, start, start + len(run), run, before, features(run, before, shared.value)))
+                        places.append((m.start(1), m.group(1), 6))
+                places += [(start, run, 16) for start, _, run in runs]
+                for start, run, least in places:
+                    run = run if run.endswith("==") else run.rstrip(".-=")
+                    if len(run) >= least:
+                        end = start + len(run)
+                        before, after = t[max(0, start - 96) : start].rsplit("\n", 1)[-1], t[end : end + 48].split("\n", 1)[0]
+                        out.append((i, start, end, run, before, features(run, before, shared.value, after)))
             found = pd.DataFrame(out, columns=["doc_id", "start", "end", "finding", "before", "features"], dtype=object)
             yield found.assign(doc_id=pd.array([None if i is None else int(i) for i in found["doc_id"]], dtype="Int64"))
 
@@ -103,11 +119,12 @@ def candidates(docs: DataFrame, common: frozenset[str], id_col: str = "doc_id",
 
 
 def labelled(found: DataFrame) -> DataFrame:
-    """found with label: 1 for issuers' formats and assigned values of high entropy, 0 for runs of dictionary words and paths, null for what is unclear."""
+    """found with label: 0 for what its neighbours call harmless, 1 for issuers' formats and assigned values of high entropy,
+    0 for runs of dictionary words and paths, null for what is unclear."""
     at = lambda k: F.col("features")[k]
     assigned = (at(9) == 1) & (at(10) == 1) & (at(3) >= 0.15) & (at(7) < 0.5) & (at(6) >= 0.8 * F.log2(F.least(at(0), F.lit(16.0))))
     plain = ((at(3) == 0) & (at(7) >= 0.6)) | ((at(8) == 1) & (at(3) < 0.1) & (at(7) >= 0.4))
-    return found.withColumn("label", F.when(F.col("finding").rlike(FORMATS) | assigned, 1).when(plain, 0))
+    return found.withColumn("label", F.when(F.col("before").rlike(HARMLESS), 0).when(F.col("finding").rlike(FORMATS) | assigned, 1).when(plain, 0))
 
 
 def fit(labelled: DataFrame, max_findings: int = 20_000, trees: int = 20, depth: int = 6, seed: int = 1):
