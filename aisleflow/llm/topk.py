@@ -1,11 +1,15 @@
-"""Exact top-k by inner product: a ball tree for each shard, searched by branch and bound.
+"""Exact top-k by inner product: ball trees over shards of near vectors, searched by branch and bound.
 
-Vectors become integers floor(scale * x). Candidates are dealt to shards by a hash of their id; one task builds a
-shard's tree: nodes hold a centre and a radius, leaves up to LEAF vectors. No inner product in a node exceeds
-q.centre + |q| radius. Queries travel in blocks of BLOCK. Each block first meets one shard, which gives every query a
-kth score; the block then carries these to all other shards, where nodes are visited in falling order of their bound and
-skipped when it lies below the query's kth score, which rises as leaves are read. Nodes and queries are bounded in
-memory, and each pair of block and shard is a row of its own, so a lost task repeats little.
+Vectors become integers floor(scale * x). At most PIVOTS of them, drawn by a hash, split space into cells; a cell's vectors
+are dealt to shards of about SHARD, and one task builds a shard's tree: nodes hold a centre and a radius, leaves up to LEAF
+vectors. No inner product in a node exceeds q.centre + |q| radius. Queries travel in blocks of up to BLOCK of one cell.
+
+A block first meets a shard of its own cell, which gives its queries a kth score. Then all shards' root balls are held
+against all blocks' balls, slim rows without vectors; shards whose bound lies below a block's least kth score fall out, the
+others are ordered by it. Rounds follow, of 4 shards, then 16, and so on: each round's tasks start from the kth scores that
+the rounds before have given, so they skip shards and nodes that can no longer matter. Within a tree nodes are visited in
+falling order of their bound, and the kth score rises as leaves are read. Each pair of block and shard is a row of its own,
+so a lost task repeats little; a block's state is written after each round.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components (or ones beyond 1e150, whose products
 doubles don't hold) take no part, nor do rows with a null id; products and sums are exact however large, and a score beyond
@@ -21,12 +25,15 @@ import pickle
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from .common import materialise
 
-LEAF, BLOCK, SHARD = 64, 256, 4096
+LEAF, BLOCK, SHARD, PIVOTS = 64, 256, 4096, 1024
 
 
 def _matrix(rows) -> np.ndarray:
@@ -121,56 +128,100 @@ def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: s
     finite = F.forall(F.col(vector_col), lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double")) <= 1e150), F.lit(False)))
     rows = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).where(finite)
     rows = rows.select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vector_col), scale).alias("v"), F.size(vector_col).alias("dim"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    totals = {r["dim"]: (r["n"], r["m"]) for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("q").alias("m")).collect()}
-    if not totals:
-        totals = {0: (0, 0)}
-    by_dim = lambda f: F.create_map(*[F.lit(x) for d, t in totals.items() for x in (d, f(t))])[F.col("dim")]
-    n_shards, n_blocks = by_dim(lambda t: max(1, -(-t[0] // SHARD))), by_dim(lambda t: max(1, -(-t[1] // BLOCK)))
+    totals = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    pivots = {d: _matrix([r["v"] for r in rows.where(F.col("dim") == d).orderBy(F.xxhash64("id", F.lit(4)), "id").limit(min(PIVOTS, -(-n // SHARD))).collect()]).astype(np.float64) for d, n in totals.items()}
+
+    def cell(batches):
+        for batch in batches:
+            out = np.empty(batch.num_rows, np.int64)
+            dims = batch["dim"].to_numpy()
+            for d in np.unique(dims):
+                own = np.flatnonzero(dims == d)
+                v, p = np.array(batch["v"].take(pa.array(own)).to_pylist(), np.float64), pivots[int(d)]
+                out[own] = np.argmin((p * p).sum(1)[None] - 2 * (v @ p.T), axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "cell"])
+
+    placed = lambda part: part.mapInArrow(cell, T.StructType([*part.schema.fields, T.StructField("cell", T.LongType())]))
+    # at most PIVOTS rows for a length of vectors
+    sizes = placed(rows).groupBy("dim", "cell").agg(F.ceil(F.count("*") / SHARD).alias("shards"), F.greatest(F.ceil(F.count_if("q") / BLOCK), F.lit(1)).alias("blocks"))
+    sizes = F.broadcast(materialise(sizes, "topk-sizes"))
+    dealt = lambda part, seed, n: F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n))
+
+    def ball(m: np.ndarray) -> tuple[list[float], float]:
+        centre = m.astype(np.float64).mean(0)
+        return centre.tolist(), float(np.sqrt(((m.astype(np.float64) - centre) ** 2).sum(1).max())) * (1 + 1e-9) + 1e-6
 
     def plant(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         m = _matrix(pdf["v"])
         order, nodes = build(m)
+        centre, radius = ball(m)
         blob = pickle.dumps((pdf["id"].to_numpy()[order], m[order].astype(np.int32) if m.dtype == float and np.abs(m).max() < 2**31 else m[order], nodes))
-        return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "tree": [blob]})
+        return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "centre": [centre], "radius": [radius], "tree": [blob]})
 
-    shard = F.pmod(F.xxhash64("id", F.lit(3)), n_shards).cast("int")
-    trees = materialise(rows.withColumn("shard", shard).groupBy("dim", "shard").applyInPandas(plant, "dim int, shard int, tree binary"), "topk-trees")
+    trees = placed(rows.select("id", "v", "dim")).join(sizes, ["dim", "cell"]).withColumn("shard", dealt(rows, 3, "shards")).groupBy("dim", "shard")
+    trees = materialise(trees.applyInPandas(plant, "dim int, shard long, centre array<double>, radius double, tree binary"), "topk-trees")
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "block": [pdf["block"].iloc[0]], "queries": [pickle.dumps((pdf["id"].tolist(), _matrix(pdf["v"]), [[] for _ in range(len(pdf))]))]})
-
-    asked = rows.where("q").groupBy("id", "dim").agg(F.min("v").alias("v")).groupBy("id").agg(F.min(F.struct("dim", "v")).alias("s")).select("id", "s.dim", "s.v")
-    blocks = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(9)), n_blocks).cast("int")).groupBy("dim", "block").applyInPandas(gather, "dim int, block int, queries binary")
-    home = F.pmod(F.col("block"), n_shards).cast("int")
-
-    def meet(final: bool):
-        def each(batches):
-            for pdf in batches:
-                for dim, block, shard_, raw, tree in zip(pdf["dim"], pdf["block"], pdf["shard"], pdf["queries"], pdf["tree"], strict=True):
-                    own, q, best = pickle.loads(raw)
-                    ids, vectors, nodes = pickle.loads(tree)
-                    given = [set(b) for b in best]
-                    if final and shard_ == block % shards_of[dim]:  # met before: hand on what it gave
-                        out = [(own[n], _in_range(-s), c) for n, b in enumerate(best) for s, c in b]
-                        yield pd.DataFrame(out, columns=["query_id", "score", "vec_id"]).astype("int64")
-                        continue
-                    search(q, own, best, ids, vectors if vectors.dtype == object else vectors.astype(np.float64), nodes, k)
-                    if not final:
-                        yield pd.DataFrame({"dim": [dim], "block": [block], "queries": [pickle.dumps((own, q, best))]})
-                    else:
-                        out = [(own[n], _in_range(-s), c) for n, b in enumerate(best) for s, c in b if (s, c) not in given[n]]
-                        yield pd.DataFrame(out, columns=["query_id", "score", "vec_id"]).astype("int64")
-
-        return each
-
-    shards_of = {d: max(1, -(-t[0] // SHARD)) for d, t in totals.items()}
-    first = blocks.withColumn("shard", home).join(trees, ["dim", "shard"]).mapInPandas(meet(False), "dim int, block int, queries binary")
-    first = materialise(first, "topk-first")
-    dealt = first.withColumn("shard", F.explode(F.sequence(F.lit(0), n_shards - 1).cast("array<int>")))
-    found = dealt.join(trees, ["dim", "shard"]).mapInPandas(meet(True), "query_id long, score long, vec_id long")
-    one = F.struct((-1 - F.col("score")).alias("s"), F.col("vec_id").alias("c"))  # -score would not hold the least one
-    # each pair of block and shard gives at most k rows for a query
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(one)), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("pos", "b")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.c").alias(id_col), (-1 - F.col("b.s")).alias("score"))
+        m = _matrix(pdf["v"])
+        centre, radius = ball(m)
+        return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "block": [pdf["block"].iloc[0]], "shards": [pdf["shards"].iloc[0]], "centre": [centre], "radius": [radius], "least": [-np.inf], "queries": [pickle.dumps((pdf["id"].tolist(), m))], "best": [pickle.dumps([[] for _ in range(len(pdf))])]})
+
+    state_schema = "dim int, block long, shards long, centre array<double>, radius double, least double, queries binary, best binary"
+    asked = rows.where("q").groupBy("id", "dim").agg(F.min("v").alias("v")).groupBy("id").agg(F.min(F.struct("dim", "v")).alias("s")).select("id", "s.v", "s.dim")
+    state = placed(asked).join(sizes, ["dim", "cell"]).withColumn("block", dealt(asked, 9, "blocks")).groupBy("dim", "block").applyInPandas(gather, state_schema)
+    state = materialise(state, "topk-state")
+
+    def meet(batches):
+        """What a shard adds to a block's best."""
+        for pdf in batches:
+            for dim, block, raw, held, tree in zip(pdf["dim"], pdf["block"], pdf["queries"], pdf["best"], pdf["tree"], strict=True):
+                own, q = pickle.loads(raw)
+                best = pickle.loads(held)
+                ids, vectors, nodes = pickle.loads(tree)
+                given = [set(b) for b in best]
+                search(q, own, best, ids, vectors if vectors.dtype == object else vectors.astype(np.float64), nodes, k)
+                yield pd.DataFrame({"dim": [dim], "block": [block], "added": [pickle.dumps([[x for x in b if x not in g] for b, g in zip(best, given, strict=True)])]})
+
+    def merge(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        best = pickle.loads(old["best"].iloc[0])
+        for raw in new["added"]:
+            best = [sorted(b + x)[:k] for b, x in zip(best, pickle.loads(raw), strict=True)]
+        least = min((-float(b[k - 1][0]) if len(b) >= k else -np.inf for b in best), default=-np.inf)
+        return old.assign(best=[pickle.dumps(best)], least=[least])
+
+    def after(state: DataFrame, pairs: DataFrame) -> DataFrame:
+        added = state.join(pairs, ["dim", "block"]).join(trees.select("dim", "shard", "tree"), ["dim", "shard"]).select("dim", "block", "queries", "best", "tree").mapInPandas(meet, "dim int, block long, added binary")
+        return materialise(state.groupBy("dim", "block").cogroup(added.groupBy("dim", "block")).applyInPandas(merge, state_schema), "topk-state")
+
+    home = F.shiftright("block", 32) * (1 << 32) + F.pmod(F.xxhash64("block"), F.col("shards"))
+    state = after(state, state.select("dim", "block", home.alias("shard")))
+
+    def bounds(batches):
+        """No inner product of a block's query and a shard's vector is greater."""
+        for pdf in batches:
+            bs = []
+            for c, r, o, s in zip(pdf["centre"], pdf["radius"], pdf["c"], pdf["r"], strict=True):
+                c, o = np.asarray(c), np.asarray(o)
+                bs.append(float(c @ o + r * np.sqrt(o @ o) + (np.sqrt(c @ c) + r) * s))
+            yield pdf[["dim", "block", "shard"]].assign(bound=np.array(bs) + 1e-6 * (1 + np.abs(bs)))
+
+    roots = trees.select("dim", "shard", F.col("centre").alias("c"), F.col("radius").alias("r"))
+    others = state.withColumn("home", home).select("dim", "block", "home", "centre", "radius").join(roots, "dim").where("shard <> home")
+    order = W.partitionBy("dim", "block").orderBy(F.desc("bound"), "shard")
+    reach = others.select("dim", "block", "shard", "centre", "radius", "c", "r").mapInPandas(bounds, "dim int, block long, shard long, bound double")
+    reach = reach.join(state.select("dim", "block", "least"), ["dim", "block"]).where("bound >= least").withColumn("rank", F.row_number().over(order))
+    reach = materialise(reach.select("dim", "block", "shard", "bound", "rank"), "topk-pairs")
+    last, done, step = reach.agg(F.coalesce(F.max("rank"), F.lit(0))).first()[0], 0, 4
+    while done < last:
+        now = reach.where((F.col("rank") > done) & (F.col("rank") <= done + step)).join(state.select("dim", "block", "least"), ["dim", "block"]).where("bound >= least")
+        state = after(state, now.select("dim", "block", "shard"))
+        done, step = done + step, 4 * step
+
+    def given(batches):
+        for pdf in batches:
+            out = [(q, n, c, _in_range(-s)) for raw, held in zip(pdf["queries"], pdf["best"], strict=True) for q, b in zip(pickle.loads(raw)[0], pickle.loads(held), strict=True) for n, (s, c) in enumerate(b, 1)]
+            yield pd.DataFrame(out, columns=["query_id", "rank", id_col, "score"]).astype({"query_id": "int64", "rank": "int32", id_col: "int64", "score": "int64"})
+
+    return state.select("queries", "best").mapInPandas(given, f"query_id long, rank int, `{id_col}` long, score long")

@@ -316,6 +316,25 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_top_k_in_many_shards(spark, monkeypatch):
+    """Clustered vectors, many shards, blocks and rounds, repeated rows, two lengths: against all pairs."""
+    for name, n in (("SHARD", 20), ("BLOCK", 4), ("LEAF", 4)):
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(4)
+    rows = [(k, (rng.normal(size=4) * 0.1 + 4 * np.eye(4)[k % 4]).round(2).tolist()) for k in range(900)] + [(k, rng.normal(size=3).round(2).tolist()) for k in range(900, 960)]
+    rows += rows[:40]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    queries = {i: v for i, v in whole if i % 50 == 0}
+    for i, q in queries.items():
+        best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in whole if j != i and len(v) == len(q))[:5]
+        assert sorted(got.pop(i)) == [(n, j, -s) for n, (s, j) in enumerate(best, 1)]
+    assert not got
+
+
 def test_secrets(spark):
     docs = spark.createDataFrame([(k, f"deploy password={hashlib.md5(str(k).encode()).hexdigest()[:18]} and averyverylongcompoundword here", 1) for k in range(60)] + [(100, None, 1), (101, "", 1)], "doc_id long, text string, score int")
     found = secrets.candidates(docs, secrets.dictionary(docs))
