@@ -31,6 +31,17 @@ def windowed_summary(events: DataFrame, window: str = "10 minutes", late: str =
     )
 
 
+def windowed_health(events: DataFrame, window: str = "10 minutes", late: str = "5 minutes") -> DataFrame:
+    """A camera's decisions by window: how many, how sure, how many to review, how many people."""
+    timed = events.withWatermark("event_time", late)
+    return timed.groupBy(F.window("event_time", window), "store_id", "camera_id").agg(
+        F.count("*").alias("decisions"),
+        F.round(F.avg("confidence"), 6).alias("mean_confidence"),
+        F.round(F.count_if("needs_review") / F.count("*"), 6).alias("review_ratio"),
+        F.approx_count_distinct("global_id").alias("people"),
+    )
+
+
 def _timeout(seconds: int | None) -> str:
     """State timeouts suit streams that go on; a stream that ends with the available data would never end with them."""
     return GroupStateTimeout.ProcessingTimeTimeout if seconds else GroupStateTimeout.NoTimeout

@@ -9,7 +9,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from aisleflow.functions import hooks
+from aisleflow.functions import hooks, pixels
 from aisleflow.operators import analytics, events, identity, zones
 from aisleflow.sources import datasets, stores
 from aisleflow.sources.events import append_table, flatten, read_lines, write_lines
@@ -182,3 +182,57 @@ def test_hooks(spark):
     crops = spark.createDataFrame([(1, bytearray(b"abc")), (2, None)], "id long, crop binary")
     out = crops.select("id", hooks.embed_with(lambda s: s.map(lambda b: [float(len(b))]), F.col("crop")).alias("v"), hooks.classify_with(lambda s: pd.DataFrame({"role": ["customer"] * len(s), "confidence": [0.5] * len(s)}), F.col("crop")).alias("r"))
     assert {r.id: (r.v, r.r.role) for r in out.collect()} == {1: ([3.0], "customer"), 2: (None, "customer")}
+
+
+def test_colour_histograms_and_roles(spark):
+    rng = np.random.default_rng(1)
+    crops = [np.full((20, 10, 3), c, np.uint8) for c in ((255, 0, 0), (0, 255, 0), (0, 0, 255), (40, 40, 40))] + [rng.integers(0, 256, (31, 17, 3)).astype(np.uint8), np.zeros((0, 0, 3), np.uint8)]
+    rows = [(k, bytearray(a.tobytes()), a.shape[1], a.shape[0]) for k, a in enumerate(crops)] + [(9, bytearray(b"abc"), 5, 5), (10, None, 1, 1)]
+    df = spark.createDataFrame(rows, "id int, crop binary, w int, h int")
+    out = {r.id: r for r in df.select("id", pixels.embedded("crop", F.col("w"), F.col("h")).alias("v"), pixels.role_of_crop(F.col("crop"), F.col("w"), F.col("h"), [40, 40, 40]).alias("r")).collect()}
+    for k, hue in ((0, 120), (1, 60), (2, 0)):
+        at = [i for i, x in enumerate(out[k].v) if x]
+        assert at == [((hue * 8 // 180) * 4 + 3) * 4 + 3 + 128 * part for part in (0, 1)] and np.allclose([out[k].v[i] for i in at], 2**-0.5)
+    assert all(abs(np.linalg.norm(out[k].v) - 1) < 1e-5 for k in range(5)) and not any(out[5].v) and out[9].v is None and out[10].v is None
+    assert out[3].r.role == "employee" and out[3].r.confidence == 1.0 and out[0].r.role == "customer" and out[5].r.role == out[10].r.role == "unknown"
+
+
+def test_blobs(spark):
+    rng = np.random.default_rng(2)
+    frame = np.full((60, 80, 3), 90, np.uint8)
+    frame[10:40, 5:20] = (10, 200, 30)
+    frame[20:50, 40:60] = (200, 20, 10)
+    frame[22:24, 45:50] = 90  # a gap that closing fills
+    frame[5, 70] = 255  # a speck
+    rows = [("s", "c", k, bytearray(a.tobytes()), 80, 60) for k, a in enumerate((frame, np.full((60, 80, 3), 7, np.uint8)))]
+    df = spark.createDataFrame(rows, "store_id string, camera_id string, frame long, image binary, width int, height int")
+    got = sorted((r.frame, r.x1, r.y1, r.x2, r.y2) for r in hooks.detect_with(df, pixels.blobs()).collect())
+    assert got == [(0, 5.0, 10.0, 20.0, 40.0), (0, 40.0, 20.0, 60.0, 50.0)]
+    mask = rng.random((40, 40)) < 0.4
+    seen, want = np.zeros_like(mask), 0
+    for y, x in np.argwhere(mask):
+        if not seen[y, x]:
+            want += 1
+            todo = [(y, x)]
+            while todo:
+                a, b = todo.pop()
+                if 0 <= a < 40 and 0 <= b < 40 and mask[a, b] and not seen[a, b]:
+                    seen[a, b] = True
+                    todo += [(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    assert len(pixels.pieces(mask)) == want and sum(map(len, pixels.pieces(mask))) == mask.sum()
+
+
+def test_streamed_health_equals_batch(spark, tmp_path):
+    from aisleflow.sources.events import camera_events
+    from aisleflow.streaming import jobs
+
+    e = camera_events(spark, "/root/testdata/sf0.001").withColumn("event_time", F.timestamp_seconds("ts"))
+    e.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
+    q = jobs.windowed_health(stream, "1 day", "0 seconds").writeStream.format("memory").queryName("health").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    key = lambda r: (r.window.start, r.store_id, r.camera_id)
+    got = {key(r): r for r in spark.table("health").collect()}
+    want = e.groupBy(F.window("event_time", "1 day"), "store_id", "camera_id").agg(F.count("*").alias("n"), F.avg("confidence").alias("c"), F.avg(F.col("needs_review").cast("int")).alias("r")).collect()
+    assert len(got) == len(want)
+    assert all(got[key(w)].decisions == w.n and abs(got[key(w)].mean_confidence - w.c) < 1e-5 and abs(got[key(w)].review_ratio - w.r) < 1e-5 for w in want)
