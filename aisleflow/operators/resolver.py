@@ -18,7 +18,11 @@ def _similar(gallery: dict, vector: np.ndarray, k: int) -> list[tuple[float, str
     return sorted(((float(max(v @ vector for v in vs)), name) for name, vs in gallery.items() if len(vs)), key=lambda s: (-s[0], s[1]))[:k]
 
 
-def resolve(tracks: DataFrame, employees: dict[str, list[list[float]]], match: float = 0.9, review: float = 0.75, ttl: float = 20.0, capacity: int = 20, margin: float = 0.02, reverify: int = 30) -> DataFrame:
+#: The margin between the best two, and after how many observations a track is looked at again.
+MARGIN, REVERIFY = 0.02, 30
+
+
+def resolve(tracks: DataFrame, employees: dict[str, list[list[float]]], match: float = 0.9, review: float = 0.75, ttl: float = 20.0, capacity: int = 20, margin: float = MARGIN, reverify: int = REVERIFY) -> DataFrame:
     """Global ids of observations (store_id, camera_id, track_id, id, role, embedding, ts), each store by itself in the
     order of ts, camera, track. ``employees`` is the enrolled gallery, at most ``capacity`` vectors each (the last ones):
     its size is that of a store's staff, not of the data.

@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.columns import iou
 from .ordered import fold_in_order
@@ -70,6 +69,7 @@ class Motion:
     """Constant-velocity filters of all tracks of a camera at once; the state is (cx, cy, area, aspect and the
     velocities of the first three)."""
 
+    #: Noise of measurement, of motion, and of a new track.
     STEP = np.eye(7) + np.eye(7, k=4)
     SEEN = np.diag([1.0, 1.0, 10.0, 10.0])
     DRIFT = np.diag([1.0, 1.0, 1.0, 1.0, 0.01, 0.01, 0.0001])
@@ -171,10 +171,3 @@ def track(detections: DataFrame, max_age: int = 15, min_hits: int = 2, overlap:
 
     cols = ["store_id", "camera_id", "frame", "id", "x1", "y1", "x2", "y2"]
     return fold_in_order(detections.select(*cols), ["store_id", "camera_id"], ["frame", "id"], make, TRACKS)
-
-
-def continuous(tracks: DataFrame) -> DataFrame:
-    """Numbers the unbroken stretches of a track: one missed frame ends what is cached of it."""
-    w = W.partitionBy("store_id", "camera_id", "track_id").orderBy("frame")
-    gap = F.coalesce(F.col("frame") - F.lag("frame").over(w) > 1, F.lit(False))
-    return tracks.withColumn("stretch", F.sum(gap.cast("int")).over(w))

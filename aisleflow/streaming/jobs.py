@@ -116,7 +116,8 @@ def run_available(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
 
 
 def upsert_latest(stream: DataFrame, keys: list[str], ts: str, path: str, checkpoint: str):
-    """Keeps the newest row of each key (camera heartbeats) in a table that each batch writes anew under its number."""
+    """Keeps the newest row of each key (camera heartbeats) in a table, as small as there are keys, that each batch writes anew under its number;
+    only the last two are kept."""
 
     def merge(batch: DataFrame, n: int) -> None:
         spark, own = batch.sparkSession, batch
@@ -124,6 +125,9 @@ def upsert_latest(stream: DataFrame, keys: list[str], ts: str, path: str, checkp
             own = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/batch={n - 1}"))
         newest = own.groupBy(*keys).agg(F.max_by(F.struct(*own.columns), F.col(ts)).alias("r")).select("r.*")
         newest.write.mode("overwrite").parquet(f"{path}/batch={n}")
+        if n > 1:  # a batch that is repeated reads the one before, so that one stays
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={n - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("append")
 

@@ -236,3 +236,37 @@ def test_streamed_health_equals_batch(spark, tmp_path):
     want = e.groupBy(F.window("event_time", "1 day"), "store_id", "camera_id").agg(F.count("*").alias("n"), F.avg("confidence").alias("c"), F.avg(F.col("needs_review").cast("int")).alias("r")).collect()
     assert len(got) == len(want)
     assert all(got[key(w)].decisions == w.n and abs(got[key(w)].mean_confidence - w.c) < 1e-5 and abs(got[key(w)].review_ratio - w.r) < 1e-5 for w in want)
+
+
+def test_heartbeats_keep_the_newest(spark, tmp_path):
+    from aisleflow.streaming import jobs
+
+    schema = "store_id string, camera_id string, ts double, note string"
+    for k in range(4):
+        spark.createDataFrame([("s", "c", float(k), f"n{k}"), ("s", f"d{k}", 0.0, "once")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = jobs.upsert_latest(stream, ["store_id", "camera_id"], "ts", str(tmp_path / "t"), str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    kept = sorted(p.name for p in (tmp_path / "t").iterdir())
+    assert kept == ["batch=2", "batch=3"]
+    assert sorted((r.camera_id, r.note) for r in spark.read.parquet(str(tmp_path / "t" / "batch=3")).collect()) == [("c", "n3"), *((f"d{k}", "once") for k in range(4))]
+
+
+def test_posted_batches(spark, tmp_path):
+    from aisleflow.streaming import jobs
+
+    spark.createDataFrame([(k, None) for k in range(7)], "id int, note string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = tmp_path / "posted"
+    out.mkdir()
+
+    def post(lines):
+        import uuid
+
+        (out / uuid.uuid4().hex).write_text("\n".join(lines))
+
+    stream = spark.readStream.schema("id int, note string").parquet(str(tmp_path / "in"))
+    jobs.post_batches(stream, post, str(tmp_path / "c"), rows=3).trigger(availableNow=True).start().awaitTermination()
+    sent = [p.read_text().splitlines() for p in out.iterdir()]
+    assert sorted(map(len, sent)) == [1, 3, 3] and sorted(json.loads(x)["id"] for b in sent for x in b) == list(range(7)) and all("note" in json.loads(x) for b in sent for x in b)
+    jobs.writer(stream, "jsonl", str(tmp_path / "c2"), path=str(tmp_path / "lines")).trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.json(str(tmp_path / "lines")).count() == 7
