@@ -4,11 +4,12 @@ Each language gets a codeword of +1 and -1; for each bit a logistic classifier o
 whole text predicts it. Decoding takes the codeword of the smallest logistic loss, summed over the bits with weights
 from their accuracy in training; a small gap to the second nearest is flagged as ambiguous.
 
-The model is fitted on at most about ``max_docs`` labelled rows, dealt evenly to the languages by a hash of the row;
-counts of languages cover all rows. Its size is bounded by DIMS x bits.
+The model is fitted on at most about ``max_docs`` labelled keys, dealt evenly to the languages by a hash of the key;
+counts of languages cover all rows. Its size is bounded by DIMS x bits. More than MOST_LANGS languages are refused, as
+their codewords would grow with them.
 
 Defined results: a text that is null or has no letter gives `und` with score 0 and isn't ambiguous; without any
-training row all texts give `und`; with one language every text with a letter is that language, score 1; repeated rows
+training row all texts give `und`; a key that is repeated in a language teaches its smallest text; with one language every text with a letter is that language, score 1; repeated rows
 are predicted each; other columns pass through, but for those named like an output, which are replaced.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from .bpe import slices
 from .common import unit_hash
 
-DIMS = 1 << 13
+DIMS, MOST_LANGS = 1 << 13, 1000
 UNDECIDED = "und"
 _letters: list[np.ndarray] = []
 
@@ -99,8 +100,10 @@ class Model:
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", max_docs: int = 2000, min_gap: float = 0.2) -> Model:
     """Learn from rows with a language; at most about max_docs of them are used, in equal shares."""
     train = train.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(key_col).alias("key"))
-    counts = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
     langs = sorted(counts)
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     empty = Model([], np.ones((0, 1)), np.zeros((DIMS, 1), np.float32), np.zeros(1), np.ones(1), min_gap)
     if not langs:
         return empty
@@ -115,7 +118,8 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", key_co
                     out_x.append(x.tobytes()), out_y.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(out_x, pa.binary()), pa.array(out_y, pa.string())], ["x", "y"])
 
-    rows = train.where(unit_hash(F.col("key"), F.lit(11)) < part[F.col("lang")]).mapInArrow(vectors, "x binary, y string").limit(2 * max_docs).collect()
+    drawn = train.where(unit_hash(F.col("key"), F.lit(11)) < part[F.col("lang")]).groupBy("key", "lang").agg(F.min("text").alias("text"))
+    rows = drawn.mapInArrow(vectors, "x binary, y string").collect()
     if not rows:
         return empty
     X = np.stack([np.frombuffer(r["x"], np.float32) for r in rows])
