@@ -4,7 +4,8 @@ A document's tokens, its end mark included, are cut into pieces of ``seq_len`` a
 the rest's length is the sum, largest first. Each piece is a sequence of its own, so no sequence crosses documents and
 none holds padding; equal lengths share a bucket, from which batches of one shape are drawn. Nothing is gathered:
 the cut is local to a document, and a sequence's number holds its bucket in the low four bits (its log2) above which
-stands Spark's unique row number, so numbering needs no shuffle however hot a bucket is.
+stands Spark's unique row number, so numbering needs no shuffle however hot a bucket is. The numbers of a repeated task are
+the same: short texts are read and cut in the order of their file, long ones come from groups that Spark sorts by key.
 
 Defined results: null ids count as none, so such a document is its end mark alone; repeated rows are packed each;
 other columns go unless named in ``keep``; an empty table gives no piece.

@@ -77,6 +77,42 @@ def test_language(spark):
         assert len({tuple(r) for r in code}) == k
 
 
+def test_language_by_brute_force(spark):
+    """Features, and the decoding of the nearest codeword, against plain loops; one language, and a very long text."""
+
+    def slots(text):
+        raw = [c if c.isalpha() else " " for c in text.lower()]
+        kept = [c for k, c in enumerate(raw) if c != " " or k + 1 == len(raw) or raw[k + 1] != " "]
+        x = [ord(c) for c in [" ", *kept, " "]]
+        out = Counter()
+        for k in range(len(x)):
+            g1 = x[k]
+            out[((g1 * 0x9E3779B1 + 0x27D4EB2F) % 2**32) >> 19] += 1
+            if k + 1 < len(x):
+                g2 = (x[k] * 0x85EBCA6B + x[k + 1]) % 2**32
+                out[((g2 * 0x9E3779B1 + 2 * 0x27D4EB2F) % 2**32) >> 19] += 1
+            if k + 2 < len(x):
+                g3 = (g2 * 0xC2B2AE35 + x[k + 2]) % 2**32
+                out[((g3 * 0x9E3779B1 + 3 * 0x27D4EB2F) % 2**32) >> 19] += 1
+        v = np.zeros(langid.DIMS)
+        for k, n in out.items():
+            v[k] = np.sqrt(n)
+        return v / np.linalg.norm(v)
+
+    for text in ("Grüße, 12 mal!", "a", "  x--y  ", "日本 text"):
+        assert np.allclose(langid.features(text), slots(text), atol=1e-6)
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(df.where(~held_out(F.col("doc_id"))))
+    for r in df.limit(30).collect():
+        if (x := langid.features(r.text)) is not None:
+            f = x @ model.weights + model.bias
+            loss = [sum(w * np.log1p(np.exp(-c * b)) for w, c, b in zip(model.bit_weights, code, f, strict=True)) for code in model.code]
+            assert model.predict(r.text)[0] == model.langs[int(np.argmin(loss))]
+    one = langid.fit(df.where("lang = 'de'"))
+    long = spark.createDataFrame([(1, "wort und " * 100_000, "y"), (1, "?", "y")], "doc_id long, text string, score string")
+    assert sorted((r.lang_pred, r.score) for r in langid.predict(long, one).collect()) == [("de", 1.0), ("und", 0.0)]
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.01"
     out = catalog.QUERIES["op5_toxicity"](spark, sf).cache()
