@@ -126,7 +126,9 @@ def active_identities(events: DataFrame, ttl: float) -> DataFrame:
 
 
 def dashboard(events: DataFrame, on_floor_s: float) -> DataFrame:
-    shelves = shelf_engagement(events).agg(F.round(F.avg("interaction_rate_pct"), 3).alias("interaction_rate"))
+    # rates have one decimal, so whole tenths are summed, whose sum doesn't hang on the rows' order
+    tenths = F.sum(F.round(F.col("interaction_rate_pct") * 10).cast("long"))
+    shelves = shelf_engagement(events).agg(rnd(F.try_divide(tenths, F.count("*")) / 10, 3).alias("interaction_rate"))
     floor = last_seen(events).where(F.col("ago") < on_floor_s).agg(F.count("*").alias("on_floor"))
     visits = store_visits(events).agg(F.min_by("visitors", "store_id").alias("visitors"))
     totals = events.agg(F.count("*").alias("events"), F.count_distinct("employee_id").alias("employees"), rnd(F.avg(F.col("needs_review").cast("double")), 4).alias("review_ratio"))

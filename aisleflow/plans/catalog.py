@@ -246,7 +246,7 @@ SQL = {
     "recent_feed": _ev("SELECT store_id, camera_id, pos, event_type, coalesce(employee_id, global_id) AS label, ts FROM (SELECT *, row_number() OVER (PARTITION BY store_id, camera_id ORDER BY ts DESC, event_id DESC)::INTEGER AS pos FROM ev) WHERE pos <= 4"),
     "heartbeat_latest": _ev("SELECT store_id, camera_id, ts, event_type, confidence, events FROM (SELECT *, row_number() OVER (PARTITION BY store_id, camera_id ORDER BY ts DESC, event_id DESC) AS pos, count(*) OVER (PARTITION BY store_id, camera_id) AS events FROM ev) WHERE pos = 1"),
     "active_identities": _ev(f"SELECT p.store_id, global_id, role, employee_id, last_seen, cameras FROM (SELECT store_id, global_id, arg_max(role, ts) AS role, max(employee_id) AS employee_id, max(ts) AS last_seen, string_agg(DISTINCT camera_id, ',' ORDER BY camera_id) AS cameras FROM ev GROUP BY ALL) p JOIN (SELECT store_id, max(ts) AS t FROM ev GROUP BY ALL) n ON p.store_id = n.store_id WHERE t - last_seen <= {2 * DAY}"),
-    "dashboard_kpis": _ev(f"SELECT (SELECT arg_min(v, store_id) FROM (SELECT store_id, count(DISTINCT global_id) AS v FROM ev WHERE event_type = 'zone_entered' AND zone_kind = 'entrance' AND role = 'customer' GROUP BY store_id)) AS visitors, (SELECT count(*) FROM (SELECT store_id, global_id, max(ts) AS t FROM ev GROUP BY ALL) JOIN (SELECT store_id, max(ts) AS n FROM ev GROUP BY ALL) USING (store_id) WHERE n - t < {DAY}) AS on_floor, (SELECT round(avg(interaction_rate_pct), 3) FROM ({_SHELF})) AS interaction_rate, count(*) AS events, count(DISTINCT employee_id) AS employees, {R('avg(CASE WHEN needs_review THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)', 4)} AS review_ratio FROM ev"),
+    "dashboard_kpis": _ev(f"SELECT (SELECT arg_min(v, store_id) FROM (SELECT store_id, count(DISTINCT global_id) AS v FROM ev WHERE event_type = 'zone_entered' AND zone_kind = 'entrance' AND role = 'customer' GROUP BY store_id)) AS visitors, (SELECT count(*) FROM (SELECT store_id, global_id, max(ts) AS t FROM ev GROUP BY ALL) JOIN (SELECT store_id, max(ts) AS n FROM ev GROUP BY ALL) USING (store_id) WHERE n - t < {DAY}) AS on_floor, (SELECT {R('sum(round(interaction_rate_pct * 10)::BIGINT)::DOUBLE / count(*) / 10', 3)} FROM ({_SHELF})) AS interaction_rate, count(*) AS events, count(DISTINCT employee_id) AS employees, {R('avg(CASE WHEN needs_review THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)', 4)} AS review_ratio FROM ev"),
     "camera_snapshot": _ev(f"SELECT store_id, camera_id, count(*) AS events, {R('count(*) FILTER (WHERE needs_review) / greatest(count(*), 1)', 6)} AS review_ratio, {R('quantile_cont(confidence, 0.5) FILTER (WHERE r <= 300)', 6)} AS p50, {R('quantile_cont(confidence, 0.95) FILTER (WHERE r <= 300)', 6)} AS p95, {R('avg(confidence) FILTER (WHERE r <= 300)', 6)} AS mean_confidence FROM (SELECT *, row_number() OVER (PARTITION BY store_id, camera_id ORDER BY ts DESC, event_id DESC) AS r FROM ev) GROUP BY store_id, camera_id"),
     "first_seen": _ev("SELECT camera_id, global_id, ts, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY camera_id, global_id ORDER BY ts, event_id) AS r FROM ev) WHERE r = 1"),
     "majority_vote": _ev(", o AS (SELECT global_id, event_id, zone_kind, row_number() OVER (PARTITION BY global_id ORDER BY ts, event_id) AS n FROM ev WHERE zone_kind IS NOT NULL), c AS (SELECT a.global_id, a.event_id, b.zone_kind, count(*) AS votes, min(b.n) AS early FROM o a JOIN o b ON a.global_id = b.global_id AND b.n BETWEEN a.n - 4 AND a.n GROUP BY ALL) SELECT global_id, event_id, zone_kind AS vote FROM (SELECT *, row_number() OVER (PARTITION BY global_id, event_id ORDER BY votes DESC, early) AS r FROM c) WHERE r = 1"),
