@@ -235,6 +235,11 @@ SQL = {
     "frame_clock": "SELECT o_orderkey AS frame, o_orderkey / 25 AS ts FROM orders WHERE o_orderkey % 2 = 0",
     "box_letterbox": f"SELECT id, {R('(x1 + x2) / 2 * 0.5', 4)} AS cx, {R('(y1 + y2) / 2 * 0.5', 4)} AS cy, {R('(x2 - x1) * 0.5', 4)} AS w, {R('(y2 - y1) * 0.5', 4)} AS h, {R('least(640, x2)', 4)} AS x2, {R('least(480, y2)', 4)} AS y2, {R('x1', 4)} AS x1, {R('y1', 4)} AS y1 FROM {LINES}",
     "label_lines": f"SELECT id, printf('%d %.6f %.6f %.6f %.6f', track_id, (x1 + x2) / 2048, (y1 + y2) / 2048, (x2 - x1) / 1024, (y2 - y1) / 1024) AS line FROM {LINES}",
+    "dataset_expansion": f"""WITH b AS (SELECT frame, x1, y1, x2, y2, unnest([1, 2, 3]) AS copy FROM {LINES}),
+m AS (SELECT *, (('0x' || substr(md5(concat(frame, ':', copy, ':1')), 1, 7))::BIGINT % 41 - 20) / 100.0::DOUBLE * 640 AS dx, (('0x' || substr(md5(concat(frame, ':', copy, ':2')), 1, 7))::BIGINT % 41 - 20) / 100.0::DOUBLE * 480 AS dy FROM b),
+p AS (SELECT *, CASE WHEN copy % 2 = 1 THEN 640 - x2 ELSE x1 END + dx AS nx, y1 + dy AS ny, x2 - x1 AS w, y2 - y1 AS h FROM m),
+a AS (SELECT (least(640, greatest(0, nx + w)) - least(640, greatest(0, nx))) * (least(480, greatest(0, ny + h)) - least(480, greatest(0, ny))) AS area, w * h AS whole FROM p)
+SELECT (SELECT count(DISTINCT frame) FROM {LINES}) AS source_images, (SELECT count(DISTINCT frame) FROM {LINES}) * 4 AS written_images, count(*) FILTER (WHERE NOT (area >= 64 AND area >= 0.3::DOUBLE * w0)) AS dropped_boxes FROM (SELECT area, whole AS w0 FROM a)""",
     "photo_counts": f"WITH {_FILES} SELECT concat('emp-', label) AS employee_id, count(*) FILTER (WHERE e <> '.txt') AS photos FROM f GROUP BY label",
     "label_pairs": f"WITH {_FILES} SELECT concat('enrol/emp-', label, '/', vec_id, e) AS image, CASE WHEN vec_id % 2 = 0 THEN concat('enrol/emp-', label, '/', vec_id, '.txt') END AS labels FROM f WHERE e <> '.txt'",
     "detections_kept": f"SELECT store_id, camera_id, frame, id, confidence FROM {LINES} WHERE confidence >= 0.4 AND track_id % 2 = 0 AND x2 - x1 >= 4 AND y2 - y1 >= 4 AND (x2 - x1) * (y2 - y1) >= 900",

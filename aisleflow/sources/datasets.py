@@ -66,10 +66,11 @@ def write_labels(lines: DataFrame, path: str) -> None:
 
 
 def expand(boxes: DataFrame, w: float, h: float, factor: int = 20, least_visible: float = 0.3, least_area: float = 64.0) -> DataFrame:
-    """``factor`` changed copies of each image's boxes (image, id, box): copy n is mirrored if n is odd and moved by a part of
-    the frame that follows from n and the image. ``kept`` says whether enough of a box stays in the frame."""
+    """``factor`` changed copies of each image's boxes (image, id, box): copy n is mirrored if n is odd and moved by up to a
+    fifth of the frame each way, which follows from the digest of the image's name and n. ``kept`` says whether enough of a box stays in the frame."""
     rows = boxes.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(factor))))
-    dx, dy = ((F.pmod(F.xxhash64("image", "copy", F.lit(k)), F.lit(41)) - 20) / 100.0 * side for k, side in ((1, w), (2, h)))
+    drawn = lambda k: F.conv(F.substring(F.md5(F.concat_ws(":", "image", "copy", F.lit(k)).cast("binary")), 1, 7), 16, 10).cast("long")
+    dx, dy = ((drawn(k) % 41 - 20) / 100.0 * side for k, side in ((1, w), (2, h)))
     x1 = F.when(F.col("copy") % 2 == 1, w - F.col("box.x2")).otherwise(F.col("box.x1")) + dx
     wide, high = F.col("box.x2") - F.col("box.x1"), F.col("box.y2") - F.col("box.y1")
     rows = rows.withColumns({"_x": x1, "_y": F.col("box.y1") + dy, "_w": wide, "_h": high})
