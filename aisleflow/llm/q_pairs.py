@@ -1,10 +1,10 @@
-"""Query op6."""
+"""Queries op6 and op13."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup
+from . import neardup, simhash
 from .common import small_batches, table
 
 
@@ -13,6 +13,11 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 #: Shingles as texts, all pairs that share one, and reachability: for small tables.
 SQL_OP6 = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
