@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import iou
-from .ordered import fold_in_order
+from ..sources.events import written
+from .ordered import carried_totals, fold_in_order, idle_segments
 
+CAMERA = ["store_id", "camera_id"]
 TRACKS = "store_id string, camera_id string, frame long, id long, track_id long, hits long, age long"
 
 
@@ -105,6 +107,93 @@ class Motion:
         self.x, self.p = self.x[which], self.p[which]
 
 
+class Tracker:
+    """The live tracks of one camera, frame after frame."""
+
+    COLUMNS = ["store_id", "camera_id", "frame", "id", "track_id", "hits", "age"]
+
+    def __init__(self, key: tuple, max_age: int = 15, min_hits: int = 2, overlap: float = 0.3):
+        self.key, self.max_age, self.min_hits, self.overlap = key, max_age, min_hits, overlap
+        self.motion = Motion()
+        self.live = np.zeros((0, 4), dtype=np.int64)  # track, hits, age, frames missed
+        self.frame, self.created = -1, 0
+        self.open: list[pd.DataFrame] = []
+
+    def held(self) -> tuple:
+        return self.motion.x, self.motion.p, self.live, self.frame, self.created
+
+    def resume(self, held: tuple) -> None:
+        self.motion.x, self.motion.p, self.live, self.frame, self.created = held
+
+    def advance(self, frame: int, ids: np.ndarray, boxes: np.ndarray, out: list) -> None:
+        motion, live = self.motion, self.live
+        where = motion.predict()
+        live[:, 2:] += 1
+        given = np.full(len(live) + len(boxes), -1, dtype=np.int64)
+        new = np.ones(len(boxes), bool)
+        if len(live) and len(boxes):
+            over = overlaps(boxes, where)
+            near = np.flatnonzero((over > 0).any(0))  # a track that meets no box gains nothing from one
+            pairs = [(d, near[t]) for d, t in assign(over[:, near])] if len(near) else []
+            pairs = [(d, t) for d, t in pairs if over[d, t] >= self.overlap]
+            if pairs:
+                seen, hit = np.array(pairs).T
+                motion.correct(hit, boxes[seen])
+                live[hit, 1] += 1
+                live[hit, 3] = 0
+                given[hit], new[seen] = ids[seen], False
+        n = int(new.sum())
+        if n:
+            motion.add(boxes[new])
+            given[len(live) : len(live) + n] = ids[new]
+            live = np.concatenate([live, np.stack([self.created + 1 + np.arange(n), np.ones(n, int), np.zeros(n, int), np.zeros(n, int)], 1)])
+            self.created += n
+        for i in np.flatnonzero((live[:, 3] == 0) & ((live[:, 1] >= self.min_hits) | (frame < self.min_hits))):
+            out.append((*self.key[:2], frame, int(given[i]), *(int(x) for x in live[i, :3])))
+        stay = live[:, 3] <= self.max_age
+        if not stay.all():
+            motion.keep(stay)
+            live = live[stay]
+        self.live = live
+
+    def reported(self, part: pd.DataFrame, last: bool) -> list[tuple]:
+        """What is reported of the rows' frames; of the newest one only if nothing more of it can come (``last``)."""
+        rows = pd.concat([*self.open, part]) if self.open else part
+        self.open = []
+        if not last:  # a frame may go on in the next batch
+            newest = rows["frame"] == rows["frame"].iloc[-1]
+            self.open = [rows[newest]]
+            rows = rows[~newest]
+        out: list = []
+        for frame, d in rows.groupby("frame", sort=True):
+            for empty in range(self.frame + 1, int(frame)):
+                if not len(self.live):
+                    break
+                self.advance(empty, np.zeros(0), np.zeros((0, 4)), out)
+            self.advance(int(frame), d["id"].to_numpy(), d[["x1", "y1", "x2", "y2"]].to_numpy(float), out)
+            self.frame = int(frame)
+        return out
+
+    def step(self, part: pd.DataFrame, last: bool) -> pd.DataFrame:
+        return pd.DataFrame(self.reported(part, last), columns=self.COLUMNS)
+
+
+class _Segment(Tracker):
+    """A tracker of one unbroken stretch, which says at its end how many tracks it began."""
+
+    def step(self, part: pd.DataFrame, last: bool) -> pd.DataFrame:
+        out = [(*r, None, self.key[2]) for r in self.reported(part, last)]
+        if last:
+            out.append((*self.key[:2], *[None] * 5, self.created, self.key[2]))
+        whole = dict.fromkeys([*self.COLUMNS[2:], "begun"], "Int64")
+        return pd.DataFrame(out, columns=[*self.COLUMNS, "begun", "_segment"]).astype(whole)
+
+
+INPUT = ["store_id", "camera_id", "frame", "id", "x1", "y1", "x2", "y2"]
+#: Frames that are looked at together when idle gaps are searched.
+CHUNK = 4096
+
+
 def track(detections: DataFrame, max_age: int = 15, min_hits: int = 2, overlap: float = 0.3) -> DataFrame:
     """Track ids of detections (store_id, camera_id, frame, id, x1, y1, x2, y2), each camera by itself.
 
@@ -112,62 +201,12 @@ def track(detections: DataFrame, max_age: int = 15, min_hits: int = 2, overlap:
     are undone, detections left over begin tracks, tracks unseen for more than ``max_age`` frames end. Reported are
     tracks seen in the frame that have ``min_hits`` hits (or any in the first ``min_hits`` frames, frame 0 being the
     first). Frames without a row count as frames without detections. State is the live tracks alone.
-    """
 
-    def make(key):
-        motion, state = Motion(), {"frame": -1, "next": 1}
-        live = np.zeros((0, 4), dtype=np.int64)  # track, hits, age, frames missed
-
-        def advance(frame: int, ids: np.ndarray, boxes: np.ndarray, out: list) -> None:
-            nonlocal live
-            where = motion.predict()
-            live[:, 2:] += 1
-            given = np.full(len(live) + len(boxes), -1, dtype=np.int64)
-            new = np.ones(len(boxes), bool)
-            if len(live) and len(boxes):
-                over = overlaps(boxes, where)
-                near = np.flatnonzero((over > 0).any(0))  # a track that meets no box gains nothing from one
-                pairs = [(d, near[t]) for d, t in assign(over[:, near])] if len(near) else []
-                pairs = [(d, t) for d, t in pairs if over[d, t] >= overlap]
-                if pairs:
-                    seen, hit = np.array(pairs).T
-                    motion.correct(hit, boxes[seen])
-                    live[hit, 1] += 1
-                    live[hit, 3] = 0
-                    given[hit], new[seen] = ids[seen], False
-            n = int(new.sum())
-            if n:
-                motion.add(boxes[new])
-                given[len(live) : len(live) + n] = ids[new]
-                live = np.concatenate([live, np.stack([state["next"] + np.arange(n), np.ones(n, int), np.zeros(n, int), np.zeros(n, int)], 1)])
-                state["next"] += n
-            for i in np.flatnonzero((live[:, 3] == 0) & ((live[:, 1] >= min_hits) | (frame < min_hits))):
-                out.append((*key, frame, int(given[i]), *(int(x) for x in live[i, :3])))
-            stay = live[:, 3] <= max_age
-            if not stay.all():
-                motion.keep(stay)
-                live = live[stay]
-
-        held: list[pd.DataFrame] = []
-
-        def step(part: pd.DataFrame, last: bool) -> pd.DataFrame:
-            rows = pd.concat([*held, part]) if held else part
-            held.clear()
-            if not last:  # a frame may go on in the next batch
-                open_frame = rows["frame"] == rows["frame"].iloc[-1]
-                held.append(rows[open_frame])
-                rows = rows[~open_frame]
-            out: list = []
-            for frame, d in rows.groupby("frame", sort=True):
-                for empty in range(state["frame"] + 1, int(frame)):
-                    if not len(live):
-                        break
-                    advance(empty, np.zeros(0), np.zeros((0, 4)), out)
-                advance(int(frame), d["id"].to_numpy(), d[["x1", "y1", "x2", "y2"]].to_numpy(float), out)
-                state["frame"] = int(frame)
-            return pd.DataFrame(out, columns=["store_id", "camera_id", "frame", "id", "track_id", "hits", "age"])
-
-        return step
-
-    cols = ["store_id", "camera_id", "frame", "id", "x1", "y1", "x2", "y2"]
-    return fold_in_order(detections.select(*cols), ["store_id", "camera_id"], ["frame", "id"], make, TRACKS)
+    No track outlives ``max_age`` + 1 frames without a detection, so a camera's stretches between such gaps are folded in
+    parallel, and its tracks are numbered on from stretch to stretch. Rows without a frame or an id are left out.
+    """
+    rows = detections.select(*INPUT).where("frame IS NOT NULL AND id IS NOT NULL")
+    cut = idle_segments(rows, CAMERA, "frame", max_age + 1, CHUNK)
+    folded = fold_in_order(cut, [*CAMERA, "_segment"], ["frame", "id"], lambda key: _Segment(key, max_age, min_hits, overlap).step, f"{TRACKS}, begun long, _segment long")
+    numbered = carried_totals(written(folded, "tracks"), CAMERA, ["begun"])
+    return numbered.select("store_id", "camera_id", "frame", "id", (F.col("track_id") + F.col("_before_begun")).alias("track_id"), "hits", "age")

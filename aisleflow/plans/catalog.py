@@ -17,6 +17,7 @@ from ..operators import zones as Z
 from ..sources.events import DUCK_ADAPTER, adapt, camera_events, shared_dir
 from ..sources.stores import newest_vectors
 from ..streaming import jobs as J
+from ..streaming import live as L
 from . import engine
 
 DAY = 86_400.0
@@ -133,18 +134,52 @@ def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.suppress(d, ["store_id", "camera_id", "frame"], 0.4, 0.2).select("store_id", "camera_id", "frame", "id", "confidence")
 
 
+def shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of cameras that rest for 40 frames after each 50."""
+    d = _detections(spark, sf_dir).select("store_id", "camera_id", "frame", "id", "box.*")
+    return d.withColumn("frame", F.col("frame") + 40 * F.floor(F.col("frame") / 50))
+
+
 def track_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.track(_detections(spark, sf_dir).select("store_id", "camera_id", "frame", "id", "box.*"), overlap=0.1)
+    return T.track(shifts(spark, sf_dir), overlap=0.1)
 
 
-def resolve_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as observations of three stores; the first vector of each even label is enrolled."""
+def stream_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tracks from a stream in several micro-batches, with late rows."""
+    timed = shifts(spark, sf_dir).withColumn("event_time", F.timestamp_seconds(F.col("frame") + 1_000_000))
+    return _streamed(L.tracks(_replayed(timed, "id"), overlap=0.1), "tracks")
+
+
+def _staff(spark: SparkSession, sf_dir: str) -> dict[str, list]:
+    """The first vector of each even label, as the enrolled staff."""
     v = _vectors(spark, sf_dir)
     staff = v.where("label % 2 = 0").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e")).limit(MAX_STAFF + 1).collect()  # labels are the staff: a bounded list
     if len(staff) > MAX_STAFF:
         raise ValueError(f"more than {MAX_STAFF} enrolled staff")
-    seen = v.select(F.concat(F.lit("store-"), F.col("vec_id") % 3).alias("store_id"), F.concat(F.lit("cam-"), F.col("vec_id") % 4).alias("camera_id"), (F.col("vec_id") % 60).alias("track_id"), F.col("vec_id").alias("id"), F.when(F.col("label") % 2 == 0, "employee").otherwise("customer").alias("role"), l2_normalise(F.col("embedding")).alias("embedding"), (F.col("vec_id") / 10).alias("ts"))
-    return R_.resolve(seen, {f"emp-{r['label']}": [r["e"]] for r in staff}, 0.5, 0.3)
+    return {f"emp-{r['label']}": [r["e"]] for r in staff}
+
+
+def seen_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as what three stores' cameras see: 120 are ten frames of half a second, of up to six tracks on each of two
+    cameras; each seventh vector is a track that has no embedding, each eleventh isn't seen. A store is seen again after ten
+    seconds, but six turns in seven pass before a longer rest."""
+    n = F.col("vec_id")
+    block, at = F.floor(n / 120), n % 120
+    ts = block * 5 + 40 * F.floor(block / 7) + F.floor(at / 12) / 2
+    role, unit = F.when(F.col("label") % 2 == 0, "employee").otherwise("customer"), l2_normalise(F.col("embedding"))
+    return _vectors(spark, sf_dir).where(n % 11 != 0).select(
+        F.concat(F.lit("store-"), block % 3).alias("store_id"), F.concat(F.lit("cam-"), n % 2).alias("camera_id"), (F.floor(n / 2) % 6).alias("track_id"), n.alias("id"), role.alias("role"), F.when(n % 7 != 0, unit).alias("embedding"), ts.cast("double").alias("ts"),
+    )
+
+
+def resolve_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R_.resolve(seen_people(spark, sf_dir), _staff(spark, sf_dir), 0.5, 0.3)
+
+
+def stream_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same identities from a stream in several micro-batches, with late rows."""
+    timed = seen_people(spark, sf_dir).withColumn("event_time", F.timestamp_micros((F.col("ts") * 1e6).cast("long") + 1_000_000_000))
+    return _streamed(L.identities(_replayed(timed, "id"), _staff(spark, sf_dir), 0.5, 0.3), "identities")
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,6 +198,16 @@ def stream_zone_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(J.zone_steps(obs, ["store_id", "global_id"]), "zones")
 
 
+def _replayed(rows: DataFrame, tie: str) -> DataFrame:
+    return J.replay(rows, f"{shared_dir(rows.sparkSession)}/landed-{uuid.uuid4().hex}", tie)
+
+
+def stream_zone_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zone events from a stream in several micro-batches, with late rows; the same events as the windows' of zone_events."""
+    timed = engine.zone_observations(spark, sf_dir).withColumn("event_time", F.timestamp_micros((F.col("ts") * 1e6).cast("long")))
+    return engine.as_lines(_streamed(L.zone_events(_replayed(timed, "event_id"), engine.zones(spark), engine.GAP, min_dwell=DAY), "zone-events"))
+
+
 def _streamed(stream: DataFrame, name: str) -> DataFrame:
     root = f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
     return J.run_available(stream, f"{root}/out", f"{root}/state")
@@ -201,6 +246,9 @@ QUERIES = {
     "resolve_identities": resolve_identities,
     "stream_dedup": stream_dedup,
     "stream_zone_steps": stream_zone_steps,
+    "stream_zone_events": stream_zone_events,
+    "stream_tracks": stream_tracks,
+    "stream_identities": stream_identities,
     "box_measure": lambda s, d: boxes(s, d).select("id", to_measure(F.col("box")).alias("m"), clip_box(F.col("box"), 640.0, 480.0).alias("c")).select("id", "m.cx", "m.cy", "m.s", "m.r", F.col("c.x2").alias("clip_x2"), F.col("c.y2").alias("clip_y2")),
     "role_by_colour": lambda s, d: boxes(s, d).select("id", role_by_colour(F.array(F.col("id") % 256, F.col("id") % 90, F.col("frame") % 80), [40, 40, 40], 60).alias("r")).select("id", "r.role", round_half_away(F.col("r.confidence"), 6).alias("confidence")),
     "gallery_cap": _on_vectors(lambda v: newest_vectors(v, "label", "vec_id", 20).select("label", "vec_id")),
@@ -291,6 +339,7 @@ SQL |= {
 
 QUERIES |= engine.QUERIES
 SQL |= engine.SQL
+SQL["stream_zone_events"] = SQL["zone_events"]
 
 _OVER = "greatest(0, least(k.x2, o.x2) - greatest(k.x1, o.x1)) * greatest(0, least(k.y2, o.y2) - greatest(k.y1, o.y1))"
 SQL |= {

@@ -37,16 +37,22 @@ def tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return cameras, zones
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = camera_events(spark, sf_dir).select("store_id", "camera_id", "global_id", "event_id", "ts", "role", "employee_id", "confidence", "needs_review", F.col("k").cast("double").alias("x"), (F.col("confidence") * 100).alias("y"))
-    return E.zone_events(obs, tables(spark)[1].select("store_id", "camera_id", "zone", "kind", "polygon"), GAP, min_dwell=DAY)
+def zone_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return camera_events(spark, sf_dir).select("store_id", "camera_id", "global_id", "event_id", "ts", "role", "employee_id", "confidence", "needs_review", F.col("k").cast("double").alias("x"), (F.col("confidence") * 100).alias("y"))
 
 
-def zone_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def zones(spark: SparkSession) -> DataFrame:
+    return tables(spark)[1].select("store_id", "camera_id", "zone", "kind", "polygon")
+
+
+def as_lines(events: DataFrame) -> DataFrame:
     """Events with their payloads, read again as a sink's lines are."""
-    lines = _events(spark, sf_dir).withColumnRenamed("ts", "timestamp")
     frames = F.get_json_object("payload", "$.frames").cast("int")
-    return flatten(lines).withColumn("frames", frames).drop("payload")
+    return flatten(events.withColumnRenamed("ts", "timestamp")).withColumn("frames", frames).drop("payload")
+
+
+def zone_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_lines(E.zone_events(zone_observations(spark, sf_dir), zones(spark), GAP, min_dwell=DAY))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:

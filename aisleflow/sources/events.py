@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/") if named else _own_dir[0]
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: what is read more than once is made once, and lost executors don't undo it."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Event lines as the flat table; a malformed line raises, blank lines are skipped."""
     return flatten(spark.read.schema(LINES).option("mode", "FAILFAST").json(path))

@@ -109,6 +109,26 @@ def zone_steps(obs: DataFrame, keys: list[str], enter: int = 2, leave: int = 4,
     return obs.select(*keys, "inside", "ts", tie).groupBy(*keys).applyInPandasWithState(each, schema, "run long, inside boolean, since double, acted boolean", "append", _timeout(timeout_s))
 
 
+def replay(rows: DataFrame, folder: str, tie: str, parts: int = 5, late: int = 4) -> DataFrame:
+    """rows (with ``event_time``) as a stream of more than ``parts`` micro-batches with a watermark: they land in the folder
+    in slices of event time, every ``late``-th one (by digest) a slice too late, which the watermark's delay allows for. A last
+    row of nulls, far enough ahead, lets the watermark pass all others; nothing ever passes that one."""
+    us = F.unix_micros("event_time")
+    lo, hi = rows.agg(F.min(us), F.max(us)).first()
+    lo, hi = (0, 0) if lo is None else (lo, hi)
+    width = (hi - lo) // parts + 1
+    slot = F.floor((us - lo) / width) + F.when(F.pmod(F.xxhash64(tie), F.lit(late)) == 0, 1).otherwise(0)
+    for k in range(parts + 1):
+        rows.where(slot == k).write.mode("append").parquet(folder)
+    spark = rows.sparkSession
+    end = spark.range(1).select(*[(F.timestamp_micros(F.lit(hi + 3 * width)) if f.name == "event_time" else F.lit(None).cast(f.dataType)).alias(f.name) for f in rows.schema])
+    end.write.mode("append").parquet(folder)
+    files = len(spark.read.schema(rows.schema).parquet(folder).inputFiles())
+    raw = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, files // (parts + 2))).parquet(folder)
+    # a slice may come in several micro-batches, so that its late rows wait for two slices
+    return raw.withWatermark("event_time", f"{2 * width + 1_000} microseconds")
+
+
 def run_available(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Processes what the source holds now, then gives what was written."""
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()

@@ -7,11 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aisleflow.operators import resolver, tracking
+from aisleflow.operators import events as E
+from aisleflow.operators import ordered, resolver, tracking
 from aisleflow.operators import zones as Z
 from aisleflow.plans import catalog
 from aisleflow.sources.stores import store_tables
-from aisleflow.streaming import jobs
+from aisleflow.streaming import jobs, live
 
 SF = "/root/testdata/sf0.001"
 DET = "store_id string, camera_id string, frame long, id long, x1 double, y1 double, x2 double, y2 double"
@@ -31,26 +32,109 @@ def boxes(rows):
     return [("s", "c", f, i, float(x), float(y), float(x + 40), float(y + 90)) for f, i, x, y in rows]
 
 
-def test_track_keeps_ids(spark):
-    moving = [(f, f, 5 * f, 100) for f in range(20)]
-    out = tracking.track(spark.createDataFrame(boxes(moving), DET)).collect()
-    assert len(out) == 20 and {r.track_id for r in out} == {1}
-    crossing = [(f, 2 * f, 10 + 6 * f, 100) for f in range(30)] + [(f, 2 * f + 1, 190 - 6 * f, 130) for f in range(30)]
-    out = tracking.track(spark.createDataFrame(boxes(crossing), DET)).collect()
-    assert {(r.id % 2, r.track_id) for r in out} == {(0, 1), (1, 2)}
-    gone = [(0, 0, 10, 10), (1, 1, 10, 10), (4, 4, 10, 10), (9, 9, 10, 10)]
-    out = tracking.track(spark.createDataFrame(boxes(gone), DET), max_age=3, min_hits=1).collect()
-    assert [r.track_id for r in sorted(out, key=lambda r: r.id)] == [1, 1, 1, 2]
-    assert tracking.track(spark.createDataFrame([], DET)).count() == 0
+def ids(spark, rows, **kw):
+    """track_id of each row id."""
+    return {r.id: r.track_id for r in tracking.track(spark.createDataFrame(boxes(rows), DET), **kw).collect()}
 
 
-def test_track_does_not_depend_on_batches(spark):
+def test_tracks_of_three_people_one_of_whom_stops(spark):
+    rows = []
+    for f in range(24):
+        rows += [(f, 10 * f, 30 + 4 * f, 20), (f, 10 * f + 1, 400 - 3 * min(f, 9), 20), (f, 10 * f + 2, 30, 300 + 2 * f)]
+    got = ids(spark, rows)
+    assert len(got) == 72 and [{got[10 * f + k] for f in range(24)} for k in range(3)] == [{1}, {2}, {3}]
+
+
+def test_two_become_one_box_and_part_again(spark):
+    """While they are one box, one of the two is unseen; it comes back under its own number, since it is no older than allowed."""
+    rows = [(f, 10 * f, 100 + 5 * f, 50) for f in range(20)] + [(f, 10 * f + 1, 280 - 5 * f, 90) for f in range(20) if not 8 <= f <= 12]
+    got = ids(spark, rows, max_age=6)
+    assert {got[10 * f] for f in range(20)} == {1} and {got[10 * f + 1] for f in range(20) if not 8 <= f <= 12} == {2}
+    late = ids(spark, rows, max_age=3)  # five frames unseen are too many: a new number, reported from its second sight on
+    assert {late[10 * f + 1] for f in range(14, 20)} == {3} and 131 not in late
+
+
+def test_swapping_places_at_once_swaps_numbers(spark):
+    """Boxes alone tell nobody apart: two that change places between frames are taken for each other."""
+    rows = [(f, 10 * f + k, [60, 400][k if f < 6 else 1 - k], 70) for f in range(12) for k in range(2)]
+    got = ids(spark, rows)
+    assert [got[10], got[11], got[110], got[111]] == [1, 2, 2, 1]
+
+
+def plain_tracks(rows, max_age=15, min_hits=2, overlap=0.3):
+    """One camera, one object for each track, all ways to assign: (id, track, hits, age). rows: frame, id, box."""
+    q, r = np.diag([1, 1, 1, 1, 0.01, 0.01, 0.0001]), np.diag([1, 1, 10, 10.0])
+    f = np.eye(7)
+    f[0, 4] = f[1, 5] = f[2, 6] = 1
+    h, out, live, begun = np.eye(4, 7), [], [], 0
+    z = lambda b: np.array([(b[0] + b[2]) / 2, (b[1] + b[3]) / 2, (b[2] - b[0]) * (b[3] - b[1]), (b[2] - b[0]) / (b[3] - b[1])])
+
+    def over(a, b):
+        w, t = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+        both = max(w, 0) * max(t, 0)
+        return both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both)
+
+    for frame in range(max((r[0] for r in rows), default=-1) + 1):
+        seen = sorted((i, b) for at, i, b in rows if at == frame)
+        for t in live:
+            if t["x"][2] + t["x"][6] <= 0:
+                t["x"][6] = 0
+            t["x"], t["p"], t["age"], t["missed"] = f @ t["x"], f @ t["p"] @ f.T + q, t["age"] + 1, t["missed"] + 1
+            w = np.sqrt(t["x"][2] * t["x"][3])
+            c = t["x"][:2]
+            t["box"] = [c[0] - w / 2, c[1] - t["x"][2] / w / 2, c[0] + w / 2, c[1] + t["x"][2] / w / 2]
+        gain = np.array([[over(b, t["box"]) for t in live] for _, b in seen]).reshape(len(seen), len(live))
+        small = min(gain.shape)
+        ways = [list(zip(a, b)) for a in itertools.combinations(range(len(seen)), small) for b in itertools.permutations(range(len(live)), small)]
+        best = max(ways, key=lambda w: sum(gain[d, t] for d, t in w))
+        new = dict(enumerate(seen))
+        for d, k in best:
+            if gain[d, k] >= overlap:
+                t, (i, b) = live[k], new.pop(d)
+                g = t["p"] @ h.T @ np.linalg.inv(h @ t["p"] @ h.T + r)
+                t["x"], t["p"], t["hits"], t["missed"], t["id"] = t["x"] + g @ (z(b) - h @ t["x"]), t["p"] - g @ h @ t["p"], t["hits"] + 1, 0, i
+        for i, b in new.values():
+            begun += 1
+            live.append({"n": begun, "x": np.r_[z(b), 0, 0, 0], "p": np.diag([10, 10, 10, 10, 1e4, 1e4, 1e4]), "hits": 1, "age": 0, "missed": 0, "id": i})
+        out += [(t["id"], t["n"], t["hits"], t["age"]) for t in live if not t["missed"] and (t["hits"] >= min_hits or frame < min_hits)]
+        live = [t for t in live if t["missed"] <= max_age]
+    return sorted(out)
+
+
+def test_tracks_equal_plain_ones_across_idle_gaps(spark):
+    rng = np.random.default_rng(11)
+    rows, people, frame = [], {}, 0
+    for n in range(160):
+        frame += int(rng.choice([1, 1, 1, 2, 9])) if n else 0
+        people = {k: v for k, v in people.items() if rng.random() > 0.08}
+        if len(people) < 3 and rng.random() < 0.5:
+            people[n] = (rng.uniform(0, 500, 2), rng.normal(0, 4, 2), rng.uniform(30, 60, 2))
+        for k, (c, v, s) in people.items():
+            people[k] = (c + v, v, s)
+            if rng.random() > 0.15:
+                a = c + rng.normal(0, 1, 2)
+                rows.append((frame, 1000 * frame + k, [*a, *(a + s)]))
+    df = spark.createDataFrame([("s", "c", f, i, *map(float, b)) for f, i, b in rows] + [("t", None, f, i, *map(float, b)) for f, i, b in rows[:50]], DET)
+    for age in (2, 5):
+        got = tracking.track(df, max_age=age).collect()
+        assert sorted((r.id, r.track_id, r.hits, r.age) for r in got if r.store_id == "s") == plain_tracks(rows, age)
+        assert sorted((r.id, r.track_id, r.hits, r.age) for r in got if r.store_id == "t") == plain_tracks(rows[:50], age)
+    cut = ordered.idle_segments(df, ["store_id", "camera_id"], "frame", 3, 16)
+    starts = {f for f in {r[0] for r in rows} if not {f - 1, f - 2, f - 3} & {r[0] for r in rows}}
+    assert {r._segment for r in cut.where("store_id = 's'").collect()} == starts and len(starts) > 5
+    assert tracking.track(df.limit(0)).count() == 0
+
+
+def test_track_does_not_depend_on_batches_or_cuts(spark):
     whole = sorted(map(tuple, catalog.track_boxes(spark, SF).collect()))
+    unbroken = ordered.fold_in_order(catalog.shifts(spark, SF), ["store_id", "camera_id"], ["frame", "id"], lambda key: tracking.Tracker(key, overlap=0.1).step, tracking.TRACKS)
+    assert sorted(map(tuple, unbroken.collect())) == whole
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         assert sorted(map(tuple, catalog.track_boxes(spark, SF).collect())) == whole
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, catalog.stream_tracks(spark, SF).collect())) == whole
 
 
 def test_suppression_equals_a_loop(spark):
@@ -69,8 +153,8 @@ def test_resolver_decisions(spark):
     schema = "store_id string, camera_id string, track_id long, id long, role string, embedding array<double>, ts double"
     unit = lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v]
     rows = [
-        ("s", "a", 1, 1, "employee", unit([1, 0.05, 0]), 0.0), ("s", "a", 2, 2, "employee", unit([0.8, 0.6, 0]), 0.1),
-        ("s", "a", 3, 3, "employee", unit([0, 0, 1]), 0.2), ("s", "a", 4, 4, "customer", unit([0, 1, 0]), 0.3),
+        ("s", "a", 1, 1, "employee", unit([1, 0.05, 0]), 0.0), ("s", "a", 2, 2, "employee", unit([0.8, 0.6, 0]), 0.0),
+        ("s", "a", 3, 3, "employee", unit([0, 0, 1]), 0.0), ("s", "a", 4, 4, "customer", unit([0, 1, 0]), 0.0),
         ("s", "b", 1, 5, "customer", unit([0, 1, 0.02]), 0.4), ("s", "a", 1, 6, "employee", unit([0, 0, 1]), 0.5),
         ("s", "b", 9, 7, "customer", unit([0, 1, 0]), 50.0), ("s", "b", 10, 8, "customer", None, 51.0), ("t", "a", 1, 9, "customer", unit([0, 1, 0]), 0.0),
     ]
@@ -78,6 +162,134 @@ def test_resolver_decisions(spark):
     assert out == {1: ("emp-1", False), 2: ("emp-1", True), 3: ("employee-unknown-0001", True), 4: ("person-0001", False), 5: ("person-0001", False), 6: ("emp-1", False), 7: ("person-0002", False), 9: ("person-0001", False)}
 
 
+def plain_identities(rows, staff, match, review, ttl, reverify=30):
+    """One store, told step by step: id -> (global id, employee, confidence, review)."""
+    out, seen, vectors, bound, count = {}, {}, {}, {}, {"person": 0, "employee-unknown": 0}
+    frames = {}
+    for r in rows:
+        frames.setdefault((r["ts"], r["camera_id"]), []).append(r)
+    for (ts, camera), own in sorted(frames.items()):
+        for gone in [g for g in seen if ts - seen[g][2] > ttl]:
+            del seen[gone], vectors[gone]
+            bound = {k: b for k, b in bound.items() if b[0] != gone}
+        for r in sorted(own, key=lambda r: (r["track_id"], r["id"])):
+            if r["embedding"] is None:
+                continue
+            v, key, is_staff = np.array(r["embedding"]), (camera, r["track_id"]), r["role"] == "employee"
+            near = lambda g: max(float(np.dot(w, v)) for w in vectors[g])  # noqa: B023, E731
+
+            def learn(g):
+                if g not in vectors or near(g) >= review:
+                    vectors[g] = [*vectors.get(g, []), v][-20:]
+
+            held = bound.get(key)
+            if held:
+                held[1] += 1
+                if held[1] % reverify:
+                    seen[held[0]][2] = ts
+                    learn(held[0])
+                    out[r["id"]] = (held[0], seen[held[0]][1], 1.0, False)
+                    continue
+            found = None
+            if is_staff:
+                ranked = sorted(((float(np.dot(e, v)), n) for n, e in staff.items()), key=lambda x: (-x[0], x[1]))
+                if ranked and ranked[0][0] >= review:
+                    sure = ranked[0][0] >= match and ranked[0][0] - (ranked[1][0] if len(ranked) > 1 else -1) > 0.02
+                    found = (ranked[0][1], ranked[0][1], ranked[0][0], not sure)
+            if not found:
+                top = sorted(((near(g), g) for g in vectors), key=lambda x: (-x[0], x[1]))[:5]
+                fits = [x for x in top if seen[x[1]][0] == is_staff]
+                if fits and fits[0][0] >= match:
+                    found = (fits[0][1], None, fits[0][0], is_staff)
+                else:
+                    kind = "employee-unknown" if is_staff else "person"
+                    count[kind] += 1
+                    found = (f"{kind}-{count[kind]:04d}", None, 0.0, is_staff)
+            if held and (found[3] or found[2] <= 0):
+                seen[held[0]][2] = ts
+                out[r["id"]] = (held[0], seen[held[0]][1], 1.0, False)
+                continue
+            seen.setdefault(found[0], [is_staff, found[1], ts])[2] = ts
+            learn(found[0])
+            bound[key] = [found[0], 1]
+            out[r["id"]] = found
+        shown = {r["track_id"] for r in own}
+        bound = {k: b for k, b in bound.items() if k[0] != camera or k[1] in shown}
+    return out
+
+
+def test_identities_equal_a_plain_resolver(spark):
+    rows = [r.asDict() for r in catalog.seen_people(spark, "/root/testdata/sf0.01").collect()]
+    staff = {n: e[0] for n, e in catalog._staff(spark, "/root/testdata/sf0.01").items()}
+    got = {r.id: (r.global_id, r.employee_id, round(r.confidence, 9), r.needs_review) for r in catalog.resolve_identities(spark, "/root/testdata/sf0.01").collect()}
+    want = {}
+    for s in {r["store_id"] for r in rows}:
+        own = plain_identities([r for r in rows if r["store_id"] == s], staff, 0.5, 0.3, 20.0)
+        want |= {k: (g, e, round(c, 9), w) for k, (g, e, c, w) in own.items()}
+    assert got == want and {g[0].rsplit("-", 1)[0] for g in got.values()} == {"emp", "person", "employee-unknown"}
+    assert sum(c == 1.0 for _, _, c, _ in got.values()) > 50
+    streamed = {r.id: (r.global_id, r.employee_id, round(r.confidence, 9), r.needs_review) for r in catalog.stream_identities(spark, "/root/testdata/sf0.01").collect()}
+    assert streamed == want
+
+
+def test_release_after_one_missed_frame(spark):
+    """A bound track keeps its person whatever it looks like; missing from one frame of its camera, it is looked at anew."""
+    schema = "store_id string, camera_id string, track_id long, id long, role string, embedding array<double>, ts double"
+    a, b = [1.0, 0.0], [0.0, 1.0]
+
+    def told(rows):
+        return {r.id: r.global_id for r in resolver.resolve(spark.createDataFrame([("s", *r) for r in rows], schema), {}).collect()}
+
+    person = lambda cam, track, i, v, ts: (cam, track, i, "customer", v, ts)
+    assert told([person("x", 1, 1, a, 0.0), person("x", 1, 2, b, 1.0)]) == {1: "person-0001", 2: "person-0001"}
+    # another track in the frame between, a frame without people, or the track shown but too close to the edge to be embedded
+    assert told([person("x", 1, 1, a, 0.0), person("x", 2, 5, a, 1.0), person("x", 1, 2, b, 2.0)])[2] == "person-0002"
+    assert told([person("x", 1, 1, a, 0.0), ("x", None, None, None, None, 1.0), person("x", 1, 2, b, 2.0)]) == {1: "person-0001", 2: "person-0002"}
+    assert told([person("x", 1, 1, a, 0.0), person("x", 1, 3, None, 1.0), person("x", 1, 2, b, 2.0)]) == {1: "person-0001", 2: "person-0001"}
+    # another camera's frames release nothing here
+    assert told([person("x", 1, 1, a, 0.0), person("y", 9, 4, a, 1.0), person("x", 1, 2, b, 2.0)])[2] == "person-0001"
+    # numbers go on after an idle gap
+    assert told([person("x", 1, 1, a, 0.0), person("x", 1, 2, a, 100.0), person("x", 2, 3, b, 100.0)]) == {1: "person-0001", 2: "person-0002", 3: "person-0003"}
+
+
+def zone_stream(spark, rows, folder, batches, delay="1 second", **kw):
+    """rows: (person, event_id, ts, x) of one camera whose shelf is x in 0..10, in the given batches."""
+    schema = "store_id string, camera_id string, global_id string, event_id long, ts double, role string, employee_id string, confidence double, needs_review boolean, x double, y double"
+    zones = spark.createDataFrame([("s", "c", "z", "shelf", [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)])], "store_id string, camera_id string, zone string, kind string, polygon array<struct<x:double,y:double>>")
+    timed = lambda df: df.withColumn("event_time", F.timestamp_micros((F.col("ts") * 1e6).cast("long") + 1_000_000_000))
+    made = lambda part: spark.createDataFrame([("s", "c", p, i, float(t), "customer", None, 0.5, False, float(x), 5.0) for p, i, t, x in part], schema)
+    for part in batches:
+        made(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = timed(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")).withWatermark("event_time", delay)
+    live_rows = jobs.run_available(live.zone_events(stream, zones, **kw), f"{folder}/out", f"{folder}/cp")
+    batch = E.zone_events(made(rows), zones, **kw)
+    plain = lambda df: sorted((r.event_type, r.global_id, r.ts, r.payload) for r in df.collect())
+    return plain(live_rows), plain(batch)
+
+
+def test_live_zones_with_timers_and_late_rows(spark, tmp_path):
+    """A visit is closed by the first frame past the gap, whoever it shows; a frame without people does it too. Rows that come
+    late, but within the delay, are worked on in order; a later one is dropped."""
+    kw = {"gap": 3.0, "enter": 2, "leave": 2, "interact": 3, "min_dwell": 1.0}
+    stay = [("p", i, i, 5) for i in range(5)]
+    others = [("q", 10 + i, 5 + i, 50) for i in range(4)]
+    far = [("end", 99, 1000, 50)]
+    rows = stay + others
+    got, want = zone_stream(spark, rows, str(tmp_path / "a"), [stay, others[:2], others[2:], far], **kw)
+    assert got == want and [g[0] for g in got] == ["dwell", "product_interaction", "zone_entered", "zone_exited"]
+    assert {g[2] for g in got if g[0] in ("dwell", "zone_exited")} == {8.0}
+    shuffled = [rows[1::2], rows[::2], far]
+    assert zone_stream(spark, rows, str(tmp_path / "b"), shuffled, delay="20 seconds", **kw)[0] == want
+    clock = [*stay, (None, 50, 7.5, 0)]
+    got, _ = zone_stream(spark, stay, str(tmp_path / "c"), [clock[:3], clock[3:], far], **kw)
+    assert {g[2] for g in got if g[0] == "zone_exited"} == {7.5} and not any(g[1] is None for g in got)
+    # without the far row nothing has passed the last frame: what waits is neither lost nor told
+    open_yet, _ = zone_stream(spark, stay, str(tmp_path / "d"), [stay[:3], stay[3:]], **kw)
+    assert [g[0] for g in open_yet] == ["product_interaction", "zone_entered"]
+    dropped, _ = zone_stream(spark, rows, str(tmp_path / "e"), [stay, others, far, [("p", 77, 6, 5)]], **kw)
+    assert dropped == want
+
+
 def test_too_many_staff_fail(spark, monkeypatch):
     monkeypatch.setattr(catalog, "MAX_STAFF", 2)
     with pytest.raises(ValueError):
