@@ -3,6 +3,9 @@ and what leaves a task is what a report needs of it (the best of each query, cou
 
 A block holds at most about BLOCK vectors, so a task's memory is bounded; a vector travels once for each block of the other
 side. The work is the product of both sizes, as every query asks about every vector of a gallery.
+
+Vectors that are null, empty, or hold a null or non-finite entry have no score and take no part, on either side (``unusable``
+counts them); vectors of different lengths have none with each other. Rows without an id or a label take no part.
 """
 
 from __future__ import annotations
@@ -11,15 +14,30 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 1024
 
 
+def _fine() -> Column:
+    entries = F.forall("embedding", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
+    return F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & entries, F.lit(False))
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """The rows (vec_id, label, embedding) that have scores."""
+    return vectors.where(_fine())
+
+
+def unusable(vectors: DataFrame) -> DataFrame:
+    """One row: how many rows there are, and how many of them take no part."""
+    return vectors.agg(F.count("*").alias("rows"), F.count_if(~_fine()).alias("left_out"))
+
+
 def _dealt(df: DataFrame, own: str, other: str, blocks: int, others: int, id_col: str) -> DataFrame:
     rows = df.select(*[F.col(c).alias(c) for c in df.columns])  # columns of their own, as both sides may come from one table
-    rows = rows.withColumn(own, F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("dim", F.size("embedding")).withColumn(own, F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int"))
     return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
 
@@ -27,6 +45,7 @@ def block_scores(queries: DataFrame, gallery: DataFrame, fn: Callable[[pd.DataFr
     """``fn`` gets the rows of a block of queries, those of a block of the gallery, and their scores, rounded to six digits,
     which makes ties between engines equal; a row's score with itself is -inf. Rows have vec_id, label, embedding; queries
     may have more. ``halves``: of one set with itself, each pair of rows in one task alone, the other half -inf."""
+    queries, gallery = usable(queries), usable(gallery)
     n, m = (max(1, -(-df.count() // BLOCK)) for df in (queries, gallery))
     one, two = _dealt(queries, "qb", "gb", n, m, "vec_id"), _dealt(gallery.select("vec_id", "label", "embedding"), "gb", "qb", m, n, "vec_id")
     if halves:
@@ -42,7 +61,7 @@ def block_scores(queries: DataFrame, gallery: DataFrame, fn: Callable[[pd.DataFr
         scores[(a >= b) if within else (a == b)] = -np.inf
         return fn(q, g, scores)
 
-    return one.groupBy("qb", "gb").cogroup(two.groupBy("qb", "gb")).applyInPandas(each, schema)
+    return one.groupBy("qb", "gb", "dim").cogroup(two.groupBy("qb", "gb", "dim")).applyInPandas(each, schema)
 
 
 def top_labels(k: int):

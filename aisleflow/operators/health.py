@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.columns import round_half_away as rnd
+from .identity import drift
 
 CAMERA = ["store_id", "camera_id"]
-GAUGES = ("frames", "latency_p95", "mean_people", "review_ratio", "drift")
+#: What a camera's gauges show.
+GAUGES = ("latency_p50", "mean_people", "review_ratio", "drift")
 
 
 def _last(rows: DataFrame, order: list[str], n: int, chunk: str) -> DataFrame:
@@ -37,6 +39,15 @@ def camera_health(frames: DataFrame, detections: DataFrame, window: int = 300) -
     return total.join(rates, CAMERA).join(sure, CAMERA, "left").join(doubt, CAMERA, "left")
 
 
+def camera_report(health: DataFrame, events: DataFrame, samples: DataFrame, size: int = 200, least: int = 10) -> DataFrame:
+    """camera_health with each camera's number of events (events: store, camera) and how far what it sees has drifted
+    (samples: store, camera, n for the order, embedding; null where ``size`` first ones and ``least`` later ones aren't there)."""
+    cam = F.struct(*CAMERA)
+    told = events.groupBy(*CAMERA).agg(F.count("*").alias("events"))
+    moved = drift(samples.select(cam.alias("cam"), "n", "embedding"), size, least).select("cam.*", "drift")
+    return health.join(told, CAMERA, "left").join(moved, CAMERA, "left").withColumn("events", F.coalesce("events", F.lit(0)))
+
+
 def gauges(health: DataFrame) -> DataFrame:
     """(store_id, camera_id, metric, value) of those gauges that a camera has; an unknown drift gives none."""
     own = [c for c in GAUGES if c in health.columns]

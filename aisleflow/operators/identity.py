@@ -42,11 +42,12 @@ def rank_metrics(queries: DataFrame, gallery: DataFrame) -> DataFrame:
 
 
 def leave_one_out(vectors: DataFrame) -> DataFrame:
-    """Each vector against all others. Among five vectors or fewer its own, ranked last, is within the first five."""
+    """Each vector against all others. Among five vectors or fewer its own, ranked last, is within the first five; without any
+    both rates are null."""
     hits = block_scores(vectors, vectors, top_rows(5), "q long, q_label long, g long, g_label long, sim double")
     hits = hits.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "g"))).where("rank <= 5")
     each = hits.groupBy("q", "q_label").agg(F.max(F.when(F.col("rank") == 1, (F.col("q_label") == F.col("g_label")).cast("int"))).alias("r1"), F.max((F.col("q_label") == F.col("g_label")).cast("int")).alias("r5"))
-    few = F.when(F.count("*") <= 5, 1.0).otherwise(F.avg("r5"))
+    few = F.when(F.count("*").between(1, 5), 1.0).otherwise(F.avg("r5"))
     return each.agg(rnd(F.avg("r1"), 4).alias("rank1"), rnd(few, 4).alias("rank5"), F.count("*").alias("samples"), F.count_distinct("q_label").alias("identities"))
 
 

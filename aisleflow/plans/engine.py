@@ -75,6 +75,16 @@ def camera_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.camera_health(frames, d)
 
 
+SAMPLES = 30
+
+
+def camera_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cameras' health with their events and drift; vectors are samples of six cameras, the first 30 being a camera's measure."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    samples = v.select(F.concat(F.lit("store-"), F.col("vec_id") % 3).alias("store_id"), F.concat(F.lit("cam-"), F.col("vec_id") % 2).alias("camera_id"), F.col("vec_id").alias("n"), "embedding")
+    return H.camera_report(camera_health(spark, sf_dir), camera_events(spark, sf_dir), samples, SAMPLES)
+
+
 def person_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _lines(spark, sf_dir).withColumn("ts", F.col("frame") / 10)
     own = d.select("*", F.concat(F.lit("person-"), F.col("track_id")).alias("global_id"), F.lit("customer").alias("role"), F.lit(None).cast("string").alias("employee_id"))
@@ -167,7 +177,8 @@ _on_events = lambda f: lambda spark, sf_dir: f(camera_events(spark, sf_dir))  #
 QUERIES = {
     "zone_events": zone_events,
     "camera_health": camera_health,
-    "camera_gauges": lambda s, d: H.gauges(camera_health(s, d)),
+    "camera_report": camera_report,
+    "camera_gauges": lambda s, d: H.gauges(camera_report(s, d)),
     "person_seen": person_seen,
     "embedding_carry": carried,
     "identity_accuracy": lambda s, d: I.identity_accuracy(identity_pairs(s, d)),
@@ -194,6 +205,12 @@ _HEALTH = f"""d AS (SELECT * FROM {LINES}), f AS (SELECT store_id, camera_id, fr
  l AS (SELECT *, row_number() OVER (PARTITION BY store_id, camera_id ORDER BY frame DESC) AS r FROM f), c AS (SELECT *, row_number() OVER (PARTITION BY store_id, camera_id ORDER BY frame DESC, id DESC) AS r FROM d),
  a AS (SELECT store_id, camera_id, count(*) AS frames, {R('quantile_cont(latency, 0.5) FILTER (WHERE r <= 300)', 6)} AS latency_p50, {R('quantile_cont(latency, 0.95) FILTER (WHERE r <= 300)', 6)} AS latency_p95, {R('avg(people) FILTER (WHERE r <= 300)', 6)} AS mean_people FROM l GROUP BY ALL),
  b AS (SELECT store_id, camera_id, {R('avg(confidence) FILTER (WHERE r <= 300)', 6)} AS mean_confidence, count(*) AS decisions, {R('count(*) FILTER (WHERE needs_review) / count(*)', 6)} AS review_ratio FROM c GROUP BY ALL), h AS (SELECT * FROM a JOIN b USING (store_id, camera_id))"""
+_SAMPLED = f"""vs AS (SELECT concat('store-', vec_id % 3) AS store_id, concat('cam-', vec_id % 2) AS camera_id, embedding, row_number() OVER w AS n, row_number() OVER (PARTITION BY vec_id % 6 ORDER BY vec_id DESC) AS back, count(*) OVER (PARTITION BY vec_id % 6) AS held FROM embeddings WINDOW w AS (PARTITION BY vec_id % 6 ORDER BY vec_id)),
+ us AS (SELECT store_id, camera_id, held, n <= {SAMPLES} AS early, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM vs WHERE n <= {SAMPLES} OR back <= {SAMPLES}),
+ ms AS (SELECT store_id, camera_id, held, pos, avg(x) FILTER (WHERE early) AS a, avg(x) FILTER (WHERE NOT early) AS b FROM us GROUP BY ALL),
+ far AS (SELECT store_id, camera_id, CASE WHEN held >= {SAMPLES} + 10 THEN {R('1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b)))', 4)} END AS drift FROM ms GROUP BY store_id, camera_id, held)"""
+_REPORT = f"""{_HEALTH}, {_SAMPLED}, ev AS ({DUCK_ADAPTER}), t AS (SELECT store_id, camera_id, count(*) AS events FROM ev GROUP BY ALL),
+ rep AS (SELECT h.*, coalesce(events, 0) AS events, drift FROM h LEFT JOIN t USING (store_id, camera_id) LEFT JOIN far USING (store_id, camera_id))"""
 _FILES = "f AS (SELECT vec_id, label, CASE WHEN vec_id % 5 = 0 THEN '.txt' WHEN vec_id % 3 = 0 THEN '.PNG' ELSE '.jpg' END AS e FROM embeddings)"
 _ZONE_ROWS = ", ".join(f"('{z}', '{k}', {lo}, {hi})" for z, k, lo, hi in ZONES)
 #: A step machine, one observation after another; sessions and flushes from the frames' times themselves.
@@ -223,7 +240,13 @@ SELECT event_type, store_id, camera_id, t AS ts, global_id, role, zn AS zone, ki
 SQL = {
     "zone_events": _ZONE_EVENTS,
     "camera_health": f"WITH {_HEALTH} SELECT * FROM h",
-    "camera_gauges": f"WITH {_HEALTH} SELECT store_id, camera_id, 'frames' AS metric, frames::DOUBLE AS value FROM h UNION ALL SELECT store_id, camera_id, 'latency_p95', latency_p95 FROM h UNION ALL SELECT store_id, camera_id, 'mean_people', mean_people FROM h UNION ALL SELECT store_id, camera_id, 'review_ratio', review_ratio FROM h",
+    "camera_report": f"WITH {_REPORT} SELECT * FROM rep",
+    # the gauges from the rows themselves: sorted lists in place of quantiles, and means of slices
+    "camera_gauges": f"""WITH {_SAMPLED}, d AS (SELECT * FROM {LINES}), f AS (SELECT store_id, camera_id, frame, sum(q) / 1000 AS latency, count(*) AS people FROM d GROUP BY ALL),
+ n AS (SELECT store_id, camera_id, list(latency ORDER BY frame DESC)[:300] AS l, list(people ORDER BY frame DESC)[:300] AS p FROM f GROUP BY ALL),
+ s AS (SELECT store_id, camera_id, list_sort(l) AS l, p, len(l) AS k FROM n), r AS (SELECT store_id, camera_id, avg(CASE WHEN needs_review THEN 1.0::DOUBLE ELSE 0 END) AS review FROM d GROUP BY ALL)
+ SELECT store_id, camera_id, 'latency_p50' AS metric, {R('(l[(k + 1) // 2] + l[k // 2 + 1]) / 2', 6)} AS value FROM s UNION ALL SELECT store_id, camera_id, 'mean_people', {R('list_sum(p)::DOUBLE / len(p)', 6)} FROM s
+ UNION ALL SELECT store_id, camera_id, 'review_ratio', {R('review', 6)} FROM r UNION ALL SELECT store_id, camera_id, 'drift', drift FROM far JOIN s USING (store_id, camera_id) WHERE drift IS NOT NULL""",
     "person_seen": f"SELECT 'person_seen' AS event_type, store_id, camera_id, frame / 10 AS ts, concat('person-', track_id) AS global_id, confidence, needs_review::VARCHAR AS needs_review, round(x1, 1) AS x1, round(y1, 1) AS y1, round(x2, 1) AS x2, round(y2, 1) AS y2 FROM (SELECT *, row_number() OVER (PARTITION BY store_id, camera_id, track_id ORDER BY frame, id) AS r FROM {LINES}) WHERE r = 1",
     "embedding_carry": f"WITH d AS (SELECT store_id, camera_id, track_id, frame, min(id) AS sample FROM {LINES} GROUP BY ALL), "
     "b AS (SELECT *, sample % 5 <> 0 AS ok, CASE WHEN sample % 3 = 0 THEN 'employee' ELSE 'customer' END AS role, frame - row_number() OVER (PARTITION BY store_id, camera_id, track_id ORDER BY frame) AS island FROM d), "

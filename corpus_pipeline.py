@@ -16,12 +16,24 @@ from aisleflow.llm.common import held_out, materialise, small_batches, table
 from aisleflow.llm.q_text import tokenizer
 
 
+#: The corpus's languages are those of at least this share of the rows that name one; texts of so many letters can be told.
+LEAST_SHARE, TELLING_LETTERS = 0.01, 40
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts in no known language: without a letter. Ambiguous ones hold language and stay."""
+    """Keeps texts whose predicted language is one of the corpus's. Rejected are texts without a letter, texts that are likest a
+    language which few rows name, and long texts that the nearest two languages fit alike (mixtures and noise); short ones
+    that fit two alike hold too little to tell and stay."""
     small_batches(spark)
-    model = langid.fit(docs.where(~held_out(F.col("doc_id"))))
-    out = langid.predict(docs, model, out=("_lang", "_score", "_ambiguous"))
-    return out.where(F.col("_lang") != langid.UNDECIDED).select(*docs.columns)
+    learn = docs.where(~held_out(F.col("doc_id")))
+    model = langid.fit(learn)
+    named = {r["lang"]: r["n"] for r in learn.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).limit(langid.MOST_LANGS).collect()}
+    wanted = [k for k, n in named.items() if n >= LEAST_SHARE * sum(named.values())]
+    # the outputs' names must not clash with columns of the documents
+    out = [f"_{'_' * max(map(len, docs.columns))}{c}" for c in ("lang", "score", "unsure")]
+    letters = F.length(F.regexp_replace("text", r"[^\p{L}]+", ""))
+    told = langid.predict(docs, model, out=tuple(out))
+    return told.where(F.col(out[0]).isin(wanted) & ~(F.col(out[2]) & (letters >= TELLING_LETTERS))).select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

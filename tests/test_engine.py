@@ -270,3 +270,27 @@ def test_posted_batches(spark, tmp_path):
     assert sorted(map(len, sent)) == [1, 3, 3] and sorted(json.loads(x)["id"] for b in sent for x in b) == list(range(7)) and all("note" in json.loads(x) for b in sent for x in b)
     jobs.writer(stream, "jsonl", str(tmp_path / "c2"), path=str(tmp_path / "lines")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.json(str(tmp_path / "lines")).count() == 7
+
+
+def test_similarity_reports_pass_over_unusable_vectors(spark):
+    """Null, empty and non-finite vectors, and rows without a label, change no report; other lengths meet their like alone."""
+    from aisleflow.operators import blocks, identity
+
+    rng = np.random.default_rng(4)
+    rows = [(k, k % 5, rng.normal(size=6).tolist()) for k in range(60)]
+    odd = [(100, 1, None), (101, 1, []), (102, 2, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (103, 2, [float("nan")] + [0.0] * 5), (104, 3, [float("inf")] + [0.0] * 5), (105, None, [1.0] * 6), (None, 1, [1.0] * 6)]
+    schema = "vec_id long, label long, embedding array<double>"
+    clean, mixed = spark.createDataFrame(rows, schema), spark.createDataFrame(odd[:3] + rows + odd[3:], schema)
+    half = lambda df, k: df.where(f"vec_id % 2 = {k} OR vec_id IS NULL")
+    reports = [
+        lambda df: identity.gallery_top(half(df, 0), half(df, 1), 3), lambda df: identity.role_after_top(half(df, 0), half(df, 1), "g_label % 2 = 0"), lambda df: identity.bands(half(df, 0), half(df, 1), 0.4, 0.3),
+        lambda df: identity.rank_metrics(half(df, 0), half(df, 1)), identity.leave_one_out, identity.thresholds,
+    ]
+    for report in reports:
+        assert sorted(map(tuple, report(mixed).collect()), key=str) == sorted(map(tuple, report(clean).collect()), key=str) != []
+    assert tuple(blocks.unusable(mixed).first()) == (67, 7) and tuple(blocks.unusable(clean.limit(0)).first()) == (0, 0)
+    short = spark.createDataFrame([(k, 9, [1.0, 0.0]) for k in range(200, 204)], schema)
+    top = identity.gallery_top(half(clean.unionByName(short), 0), half(clean.unionByName(short), 1), 1).collect()
+    assert all((r.g_label == 9) == (r.q >= 200) for r in top) and {200, 202} < {r.q for r in top}
+    none = identity.leave_one_out(clean.limit(0)).first()
+    assert (none.rank1, none.rank5, none.samples) == (None, None, 0)
