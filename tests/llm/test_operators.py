@@ -555,8 +555,10 @@ def test_pipeline(spark):
         kept[name] = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
         assert stage(spark, odd.limit(0), SF).count() == 0
     every = sorted(((r.doc_id, r.text) for r in odd.collect()), key=str)
-    letters = lambda t: any(c.isalpha() for c in t or "")
-    assert kept["language_id"] == [x for x in every if letters(x[1])]
+    letters = lambda t: sum(c.isalpha() for c in t or "")
+    tongue = langid.fit(odd.where(~held_out(F.col("doc_id"))))
+    told = {x: tongue.predict(x[1]) for x in every}
+    assert kept["language_id"] == [x for x in every if letters(x[1]) and not (told[x][2] and letters(x[1]) >= p.TELLING_LETTERS)]
     labels = spark.read.parquet(f"{SF}/labels.parquet").where(~held_out(F.col("doc_id")))
     model = toxicity.fit(odd.where(~held_out(F.col("doc_id"))), odd, labels)
     space = toxicity.Space(model.terms)
@@ -568,6 +570,22 @@ def test_pipeline(spark):
     assert out.where("offset <> 0 OR length > 4096").count() == 0 and out.count() == out.select("sequence_id").distinct().count()
 
 
+def test_language_stage_uses_what_is_predicted(spark, monkeypatch):
+    """Texts likest a language that few rows name go, whatever their own rows say; so do long ones that fit two alike."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(1)
+    rare = [(10_000_000 + k, " ".join("".join(rng.choice("αβγδεζηθ") for _ in range(6)) for _ in range(30)), "el" if k < 8 else "en", "s", 209) for k in range(20)]
+    every = docs.unionByName(spark.createDataFrame(rare, docs.schema))
+    kept = {r.doc_id for r in p.language(spark, every, SF).collect()}
+    assert not kept & {r[0] for r in rare} and len(kept) >= 0.99 * docs.where("text RLIKE '[a-z]'").count()
+    told = lambda df, model, out: df.select("*", F.lit("en").alias(out[0]), F.lit(0.5).alias(out[1]), (F.col("doc_id") % 2 == 0).alias(out[2]))
+    monkeypatch.setattr(langid, "predict", told)
+    kept = {r.doc_id for r in p.language(spark, docs, SF).collect()}
+    assert kept == {r.doc_id for r in docs.collect() if r.doc_id % 2 or sum(c.isalpha() for c in r.text or "") < p.TELLING_LETTERS}
+
+
 def test_pipeline_ends_with_all_token_ids(spark):
     import corpus_pipeline as p
 
