@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.columns import iou, round_half_away as rnd
+from .spatial import overlapping
 from .blocks import ahead_of_hits, block_scores, label_hits, score_counts, top_labels, top_rows
 
 
@@ -91,9 +92,9 @@ def drift(vectors: DataFrame, size: int = 200, least: int = 10) -> DataFrame:
 
 
 def best_overlaps(predictions: DataFrame, truth: DataFrame, least: float = 0.3) -> DataFrame:
-    """Each prediction's ground-truth box of the highest overlap above ``least`` in its frame; ties go to the first."""
+    """Each prediction's ground-truth box of the highest overlap above ``least`` (0 or more) in its frame; ties go to the first."""
     over = iou(F.col("box"), F.col("gt_box"))
-    pairs = predictions.join(truth, "frame").withColumn("iou", F.round(over, 9)).where(F.col("iou") > least)
+    pairs = overlapping(predictions, truth, ["frame"], "box", "gt_box").withColumn("iou", F.round(over, 9)).where(F.col("iou") > least)
     return pairs.groupBy("frame", "pred").agg(F.max(F.struct("iou", (-F.col("gt")).alias("first"))).alias("b")).select("frame", "pred", (-F.col("b.first")).alias("gt"), rnd(F.col("b.iou"), 6).alias("iou"))
 
 

@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip_box, foot_point, iou, l2_normalise, quality_ok, role_by_colour, round_half_away, to_measure
+from ..functions.columns import area, clip_box, foot_point, intersection, iou, l2_normalise, quality_ok, role_by_colour, round_half_away, to_measure
 from ..operators import analytics as A
 from ..operators import events as E
 from ..operators import identity as I
 from ..operators import resolver as R_
+from ..operators import spatial as S
 from ..operators import tracking as T
 from ..operators import zones as Z
 from ..sources.events import DUCK_ADAPTER, adapt, camera_events, shared_dir
@@ -63,21 +64,24 @@ AREA = "(({0}.x2 - {0}.x1) * ({0}.y2 - {0}.y1))"
 IOU = f"({INTER} / ({AREA.format('a')} + {AREA.format('b')} - {INTER}))"
 
 
+def _two(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """The boxes, with other names for id and box."""
+    return boxes(spark, sf_dir).select("frame", F.col("id").alias(names[0]), F.col("box").alias(names[1]))
+
+
 def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = boxes(spark, sf_dir)
-    pairs = b.select("frame", F.col("id").alias("a"), F.col("box").alias("ab")).join(b.select("frame", F.col("id").alias("b"), F.col("box").alias("bb")), "frame").where("a < b")
+    pairs = S.overlapping(_two(spark, sf_dir, "a", "ab"), _two(spark, sf_dir, "b", "bb"), ["frame"], "ab", "bb").where("a < b")
     return pairs.select("frame", "a", "b", round_half_away(iou(F.col("ab"), F.col("bb")), 6).alias("iou")).where("iou > 0")
 
 
 def occlusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest share of a box that boxes nearer to the camera hide; boxes hidden beyond 0.7 go."""
-    from ..functions.columns import area, intersection
-
-    b = boxes(spark, sf_dir)
-    other = b.select("frame", F.col("id").alias("o"), F.col("box").alias("ob"))
-    pairs = b.join(other, (b["frame"] == other["frame"]) & (F.col("id") != F.col("o")) & (F.col("ob.y2") > F.col("box.y2")), "left")
-    hidden = F.coalesce(F.max(intersection(F.col("box"), F.col("ob")) / area(F.col("box"))), F.lit(0.0))
-    return pairs.groupBy("id").agg(round_half_away(hidden, 6).alias("hidden")).where("hidden <= 0.7")
+    own, other = _two(spark, sf_dir, "id", "box"), _two(spark, sf_dir, "o", "ob")
+    pairs = S.overlapping(own, other, ["frame"], "box", "ob").where((F.col("id") != F.col("o")) & (F.col("ob.y2") > F.col("box.y2")))
+    share = pairs.select("id", (intersection(F.col("box"), F.col("ob")) / area(F.col("box"))).alias("part"))
+    # a box that nothing overlaps is hidden by nothing
+    every = share.unionByName(own.select("id", F.lit(0.0).alias("part")))
+    return every.groupBy("id").agg(round_half_away(F.max("part"), 6).alias("hidden")).where("hidden <= 0.7")
 
 
 def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,7 +320,8 @@ SELECT store_id, global_id, visit, max(enter_ts) AS enter_ts, max(CASE WHEN e =
     "dedup_window": "WITH RECURSIVE " + _ev("")[5:] + f", o AS (SELECT *, row_number() OVER (PARTITION BY global_id, event_type, zone ORDER BY ts, event_id) AS n FROM ev), m AS (SELECT global_id, event_type, zone, event_id, ts AS last, n, true AS kept FROM o WHERE n = 1 UNION ALL SELECT o.global_id, o.event_type, o.zone, o.event_id, CASE WHEN o.ts - m.last >= {2 * DAY} THEN o.ts ELSE m.last END, o.n, o.ts - m.last >= {2 * DAY} FROM m JOIN o ON o.global_id = m.global_id AND o.event_type = m.event_type AND o.zone IS NOT DISTINCT FROM m.zone AND o.n = m.n + 1) SELECT event_id, global_id, event_type, zone FROM m WHERE kept",
     "point_in_zone": IN_ZONE,
     "iou_pairs": f"SELECT * FROM (SELECT a.frame, a.id AS a, b.id AS b, {R(IOU, 6)} AS iou FROM {BOXES} a JOIN {BOXES} b ON a.frame = b.frame AND a.id < b.id) WHERE iou > 0",
-    "occlusion": f"SELECT * FROM (SELECT a.id, {R('coalesce(max(' + INTER + ' / ' + AREA.format('a') + '), 0)', 6)} AS hidden FROM {BOXES} a LEFT JOIN {BOXES} b ON a.frame = b.frame AND a.id <> b.id AND b.y2 > a.y2 GROUP BY a.id) WHERE hidden <= 0.7",
+    # (least and greatest pass over nulls, so a box without others must not be measured against none)
+    "occlusion": f"SELECT * FROM (SELECT a.id, {R('coalesce(max(CASE WHEN b.id IS NOT NULL THEN ' + INTER + ' / ' + AREA.format('a') + ' END), 0)', 6)} AS hidden FROM {BOXES} a LEFT JOIN {BOXES} b ON a.frame = b.frame AND a.id <> b.id AND b.y2 > a.y2 GROUP BY a.id) WHERE hidden <= 0.7",
     "quality_gate": f"SELECT id, (y2 - y1 >= 32 AND x1 > 2 AND y1 > 2 AND x2 < 638 AND y2 < 478 AND (x2 - x1) / greatest(y2 - y1, 1e-6) <= 1.2) AS ok FROM {BOXES}",
     "truth_match": f"SELECT frame, pred, gt, {R('iou', 6)} AS iou FROM (SELECT a.frame, a.id AS pred, b.id AS gt, round({IOU}, 9) AS iou, row_number() OVER (PARTITION BY a.frame, a.id ORDER BY round({IOU}, 9) DESC, b.id) AS r FROM {BOXES} a JOIN {BOXES} b ON a.frame = b.frame AND a.id % 2 = 0 AND b.id % 2 = 1 WHERE round({IOU}, 9) > 0.05) WHERE r = 1",
     "gallery_topk": _SPLIT + _TOP + " SELECT * FROM top WHERE rank <= 3",

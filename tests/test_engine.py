@@ -9,7 +9,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from aisleflow.functions import hooks, pixels
+from aisleflow.functions import hooks
 from aisleflow.operators import analytics, events, identity, zones
 from aisleflow.sources import datasets, stores
 from aisleflow.sources.events import append_table, flatten, read_lines, write_lines
@@ -184,44 +184,6 @@ def test_hooks(spark):
     assert {r.id: (r.v, r.r.role) for r in out.collect()} == {1: ([3.0], "customer"), 2: (None, "customer")}
 
 
-def test_colour_histograms_and_roles(spark):
-    rng = np.random.default_rng(1)
-    crops = [np.full((20, 10, 3), c, np.uint8) for c in ((255, 0, 0), (0, 255, 0), (0, 0, 255), (40, 40, 40))] + [rng.integers(0, 256, (31, 17, 3)).astype(np.uint8), np.zeros((0, 0, 3), np.uint8)]
-    rows = [(k, bytearray(a.tobytes()), a.shape[1], a.shape[0]) for k, a in enumerate(crops)] + [(9, bytearray(b"abc"), 5, 5), (10, None, 1, 1)]
-    df = spark.createDataFrame(rows, "id int, crop binary, w int, h int")
-    out = {r.id: r for r in df.select("id", pixels.embedded("crop", F.col("w"), F.col("h")).alias("v"), pixels.role_of_crop(F.col("crop"), F.col("w"), F.col("h"), [40, 40, 40]).alias("r")).collect()}
-    for k, hue in ((0, 120), (1, 60), (2, 0)):
-        at = [i for i, x in enumerate(out[k].v) if x]
-        assert at == [((hue * 8 // 180) * 4 + 3) * 4 + 3 + 128 * part for part in (0, 1)] and np.allclose([out[k].v[i] for i in at], 2**-0.5)
-    assert all(abs(np.linalg.norm(out[k].v) - 1) < 1e-5 for k in range(5)) and not any(out[5].v) and out[9].v is None and out[10].v is None
-    assert out[3].r.role == "employee" and out[3].r.confidence == 1.0 and out[0].r.role == "customer" and out[5].r.role == out[10].r.role == "unknown"
-
-
-def test_blobs(spark):
-    rng = np.random.default_rng(2)
-    frame = np.full((60, 80, 3), 90, np.uint8)
-    frame[10:40, 5:20] = (10, 200, 30)
-    frame[20:50, 40:60] = (200, 20, 10)
-    frame[22:24, 45:50] = 90  # a gap that closing fills
-    frame[5, 70] = 255  # a speck
-    rows = [("s", "c", k, bytearray(a.tobytes()), 80, 60) for k, a in enumerate((frame, np.full((60, 80, 3), 7, np.uint8)))]
-    df = spark.createDataFrame(rows, "store_id string, camera_id string, frame long, image binary, width int, height int")
-    got = sorted((r.frame, r.x1, r.y1, r.x2, r.y2) for r in hooks.detect_with(df, pixels.blobs()).collect())
-    assert got == [(0, 5.0, 10.0, 20.0, 40.0), (0, 40.0, 20.0, 60.0, 50.0)]
-    mask = rng.random((40, 40)) < 0.4
-    seen, want = np.zeros_like(mask), 0
-    for y, x in np.argwhere(mask):
-        if not seen[y, x]:
-            want += 1
-            todo = [(y, x)]
-            while todo:
-                a, b = todo.pop()
-                if 0 <= a < 40 and 0 <= b < 40 and mask[a, b] and not seen[a, b]:
-                    seen[a, b] = True
-                    todo += [(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    assert len(pixels.pieces(mask)) == want and sum(map(len, pixels.pieces(mask))) == mask.sum()
-
-
 def test_streamed_health_equals_batch(spark, tmp_path):
     from aisleflow.sources.events import camera_events
     from aisleflow.streaming import jobs
@@ -294,3 +256,36 @@ def test_similarity_reports_pass_over_unusable_vectors(spark):
     assert all((r.g_label == 9) == (r.q >= 200) for r in top) and {200, 202} < {r.q for r in top}
     none = identity.leave_one_out(clean.limit(0)).first()
     assert (none.rank1, none.rank5, none.samples) == (None, None, 0)
+
+
+def test_boxes_that_overlap_are_found_once_and_few_others_looked_at(spark):
+    from aisleflow.operators import spatial
+
+    rng = np.random.default_rng(8)
+    # a crowded frame, boxes of all sizes, of the size of the picture, on tiles' borders, of no area, null and non-finite
+    rows = [(0, k, (*(c := rng.uniform(-50, 1900, 2).round(int(k % 2))).tolist(), *(c + rng.uniform(1, 60, 2)).tolist())) for k in range(3000)]
+    rows += [(1, 5000 + k, (96.0 * k, 0.0, 96.0 * k + 96.0, 96.0)) for k in range(4)] + [(1, 5010, (0.0, 0.0, 2000.0, 1500.0)), (1, 5011, (5.0, 5.0, 5.0, 9.0)), (1, 5012, (9.0, 9.0, 5.0, 5.0)), (1, 5013, (float("nan"), 0.0, 5.0, 5.0)), (1, 5014, None), (2, 6000, (0.0, 0.0, 50.0, 50.0)), (None, 6001, (0.0, 0.0, 50.0, 50.0))]
+    box = "struct<x1:double,y1:double,x2:double,y2:double>"
+    one = spark.createDataFrame(rows, f"frame long, a long, p {box}")
+    two = one.toDF("frame", "b", "q")
+    got = [(r.a, r.b) for r in spatial.overlapping(one, two, ["frame"], "p", "q").where("a < b").collect()]
+    fine = [(f, k, x) for f, k, x in rows if f is not None and x and all(np.isfinite(x)) and x[2] > x[0] and x[3] > x[1]]
+    x = np.array([b for _, _, b in fine])
+    hit = (np.minimum(x[:, None, 2], x[None, :, 2]) > np.maximum(x[:, None, 0], x[None, :, 0])) & (np.minimum(x[:, None, 3], x[None, :, 3]) > np.maximum(x[:, None, 1], x[None, :, 1]))
+    want = {(fine[i][1], fine[j][1]) for i, j in zip(*np.nonzero(hit)) if fine[i][1] < fine[j][1] and fine[i][0] == fine[j][0]}
+    assert len(got) == len(set(got)) and set(got) == want and {(5000, 5010), (5003, 5010)} < want
+    # four times the boxes over four times the place: four times the pairs looked at, not sixteen
+    looked = lambda n: spatial.meeting(*(spark.range(n).select(F.lit(0).alias("frame"), F.col("id").alias(i), F.struct((x := F.rand(3) * 20 * n**0.5).alias("x1"), (y := F.rand(4) * 20 * n**0.5).alias("y1"), (x + 30).alias("x2"), (y + 30).alias("y2")).alias(c)) for i, c in (("a", "p"), ("b", "q"))), ["frame"], "p", "q").count()
+    few, many = looked(2000), looked(8000)
+    assert many < 6 * few and few < 2000 * 2000 / 10
+    assert spatial.overlapping(one.limit(0), two, ["frame"], "p", "q").count() == 0
+
+
+def test_a_box_that_nothing_hides_is_kept(spark, tmp_path):
+    """One box alone, and one behind another that lies elsewhere, are hidden by nothing; one behind a box in front of it goes."""
+    from aisleflow.plans import catalog
+
+    lines = [(8, 1, 10, 20.0), (80, 1, 500, 5.0), (80, 2, 100, 5.0), (160, 1, 30, 1.0), (161, 1, 28, 40.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.id: r.hidden for r in catalog.occlusion(spark, str(tmp_path)).collect()}
+    assert got == {65: 0.0, 641: 0.0, 642: 0.0, 1289: 0.0}
