@@ -15,7 +15,7 @@ from ..operators import resolver as R_
 from ..operators import spatial as S
 from ..operators import tracking as T
 from ..operators import zones as Z
-from ..sources.events import DUCK_ADAPTER, adapt, camera_events, shared_dir
+from ..sources.events import DUCK_ADAPTER, camera_events, shared_dir
 from ..sources.stores import newest_vectors
 from ..streaming import jobs as J
 from ..streaming import live as L
@@ -186,20 +186,38 @@ def stream_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(L.identities(_replayed(timed, "id"), _staff(spark, sf_dir), 0.5, 0.3), "identities")
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    return events.withColumn("event_time", F.timestamp_micros((F.col("ts") * 1e6).cast("long")))
+
+
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """De-duplication as a stream over the events file."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
-    kept = J.deduplicate(adapt(raw), DEDUP_KEYS, 2 * DAY)
+    """De-duplication as a stream of several micro-batches, with late rows."""
+    kept = L.deduplicate(_replayed(_timed(camera_events(spark, sf_dir)), "event_id"), DEDUP_KEYS, 2 * DAY)
     return _streamed(kept, "dedup").select("event_id", "global_id", "event_type", "zone")
 
 
 def stream_zone_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zone entries, interactions and exits as a stream over the events file."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
-    obs = adapt(raw).select("store_id", "global_id", "event_id", "ts", (F.col("k") < 50).alias("inside"))
-    return _streamed(J.zone_steps(obs, ["store_id", "global_id"]), "zones")
+    """Zone entries, interactions and exits as a stream of several micro-batches, in order."""
+    obs = _timed(camera_events(spark, sf_dir)).select("store_id", "global_id", "event_id", "ts", (F.col("k") < 50).alias("inside"), "event_time")
+    in_order = J.replay(obs, f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}", "event_id", late=0).where("event_id IS NOT NULL")
+    return _streamed(J.zone_steps(in_order, ["store_id", "global_id"]), "zones")
+
+
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spoilt events as a stream into the table of good ones and that of those put aside: how many have each fault."""
+    root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    rows = _timed(camera_events(spark, sf_dir)).withColumn("event_time", F.coalesce("event_time", F.timestamp_seconds(F.lit(0))))
+    landed = J.replay(rows, f"{root}/landed", "event_id", late=0).where("event_id IS NOT NULL")
+    J.ingest(engine.spoilt(landed), f"{root}/good", f"{root}/aside", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    tables = [spark.read.parquet(f"{root}/{t}") for t in ("good", "aside")]
+    return tables[0].select(F.lit("none").alias("fault")).unionByName(tables[1].select("fault")).groupBy("fault").agg(F.count("*").alias("n"))
+
+
+def stream_camera_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest snapshot of each camera's health, events and drift, from a stream of several micro-batches with late rows."""
+    snapshots = _streamed(L.camera_reports(_replayed(engine.health_rows(spark, sf_dir), "digest"), size=engine.SAMPLES), "health")
+    newest = snapshots.groupBy("store_id", "camera_id").agg(F.max_by(F.struct(*snapshots.columns), "us").alias("s")).select("s.*")
+    return newest.where("frames > 0").drop("us")
 
 
 def _replayed(rows: DataFrame, tie: str) -> DataFrame:
@@ -208,8 +226,7 @@ def _replayed(rows: DataFrame, tie: str) -> DataFrame:
 
 def stream_zone_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zone events from a stream in several micro-batches, with late rows; the same events as the windows' of zone_events."""
-    timed = engine.zone_observations(spark, sf_dir).withColumn("event_time", F.timestamp_micros((F.col("ts") * 1e6).cast("long")))
-    return engine.as_lines(_streamed(L.zone_events(_replayed(timed, "event_id"), engine.zones(spark), engine.GAP, min_dwell=DAY), "zone-events"))
+    return engine.as_lines(_streamed(L.zone_events(_replayed(_timed(engine.zone_observations(spark, sf_dir)), "event_id"), engine.zones(spark), engine.GAP, min_dwell=DAY), "zone-events"))
 
 
 def _streamed(stream: DataFrame, name: str) -> DataFrame:
@@ -251,6 +268,8 @@ QUERIES = {
     "stream_dedup": stream_dedup,
     "stream_zone_steps": stream_zone_steps,
     "stream_zone_events": stream_zone_events,
+    "stream_ingest": stream_ingest,
+    "stream_camera_report": stream_camera_report,
     "stream_tracks": stream_tracks,
     "stream_identities": stream_identities,
     "box_measure": lambda s, d: boxes(s, d).select("id", to_measure(F.col("box")).alias("m"), clip_box(F.col("box"), 640.0, 480.0).alias("c")).select("id", "m.cx", "m.cy", "m.s", "m.r", F.col("c.x2").alias("clip_x2"), F.col("c.y2").alias("clip_y2")),
@@ -344,7 +363,7 @@ SQL |= {
 
 QUERIES |= engine.QUERIES
 SQL |= engine.SQL
-SQL["stream_zone_events"] = SQL["zone_events"]
+SQL |= {f"stream_{to}": SQL[of] for to, of in (("zone_events", "zone_events"), ("ingest", "ingest_quarantine"), ("camera_report", "camera_report"))}
 
 _OVER = "greatest(0, least(k.x2, o.x2) - greatest(k.x1, o.x1)) * greatest(0, least(k.y2, o.y2) - greatest(k.y1, o.y1))"
 SQL |= {

@@ -78,11 +78,26 @@ def camera_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAMPLES = 30
 
 
-def camera_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cameras' health with their events and drift; vectors are samples of six cameras, the first 30 being a camera's measure."""
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as samples of six cameras, in the order of their ids."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    samples = v.select(F.concat(F.lit("store-"), F.col("vec_id") % 3).alias("store_id"), F.concat(F.lit("cam-"), F.col("vec_id") % 2).alias("camera_id"), F.col("vec_id").alias("n"), "embedding")
-    return H.camera_report(camera_health(spark, sf_dir), camera_events(spark, sf_dir), samples, SAMPLES)
+    return v.select(F.concat(F.lit("store-"), F.col("vec_id") % 3).alias("store_id"), F.concat(F.lit("cam-"), F.col("vec_id") % 2).alias("camera_id"), F.col("vec_id").alias("n"), "embedding")
+
+
+def camera_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cameras' health with their events and drift, a camera's first 30 samples being its measure."""
+    return H.camera_report(camera_health(spark, sf_dir), camera_events(spark, sf_dir), samples(spark, sf_dir), SAMPLES)
+
+
+def health_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections, events and samples of camera_report as one table of rows with times, as streams bring them: a frame, a sample
+    and an event for each second."""
+    none = lambda kind: F.lit(None).cast(kind)
+    at = lambda c: F.timestamp_seconds(c + 1_000_000)
+    d = _lines(spark, sf_dir).select("store_id", "camera_id", F.lit("detection").alias("kind"), "frame", "id", (F.col("q") / 1000).alias("latency"), "confidence", "needs_review", none("array<float>").alias("embedding"), at(F.col("frame")).alias("event_time"))
+    e = camera_events(spark, sf_dir).select("store_id", "camera_id", F.lit("event").alias("kind"), none("long").alias("frame"), F.col("event_id").alias("id"), none("double").alias("latency"), none("double").alias("confidence"), none("boolean").alias("needs_review"), none("array<float>").alias("embedding"), at(F.col("event_id")).alias("event_time"))
+    v = samples(spark, sf_dir).select("store_id", "camera_id", F.lit("sample").alias("kind"), none("long").alias("frame"), F.col("n").alias("id"), none("double").alias("latency"), none("double").alias("confidence"), none("boolean").alias("needs_review"), "embedding", at(F.col("n")).alias("event_time"))
+    return d.unionByName(e).unionByName(v).withColumn("digest", F.xxhash64("kind", "id"))
 
 
 def person_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,11 +127,15 @@ def identity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAIRS = "p AS (SELECT global_id AS name, CASE WHEN event_id % 20 = 0 THEN coalesce(zone, 'none') ELSE global_id END AS gid, role = 'employee' AS is_employee, CASE WHEN event_id % 9 = 0 THEN role <> 'employee' ELSE role = 'employee' END AS said, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN 'emp-x' ELSE employee_id END AS employee_id FROM ev)"
 
 
+def spoilt(events: DataFrame) -> DataFrame:
+    """Events that were spoilt in known ways."""
+    out = events.withColumn("store_id", F.when(F.col("event_id") % 17 == 0, None).otherwise(F.col("store_id"))).withColumn("ts", F.when(F.col("event_id") % 19 == 0, None).otherwise(F.col("ts")))
+    return out.withColumn("confidence", F.when(F.col("event_id") % 23 == 0, F.col("confidence") + 1.5).otherwise(F.col("confidence")))
+
+
 def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events that were spoilt in known ways, and how many rows have each fault."""
-    e = camera_events(spark, sf_dir)
-    spoilt = e.withColumn("store_id", F.when(F.col("event_id") % 17 == 0, None).otherwise(F.col("store_id"))).withColumn("ts", F.when(F.col("event_id") % 19 == 0, None).otherwise(F.col("ts"))).withColumn("confidence", F.when(F.col("event_id") % 23 == 0, F.col("confidence") + 1.5).otherwise(F.col("confidence")))
-    return E.checked(spoilt).groupBy(F.coalesce("fault", F.lit("none")).alias("fault")).agg(F.count("*").alias("n"))
+    """How many of the spoilt events have each fault."""
+    return E.checked(spoilt(camera_events(spark, sf_dir))).groupBy(F.coalesce("fault", F.lit("none")).alias("fault")).agg(F.count("*").alias("n"))
 
 
 def camera_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

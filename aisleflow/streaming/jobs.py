@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.events import checked
 from ..sources.events import LINES, flatten
 
 
@@ -111,13 +112,14 @@ def zone_steps(obs: DataFrame, keys: list[str], enter: int = 2, leave: int = 4,
 
 def replay(rows: DataFrame, folder: str, tie: str, parts: int = 5, late: int = 4) -> DataFrame:
     """rows (with ``event_time``) as a stream of more than ``parts`` micro-batches with a watermark: they land in the folder
-    in slices of event time, every ``late``-th one (by digest) a slice too late, which the watermark's delay allows for. A last
+    in slices of event time, every ``late``-th one (by digest; none for 0) a slice too late, which the watermark's delay allows for. A last
     row of nulls, far enough ahead, lets the watermark pass all others; nothing ever passes that one."""
     us = F.unix_micros("event_time")
     lo, hi = rows.agg(F.min(us), F.max(us)).first()
     lo, hi = (0, 0) if lo is None else (lo, hi)
     width = (hi - lo) // parts + 1
-    slot = F.floor((us - lo) / width) + F.when(F.pmod(F.xxhash64(tie), F.lit(late)) == 0, 1).otherwise(0)
+    slot = F.floor((us - lo) / width)
+    slot = slot + F.when(F.pmod(F.xxhash64(tie), F.lit(late)) == 0, 1).otherwise(0) if late else slot
     for k in range(parts + 1):
         rows.where(slot == k).write.mode("append").parquet(folder)
     spark = rows.sparkSession
@@ -152,6 +154,22 @@ def upsert_latest(stream: DataFrame, keys: list[str], ts: str, path: str, checkp
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("append")
 
 
+def ingest(stream: DataFrame, good: str, aside: str, checkpoint: str):
+    """Incoming events into two tables: the good ones, and the others with what is wrong with them. A micro-batch replaces its
+    own part of both tables, so one that is repeated after a failure leaves them as they were; either part may be there
+    without the other only until the repeat."""
+
+    def split(batch: DataFrame, n: int) -> None:
+        rows = checked(batch).persist()
+        try:
+            rows.where("fault IS NULL").drop("fault").write.mode("overwrite").parquet(f"{good}/batch={n}")
+            rows.where("fault IS NOT NULL").write.mode("overwrite").parquet(f"{aside}/batch={n}")
+        finally:
+            rows.unpersist()
+
+    return stream.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint)
+
+
 def post_batches(stream: DataFrame, post: Callable[[list[str]], None], checkpoint: str, rows: int = 50):
     """Hands JSON lines to ``post`` in batches of ``rows`` from the executors; a batch that raises is repeated by Spark
     (at least once, nothing dropped)."""

@@ -1,15 +1,16 @@
-"""The live engine on streams: zone events, tracks and identities as they happen. Each equals its batch form on the rows that
+"""The live engine on streams: zone events, tracks, identities, kept events and cameras' health as they happen. Each equals its batch form on the rows that
 the watermark has passed, whatever the cuts into micro-batches and the order of rows within the delay."""
 
 from __future__ import annotations
 
-from collections import OrderedDict
+from collections import OrderedDict, deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import edges_contain, polygon_edges
+from ..functions.columns import edges_contain, polygon_edges, round_half_away as rnd
 from ..operators import events as E
 from ..operators import resolver as R
 from ..operators import tracking as T
@@ -108,3 +109,99 @@ def identities(observations: DataFrame, employees: dict[str, list[list[float]]],
     rows = observations.withColumn("usable", R.usable()).withColumn("id", F.coalesce("id", F.lit(-1))).select(*R.INPUT, "event_time", "usable")
     make = lambda key: R.Resolver(key, employees, match, review, ttl, capacity, margin, reverify)
     return R.named(fold_stream(rows, ["store_id"], ["ts", "camera_id", "track_id", "id"], make, R.MADE, F.col("usable")))
+
+
+class Kept:
+    """The time of the last event of a key that was kept."""
+
+    def __init__(self, key: tuple, window: float):
+        self.window, self.last, self.at_us = window, None, 0
+
+    def held(self) -> tuple:
+        return self.last, self.at_us
+
+    def resume(self, held: tuple) -> None:
+        self.last, self.at_us = held
+
+    def idle_from(self) -> float:
+        """An event a window later is kept whatever came before."""
+        return self.at_us + self.window * 1e6
+
+    def step(self, part: pd.DataFrame, last: bool) -> pd.DataFrame:
+        keep = []
+        for ts, at in zip(part["ts"], part["us"], strict=True):
+            keep.append(self.last is None or ts - self.last >= self.window)
+            if keep[-1]:
+                self.last, self.at_us = float(ts), int(at)
+        return part[keep].drop(columns=["us", "event_time"])
+
+
+def deduplicate(events: DataFrame, keys: list[str], window: float, tie: str = "event_id") -> DataFrame:
+    """operators.zones.deduplicate (keys, ts and tie) on a stream with a watermark on ``event_time``, whatever the order of rows
+    within the delay. A key is forgotten when the watermark is a window past its last kept event."""
+    rows = events.select(*keys, "ts", tie, "event_time", F.unix_micros("event_time").alias("us"))
+    schema = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in [*keys, "ts", tie])
+    return fold_stream(rows, keys, [tie], lambda key: Kept(key, window), schema, F.col("ts").isNotNull())
+
+
+SNAPSHOT = "store_id string, camera_id string, us long, frames long, latency_p50 double, latency_p95 double, mean_people double, mean_confidence double, decisions long, review_ratio double, events long, drift double"
+
+
+class Health:
+    """One camera's counts and rings: the last ``window`` frames and detections, its first ``size`` samples and the last others."""
+
+    def __init__(self, key: tuple, window: int, size: int, least: int):
+        self.key, self.size, self.least = key, size, least
+        self.frames = self.decisions = self.doubts = self.events = 0
+        self.latency, self.people, self.sure = (deque(maxlen=window) for _ in range(3))
+        self.first: list = []  # samples until there are ``size``, then their mean
+        self.mean, self.recent = None, deque(maxlen=size)
+
+    def held(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("key", "size", "least")}
+
+    def resume(self, held: dict) -> None:
+        self.__dict__.update(held)
+
+    def _drift(self) -> float | None:
+        if self.mean is None or len(self.recent) < self.least:
+            return None
+        now = np.mean(self.recent, axis=0)
+        both = np.linalg.norm(self.mean) * np.linalg.norm(now)
+        return float(1 - self.mean @ now / both) if both else None
+
+    def step(self, part: pd.DataFrame, last: bool) -> pd.DataFrame:
+        for _, seen in part[part["kind"] == "detection"].groupby("frame", sort=True):
+            self.frames += 1
+            self.latency.append(float(seen["latency"].sum()))
+            self.people.append(len(seen))
+            self.sure.extend(seen["confidence"].tolist())
+            self.decisions += len(seen)
+            self.doubts += int(seen["needs_review"].sum())
+        self.events += int((part["kind"] == "event").sum())
+        for x in part.loc[part["kind"] == "sample", "embedding"]:
+            if x is None:
+                continue
+            if self.mean is not None:
+                self.recent.append(np.asarray(x, float))
+                continue
+            self.first.append(np.asarray(x, float))
+            if len(self.first) == self.size:
+                self.mean, self.first = np.mean(self.first, axis=0), []
+        p50, p95 = np.percentile(self.latency, [50, 95]) if self.latency else (None, None)
+        mean = lambda xs: float(np.mean(xs)) if len(xs) else None
+        row = (*self.key, int(part["us"].max()), self.frames, p50, p95, mean(self.people), mean(self.sure), self.decisions, self.doubts / self.decisions if self.decisions else None, self.events, self._drift())
+        return pd.DataFrame([row], columns=[c.split()[0] for c in SNAPSHOT.split(", ")])
+
+
+HEALTH_INPUT = ["store_id", "camera_id", "kind", "frame", "id", "latency", "confidence", "needs_review", "embedding"]
+
+
+def camera_reports(rows: DataFrame, window: int = 300, size: int = 200, least: int = 10) -> DataFrame:
+    """Snapshots of operators.health.camera_report, one for each camera whenever the watermark moves on, with ``us``, the time
+    of its newest row. rows: store, camera, event_time (the same for a frame's rows) and kind: detection (frame, id, its part
+    of the frame's latency, confidence, needs_review), event, or sample (id, embedding)."""
+    made = rows.select(*HEALTH_INPUT, "event_time", F.unix_micros("event_time").alias("us"))
+    out = fold_stream(made, E.CAMERA, ["frame", "id"], lambda key: Health(key, window, size, least), SNAPSHOT, F.col("kind").isNotNull())
+    six = ["latency_p50", "latency_p95", "mean_people", "mean_confidence", "review_ratio"]
+    return out.select(*[rnd(F.col(c), 6).alias(c) if c in six else rnd(F.col(c), 4).alias(c) if c == "drift" else F.col(c) for c in out.columns])

@@ -4,7 +4,8 @@ Each key keeps the rows that the watermark hasn't passed, and the state of its m
 operators/ordered.py folds in batch). When the watermark passes rows, by new data or by an event-time timer set for the
 earliest row that waits, they are taken in order and go. So a row is worked on once, after all that belong before it; a row
 that comes later than the delay is dropped by Spark. State is what the machine remembers and the rows of the delay; it lives
-in the query's checkpoint.
+in the query's checkpoint. A machine with a method ``idle_from()`` says from which time on (in microseconds) what it remembers
+makes no difference; when the watermark passes that, the key's state goes.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ class _Ordered(StatefulProcessor):
         rows = [*[pickle.loads(r[0]) for r in self.waiting.get()], *fresh] if self.waiting.exists() else fresh
         rows = [r for r in rows if len(r)]
         if not rows:
+            self._forget(key, passed)
             return
         held = pd.concat(rows, ignore_index=True)
         ready = held["at_us"] // 1000 <= passed
@@ -53,9 +55,20 @@ class _Ordered(StatefulProcessor):
             machine.resume(pickle.loads(self.machine.get()[0]))
         out = machine.step(now.sort_values(["at_us", *self.order], kind="stable").drop(columns="at_us"), True)
         self.machine.update((pickle.dumps(machine.held()),))
+        if hasattr(machine, "idle_from"):
+            self.handle.registerTimer(int(machine.idle_from() // 1000) + 1)
         if len(out):
             yield out
 
+    def _forget(self, key: tuple, passed: int) -> None:
+        """Drop the key's state if the watermark has passed the time from which on it makes no difference."""
+        if self.machine.exists():
+            machine = self.make(key)
+            if hasattr(machine, "idle_from"):
+                machine.resume(pickle.loads(self.machine.get()[0]))
+                if machine.idle_from() // 1000 < passed:
+                    self.machine.clear()
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         # what this batch brings counts only when the watermark has passed it
         fresh = [r[r["at_us"].notna()].astype({"at_us": "int64"}) for r in rows]
