@@ -31,29 +31,33 @@ def flushed(obs: DataFrame, gap: float) -> DataFrame:
     """obs with ``session`` and ``flush_ts``. A person's session on a camera ends when a frame of that camera comes more
     than ``gap`` after they were last seen; flush_ts is that frame's time, null where none came.
 
-    The frame is looked for among the camera's frames of the same day, then among the first ones of later days, so that no
-    task holds a camera's whole clock.
+    Only rows after which the person is away for longer than the gap can end a session, so these alone look for a frame:
+    among the camera's frames of the day when they are due, then among the first ones of later days. No task holds a camera's
+    whole clock, and the other rows go by. Null stores and cameras are values.
     """
     day = lambda c: F.floor(c / 86_400)
     w = W.partitionBy(*CAMERA, "global_id").orderBy("ts", "event_id")
-    rows = obs.withColumn("due", F.col("ts") + gap).withColumn("next_ts", F.lead("ts").over(w))
-    clock = obs.select(*CAMERA, "ts").distinct().withColumn("day", day(F.col("ts")))
-    # the first frame after each time at which a person would be due: frames and due times in one order
-    frames = clock.select(*CAMERA, "day", F.col("ts").alias("t"), F.col("ts").alias("frame"))
-    asked = rows.select(*CAMERA, day(F.col("due")).alias("day"), F.col("due").alias("t"), F.lit(None).cast("double").alias("frame")).distinct()
-    # a frame at the due time itself stands before it, since it isn't past the gap
-    ahead = W.partitionBy(*CAMERA, "day").orderBy("t", F.col("frame").isNull()).rowsBetween(1, W.unboundedFollowing)
-    both = frames.unionByName(asked).withColumn("after", F.min("frame").over(ahead))
-    same_day = both.where("frame IS NULL").select(*CAMERA, "day", F.col("t").alias("due"), "after")
-    days = clock.groupBy(*CAMERA, "day").agg(F.min("ts").alias("first"))
-    days = days.unionByName(same_day.select(*CAMERA, "day").distinct().withColumn("first", F.lit(None).cast("double")))
-    days = days.groupBy(*CAMERA, "day").agg(F.min("first").alias("first")).withColumn("next_day", F.min("first").over(W.partitionBy(*CAMERA).orderBy("day").rowsBetween(1, W.unboundedFollowing)))
-    found = same_day.join(days, [*CAMERA, "day"]).select(*CAMERA, "due", F.coalesce("after", "next_day").alias("flush_ts"))
-    out = rows.join(found, [*CAMERA, "due"], "left")
+    rows = obs.withColumn("_next", F.lead("ts").over(w)).withColumn("_due", F.col("ts") + gap)
+    away = F.coalesce(F.col("_next") > F.col("_due"), F.col("_next").isNull() & F.col("_due").isNotNull())
+    here = rows.where(~away).withColumn("flush_ts", F.lit(None).cast("double"))
+    # frames and due times of a camera's day in one order; a frame at the due time itself isn't past the gap, so it stands before
+    asked = rows.where(away).select("*", day(F.col("_due")).alias("_day"), F.col("_due").alias("_t"), F.lit(None).cast("double").alias("_frame"))
+    seen = obs.where("ts IS NOT NULL")
+    frames = seen.select(*CAMERA, day(F.col("ts")).alias("_day"), F.col("ts").alias("_t"), F.col("ts").alias("_frame"))
+    ahead = W.partitionBy(*CAMERA, "_day").orderBy("_t", F.col("_frame").isNull()).rowsBetween(1, W.unboundedFollowing)
+    both = asked.unionByName(frames, allowMissingColumns=True).withColumn("_after", F.min("_frame").over(ahead)).where("_frame IS NULL")
+    # the first frame of a later day, for each day that has frames or is asked about
+    days = frames.groupBy(*CAMERA, "_day").agg(F.min("_t").alias("first"))
+    days = days.unionByName(asked.groupBy(*CAMERA, "_day").agg(F.lit(None).cast("double").alias("first")))
+    days = days.groupBy(*CAMERA, "_day").agg(F.min("first").alias("first"))
+    later = F.min("first").over(W.partitionBy(*CAMERA).orderBy("_day").rowsBetween(1, W.unboundedFollowing))
+    days = days.select(*[F.col(c).alias(f"_of_{c}") for c in (*CAMERA, "_day")], later.alias("_later"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*CAMERA, "_day")]
+    found = both.join(days, same, "left").withColumn("flush_ts", F.coalesce("_after", "_later"))
     # a frame in which the person is seen again doesn't end the session
-    out = out.withColumn("flush_ts", F.when(F.col("next_ts").isNull() | (F.col("flush_ts") < F.col("next_ts")), F.col("flush_ts")))
-    before = F.count("flush_ts").over(w.rowsBetween(W.unboundedPreceding, -1))
-    return out.withColumn("session", before).drop("due", "next_ts")
+    found = found.withColumn("flush_ts", F.when(F.col("_next").isNull() | (F.col("flush_ts") < F.col("_next")), F.col("flush_ts")))
+    out = here.select(*obs.columns, "flush_ts").unionByName(found.select(*obs.columns, "flush_ts"))
+    return out.withColumn("session", F.count("flush_ts").over(w.rowsBetween(W.unboundedPreceding, -1)))
 
 
 def zone_events(obs: DataFrame, zones: DataFrame, gap: float, enter: int = 2, leave: int = 4, interact: int = 6, min_dwell: float = 1.0) -> DataFrame:
