@@ -203,6 +203,17 @@ def stream_zone_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(J.zone_steps(in_order, ["store_id", "global_id"]), "zones")
 
 
+def stream_shelf_engagement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shelf engagement by day, from a stream of several micro-batches with late rows."""
+    out = _streamed(J.shelf_engagement(_replayed(_timed(camera_events(spark, sf_dir)), "event_id"), "1 day"), "shelves")
+    return out.withColumn("window_start", F.unix_timestamp("window_start").cast("double"))
+
+
+def stream_journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journeys that end after a day away, from a stream of several micro-batches with late rows."""
+    return _streamed(J.journeys(_replayed(_timed(camera_events(spark, sf_dir)), "event_id"), "1 day"), "journeys")
+
+
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spoilt events as a stream into the table of good ones and that of those put aside: how many have each fault."""
     root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
@@ -268,6 +279,8 @@ QUERIES = {
     "stream_dedup": stream_dedup,
     "stream_zone_steps": stream_zone_steps,
     "stream_zone_events": stream_zone_events,
+    "stream_shelf_engagement": stream_shelf_engagement,
+    "stream_journeys": stream_journeys,
     "stream_ingest": stream_ingest,
     "stream_camera_report": stream_camera_report,
     "stream_tracks": stream_tracks,
@@ -365,6 +378,11 @@ QUERIES |= engine.QUERIES
 SQL |= engine.SQL
 SQL |= {f"stream_{to}": SQL[of] for to, of in (("zone_events", "zone_events"), ("ingest", "ingest_quarantine"), ("camera_report", "camera_report"))}
 
+SQL |= {
+    "stream_shelf_engagement": _ev(f", v AS (SELECT floor(ts / {DAY}) * {DAY} AS window_start, store_id, zone, count(DISTINCT global_id) AS visitors FROM ev WHERE event_type = 'zone_entered' AND zone_kind = 'shelf' AND role = 'customer' GROUP BY ALL), i AS (SELECT floor(ts / {DAY}) * {DAY} AS window_start, store_id, zone, count(DISTINCT global_id) AS n FROM ev WHERE event_type = 'product_interaction' AND role = 'customer' GROUP BY ALL) SELECT window_start, store_id, zone, visitors, coalesce(n, 0) AS interacting, {R('coalesce(n, 0) * 100.0::DOUBLE / visitors', 1)} AS interaction_rate_pct FROM v LEFT JOIN i USING (window_start, store_id, zone)"),
+    "stream_journeys": _ev(f", b AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= {DAY} THEN 0 ELSE 1 END AS fresh FROM ev WINDOW w AS (PARTITION BY store_id, global_id, role ORDER BY ts, event_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY store_id, global_id, role ORDER BY ts, event_id) AS visit FROM b) SELECT store_id, global_id, role, count(DISTINCT camera_id) AS cameras, string_agg(DISTINCT camera_id, ',' ORDER BY camera_id) AS camera_list, min(ts) AS first_ts, {R('max(ts) - min(ts)', 1)} AS journey_s FROM s GROUP BY store_id, global_id, role, visit HAVING count(DISTINCT camera_id) > 1"),
+}
+
 _OVER = "greatest(0, least(k.x2, o.x2) - greatest(k.x1, o.x1)) * greatest(0, least(k.y2, o.y2) - greatest(k.y1, o.y1))"
 SQL |= {
     "stream_zone_steps": SQL["zone_visits"].replace("SELECT store_id, global_id, visit, max(enter_ts)", "SELECT * FROM (SELECT store_id, global_id, unnest(['enter', 'interaction', 'exit']) AS step, unnest([enter_ts, interaction_ts, exit_ts]) AS ts, unnest([NULL, NULL, dwell_s]) AS dwell_s FROM (SELECT store_id, global_id, visit, max(enter_ts)") + ")) WHERE ts IS NOT NULL",

@@ -6,10 +6,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.columns import round_half_away
 from ..operators.events import checked
 from ..sources.events import LINES, flatten
 
@@ -43,6 +44,33 @@ def windowed_health(events: DataFrame, window: str = "10 minutes", late: str = "
     )
 
 
+def _counts(what: Column) -> Column:
+    """what, as a filter that is looked at above the watermark, so that the rows it drops still move that."""
+    return what | F.col("event_time").isNull()
+
+
+def shelf_engagement(events: DataFrame, window: str = "1 hour") -> DataFrame:
+    """By window, store and shelf zone: customers who came, how many of the zone's interacted, and their rate, when the watermark
+    has passed the window. Visits and interactions are two sets of one group, so the join of both needs no second shuffle or
+    state; a zone without visitors gives no row. A window's state is the people seen in it."""
+    customer, kind = F.col("role") == "customer", F.col("event_type")
+    came, acted = customer & (kind == "zone_entered") & (F.col("zone_kind") == "shelf"), customer & (kind == "product_interaction")
+    people = lambda which: F.size(F.collect_set(F.when(which, F.col("global_id")))).cast("long")
+    wanted = events.where(_counts(F.col("zone").isNotNull() & (came | acted)))
+    each = wanted.groupBy(F.window("event_time", window), "store_id", "zone").agg(people(came).alias("visitors"), people(acted).alias("interacting")).where("visitors > 0")
+    rate = round_half_away(F.col("interacting") * F.lit(100.0) / F.col("visitors"), 1)
+    return each.select(F.col("window.start").alias("window_start"), "store_id", "zone", "visitors", "interacting", rate.alias("interaction_rate_pct"))
+
+
+def journeys(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Visits of people to a store that end when they are away for the gap, of those seen by more than one camera: cameras, their
+    list and how long it took, when the watermark has passed the gap. State is the people of the last gap."""
+    near = events.where(_counts(F.col("global_id").isNotNull())).groupBy(F.session_window("event_time", gap), "store_id", "global_id", "role")
+    each = near.agg(F.collect_set("camera_id").alias("seen"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).where("size(seen) > 1")
+    took = round_half_away(F.col("last_ts") - F.col("first_ts"), 1)
+    return each.select("store_id", "global_id", "role", F.size("seen").cast("long").alias("cameras"), F.array_join(F.array_sort("seen"), ",").alias("camera_list"), "first_ts", took.alias("journey_s"))
+
+
 def _timeout(seconds: int | None) -> str:
     """State timeouts suit streams that go on; a stream that ends with the available data would never end with them."""
     return GroupStateTimeout.ProcessingTimeTimeout if seconds else GroupStateTimeout.NoTimeout
