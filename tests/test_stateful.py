@@ -327,3 +327,33 @@ def test_store_config(spark):
     assert cameras.first().fps == 10.0 and zones.first().zone == "z"
     with pytest.raises(ValueError):
         store_tables(spark, {"store_id": "s", "cameras": [{"camera_id": "c", "zones": [{"name": "z", "polygon": [[0, 0]]}]}]})
+
+
+def test_ingest_leaves_a_repeated_batch_as_it_was(spark, tmp_path):
+    """Good events and those put aside, by micro-batch; run again without its checkpoint, every batch replaces its own part."""
+    line = {"event_type": "zone_entered", "store_id": "s", "camera_id": "c", "timestamp": 1.0, "global_id": "p", "role": "customer", "zone": None, "confidence": 0.5, "payload": {}}
+    for k, rows in enumerate(([line, line | {"confidence": 7.0}], [line | {"timestamp": 2.0}], [line | {"confidence": -1.0}])):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / f"in/{k}.json").write_text("\n".join(map(json.dumps, rows)))
+    told = []
+    for n in range(2):
+        events = jobs.event_lines(spark, str(tmp_path / "in"), files_at_once=1)
+        jobs.ingest(events, str(tmp_path / "good"), str(tmp_path / "aside"), str(tmp_path / f"cp{n}")).trigger(availableNow=True).start().awaitTermination()
+        good, aside = (spark.read.parquet(str(tmp_path / t)) for t in ("good", "aside"))
+        told.append((sorted((r.batch, r.ts) for r in good.collect()), sorted((r.batch, r.fault) for r in aside.collect())))
+    assert told[0] == told[1] and [len(x) for x in told[0]] == [2, 2] and {f for _, f in told[0][1]} == {"confidence is out of range"}
+
+
+def test_live_deduplication_takes_late_rows_in_order(spark, tmp_path):
+    """Times 0, 4, 8, 9, 13 with a window of 5 keep 0, 8, 13, in whatever order they come within the delay; null keys are values."""
+    schema = "global_id string, zone string, event_id long, ts double"
+    rows = [("p", None, i, t) for i, t in enumerate((0.0, 4.0, 8.0, 9.0, 13.0))] + [(None, "z", 9, 3.0), ("p", "z", 10, None)]
+    for part in ([rows[2], rows[4], rows[6]], [rows[1], rows[0]], [rows[3], rows[5]], [("end", "z", 99, 500.0)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    timed = stream.withColumn("event_time", F.timestamp_micros((F.coalesce("ts", F.lit(0.0)) * 1e6).cast("long") + 1_000_000_000)).withWatermark("event_time", "60 seconds")
+    kept = jobs.run_available(live.deduplicate(timed, ["global_id", "zone"], 5.0), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert sorted(r.event_id for r in kept.collect()) == [0, 2, 4, 9]
+    machine = live.Kept(("p",), 5.0)
+    machine.resume((13.0, 1_013_000_000))
+    assert machine.idle_from() == 1_018_000_000
