@@ -8,7 +8,8 @@ from pyspark.sql import Window as W
 
 from ..functions.columns import iou, round_half_away as rnd
 from .spatial import overlapping
-from .blocks import ahead_of_hits, block_scores, label_hits, score_counts, top_labels, top_rows
+from . import blocks
+from .blocks import ahead_of_hits, block_scores, hit_ranks, label_hits, merged_counts, score_counts, top_labels, top_rows, usable
 
 
 def gallery_top(queries: DataFrame, gallery: DataFrame, k: int = 3) -> DataFrame:
@@ -31,14 +32,23 @@ def bands(queries: DataFrame, gallery: DataFrame, match: float, review: float, m
     return top.select("q", "best", F.round(gap, 6).alias("margin"), band.alias("band"))
 
 
-def rank_metrics(queries: DataFrame, gallery: DataFrame) -> DataFrame:
-    """Rank 1, rank 5 and mean average precision. A query's hits travel with it, and each block counts what ranks before them."""
+def travelling_hits(queries: DataFrame, gallery: DataFrame) -> DataFrame:
+    """(q, r1, r5, ap): a query's hits travel with it, and each block counts what ranks before them."""
     hits = block_scores(queries, gallery, label_hits, "q long, hits array<struct<sim:double,g:long>>")
     hits = hits.groupBy("q").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
     asked = queries.join(hits, F.col("vec_id") == F.col("q")).select("vec_id", "label", "embedding", "hits")
     ahead = block_scores(asked, gallery, ahead_of_hits, "q long, ahead array<long>")
     ranks = ahead.select("q", F.posexplode_outer("ahead").alias("at", "n")).groupBy("q", "at").agg((F.sum("n") + 1).alias("rank"))
-    each = ranks.groupBy("q").agg(F.coalesce(F.min("rank") <= 1, F.lit(False)).cast("int").alias("r1"), F.coalesce(F.min("rank") <= 5, F.lit(False)).cast("int").alias("r5"), F.coalesce(F.avg((F.col("at") + 1) / F.col("rank")), F.lit(0.0)).alias("ap"))
+    return ranks.groupBy("q").agg(F.coalesce(F.min("rank") <= 1, F.lit(False)).cast("int").alias("r1"), F.coalesce(F.min("rank") <= 5, F.lit(False)).cast("int").alias("r5"), F.coalesce(F.avg((F.col("at") + 1) / F.col("rank")), F.lit(0.0)).alias("ap"))
+
+
+def rank_metrics(queries: DataFrame, gallery: DataFrame) -> DataFrame:
+    """Rank 1, rank 5 and mean average precision. A query's hits are a share of the gallery, so they are ranked where the whole
+    gallery is and don't leave the task; of a gallery too large for one, see ``travelling_hits``."""
+    if usable(gallery).count() <= blocks.WHOLE:
+        each = block_scores(queries, gallery, hit_ranks, "q long, r1 int, r5 int, ap double", whole=True)
+    else:
+        each = travelling_hits(queries, gallery)
     return each.agg(rnd(F.avg("r1"), 4).alias("rank1"), rnd(F.avg("r5"), 4).alias("rank5"), rnd(F.avg("ap"), 4).alias("map"))
 
 
@@ -55,7 +65,7 @@ def leave_one_out(vectors: DataFrame) -> DataFrame:
 def thresholds(vectors: DataFrame, target_far: float = 0.01, review_far: float = 0.05) -> DataFrame:
     """Similarities above which a stranger passes with the rates asked for: exact quantiles, interpolated, of the scores of
     pairs of two identities, from how many pairs have each score (no more than 2,000,001 scores, whatever the pairs)."""
-    counts = block_scores(vectors, vectors, score_counts, "same boolean, millionths long, n long", halves=True)
+    counts = block_scores(vectors, vectors, score_counts, "same boolean, millionths long, n long", halves=True, merge=merged_counts)
     # a row without pairs, so that the check below is made even where no pair is of one identity
     counts = counts.unionByName(vectors.sparkSession.createDataFrame([(True, 2_000_000, 0)], counts.schema)).groupBy("same", "millionths").agg(F.sum("n").alias("n"))
     w = W.partitionBy("same").orderBy("millionths")

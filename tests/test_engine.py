@@ -289,3 +289,26 @@ def test_a_box_that_nothing_hides_is_kept(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.id: r.hidden for r in catalog.occlusion(spark, str(tmp_path)).collect()}
     assert got == {65: 0.0, 641: 0.0, 642: 0.0, 1289: 0.0}
+
+
+def test_blocks_keep_their_number_as_tables_grow(spark, monkeypatch):
+    """A vector travels up to SIDE times whatever the tables' size; hits are ranked in one task or travel, with the same result."""
+    from aisleflow.operators import blocks
+
+    assert [blocks._blocks(n) for n in (0, 1024, 1025, 100_000, 2_000_000, 4_000_000)] == [1, 1, 2, 16, 16, 31]
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(90, 4)).round(1) * rng.choice([1.0, 1e4], 90)[:, None]
+    v = spark.createDataFrame([(k, k % 7, vectors[k].tolist()) for k in range(90)], "vec_id long, label long, embedding array<double>")
+    monkeypatch.setattr(blocks, "BLOCK", 9)
+    one = [tuple(identity.rank_metrics(v, v).first()), tuple(identity.leave_one_out(v).first()), tuple(identity.thresholds(v).first())]
+    for name, n in (("SIDE", 2), ("TILE", 50), ("WHOLE", 10), ("COUNTED", 1000)):
+        monkeypatch.setattr(blocks, name, n)
+    assert [tuple(identity.rank_metrics(v, v).first()), tuple(identity.leave_one_out(v).first()), tuple(identity.thresholds(v).first())] == one
+
+
+def test_a_query_brings_no_list_of_hits_along(spark, monkeypatch):
+    from aisleflow.operators import blocks
+
+    monkeypatch.setattr(identity, "travelling_hits", None)
+    v = spark.createDataFrame([(k, k % 2, [1.0, 0.01 * k]) for k in range(20)], "vec_id long, label long, embedding array<double>")
+    assert identity.rank_metrics(v, v).first().rank1 is not None and blocks.WHOLE > 20
