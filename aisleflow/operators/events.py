@@ -40,17 +40,18 @@ def flushed(obs: DataFrame, gap: float) -> DataFrame:
     rows = obs.withColumn("_next", F.lead("ts").over(w)).withColumn("_due", F.col("ts") + gap)
     away = F.coalesce(F.col("_next") > F.col("_due"), F.col("_next").isNull() & F.col("_due").isNotNull())
     here = rows.where(~away).withColumn("flush_ts", F.lit(None).cast("double"))
-    # frames and due times of a camera's day in one order; a frame at the due time itself isn't past the gap, so it stands before
+    # frames and due times of a camera's day from the last to the first, so that what is ahead is a running minimum (a window that
+    # reaches to the end is worked out anew for each row); a frame at the due time itself isn't past the gap, so it comes after
     asked = rows.where(away).select("*", day(F.col("_due")).alias("_day"), F.col("_due").alias("_t"), F.lit(None).cast("double").alias("_frame"))
     seen = obs.where("ts IS NOT NULL")
     frames = seen.select(*CAMERA, day(F.col("ts")).alias("_day"), F.col("ts").alias("_t"), F.col("ts").alias("_frame"))
-    ahead = W.partitionBy(*CAMERA, "_day").orderBy("_t", F.col("_frame").isNull()).rowsBetween(1, W.unboundedFollowing)
+    ahead = W.partitionBy(*CAMERA, "_day").orderBy(F.desc("_t"), F.col("_frame").isNotNull()).rowsBetween(W.unboundedPreceding, -1)
     both = asked.unionByName(frames, allowMissingColumns=True).withColumn("_after", F.min("_frame").over(ahead)).where("_frame IS NULL")
     # the first frame of a later day, for each day that has frames or is asked about
     days = frames.groupBy(*CAMERA, "_day").agg(F.min("_t").alias("first"))
     days = days.unionByName(asked.groupBy(*CAMERA, "_day").agg(F.lit(None).cast("double").alias("first")))
     days = days.groupBy(*CAMERA, "_day").agg(F.min("first").alias("first"))
-    later = F.min("first").over(W.partitionBy(*CAMERA).orderBy("_day").rowsBetween(1, W.unboundedFollowing))
+    later = F.min("first").over(W.partitionBy(*CAMERA).orderBy(F.desc("_day")).rowsBetween(W.unboundedPreceding, -1))
     days = days.select(*[F.col(c).alias(f"_of_{c}") for c in (*CAMERA, "_day")], later.alias("_later"))
     same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*CAMERA, "_day")]
     found = both.join(days, same, "left").withColumn("flush_ts", F.coalesce("_after", "_later"))
