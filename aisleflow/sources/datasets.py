@@ -77,7 +77,7 @@ def expand(boxes: DataFrame, w: float, h: float, factor: int = 20, least_visible
     cut = lambda v, hi: F.greatest(F.lit(0.0), F.least(v, F.lit(float(hi))))
     new = F.struct(cut(F.col("_x"), w).alias("x1"), cut(F.col("_y"), h).alias("y1"), cut(F.col("_x") + F.col("_w"), w).alias("x2"), cut(F.col("_y") + F.col("_h"), h).alias("y2"))
     left = (F.col("new.x2") - F.col("new.x1")) * (F.col("new.y2") - F.col("new.y1"))
-    rows = rows.withColumn("new", new).withColumn("kept", (left >= least_area) & (left >= least_visible * F.col("_w") * F.col("_h")))
+    rows = rows.withColumn("new", new).withColumn("kept", (left >= least_area) & (left >= least_visible * (F.col("_w") * F.col("_h"))))
     return rows.select("image", "id", "copy", F.col("new").alias("box"), "kept")
 
 

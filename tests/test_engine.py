@@ -1,5 +1,7 @@
 """Sources, sinks, hooks and edge cases of the event engine, against plain Python."""
 
+import functools
+import itertools
 import json
 
 import numpy as np
@@ -321,3 +323,34 @@ def test_flushes_look_no_frame_up_by_a_window_to_the_end(spark, capsys):
     assert {r.event_id: r.flush_ts for r in out.collect()} == {0: 3.5, 1: None, 2: 90_000.0, 3: None}
     out.explain()
     assert "unboundedfollowing" not in capsys.readouterr().out.lower()
+
+
+def test_presence_does_not_hang_on_the_rows_order(spark):
+    """Sums that end in half a tenth are rounded up, in whatever order their parts come."""
+    ways = list(itertools.permutations([0.1, 0.2, 0.3, 0.35]))
+    assert len({functools.reduce(float.__add__, w) for w in ways}) > 1
+    rows = [("s", f"e{k:02}", "c", "z", "seat", 0.0, x, x) for k, way in enumerate(ways) for x in way]
+    df = spark.createDataFrame(rows, "store_id string, employee_id string, camera_id string, zone string, zone_kind string, ts double, dwell_seconds double, confidence double").coalesce(1)
+    assert {r.seated_s for r in analytics.employee_presence(df).collect()} == {1.0}
+    odd = analytics.employee_presence(df.limit(1).withColumn("dwell_seconds", F.lit(float("nan"))).withColumn("confidence", F.lit(None).cast("double"))).first()
+    assert odd.seated_s != odd.seated_s and odd.avg_confidence is None
+
+
+def test_expansion_keeps_a_box_of_just_the_least_share(spark):
+    """The least share is of a box's whole area: boxes of which just three tenths stay in the frame, by a rounding."""
+    rows = [(4407, 4407511791, (391.0, 7.0, 434.0, 93.0)), (4407, 4407118488, (488.0, 7.0, 531.0, 93.0)), (66407, 66407718010, (10.0, 7.0, 53.0, 93.0)), (136031, 136031109109, (109.0, 31.0, 152.0, 117.0))]
+    df = spark.createDataFrame(rows, "image long, id long, box struct<x1:double,y1:double,x2:double,y2:double>")
+    got = {(r.id, r.copy): r.kept for r in datasets.expand(df, 640.0, 480.0, 3).collect()}
+    assert {k: got[k] for k in [(4407511791, 3), (4407118488, 3), (66407718010, 2), (136031109109, 1)]} == {(4407511791, 3): True, (4407118488, 3): True, (66407718010, 2): True, (136031109109, 1): True}
+
+
+def test_carried_samples_by_stretches(spark, monkeypatch):
+    """Chunks of any length give the same; a row without a frame is in no stretch, as in the SQL."""
+    rows = [("s", "c", 1, f, f % 4 != 0, 100 + f, "customer") for f in (1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 12, 20, 21)] + [("s", None, 1, 5, True, 5, "customer"), ("s", "c", 1, None, True, 7, "employee")]
+    df = spark.createDataFrame(rows, "store_id string, camera_id string, track_id long, frame long, embeddable boolean, sample long, role string")
+    told = []
+    for chunk in (4096, 3, 1):
+        monkeypatch.setattr(events, "CHUNK", chunk)
+        told.append(sorted(map(str, events.carried(df).collect())))
+    assert told[0] == told[1] == told[2] and len(told[0]) == 13 and not any("frame=None" in r for r in told[0])
+    assert {r.frame: (r.carried, r.samples_before) for r in events.carried(df).where("camera_id = 'c'").collect()}[9] == (109, 3)
