@@ -7,9 +7,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ordered import idle_segments
 from .zones import in_zones, mark_visits
 
 CAMERA = ["store_id", "camera_id"]
+#: Frames that are looked at together when a track's missed frames are searched.
+CHUNK = 4096
 IDENTITY = ["role", "employee_id", "confidence", "needs_review"]
 EVENT = ["event_type", "store_id", "camera_id", "ts", "global_id", "role", "zone", "employee_id", "confidence", "payload"]
 
@@ -114,12 +117,11 @@ def carried(tracks: DataFrame, every: int = 3, votes: int = 5) -> DataFrame:
     last sample, and ``vote``, the commonest role of the last ``votes`` samples (ties: the earliest of these).
 
     A sample is taken of an embeddable row when none is held or the frame's number is divisible by ``every``. One missed
-    frame ends what is held. Rows before the first sample of an unbroken stretch go.
+    frame ends what is held. Rows before the first sample of an unbroken stretch go, and those without a frame. No task sorts a
+    track's whole history, but stretches.
     """
     key = [*CAMERA, "track_id"]
-    w = W.partitionBy(*key).orderBy("frame")
-    gap = F.coalesce(F.col("frame") - F.lag("frame").over(w) > 1, F.lit(False))
-    rows = tracks.withColumn("stretch", F.sum(gap.cast("int")).over(w))
+    rows = idle_segments(tracks.where("frame IS NOT NULL"), key, "frame", 1, CHUNK).withColumnRenamed("_segment", "stretch")
     own = W.partitionBy(*key, "stretch").orderBy("frame")
     fit = F.count_if("embeddable").over(own)
     rows = rows.withColumn("taken", F.col("embeddable") & ((F.col("frame") % every == 0) | (fit == 1)))
