@@ -199,8 +199,8 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_zone_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zone entries, interactions and exits as a stream of several micro-batches, in order."""
     obs = _timed(camera_events(spark, sf_dir)).select("store_id", "global_id", "event_id", "ts", (F.col("k") < 50).alias("inside"), "event_time")
-    in_order = J.replay(obs, f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}", "event_id", late=0).where("event_id IS NOT NULL")
-    return _streamed(J.zone_steps(in_order, ["store_id", "global_id"]), "zones")
+    in_order = J.replay(obs, f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}", "event_id", late=0)
+    return _streamed(L.zone_steps(in_order, ["store_id", "global_id"]), "zones")
 
 
 def stream_shelf_engagement(spark: SparkSession, sf_dir: str) -> DataFrame:

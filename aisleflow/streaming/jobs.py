@@ -106,38 +106,6 @@ def deduplicate(events: DataFrame, keys: list[str], window: float, tie: str = "e
     return events.select(*keys, ts, tie).groupBy(*keys).applyInPandasWithState(each, schema, "last double", "append", _timeout(timeout_s))
 
 
-def zone_steps(obs: DataFrame, keys: list[str], enter: int = 2, leave: int = 4, interact: int = 6, tie: str = "event_id", timeout_s: int | None = None) -> DataFrame:
-    """Zone entries, interactions and exits as they happen: keys, step, ts, dwell_s. obs: keys, inside, ts, tie."""
-    kinds = dict(obs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", step string, ts double, dwell_s double"
-
-    def each(key, parts: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        run, inside, since, acted = state.get if state.exists else (0, None, None, False)
-        out = []
-        for r in _in_order(parts, ["ts", tie]).itertuples():
-            run = run + 1 if inside is not None and r.inside == inside else 1
-            inside = bool(r.inside)
-            if inside and since is None and run >= enter:
-                since, acted = float(r.ts), False
-                out.append((*key, "enter", r.ts, None))
-            if inside and since is not None and not acted and run >= interact:
-                acted = True
-                out.append((*key, "interaction", r.ts, None))
-            if not inside and since is not None and run >= leave:
-                out.append((*key, "exit", r.ts, round(r.ts - since, 3)))
-                since = None
-        state.update((run, inside, since, acted))
-        if timeout_s:
-            state.setTimeoutDuration(timeout_s * 1000)
-        if out:
-            yield pd.DataFrame(out, columns=[*keys, "step", "ts", "dwell_s"]).astype({"ts": float, "dwell_s": float})
-
-    return obs.select(*keys, "inside", "ts", tie).groupBy(*keys).applyInPandasWithState(each, schema, "run long, inside boolean, since double, acted boolean", "append", _timeout(timeout_s))
-
-
 def replay(rows: DataFrame, folder: str, tie: str, parts: int = 5, late: int = 4) -> DataFrame:
     """rows (with ``event_time``) as a stream of more than ``parts`` micro-batches with a watermark: they land in the folder
     in slices of event time, every ``late``-th one (by digest; none for 0) a slice too late, which the watermark's delay allows for. A last

@@ -14,7 +14,7 @@ from ..functions.columns import edges_contain, polygon_edges, round_half_away as
 from ..operators import events as E
 from ..operators import resolver as R
 from ..operators import tracking as T
-from .ordered import fold_stream
+from .ordered import fold_stream, slots
 
 STEPS = "store_id string, camera_id string, global_id string, zone string, kind string, step string, ts double, role string, employee_id string, confidence double, needs_review boolean, frames int, dwell_s double"
 
@@ -136,12 +136,81 @@ class Kept:
         return part[keep].drop(columns=["us", "event_time"])
 
 
+def _keys(part: pd.DataFrame, keys: list[str]) -> list[tuple]:
+    """The rows' keys; nulls are values."""
+    return list(zip(*(part[k].astype(object).where(part[k].notna(), None) for k in keys), strict=True))
+
+
+class KeptOfSlot:
+    """The time of the last kept event of each key of a slot; a key is forgotten a window after that."""
+
+    def __init__(self, keys: list[str], window: float):
+        self.keys, self.window, self.last = keys, window, {}
+
+    def held(self) -> dict:
+        return self.last
+
+    def resume(self, held: dict) -> None:
+        self.last = held
+
+    def step(self, part: pd.DataFrame, last: bool) -> pd.DataFrame:
+        # rows come in the order of event time, so a key of a window before the first one keeps whatever comes
+        since = int(part["us"].iloc[0]) - self.window * 1e6
+        self.last = {k: v for k, v in self.last.items() if v[1] >= since}
+        keep = []
+        for key, ts, at in zip(_keys(part, self.keys), part["ts"], part["us"], strict=True):
+            held = self.last.get(key)
+            keep.append(held is None or ts - held[0] >= self.window)
+            if keep[-1]:
+                self.last[key] = float(ts), int(at)
+        return part[keep].drop(columns=["us", "event_time", "slot"])
+
+
 def deduplicate(events: DataFrame, keys: list[str], window: float, tie: str = "event_id") -> DataFrame:
     """operators.zones.deduplicate (keys, ts and tie) on a stream with a watermark on ``event_time``, whatever the order of rows
-    within the delay. A key is forgotten when the watermark is a window past its last kept event."""
-    rows = events.select(*keys, "ts", tie, "event_time", F.unix_micros("event_time").alias("us"))
+    within the delay. A key is forgotten a window after its last kept event."""
+    rows = events.select(*keys, "ts", tie, "event_time", F.unix_micros("event_time").alias("us"), slots(keys).alias("slot"))
     schema = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in [*keys, "ts", tie])
-    return fold_stream(rows, keys, [tie], lambda key: Kept(key, window), schema, F.col("ts").isNotNull())
+    return fold_stream(rows, ["slot"], [tie], lambda slot: KeptOfSlot(keys, window), schema, F.col("ts").isNotNull())
+
+
+class StepsOfSlot:
+    """How long each key of a slot has been inside or outside, since when it is in, and whether it has interacted."""
+
+    def __init__(self, keys: list[str], enter: int, leave: int, interact: int):
+        self.keys, self.enter, self.leave, self.interact, self.at = keys, enter, leave, interact, {}
+
+    def held(self) -> dict:
+        return self.at
+
+    def resume(self, held: dict) -> None:
+        self.at = held
+
+    def step(self, part: pd.DataFrame, last: bool) -> pd.DataFrame:
+        out = []
+        for key, now, ts in zip(_keys(part, self.keys), part["inside"], part["ts"], strict=True):
+            run, inside, since, acted = self.at.get(key, (0, None, None, False))
+            run, inside = run + 1 if inside is not None and now == inside else 1, bool(now)
+            if inside and since is None and run >= self.enter:
+                since, acted = float(ts), False
+                out.append((*key, "enter", ts, None))
+            if inside and since is not None and not acted and run >= self.interact:
+                acted = True
+                out.append((*key, "interaction", ts, None))
+            if not inside and since is not None and run >= self.leave:
+                out.append((*key, "exit", ts, ts - since))
+                since = None
+            self.at[key] = run, inside, since, acted
+        return pd.DataFrame(out, columns=[*self.keys, "step", "ts", "dwell_s"]).astype({"ts": float, "dwell_s": float})
+
+
+def zone_steps(obs: DataFrame, keys: list[str], enter: int = 2, leave: int = 4, interact: int = 6, tie: str = "event_id") -> DataFrame:
+    """Zone entries, interactions and exits (keys, step, ts, dwell_s) of a stream with a watermark on ``event_time``, whatever
+    the order of rows within the delay. obs: keys, inside, ts, tie; rows without inside or ts are left out."""
+    rows = obs.select(*keys, "inside", "ts", tie, "event_time", slots(keys).alias("slot"))
+    schema = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in keys) + ", step string, ts double, dwell_s double"
+    steps = fold_stream(rows, ["slot"], [tie], lambda slot: StepsOfSlot(keys, enter, leave, interact), schema, F.expr("ts IS NOT NULL AND inside IS NOT NULL"))
+    return steps.withColumn("dwell_s", rnd(F.col("dwell_s"), 3))
 
 
 SNAPSHOT = "store_id string, camera_id string, us long, frames long, latency_p50 double, latency_p95 double, mean_people double, mean_confidence double, decisions long, review_ratio double, events long, drift double"
@@ -150,6 +219,8 @@ SNAPSHOT = "store_id string, camera_id string, us long, frames long, latency_p50
 class Health:
     """One camera's counts and rings: the last ``window`` frames and detections, its first ``size`` samples and the last others."""
 
+    snapshots = True  # the newest one tells all
+
     def __init__(self, key: tuple, window: int, size: int, least: int):
         self.key, self.size, self.least = key, size, least
         self.frames = self.decisions = self.doubts = self.events = 0
@@ -171,13 +242,14 @@ class Health:
         return float(1 - self.mean @ now / both) if both else None
 
     def step(self, part: pd.DataFrame, last: bool) -> pd.DataFrame:
-        for _, seen in part[part["kind"] == "detection"].groupby("frame", sort=True):
-            self.frames += 1
-            self.latency.append(float(seen["latency"].sum()))
-            self.people.append(len(seen))
-            self.sure.extend(seen["confidence"].tolist())
-            self.decisions += len(seen)
-            self.doubts += int(seen["needs_review"].sum())
+        own = part[(part["kind"] == "detection") & part["frame"].notna()].sort_values("frame", kind="stable")
+        seen = own.groupby("frame", sort=True)["latency"]
+        self.frames += seen.ngroups
+        self.latency.extend(seen.sum().tolist())
+        self.people.extend(seen.size().tolist())
+        self.sure.extend(own["confidence"].tolist())
+        self.decisions += len(own)
+        self.doubts += int(own["needs_review"].sum())
         self.events += int((part["kind"] == "event").sum())
         for x in part.loc[part["kind"] == "sample", "embedding"]:
             if x is None:

@@ -4,7 +4,8 @@ Each key keeps the rows that the watermark hasn't passed, and the state of its m
 operators/ordered.py folds in batch). When the watermark passes rows, by new data or by an event-time timer set for the
 earliest row that waits, they are taken in order and go. So a row is worked on once, after all that belong before it; a row
 that comes later than the delay is dropped by Spark. State is what the machine remembers and the rows of the delay; it lives
-in the query's checkpoint. A machine with a method ``idle_from()`` says from which time on (in microseconds) what it remembers
+in the query's checkpoint. Rows wait in slices of event time, of which a task holds one at a time. Many small keys share
+a key of their own (``slots``), as every key costs calls to the state store. A machine with a method ``idle_from()`` says from which time on (in microseconds) what it remembers
 makes no difference; when the watermark passes that, the key's state goes.
 """
 
@@ -20,6 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Microseconds of event time that wait together, and rows that are held before they are put there.
+SLICE, HELD = 3_600_000_000, 100_000
+#: Keys that many small keys are dealt to.
+SLOTS = 256
+
+
+def slots(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int")
 
 
 class _Ordered(StatefulProcessor):
@@ -28,32 +37,60 @@ class _Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "rows binary")
+        self.waiting = handle.getMapState("waiting", "slice long, n long, first long", "rows binary")
         self.machine = handle.getValueState("machine", "held binary")
 
-    def _release(self, key: tuple, passed: int, fresh: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [*[pickle.loads(r[0]) for r in self.waiting.get()], *fresh] if self.waiting.exists() else fresh
-        rows = [r for r in rows if len(r)]
-        if not rows:
+    def _wait(self, rows: Iterator[pd.DataFrame], held: list[tuple]) -> None:
+        """Rows into their slices; held: the keys of what waits."""
+        n, kept, size = max((k[1] for k in held), default=0), {}, 0
+
+        def flush() -> None:
+            nonlocal n, kept, size
+            for at, parts in kept.items():
+                own, n = pd.concat(parts, ignore_index=True), n + 1
+                held.append((at, n, int(own["at_us"].min())))
+                self.waiting.updateValue(held[-1], (pickle.dumps(own),))
+            kept, size = {}, 0
+
+        for part in rows:
+            for at, own in part.groupby(part["at_us"] // SLICE):
+                kept.setdefault(int(at), []).append(own)
+            size += len(part)
+            if size >= HELD:
+                flush()
+        flush()
+
+    def _release(self, key: tuple, passed: int, fresh: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [tuple(k) for k in self.waiting.keys()]
+        self._wait(fresh, held)
+        if not held:
             self._forget(key, passed)
             return
-        held = pd.concat(rows, ignore_index=True)
-        ready = held["at_us"] // 1000 <= passed
-        left, now = held[~ready], held[ready]
-        if len(left):
-            self.waiting.put([(pickle.dumps(left),)])
-            first = int(left["at_us"].min() // 1000)
-            set_for = set(self.handle.listTimers())
-            if first not in set_for:
+        machine, out = None, None
+        for at in sorted({k[0] for k in held if k[2] // 1000 <= passed}):
+            own = [k for k in held if k[0] == at]
+            rows = pd.concat([pickle.loads(self.waiting.getValue(k)[0]) for k in own], ignore_index=True)
+            for k in own:
+                self.waiting.removeKey(k)
+                held.remove(k)
+            ready = rows["at_us"] // 1000 <= passed
+            left, now = rows[~ready], rows[ready]
+            if len(left):
+                self._wait(iter([left]), held)
+            if machine is None:
+                machine = self.make(key)
+                if self.machine.exists():
+                    machine.resume(pickle.loads(self.machine.get()[0]))
+            made = machine.step(now.sort_values(["at_us", *self.order], kind="stable").drop(columns="at_us"), True)
+            if out is not None and len(out) and not getattr(machine, "snapshots", False):
+                yield out
+            out = made
+        if held:
+            first = min(k[2] for k in held) // 1000
+            if first not in set(self.handle.listTimers()):
                 self.handle.registerTimer(first)
-        else:
-            self.waiting.clear()
-        if not len(now):
+        if machine is None:
             return
-        machine = self.make(key)
-        if self.machine.exists():
-            machine.resume(pickle.loads(self.machine.get()[0]))
-        out = machine.step(now.sort_values(["at_us", *self.order], kind="stable").drop(columns="at_us"), True)
         self.machine.update((pickle.dumps(machine.held()),))
         if hasattr(machine, "idle_from"):
             self.handle.registerTimer(int(machine.idle_from() // 1000) + 1)
@@ -71,11 +108,11 @@ class _Ordered(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         # what this batch brings counts only when the watermark has passed it
-        fresh = [r[r["at_us"].notna()].astype({"at_us": "int64"}) for r in rows]
+        fresh = (r[r["at_us"].notna()].astype({"at_us": "int64"}) for r in rows)
         yield from self._release(key, timerValues.getCurrentWatermarkInMs(), fresh)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._release(key, timerValues.getCurrentWatermarkInMs(), [])
+        yield from self._release(key, timerValues.getCurrentWatermarkInMs(), iter(()))
 
 
 def fold_stream(rows: DataFrame, keys: list[str], order: list[str], make: Callable[[tuple], Any], schema: str, counts: Column | None = None, event_time: str = "event_time") -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -357,3 +358,55 @@ def test_live_deduplication_takes_late_rows_in_order(spark, tmp_path):
     machine = live.Kept(("p",), 5.0)
     machine.resume((13.0, 1_013_000_000))
     assert machine.idle_from() == 1_018_000_000
+
+
+def test_live_zone_steps_take_rows_in_order(spark, tmp_path):
+    """Rows of one slice that come in two micro-batches, the later ones first: in by two, out by four, whatever the cuts; null keys
+    are values."""
+    schema = "store_id string, global_id string, event_id long, ts double, inside boolean"
+    rows = [(None, "p", k, k / 4, k < 7) for k in range(12)] + [("s", "p", 20, 1.0, True), ("s", "p", 21, 2.0, None)]
+    for part in (rows[6:], rows[:6], [("end", "z", 99, 500.0, False)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    timed = stream.withColumn("event_time", F.timestamp_micros((F.col("ts") * 1e6).cast("long") + 1_000_000_000)).withWatermark("event_time", "60 seconds")
+    got = jobs.run_available(live.zone_steps(timed, ["store_id", "global_id"]), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert sorted((r.store_id, r.step, r.ts, r.dwell_s) for r in got.collect()) == [(None, "enter", 0.25, None), (None, "exit", 2.5, 2.25), (None, "interaction", 1.25, None)]
+
+
+def test_waiting_rows_are_worked_on_by_slices(spark, monkeypatch):
+    """A step gets the rows of one slice, however many wait."""
+    from aisleflow.streaming import ordered as waiting
+
+    class Kept:  # a state store's map
+        def __init__(self):
+            self.rows = {}
+            self.updateValue, self.removeKey = self.rows.__setitem__, self.rows.pop
+
+        def keys(self):
+            return list(self.rows)
+
+        def getValue(self, key):
+            return self.rows[key]
+
+    sizes = []
+
+    class Count:
+        def step(self, part, last):
+            sizes.append((part["at"].min(), len(part)))
+            return part
+
+        def held(self):
+            return None
+
+    class Value(Kept):
+        exists, update = (lambda self: False), (lambda self, v: None)
+
+    monkeypatch.setattr(waiting, "HELD", 7)
+    p = waiting._Ordered(lambda key: Count(), ["at"])
+    p.waiting, p.machine = Kept(), Value()
+    p.handle = type("Handle", (), {"listTimers": lambda self: [], "registerTimer": lambda self, at: None})()
+    at = np.random.default_rng(3).permutation(40)
+    parts = [pd.DataFrame({"at": at[k : k + 5], "at_us": at[k : k + 5].astype("int64") * (waiting.SLICE // 10)}) for k in range(0, 40, 5)]
+    seconds = waiting.SLICE // 10 // 1000
+    out = [*p._release(("k",), 24 * seconds, iter(parts)), *p._release(("k",), 99 * seconds, iter(()))]
+    assert sizes == [(0, 10), (10, 10), (20, 5), (25, 5), (30, 10)] and pd.concat(out)["at"].tolist() == list(range(40)) and not p.waiting.rows
