@@ -14,7 +14,7 @@ from ..functions.columns import edges_contain, polygon_edges, round_half_away as
 from ..operators import events as E
 from ..operators import resolver as R
 from ..operators import tracking as T
-from .ordered import fold_stream, slots
+from .ordered import DAY, fold_stream, slots
 
 STEPS = "store_id string, camera_id string, global_id string, zone string, kind string, step string, ts double, role string, employee_id string, confidence double, needs_review boolean, frames int, dwell_s double"
 
@@ -171,7 +171,7 @@ def deduplicate(events: DataFrame, keys: list[str], window: float, tie: str = "e
     within the delay. A key is forgotten a window after its last kept event."""
     rows = events.select(*keys, "ts", tie, "event_time", F.unix_micros("event_time").alias("us"), slots(keys).alias("slot"))
     schema = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in [*keys, "ts", tie])
-    return fold_stream(rows, ["slot"], [tie], lambda slot: KeptOfSlot(keys, window), schema, F.col("ts").isNotNull())
+    return fold_stream(rows, ["slot"], [tie], lambda slot: KeptOfSlot(keys, window), schema, F.col("ts").isNotNull(), span=DAY)
 
 
 class StepsOfSlot:
@@ -209,7 +209,7 @@ def zone_steps(obs: DataFrame, keys: list[str], enter: int = 2, leave: int = 4,
     the order of rows within the delay. obs: keys, inside, ts, tie; rows without inside or ts are left out."""
     rows = obs.select(*keys, "inside", "ts", tie, "event_time", slots(keys).alias("slot"))
     schema = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in keys) + ", step string, ts double, dwell_s double"
-    steps = fold_stream(rows, ["slot"], [tie], lambda slot: StepsOfSlot(keys, enter, leave, interact), schema, F.expr("ts IS NOT NULL AND inside IS NOT NULL"))
+    steps = fold_stream(rows, ["slot"], [tie], lambda slot: StepsOfSlot(keys, enter, leave, interact), schema, F.expr("ts IS NOT NULL AND inside IS NOT NULL"), span=DAY)
     return steps.withColumn("dwell_s", rnd(F.col("dwell_s"), 3))
 
 

@@ -23,8 +23,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Microseconds of event time that wait together, and rows that are held before they are put there.
 SLICE, HELD = 3_600_000_000, 100_000
-#: Keys that many small keys are dealt to.
-SLOTS = 256
+#: Keys that many small keys are dealt to, whose few rows wait by the day.
+SLOTS, DAY = 256, 24 * SLICE
 
 
 def slots(keys: list[str]) -> Column:
@@ -32,8 +32,8 @@ def slots(keys: list[str]) -> Column:
 
 
 class _Ordered(StatefulProcessor):
-    def __init__(self, make: Callable[[tuple], Any], order: list[str]):
-        self.make, self.order = make, order
+    def __init__(self, make: Callable[[tuple], Any], order: list[str], span: int | None = None):
+        self.make, self.order, self.span = make, order, span or SLICE
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -53,7 +53,7 @@ class _Ordered(StatefulProcessor):
             kept, size = {}, 0
 
         for part in rows:
-            for at, own in part.groupby(part["at_us"] // SLICE):
+            for at, own in part.groupby(part["at_us"] // self.span):
                 kept.setdefault(int(at), []).append(own)
             size += len(part)
             if size >= HELD:
@@ -115,13 +115,13 @@ class _Ordered(StatefulProcessor):
         yield from self._release(key, timerValues.getCurrentWatermarkInMs(), iter(()))
 
 
-def fold_stream(rows: DataFrame, keys: list[str], order: list[str], make: Callable[[tuple], Any], schema: str, counts: Column | None = None, event_time: str = "event_time") -> DataFrame:
+def fold_stream(rows: DataFrame, keys: list[str], order: list[str], make: Callable[[tuple], Any], schema: str, counts: Column | None = None, event_time: str = "event_time", span: int = SLICE) -> DataFrame:
     """What the keys' machines give for the rows of a stream with a watermark on ``event_time``, worked on by that time,
     then by ``order``. Rows for which ``counts`` isn't true move the watermark and nothing else (a filter would be pushed
-    below the watermark, which then wouldn't see them)."""
+    below the watermark, which then wouldn't see them). ``span``: the microseconds of a slice of waiting rows."""
     # timers need a store that knows them
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     at = F.unix_micros(event_time)
     # names that begin with an underscore do not reach a processor
     timed = rows.withColumn("at_us", at if counts is None else F.when(counts, at))
-    return timed.groupBy(*keys).transformWithStateInPandas(_Ordered(make, order), schema, "append", "EventTime")
+    return timed.groupBy(*keys).transformWithStateInPandas(_Ordered(make, order, span), schema, "append", "EventTime")
