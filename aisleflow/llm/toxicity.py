@@ -26,7 +26,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
-from itertools import chain
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,31 +50,45 @@ def terms(text: str | None) -> Counter:
     return out
 
 
-class Space(dict):
-    """A word's terms by number, remembered up to a bound; a term that no example holds has a negative number."""
+class Space:
+    """The terms that examples hold, by number; others have none. Of what it reads it remembers known words with their
+    punctuation, up to a bound, and nothing of unknown ones, of which there is no end."""
 
     def __init__(self, names: list[str]):
-        super().__init__()
-        self.index = {t: k for k, t in enumerate(names)}
-        self.other: dict[str, int] = {}
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        names = [word, f"{word[:STEM]}*"] if len(word) > STEM else [word]
-        got = self[word] = tuple([k if (k := self.index.get(x)) is not None else self.other.setdefault(x, -1 - len(self.other)) for x in names])
-        return got
+        self.word = {t: k for k, t in enumerate(names) if t[-1] != "*"}
+        self.part = {t: k for k, t in enumerate(names) if t[-1] == "*"}
+        self.room = 50_000
+        self.stem = np.full(len(names), -1)  # of each word, where it is longer than its stem
+        for t, k in self.word.items():
+            if len(t) > STEM:
+                self.stem[k] = self.part[f"{t[:STEM]}*"]
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of the known terms, how often they occur, and how often the unknown ones do."""
-        if len(self) > 200_000:
-            self.clear(), self.other.clear()
-        words = Counter(WORDS.findall((text or "").lower()))
-        numbers = list(map(self.__getitem__, words))
-        flat = np.array(list(chain.from_iterable(numbers)), np.int64)
-        n = np.repeat(np.fromiter(words.values(), np.float64, len(words)), np.fromiter(map(len, numbers), np.int64, len(words)))
-        at, place = np.unique(flat, return_inverse=True)
-        n = np.bincount(place, n, len(at))
-        known = np.searchsorted(at, 0)
-        return at[known:], n[known:], n[:known]
+        # what stands between white space is looked up as it is, and cut into words only where that is not known
+        tokens = Counter((text or "").lower().split())
+        at, n = np.fromiter(map(self.word.get, tokens, repeat(-1)), np.int64, len(tokens)), np.fromiter(tokens.values(), np.float64, len(tokens))
+        known, words, many, stems, often, other = at >= 0, [], [], [], [], Counter()
+        for token, k in compress(tokens.items(), (~known).tolist()):
+            found = WORDS.findall(token)
+            for w in found:
+                if (i := self.word.get(w)) is not None:
+                    words.append(i), many.append(k)
+                    if len(found) == 1 and self.room:
+                        self.word[token], self.room = i, self.room - 1
+                    continue
+                other[w] += k
+                if len(w) > STEM:
+                    if (i := self.part.get(s := f"{w[:STEM]}*")) is not None:
+                        stems.append(i), often.append(k)
+                    else:
+                        other[s] += k
+        at, n = np.concatenate([at[known], np.array(words, np.int64)]), np.concatenate([n[known], many])
+        stem = self.stem[at]
+        longer = stem >= 0
+        at, place = np.unique(np.concatenate([at, stem[longer], np.array(stems, np.int64)]), return_inverse=True)
+        n = np.bincount(place, np.concatenate([n, n[longer], often]), len(at))
+        return at, n, np.fromiter(other.values(), np.float64, len(other))
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy, and in odd cases."""
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -158,6 +159,20 @@ def test_toxicity(spark):
     assert model.base == 0
 
 
+def test_terms_are_counted_without_remembering_texts():
+    """Numbers and counts are those of plain terms, and what is held doesn't grow with words that no example has."""
+    names = sorted(toxicity.terms("idiot idiotic straße der die the other words ab1cd"))
+    space = toxicity.Space(names)
+    size = len(pickle.dumps(vars(space)))
+    texts = [None, "", "The, the. idiot* idio idiots-idiotic idiotic\x1cder", "STRASSE Straße straßen, İd der_die d'er *", "abcde* fghij* words* ab1cd", *[" ".join(f"w{chr(97 + k % 26) * 3}{chr(97 + n % 26) * k}" for k in range(1, 40)) for n in range(26)]]
+    for text in texts * 2:
+        want = toxicity.terms(text)
+        at, n, other = space.counts(text)
+        assert {names[i]: k for i, k in zip(at, n, strict=True)} == {t: k for t, k in want.items() if t in names}
+        assert sorted(other) == sorted(k for t, k in want.items() if t not in names)
+    assert len(pickle.dumps(vars(space))) < size + 1_000 and len(space.word) < len(names) + 20
+
+
 def test_nearest_examples_are_exact(monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK", 8)
     rng = np.random.default_rng(0)
