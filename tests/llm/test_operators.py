@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +174,21 @@ def test_terms_are_counted_without_remembering_texts():
     assert len(pickle.dumps(vars(space))) < size + 1_000 and len(space.word) < len(names) + 20
 
 
+def test_workers_keep_no_words_of_a_task(spark):
+    """A worker lives on after a task; the words that its tokenizer has met must not."""
+    from aisleflow.llm import bpe
+
+    def held(batches):
+        c = bpe.codec(tokenizer())
+        for batch in batches:
+            yield batch.rename_columns(["n"]).set_column(0, "n", pa.array([len(c.ids)] * len(batch), pa.int64()))
+
+    df = spark.createDataFrame([(k, f"word{k} of many") for k in range(200)], "doc_id long, text string").repartition(4)
+    assert bpe.encode(df, tokenizer()).count() == 200
+    assert bpe.encode(df, tokenizer()).agg(F.sum(F.size("ids"))).collect()[0][0] >= 600
+    assert {r.n for r in spark.range(200).repartition(16).mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_nearest_examples_are_exact(monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK", 8)
     rng = np.random.default_rng(0)
