@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import area, clip_box, foot_point, intersection, iou, l2_normalise, quality_ok, role_by_colour, round_half_away, to_measure
+from ..functions.columns import area, clip_box, foot_point, intersection, l2_normalise, quality_ok, role_by_colour, round_half_away, to_measure
 from ..operators import analytics as A
 from ..operators import events as E
 from ..operators import identity as I
@@ -71,7 +71,12 @@ def _two(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
 
 def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = S.overlapping(_two(spark, sf_dir, "a", "ab"), _two(spark, sf_dir, "b", "bb"), ["frame"], "ab", "bb").where("a < b")
-    return pairs.select("frame", "a", "b", round_half_away(iou(F.col("ab"), F.col("bb")), 6).alias("iou")).where("iou > 0")
+    # the boxes have an area, and their pairs share one. What rounds to 0 goes before it is rounded: Spark puts the last filter
+    # into the join, where it is computed for all pairs of a frame, and rounding is dear
+    a, b, both = F.col("ab"), F.col("bb"), intersection(F.col("ab"), F.col("bb"))
+    size = lambda x: (x["x2"] - x["x1"]) * (x["y2"] - x["y1"])
+    over = both / (size(a) + size(b) - both)
+    return pairs.where(over * 1e6 >= 0.5).select("frame", "a", "b", round_half_away(over, 6).alias("iou"))
 
 
 def occlusion(spark: SparkSession, sf_dir: str) -> DataFrame:

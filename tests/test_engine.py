@@ -283,6 +283,18 @@ def test_boxes_that_overlap_are_found_once_and_few_others_looked_at(spark):
     assert spatial.overlapping(one.limit(0), two, ["frame"], "p", "q").count() == 0
 
 
+def test_boxes_of_a_calm_frame_meet_once(spark):
+    """Boxes that touch many tiles are copied to these only in a crowded frame, and both ways find the same pairs."""
+    from aisleflow.operators import spatial
+
+    box = "struct<x1:double,y1:double,x2:double,y2:double>"
+    one = spark.createDataFrame([(f, 10 * f + k, (20.0 * k, 0.0, 20.0 * k + 300, 300.0)) for f in range(2) for k in range(3 + 3 * f)], f"frame long, a long, p {box}")
+    two = one.toDF("frame", "b", "q")
+    assert {r.frame: r["count"] for r in spatial.meeting(one, two, ["frame"], "p", "q", crowd=6).where("frame = 0").groupBy("frame").count().collect()} == {0: 9}
+    found = [sorted(map(tuple, spatial.overlapping(one, two, ["frame"], "p", "q", crowd=n).select("a", "b").collect())) for n in (0, 6, 100)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 9 + 36
+
+
 def test_a_box_that_nothing_hides_is_kept(spark, tmp_path):
     """One box alone, and one behind another that lies elsewhere, are hidden by nothing; one behind a box in front of it goes."""
     from aisleflow.plans import catalog
