@@ -138,6 +138,41 @@ def test_track_does_not_depend_on_batches_or_cuts(spark):
     assert sorted(map(tuple, catalog.stream_tracks(spark, SF).collect())) == whole
 
 
+def test_stretches_are_folded_together_and_each_as_if_alone(monkeypatch):
+    """Forty stretches of crowded frames: as many steps as one of them has frames, and the same rows as one at a time."""
+    rng, rows = np.random.default_rng(4), []
+    for lane in range(40):
+        for frame in range(100 * lane, 100 * lane + 12):
+            a = rng.integers(0, 200, (int(rng.integers(1, 30)), 2)).astype(float)
+            a[len(a) // 2 :] = a[: len(a) - len(a) // 2]  # equal boxes, too
+            rows += [(lane, frame, len(rows) + k, *p, *(p + [30, 60])) for k, p in enumerate(a)]
+    lane, frame, ids = (np.array([r[k] for r in rows]) for k in range(3))
+    box, steps = np.array([r[3:] for r in rows]), []
+    box[5, 2] = np.nan  # a box without a side overlaps nothing
+    advance = tracking.Tracks._advance
+    monkeypatch.setattr(tracking.Tracks, "_advance", lambda self, *a: steps.append(1) or advance(self, *a))
+    monkeypatch.setattr(tracking, "PAIRS", 5000)
+    out, _ = tracking.Tracks([tracking.FRESH] * 40, 15, 2, 0.1).fold(lane, frame, ids, box)
+    assert len(steps) == 12
+    for k in range(40):
+        own, state = lane == k, tracking.FRESH
+        cut = int(np.flatnonzero(own & (frame == 100 * k + 7))[0]), int(np.flatnonzero(own)[0])
+        alone = []
+        for part in (own & (np.arange(len(own)) < cut[0]), own & (np.arange(len(own)) >= cut[0])):
+            got, state = tracking.Tracks([state], 15, 2, 0.1).fold(lane[part] * 0, frame[part], ids[part], box[part], 0)
+            alone += got[1:].T.tolist()
+        assert sorted(alone) == sorted(out[1:, out[0] == k].T.tolist()) and alone
+
+
+def test_pairs_of_what_overlaps_are_the_best_of_all():
+    rng = np.random.default_rng(2)
+    for n, m in [(3, 9), (9, 3), (12, 12), (30, 60)]:
+        for _ in range(30):
+            g = np.where(rng.random((n, m)) < 0.3, rng.random((n, m)), 0)
+            got = tracking.best_pairs([[(int(c), float(row[c])) for c in np.flatnonzero(row)] for row in g], m)
+            assert sorted((r, c) for c, r in got) == [p for p in tracking.assign(g) if g[p] > 0]
+
+
 def test_suppression_equals_a_loop(spark):
     rows = [r.asDict(True) for r in catalog._detections(spark, SF).withColumn("confidence", (F.col("id") * 37 % 101) / F.lit(100.0)).collect()]
     want, kept = set(), {}
