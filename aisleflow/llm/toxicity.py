@@ -7,8 +7,9 @@ the label and not the topic says which texts are near. A term that no example ho
 tells nothing; it only lengthens its text's vector.
 
 Examples are a bounded sample of labelled keys (``max_examples`` for each label, a documented bound). They lie in inverted
-lists cut into blocks of BLOCK examples, alike ones together; a term's entry for a block holds its largest weight there. A
-query bounds every block by the sum over its terms, reads the blocks of the greatest bounds and then all whose bound is no
+lists cut into blocks of BLOCK examples, alike ones together; a term's entry for a block holds its largest weight there. Terms that many
+examples hold lie in a matrix, by which all examples are multiplied at once. A
+query bounds every block by its greatest sum there and the sum over its other terms, reads the blocks of the greatest bounds and then all whose bound is no
 less than its kth cosine, so the neighbours are exact. Votes are weighted by the distance (cosine to a power) and by how
 many labelled rows an example stands for, drawn to the base rate, and calibrated by the examples' own scores without
 themselves (a logistic curve through their log odds); the neighbours are returned as evidence.
@@ -39,6 +40,10 @@ from .common import materialise, unit_hash
 
 WORDS = re.compile(r"[^\W\d_]+")
 BLOCK, FLOOR, STEM = 128, 0.05, 5
+#: Terms held by one example in COMMON are rows of a matrix of at most CELLS places.
+COMMON, CELLS = 8, 1 << 22
+#: Lists of fewer examples to a block than this are read as a whole.
+SHORT = 12
 
 
 def terms(text: str | None) -> Counter:
@@ -112,7 +117,17 @@ class Model:
     curve: tuple[float, float] = (1.0, 0.0)
 
     def index(self, example: np.ndarray, term: np.ndarray, value: np.ndarray) -> None:
-        """Inverted lists of the examples' unit vectors, given as (example, term, value) in any order."""
+        """The examples' unit vectors, given as (example, term, value) in any order: rows of a matrix for the terms that at least
+        one in COMMON examples holds (the commonest of them, up to CELLS places), inverted lists for all others."""
+        held = np.bincount(term, minlength=len(self.terms))
+        often = np.argsort(-held, kind="stable")[: CELLS // max(1, len(self.labels))]
+        often = often[held[often] * COMMON >= max(1, len(self.labels))]
+        self.row = np.full(len(self.terms), -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        common = self.row[term] >= 0
+        self.matrix = np.zeros((len(often), len(self.labels)))
+        self.matrix[self.row[term[common]], example[common]] = value[common].astype(np.float32)
+        example, term, value = example[~common], term[~common], value[~common]
         order = np.lexsort((example, term))
         self.posting, term, self.value = example[order].astype(np.int32), term[order], value[order].astype(np.float32)
         new = np.flatnonzero(np.concatenate([[True], (np.diff(term) != 0) | (np.diff(self.posting // BLOCK) != 0)])) if len(term) else np.empty(0, np.int64)
@@ -129,13 +144,26 @@ class Model:
 
     def nearest(self, at: np.ndarray, x: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
         """(cosines, examples) of the k nearest with a cosine over 0, other than ``but``, and the number of blocks read."""
+        row = self.row[at]
+        common = row >= 0
+        cosine = x[common] @ self.matrix[row[common]]
+        if but >= 0:
+            cosine[but] = 0
         lo, sizes = self.entry[at], self.entry[at + 1] - self.entry[at]
+        first, many = self.start[lo], self.start[self.entry[at + 1]] - self.start[lo]
+        if SHORT * sizes.sum() > many.sum():  # the blocks' bounds would cost as much as their lists
+            p = _spread(first, many)
+            cosine += np.bincount(self.posting[p], np.repeat(x, many) * self.value[p], len(cosine))
+            if but >= 0:
+                cosine[but] = 0
+            return *self._best(cosine, self._kth(cosine)), self.blocks
+        most = np.maximum.reduceat(cosine, np.arange(0, len(cosine), BLOCK))
         e, x = _spread(lo, sizes), np.repeat(x, sizes)
         block = self.block[e]
-        bound = np.bincount(block, x * self.most[e], self.blocks) * (1 + 1e-6)
+        bound = (most + np.bincount(block, x * self.most[e], self.blocks)) * (1 + 1e-6)
         todo = np.argsort(-bound, kind="stable")
         todo = todo[bound[todo] > 0]
-        cosine, kth, step, read = np.zeros(len(self.labels)), 0.0, 4, 0
+        kth, step, read = 0.0, 4, 0
         while len(todo):
             now, todo = todo[:step], todo[step:]
             chosen = np.zeros(self.blocks, bool)
@@ -148,12 +176,17 @@ class Model:
             read += len(now)
             if but >= 0:
                 cosine[but] = 0
-            if len(cosine) > self.k:
-                kth = max(0.0, float(np.partition(cosine, -self.k)[-self.k]))
+            kth = self._kth(cosine)
             todo, step = todo[bound[todo] >= kth - 1e-9], 4 * step
+        return *self._best(cosine, kth), read
+
+    def _kth(self, cosine: np.ndarray) -> float:
+        return max(0.0, float(np.partition(cosine, -self.k)[-self.k])) if len(cosine) > self.k else 0.0
+
+    def _best(self, cosine: np.ndarray, kth: float) -> tuple[np.ndarray, np.ndarray]:
         found = np.flatnonzero((cosine > 0) & (cosine >= kth - 1e-9))
         found = found[np.lexsort((found, -np.round(cosine[found], 9)))][: self.k]
-        return cosine[found], found, read
+        return cosine[found], found
 
     def vote(self, cosine: np.ndarray, found: np.ndarray) -> float:
         """The share of label 1 among the neighbours."""

@@ -213,6 +213,31 @@ def test_nearest_examples_are_exact(monkeypatch):
     assert read < 0.9 * 60 * m.blocks
 
 
+def test_nearest_examples_by_matrix_and_lists(monkeypatch):
+    """Common terms by the matrix and rare ones by lists, read as a whole or by bounds, give the neighbours of a full scan."""
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    dense = np.where(rng.random((400, 60)) < np.where(np.arange(60) < 10, 0.4, 0.06), rng.uniform(0.1, 1, (400, 60)), 0)
+    e, t = np.nonzero(dense)
+    got = []
+    for cells, short in ((1 << 22, 0), (1 << 22, 100), (3 * 400, 0), (0, 0), (0, 100)):
+        monkeypatch.setattr(toxicity, "CELLS", cells)
+        monkeypatch.setattr(toxicity, "SHORT", short)
+        m = toxicity.Model([str(k) for k in range(60)], np.ones(60), 1.0, rng.integers(0, 2, 400), np.ones(400), list(range(400)), 0.5, 7)
+        m.index(e, t, dense[e, t])
+        assert len(m.matrix) == min(10, cells // 400)
+        own = np.random.default_rng(5)
+        for n in range(40):
+            at, but = np.sort(own.choice(60, 8, replace=False)), int(own.integers(400)) if n % 3 else -1
+            x = own.uniform(0.1, 1, 8)
+            full = dense[:, at].astype(np.float32) @ x
+            full[but if but >= 0 else []] = 0
+            cosine, found, _ = m.nearest(at, x, but)
+            assert np.allclose(cosine, -np.sort(-full[full > 0])[:7], atol=1e-6) and np.allclose(full[found], cosine, atol=1e-6)
+            got.append(found.tolist())
+    assert all(got[k :: 40] == [got[k]] * 5 for k in range(40))
+
+
 def brute_groups(rows):
     sets = [(i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()) for i, t in rows if i is not None for w in [neardup.words(t)]]
     comp = {i: i for i, _ in sets}
