@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .bpe import slices
 from .common import unit_hash
 
-DIMS, MOST_LANGS = 1 << 13, 1000
+DIMS, MOST_LANGS, BLOCK = 1 << 13, 1000, 256
 UNDECIDED = "und"
 _letters: list[np.ndarray] = []
 
@@ -74,6 +74,26 @@ def codewords(k: int) -> np.ndarray:
     return best
 
 
+class Vectors:
+    """Training rows as they come, places and values of what isn't zero; BLOCK of them are spread out at a time, in one buffer."""
+
+    def __init__(self, at: list[bytes], x: list[bytes]):
+        self.sizes = np.array([len(v) // 4 for v in x])
+        self.at, self.x = np.frombuffer(b"".join(at), np.uint16), np.frombuffer(b"".join(x), np.float32)
+        self.ends = np.append(0, np.cumsum(self.sizes))
+
+    def blocks(self):
+        """(rows, their vectors), which hold until the next are asked for."""
+        room = np.zeros((min(BLOCK, len(self.sizes)), DIMS), np.float32)
+        for lo in range(0, len(self.sizes), BLOCK):
+            hi = min(lo + BLOCK, len(self.sizes))
+            own = slice(self.ends[lo], self.ends[hi])
+            at = np.repeat(np.arange(hi - lo), self.sizes[lo:hi]), self.at[own]
+            room[at] = self.x[own]
+            yield slice(lo, hi), room[: hi - lo]
+            room[at] = 0
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -112,18 +132,20 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", key_co
 
     def vectors(batches):
         for batch in slices(batches):
-            out_x, out_y = [], []
+            out_at, out_x, out_y = [], [], []
             for t, y in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
                 if (x := features(t)) is not None:
-                    out_x.append(x.tobytes()), out_y.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(out_x, pa.binary()), pa.array(out_y, pa.string())], ["x", "y"])
+                    at = np.flatnonzero(x)
+                    out_at.append(at.astype(np.uint16).tobytes()), out_x.append(x[at].tobytes()), out_y.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(out_at, pa.binary()), pa.array(out_x, pa.binary()), pa.array(out_y, pa.string())], ["at", "x", "y"])
 
     drawn = train.where(unit_hash(F.col("key"), F.lit(11)) < part[F.col("lang")]).groupBy("key", "lang").agg(F.min("text").alias("text"))
-    rows = drawn.mapInArrow(vectors, "x binary, y string").collect()
-    if not rows:
+    rows = drawn.mapInArrow(vectors, "at binary, x binary, y string").toArrow()
+    if not rows.num_rows:
         return empty
-    X = np.stack([np.frombuffer(r["x"], np.float32) for r in rows])
-    y = np.array([langs.index(r["y"]) for r in rows])
+    X = Vectors(rows["at"].to_pylist(), rows["x"].to_pylist())
+    y = np.array([langs.index(k) for k in rows["y"].to_pylist()])
+    del rows
     code = codewords(len(langs))
     if len(langs) == 1:
         return Model(langs, code, np.zeros((DIMS, 1), np.float32), np.zeros(1), np.ones(1), min_gap)
@@ -132,11 +154,13 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", key_co
     row_weight = (share_of / share_of.sum()).astype(np.float32)[:, None]
     W, b, step, speed_w, speed_b = np.zeros((DIMS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32), np.float32(20), 0, 0
     for _ in range(150):
-        g = -target * row_weight / (1 + np.exp(np.clip(target * (X @ W + b), -30, 30)))
-        speed_w = np.float32(0.9) * speed_w + X.T @ g + np.float32(1e-5) * W
-        speed_b = np.float32(0.9) * speed_b + g.sum(0)
+        slope_w, slope_b = np.float32(1e-5) * W, np.zeros_like(b)
+        for at, x in X.blocks():
+            g = -target[at] * row_weight[at] / (1 + np.exp(np.clip(target[at] * (x @ W + b), -30, 30)))
+            slope_w, slope_b = slope_w + x.T @ g, slope_b + g.sum(0)
+        speed_w, speed_b = np.float32(0.9) * speed_w + slope_w, np.float32(0.9) * speed_b + slope_b
         W, b = W - step * speed_w, b - step * speed_b
-    right = ((np.sign(X @ W + b) == target) * row_weight).sum(0)
+    right = sum(((np.sign(x @ W + b) == target[at]) * row_weight[at]).sum(0) for at, x in X.blocks())
     bit_weights = np.log((right + 1e-3) / (1 - right + 1e-3)).clip(0.05)
     return Model(langs, code, W.astype(np.float32), b, bit_weights / bit_weights.mean(), min_gap)
 

@@ -115,6 +115,22 @@ def test_language_by_brute_force(spark):
     assert sorted((r.lang_pred, r.score) for r in langid.predict(long, one).collect()) == [("de", 1.0), ("und", 0.0)]
 
 
+def test_langid_training_rows_are_small_on_the_driver(spark):
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join("".join(chr(97 + (x * (3 + k % 2)) % 26) for x in rng.integers(0, 26, 6)) for _ in range(40)), "ab"[k % 2]) for k in range(2000)]
+    tracemalloc.start()
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.langs == ["a", "b"] and peak < 40 << 20
+    dense = np.stack([langid.features(t) for _, t, _ in rows])
+    at = [np.flatnonzero(x).astype(np.uint16).tobytes() for x in dense]
+    got = [x.copy() for _, x in langid.Vectors(at, [x[x != 0].tobytes() for x in dense]).blocks()]
+    assert len(got) == 8 and np.array_equal(np.concatenate(got), dense)
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.01"
     out = catalog.QUERIES["op5_toxicity"](spark, sf).cache()
