@@ -584,6 +584,31 @@ def test_hot_keys_lose_no_pair(spark, monkeypatch):
     assert met | {(r.u, r.v) for r in media.left_out(hot, none).collect()} == want and len(met) < len(want)
 
 
+def test_tables_of_images_leave_little_on_disk(spark, monkeypatch):
+    """What is shuffled for a table goes once it is written, and of hot keys' corners the keys alone are written."""
+    import time
+
+    disk, written = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), []
+    made = media.materialise
+
+    def watched(df, name, **options):
+        before = disk.getAllFiles().size()
+        out = made(df, name, **options)
+        for _ in range(50):
+            if (left := disk.getAllFiles().size()) <= before:
+                break
+            time.sleep(0.1)
+        if name == "media-pairs":
+            written.append((left - before, out.columns, out.where("hot IS NOT NULL").count(), out.where("hot IS NOT NULL").distinct().count()))
+        return out
+
+    monkeypatch.setattr(media, "materialise", watched)
+    pictures = [media.drawn(" ".join(f"p{k // 6}w{x}" for x in range(250))) for k in range(36)]
+    df = as_images(spark, [(k, media.edited(p, k % 6)) for k, p in enumerate(pictures)])
+    media.copies(df, "media_id", hubs=1).count()
+    assert len(written) == media.tables(media.key_bits(1)) and all(left <= 0 and columns == ["u", "v", "hot"] and n == own for left, columns, n, own in written) and any(n for _, _, n, _ in written)
+
+
 def test_hot_key_pairs_grow_with_its_images():
     sign, mask = np.full(5000, 7, np.uint64), np.array([255, 255], np.uint64)
     one = media._Range(mask, 1, 8)
