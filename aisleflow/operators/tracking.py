@@ -206,7 +206,10 @@ class Tracks:
 
     def fold(self, lane: np.ndarray, frame: np.ndarray, ids: np.ndarray, boxes: np.ndarray, remembered: int = -1) -> tuple[np.ndarray, State | None]:
         """What is reported of rows by lane, frame and id: (lane, frame, id, track, hits, age), a row for each of these, and
-        how the lane that is ``remembered`` goes on."""
+        how the lane that is ``remembered`` goes on. Rows of one frame and id are taken by their boxes, in whatever order they come."""
+        if np.any((lane[1:] == lane[:-1]) & (frame[1:] == frame[:-1]) & (ids[1:] == ids[:-1])):
+            order = np.lexsort((*boxes.T[::-1], ids, frame, lane))
+            lane, frame, ids, boxes = lane[order], frame[order], ids[order], boxes[order]
         new = np.flatnonzero(np.concatenate([[True], (lane[1:] != lane[:-1]) | (frame[1:] != frame[:-1])])) if len(lane) else np.empty(0, int)
         begins, sizes, frames = new, np.diff(np.append(new, len(lane))), frame[new]
         todo, stop = (np.searchsorted(lane[new], np.arange(len(self.frame)), side) for side in ("left", "right"))
@@ -352,8 +355,16 @@ class Tracker:
             newest = rows["frame"] == rows["frame"].iloc[-1]
             self.open = [rows[newest]]
             rows = rows[~newest]
-        folded = Tracks([self.state], *self.limits)
-        out, self.state = folded.fold(np.zeros(len(rows), int), rows["frame"].to_numpy(np.int64), rows["id"].to_numpy(np.int64), rows[["x1", "y1", "x2", "y2"]].to_numpy(float), 0)
+        frame, ids = rows["frame"].to_numpy(np.int64), rows["id"].to_numpy(np.int64)
+        # no track outlives an idle gap: the stretches between such go on together, and number their tracks on afterwards
+        lane = np.cumsum(np.diff(frame, prepend=frame[:1]) > self.limits[0] + 1)
+        newest = int(lane[-1]) if len(lane) else 0
+        folded = Tracks([self.state, *[FRESH] * newest], *self.limits)
+        out, (x, p, live, at, created) = folded.fold(lane, frame, ids, rows[["x1", "y1", "x2", "y2"]].to_numpy(float), newest)
+        before = np.cumsum(folded.created) - folded.created
+        out[3] += before[out[0]]
+        live[0] += before[newest]
+        self.state = x, p, live, at, created + int(before[newest])
         return pd.DataFrame({"store_id": self.key[0], "camera_id": self.key[1], **dict(zip(self.COLUMNS[2:], out[1:], strict=True))}, columns=self.COLUMNS, index=range(out.shape[1]))
 
 

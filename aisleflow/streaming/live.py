@@ -100,7 +100,7 @@ def tracks(detections: DataFrame, max_age: int = 15, min_hits: int = 2, overlap:
     """operators.tracking.track on a stream with a watermark on ``event_time``, which is the same for the rows of a frame: a
     camera's filters and live tracks are its state."""
     rows, whole = detections.select(*T.INPUT, "event_time"), F.expr("frame IS NOT NULL AND id IS NOT NULL")
-    return fold_stream(rows, T.CAMERA, ["frame", "id"], lambda key: T.Tracker(key, max_age, min_hits, overlap), T.TRACKS, whole)
+    return fold_stream(rows, T.CAMERA, ["frame", "id"], lambda key: T.Tracker(key, max_age, min_hits, overlap), T.TRACKS, whole, packed=True)
 
 
 def identities(observations: DataFrame, employees: dict[str, list[list[float]]], match: float = 0.9, review: float = 0.75, ttl: float = 20.0, capacity: int = 20, margin: float = R.MARGIN, reverify: int = R.REVERIFY) -> DataFrame:
@@ -274,6 +274,6 @@ def camera_reports(rows: DataFrame, window: int = 300, size: int = 200, least: i
     of its newest row. rows: store, camera, event_time (the same for a frame's rows) and kind: detection (frame, id, its part
     of the frame's latency, confidence, needs_review), event, or sample (id, embedding)."""
     made = rows.select(*HEALTH_INPUT, "event_time", F.unix_micros("event_time").alias("us"))
-    out = fold_stream(made, E.CAMERA, ["frame", "id"], lambda key: Health(key, window, size, least), SNAPSHOT, F.col("kind").isNotNull())
+    out = fold_stream(made, E.CAMERA, ["frame", "id"], lambda key: Health(key, window, size, least), SNAPSHOT, F.col("kind").isNotNull(), packed=True)
     six = ["latency_p50", "latency_p95", "mean_people", "mean_confidence", "review_ratio"]
     return out.select(*[rnd(F.col(c), 6).alias(c) if c in six else rnd(F.col(c), 4).alias(c) if c == "drift" else F.col(c) for c in out.columns])

@@ -445,3 +445,95 @@ def test_waiting_rows_are_worked_on_by_slices(spark, monkeypatch):
     seconds = waiting.SLICE // 10 // 1000
     out = [*p._release(("k",), 24 * seconds, iter(parts)), *p._release(("k",), 99 * seconds, iter(()))]
     assert sizes == [(0, 10), (10, 10), (20, 5), (25, 5), (30, 10)] and pd.concat(out)["at"].tolist() == list(range(40)) and not p.waiting.rows
+
+
+class _Store:  # a state store's map, or a value of it
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+        self.removeKey, self.keys, self.getValue = self.rows.pop, lambda: list(self.rows), self.rows.__getitem__
+        self.exists, self.get = (lambda: 0 in self.rows), (lambda: self.rows[0])
+        self.update = lambda v: self.updateValue(0, v)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.rows[key] = value
+
+
+def _processor(make, order, **how):
+    from aisleflow.streaming import ordered as waiting
+
+    p = waiting._Ordered(make, order, **how)
+    p.waiting, p.machine, p.passed = _Store(), _Store(), _Store()
+    p.handle = type("Handle", (), {"listTimers": lambda self: [], "registerTimer": lambda self, at: None})()
+    return p
+
+
+class _Steps:
+    def __init__(self):
+        self.parts = []
+
+    def step(self, part, last):
+        self.parts.append(part["at"].tolist())
+        return part
+
+    def held(self):
+        return None
+
+    def resume(self, held):
+        pass
+
+
+def test_sparse_slices_are_one_piece_and_one_step(monkeypatch):
+    """Camera reports: a thousand slices of four rows wait in few pieces and are worked on in few steps, in order."""
+    from aisleflow.streaming import ordered as waiting
+
+    monkeypatch.setattr(waiting, "HELD", 1600)
+    steps = _Steps()
+    p = _processor(lambda key: steps, ["at"])
+    at = np.random.default_rng(5).permutation(4000)
+    parts = [pd.DataFrame({"at": x, "at_us": x.astype("int64") * (waiting.SLICE // 4)}) for x in np.split(at, 40)]
+    quarter = waiting.SLICE // 4 // 1000
+    out = [*p._release(("k",), 2499 * quarter, iter(parts)), *p._release(("k",), 9999 * quarter, iter(()))]
+    assert pd.concat(out)["at"].tolist() == [x for part in steps.parts for x in part] == list(range(4000)) and not p.waiting.rows
+    assert p.waiting.calls < 100 and len(steps.parts) < 10 and max(map(len, steps.parts)) <= 2 * 1600
+
+
+def test_packed_rows_come_in_order_and_late_ones_go():
+    """Rows of null keys are packed, too; rows without a time are not; those that a key's state has passed are dropped."""
+    import pickle
+
+    import pyarrow as pa
+
+    from aisleflow.streaming import ordered as waiting
+
+    table = pa.table({"s": ["a", None, "a", "b", "a", None], "c": ["x", "x", None, "x", "x", "x"], "at": list(range(6)), "at_us": pa.array([5000, 1000, None, 7000, 3000, 2000], pa.int64())})
+    packs = pa.Table.from_batches(list(waiting._packed(["s", "c"])(iter(table.to_batches(max_chunksize=2))))).to_pylist()
+    assert {(r["s"], r["c"]): sorted(pickle.loads(r["packed"])["at"]) for r in packs} == {("a", "x"): [0, 4], (None, "x"): [1, 5], ("b", "x"): [3]}
+    assert list(waiting._packed(["s", "c"])(iter(table.slice(2, 1).to_batches()))) == []
+    steps = _Steps()
+    p = _processor(lambda key: steps, ["at"], packed=True)
+    for passed, rows in ((0, [5, 3]), (3, [2, 4]), (5, [1, 9, 5]), (9, [6, 4])):
+        pack = pd.DataFrame({"packed": [pickle.dumps(pd.DataFrame({"at": [x], "at_us": [x * 1000]})) for x in rows]})
+        list(p.handleInputRows(("k",), iter([pack]), type("Now", (), {"getCurrentWatermarkInMs": lambda self, at=passed: at})()))
+    assert [x for part in steps.parts for x in part] == [2, 3, 4, 5, 5, 6, 9]
+
+
+def test_a_stream_tracker_folds_stretches_together(monkeypatch):
+    """Rows of many stretches take as many steps as the longest has frames, and are numbered as one at a time is; repeated ids
+    of a frame, in any order, give the same."""
+    rng, rows = np.random.default_rng(9), []
+    for frame in [f for k in range(20) for f in range(60 * k, 60 * k + 10)]:
+        a = rng.integers(0, 200, (8, 2)).astype(float)
+        rows += [(frame, 1000 * frame + k // 2, *p, *(p + [40, 60])) for k, p in enumerate(a)]
+    df = pd.DataFrame(rows, columns=["frame", "id", "x1", "y1", "x2", "y2"])
+    slow, want = tracking.Tracker(("s", "c"), overlap=0.1), []
+    for _, part in df.groupby("frame"):
+        want.append(slow.step(part, True))
+    steps, advance = [], tracking.Tracks._advance
+    monkeypatch.setattr(tracking.Tracks, "_advance", lambda self, *a: steps.append(1) or advance(self, *a))
+    mixed = df.sample(frac=1, random_state=1).sort_values(["frame", "id"], kind="stable")
+    fast, cut = tracking.Tracker(("s", "c"), overlap=0.1), int((mixed["frame"] < 604).sum())
+    got = [fast.step(mixed[:cut], True), fast.step(mixed[cut:], True)]
+    sort = lambda parts: sorted(map(tuple, pd.concat(parts).to_numpy().tolist()))
+    assert sort(got) == sort(want) and len(steps) < 50
+    assert all(np.array_equal(a, b) for a, b in zip(slow.held(), fast.held(), strict=True))
