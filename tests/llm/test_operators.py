@@ -694,3 +694,26 @@ def test_pipeline_ends_with_all_token_ids(spark):
         assert len(r.ids) == r.length
         got.setdefault(r.doc_id, []).extend(r.ids)
     assert got == want
+
+
+def test_hot_keys_are_compared_as_matrices_whatever_the_batches(monkeypatch):
+    """Keys of one block and of two, one after the other and cut anywhere: the pairs of all with all, each block's own once."""
+    rng = np.random.default_rng(8)
+    base, rows, want = rng.integers(0, 1 << 63, (4, 2), dtype=np.uint64), [], set()
+    for hot, lo, hi, n in [(1, 0, 0, 70), (2, 0, 1, 90), (2, 1, 1, 40), (3, 0, 0, 1), (4, 0, 0, 2)]:
+        flips = np.array([sum(1 << int(b) for b in rng.permutation(64)[: rng.integers(0, 9)]) for _ in range(2 * n)], np.uint64).reshape(n, 2)
+        bits = base[rng.integers(0, 4, n)] ^ flips
+        block, node, part = rng.integers(lo, hi + 1, n) if hi > lo else np.full(n, lo), rng.permutation(1000)[:n], rng.integers(0, 5, n)
+        rows += [(hot, lo, hi, int(b), int(m), int(p), *x.view(np.int64).tolist()) for b, m, p, x in zip(block, node, part, bits, strict=True)]
+        for i in range(n):
+            for j in range(n):
+                apart = sum(int(bits[i, k] ^ bits[j, k]).bit_count() for k in range(2))
+                if part[i] != part[j] and apart <= media.NEAR and (lo == hi or block[i] != block[j]):
+                    want.add((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+    names = ["hot", "lo", "hi", "block", "node", "part", "bits", "wide"]
+    table = pa.table({n: pa.array([r[k] for r in rows], pa.int64()) for k, n in enumerate(names)})
+    for size, compared in ((1000, 1 << 18), (7, 100), (1, 1)):
+        monkeypatch.setattr(media, "COMPARED", compared)
+        got = pa.Table.from_batches(list(media._dealt(iter(table.to_batches(max_chunksize=size))))).to_pylist()
+        assert {(r["u"], r["v"]) for r in got} == want and want
+    assert sum(len(b) for b in media._dealt(iter(()))) == 0
